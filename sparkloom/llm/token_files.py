@@ -27,29 +27,85 @@ MANIFEST = "shard int, file string, n_docs long, n_ids long"
 NULL_ID = -1
 
 
+class Known(dict):
+    """Pieces seen so far. The first ``limit`` stay; later ones go through a side table that is emptied when full."""
+
+    def __init__(self, limit: int):
+        super().__init__({b"": b""})
+        self.limit, self.recent = limit, {}
+
+    def __missing__(self, piece: bytes) -> bytes:
+        return self.recent[piece]
+
+    def has(self, piece: bytes) -> bool:
+        return piece in self or piece in self.recent
+
+    def put(self, piece: bytes, ids: bytes) -> None:
+        if len(self) < self.limit:
+            self[piece] = ids
+        else:
+            self.recent[piece] = ids
+
+    def trim(self) -> None:
+        if len(self.recent) > self.limit // 4:
+            self.recent.clear()
+
+
 class CachedEncoder:
     """Encodes with the tokenizers library, one space-separated piece at a time, remembering the pieces.
 
-    The vocabulary's normaliser and splitter never join anything across a space or a line end, so the ids of a
-    text are those of its pieces in order. ``limit`` bounds the memory of the cache.
+    The vocabulary lower-cases, drops white space and never joins anything across it, nor a letter or digit with a
+    full stop or comma after it; so the ids of a text are those of its pieces in order. Texts that may name a special
+    token are encoded in one go. ``limit`` bounds the memory of the cache.
     """
 
-    def __init__(self, path: str, dtype: str, limit: int = 400_000):
+    def __init__(self, path: str, dtype: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype, self.limit, self.known = dtype, limit, {"": b""}
-
-    def __call__(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        known = self.known
-        if missing := [p for p in set(parts) if p not in known]:
-            if len(known) > self.limit:
-                self.known = known = {"": b""}
-                missing = list(set(parts) - {""})
-            for p, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                known[p] = np.asarray(e.ids, self.dtype).tobytes()
-        return b"".join(map(known.__getitem__, parts))
+        self.special = [t.content[:2].lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.dtype, self.known = dtype, Known(limit)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, parts: set[bytes]) -> None:
+        bases, later = set(), []
+        for p in parts:
+            if not self.known.has(p):
+                if p[-1:] in (b".", b",") and p[-2:-1].isalnum():
+                    later.append(p)
+                    p = p[:-1]
+                    if self.known.has(p):
+                        continue
+                bases.add(p)
+        if later:
+            bases |= {x for x in (b".", b",") if not self.known.has(x)}
+        bases = list(bases)
+        for p, raw in zip(bases, self.ids([b.decode("utf-8", "replace") for b in bases]), strict=True):
+            self.known.put(p, raw)
+        for p in later:
+            self.known.put(p, self.known[p[:-1]] + self.known[p[-1:]])
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        whole = {i: t for i, t in enumerate(texts) if isinstance(t, str) and any(x in t.lower() for x in self.special)}
+        split = [t.encode("utf-8", "replace").lower().replace(b"\n", b" ").split(b" ") if isinstance(t, str) and i not in whole else [] for i, t in enumerate(texts)]
+        self.known.trim()
+        self.learn(set().union(*split))
+        out = [b"".join(map(self.known.__getitem__, parts)) for parts in split]
+        for i, raw in zip(whole, self.ids(list(whole.values())), strict=True):
+            out[i] = raw
+        return out
+
+
+_encoders: dict[tuple[str, str], CachedEncoder] = {}
+
+
+def encoder(path: str, dtype: str) -> CachedEncoder:
+    """One encoder for each vocabulary in a worker; it outlives the task."""
+    if (path, dtype) not in _encoders:
+        _encoders[path, dtype] = CachedEncoder(path, dtype)
+    return _encoders[path, dtype]
 
 
 def id_dtype(vocabulary: str, end_id: int) -> str:
@@ -76,7 +132,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = CachedEncoder(vocabulary, dtype)
+        encode = encoder(vocabulary, dtype)
         name = f"{place}/shard-{task.partitionId():06d}-{task.taskAttemptId()}"
         os.makedirs(place, exist_ok=True)
         n_docs = n_ids = 0
@@ -84,11 +140,12 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
             idx.write(np.zeros(1, "<u8").tobytes())
             for batch in batches:
                 offsets = np.empty(len(batch), "<u8")
-                for i, text in enumerate(batch["text"]):
-                    raw = (encode(text) if isinstance(text, str) else b"") + end
-                    ids.write(raw)
-                    n_ids += len(raw) // width
-                    offsets[i] = n_ids
+                texts = list(batch["text"])
+                for at in range(0, len(texts), 64):
+                    for i, raw in enumerate(encode(texts[at : at + 64]), at):
+                        ids.write(raw + end)
+                        n_ids += len(raw) // width + 1
+                        offsets[i] = n_ids
                 idx.write(offsets.tobytes())
                 doc.write(batch["doc_id"].to_numpy("<i8").tobytes())
                 n_docs += len(batch)
