@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Everything but ASCII letters and digits separates words; all code points from U+0080 up belong to words.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -42,6 +44,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def add_columns(df: DataFrame, text_col: str, ddl: dict[str, tuple[str, pa.DataType]], compute: Callable[[list[str | None]], dict[str, list]]) -> DataFrame:
+    """``df`` with columns that ``compute`` makes of a batch of texts; all other columns pass through untouched.
+
+    Columns of ``df`` that have one of the new names are replaced, as ``withColumn`` does.
+    """
+    keep = [c for c in df.columns if c not in ddl]
+    given = df.select(*(F.col(f"`{c.replace('`', '``')}`") for c in keep), F.col(text_col).cast("string").alias("_given"))
+    fields = "".join(f"`{c.replace('`', '``')}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = compute(batch.column(len(keep)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(made[k], t) for k, (_, t) in ddl.items())], [*keep, *ddl])
+
+    return given.mapInArrow(run, fields + ", ".join(f"{k} {d}" for k, (d, _) in ddl.items()))
+
+
 _rng = np.random.default_rng(20240501)
 _BYTE = np.zeros(256, np.uint64)
 for _b in range(256):

@@ -9,26 +9,29 @@ A window is ``window`` consecutive words of an item; an item of fewer words, but
 empty texts have no words and are never hit. Null item ids take part under an empty name. Repeated items and
 documents are treated alike, each on its own. Other columns are kept untouched by :func:`decontaminate`.
 
-The benchmark goes to the tasks in blocks of ``block_bytes`` of text at most, one pass over the batch each, so no
-closure grows with it.
+The benchmark is broadcast once its size was checked against ``max_benchmark_bytes`` (64 MB of text; larger ones are
+refused and can be given in parts), and is searched in blocks of ``block_bytes``, which bound the memory of a task.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sparkloom.llm.common import pieces, word_hashes
+from sparkloom.llm.common import add_columns, pieces, word_hashes
 
-MATCHES = T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), T.StructField("doc_word", T.IntegerType()), T.StructField("item_word", T.IntegerType()), T.StructField("n_words", T.IntegerType())]))
-WITH = {"_n_words": T.LongType(), "_n_hit": T.LongType(), "_hit": T.BinaryType(), "_items": T.ArrayType(T.StringType()), "_matches": MATCHES}
+_MATCH = pa.struct([("item_id", pa.string()), ("doc_word", pa.int32()), ("item_word", pa.int32()), ("n_words", pa.int32())])
+MARKS = {
+    "_n_words": ("long", pa.int64()),
+    "_n_hit": ("long", pa.int64()),
+    "_items": ("array<string>", pa.list_(pa.string())),
+    "_matches": ("array<struct<item_id:string,doc_word:int,item_word:int,n_words:int>>", pa.list_(_MATCH)),
+}
 
 
 @dataclass
@@ -136,53 +139,38 @@ def diagonals(at: np.ndarray, item: np.ndarray, place: np.ndarray, length: np.nd
     return np.c_[item[first], at[first], place[first], length[first] + size - 1]
 
 
-def mark(docs: DataFrame, block: Block | None, first: bool) -> DataFrame:
-    """Add the block's hits to the marks of each document."""
-    schema = T.StructType(docs.schema.fields + [T.StructField(k, v) for k, v in WITH.items()]) if first else docs.schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            n = len(batch)
-            n_words, n_hit, hits, items, matches = np.zeros(n, np.int64), np.zeros(n, np.int64), [b""] * n, [[] for _ in range(n)], [[] for _ in range(n)]
-            if not first:
-                n_hit = batch["_n_hit"].to_numpy().copy()
-                hits, items, matches = list(batch["_hit"]), [list(x) for x in batch["_items"]], [list(x) for x in batch["_matches"]]
-            for base, texts in pieces(batch["_text"]):
-                hashes, bounds = word_hashes(texts)
-                count = np.diff(bounds)
-                n_words[base : base + len(texts)] = count
-                if block is None or not len(hashes):
-                    continue
-                known = ids_of(hashes, block.vocab)
-                doc_of = np.repeat(np.arange(len(texts)), count)
-                width = block.words.shape[1]
-                ids = np.zeros(len(hashes) + len(texts) + width, np.int64)  # a zero after each document
-                ids[np.arange(len(hashes)) + doc_of] = known
-                at, which = occurrences(ids, block)
-                if not len(at):
-                    continue
-                begins = bounds[:-1] + np.arange(len(texts))
-                doc = np.searchsorted(begins, at, "right") - 1
-                for d in np.unique(doc):
-                    own = doc == d
-                    start, w = at[own] - begins[d], which[own]
-                    delta = np.zeros(count[d] + 1, np.int64)
-                    np.add.at(delta, start, 1)
-                    np.add.at(delta, start + block.length[w], -1)
-                    mask = np.cumsum(delta[:-1]) > 0
-                    k = base + d
-                    if hits[k]:
-                        mask |= np.unpackbits(np.frombuffer(hits[k], np.uint8))[: count[d]].astype(bool)
-                    hits[k], n_hit[k] = np.packbits(mask).tobytes(), mask.sum()
-                    items[k] += [block.names[i] for i in np.unique(block.item[w])]
-                    matches[k] += [{"item_id": block.names[i], "doc_word": int(s), "item_word": int(p), "n_words": int(x)} for i, s, p, x in diagonals(start, block.item[w], block.place[w], block.length[w])]
-            yield batch.assign(_n_words=n_words, _n_hit=n_hit, _hit=hits, _items=items, _matches=matches)
-
-    return docs.mapInPandas(run, schema)
-
-
-def blocks_of(benchmark: DataFrame, window: int, block_bytes: int, max_bytes: int) -> list[Block | None]:
-    """The benchmark in blocks; it is a query set of a stated size, checked before anything is fetched."""
+def marks(texts: list[str | None], blocks: list[Block]) -> dict[str, list]:
+    """The columns of ``MARKS`` for a batch of whole documents."""
+    n = len(texts)
+    n_words, n_hit, items, matches = [0] * n, [0] * n, [set() for _ in range(n)], [[] for _ in range(n)]
+    for base, part in pieces(texts):
+        hashes, bounds = word_hashes(part)
+        count = np.diff(bounds)
+        n_words[base : base + len(part)] = count.tolist()
+        begins = bounds[:-1] + np.arange(len(part))
+        spot = np.arange(len(hashes)) + np.repeat(np.arange(len(part)), count)
+        masks: dict[int, np.ndarray] = {}
+        for block in blocks if len(hashes) else ():
+            ids = np.zeros(len(hashes) + len(part) + block.words.shape[1], np.int64)  # a zero after each document
+            ids[spot] = ids_of(hashes, block.vocab)
+            at, which = occurrences(ids, block)
+            doc = np.searchsorted(begins, at, "right") - 1
+            for d in np.unique(doc):
+                own = doc == d
+                start, w = at[own] - begins[d], which[own]
+                delta = np.zeros(count[d] + 1, np.int64)
+                np.add.at(delta, start, 1)
+                np.add.at(delta, start + block.length[w], -1)
+                masks[d] = masks.get(d, False) | (np.cumsum(delta[:-1]) > 0)
+                items[base + d] |= {block.names[i] for i in np.unique(block.item[w])}
+                matches[base + d] += [{"item_id": block.names[i], "doc_word": int(s), "item_word": int(p), "n_words": int(x)} for i, s, p, x in diagonals(start, block.item[w], block.place[w], block.length[w])]
+        for d, mask in masks.items():
+            n_hit[base + d] = int(mask.sum())
+    return {"_n_words": n_words, "_n_hit": n_hit, "_items": [sorted(x) for x in items], "_matches": matches}
+
+
+def blocks_of(benchmark: DataFrame, window: int, block_bytes: int, max_bytes: int) -> list[Block]:
+    """The benchmark in blocks. It is a query set of a stated size, which is checked before anything is fetched."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.select(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     if size > max_bytes:
@@ -194,15 +182,13 @@ def blocks_of(benchmark: DataFrame, window: int, block_bytes: int, max_bytes: in
             held, n = [], 0
         held.append((row.item_id, row.text))
         n += len(row.text)
-    return [*out, make_block(held, window)]
+    return [b for b in (*out, make_block(held, window)) if b is not None]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", block_bytes: int = 2 << 20, max_benchmark_bytes: int = 256 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", block_bytes: int = 1 << 20, max_benchmark_bytes: int = 64 << 20) -> DataFrame:
     """``docs`` with ``_n_words``, ``_n_hit`` (words inside an occurrence), ``_items`` and ``_matches``."""
-    out = docs.withColumn("_text", F.col(text_col).cast("string"))
-    for k, block in enumerate(blocks_of(benchmark, window, block_bytes, max_benchmark_bytes)):
-        out = mark(out, block, k == 0)
-    return out.withColumn("_items", F.array_sort(F.array_distinct("_items"))).drop("_text", "_hit")
+    sent = docs.sparkSession.sparkContext.broadcast(blocks_of(benchmark, window, block_bytes, max_benchmark_bytes))
+    return add_columns(docs, text_col, MARKS, lambda texts: marks(texts, sent.value))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

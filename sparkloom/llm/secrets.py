@@ -19,10 +19,11 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut
+from sparkloom.llm.common import add_columns, cut
 
 #: Patterns (kind, regular expression, scored group, least characters of that group).
 KINDS = (
@@ -195,24 +196,22 @@ def find_secrets(docs: DataFrame, automata: dict | None = None, text_col: str =
     ordinary = automata["ordinary"][0]
     kinds = [k[0] for k in KINDS]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch[text_col]:
-                text = text if isinstance(text, str) else ""
-                base = base_spans(text)
-                spans = [(s, r, e, 0.0) for s, r, e, _ in base]
-                for s, e, value in runs(text, base) if len(automata) > 1 else ():
-                    against = likelihood(ordinary, value)
-                    best = max(((likelihood(automata[k][0], value) - against) / len(value), -i, k) for i, k in enumerate(kinds) if k in automata)
-                    if best[0] >= automata[best[2]][1]:
-                        spans.append((s, len(kinds) - best[1], e, best[0]))
-                out.append([{"kind": kinds[r] if r < len(kinds) else "like_" + kinds[r - len(kinds)], "start": s, "end": e, "score": x} for s, r, e, x in sorted(spans)])
-            yield batch.assign(_spans=out)
-
-    rows = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    names = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInPandas(run, f"{names}, _spans array<struct<kind:string,start:int,end:int,score:double>>")
+    def compute(texts: list[str | None]) -> dict[str, list]:
+        out = []
+        for text in texts:
+            text = text or ""
+            base = base_spans(text)
+            spans = [(s, r, e, 0.0) for s, r, e, _ in base]
+            for s, e, value in runs(text, base) if len(automata) > 1 else ():
+                against = likelihood(ordinary, value)
+                best = max(((likelihood(automata[k][0], value) - against) / len(value), -i, k) for i, k in enumerate(kinds) if k in automata)
+                if best[0] >= automata[best[2]][1]:
+                    spans.append((s, len(kinds) - best[1], e, best[0]))
+            out.append([{"kind": kinds[r] if r < len(kinds) else "like_" + kinds[r - len(kinds)], "start": s, "end": e, "score": x} for s, r, e, x in sorted(spans)])
+        return {"_spans": out}
+
+    span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
+    return add_columns(docs, text_col, {"_spans": ("array<struct<kind:string,start:int,end:int,score:double>>", pa.list_(span))}, compute)
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

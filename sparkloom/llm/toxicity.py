@@ -20,10 +20,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import WORD, cut
+from sparkloom.llm.common import WORD, add_columns, cut
 
 #: The documented bound of the training sample and the other parameters.
 SAMPLE, FEATURES, LEAST, FOLDS, STEMS, THRESHOLD, PENALTY = 12_000, 600, 4, 3, (4, 5, 6), 0.5, 3e-4
@@ -162,13 +163,11 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str]) -> Chai
 def score_documents(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     """``docs`` with ``_p_<category>`` for each category of the chain."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            p = [chain.score(features_of(t)) for t in batch[text_col]]
-            yield batch.assign(**{f"_p_{c}": [x[k] for x in p] for k, c in enumerate(chain.categories)})
+    def compute(texts: list[str | None]) -> dict[str, list]:
+        p = [chain.score(features_of(t)) for t in texts]
+        return {f"_p_{c}": [x[k] for x in p] for k, c in enumerate(chain.categories)}
 
-    names = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(run, f"{names}, " + ", ".join(f"_p_{c} double" for c in chain.categories))
+    return add_columns(docs, text_col, {f"_p_{c}": ("double", pa.float64()) for c in chain.categories}, compute)
 
 
 def chain_labels(labels: DataFrame) -> DataFrame:
