@@ -33,6 +33,8 @@ from sparkloom.llm.components import components
 
 #: Words in a run, similarity, coordinates, bucket size, levels, recall by pair, and embedding's slack.
 WORDS, SIMILARITY, COORDINATES, LIMIT, DEPTH, RECALL, SLACK = 5, 0.8, 64, 256, 3, 0.9999, 5.0
+#: Ids that are broadcast at most (about 100 MB in memory); beyond, texts are shuffled to them.
+BROADCAST_IDS = 2_000_000
 _MULTIPLIERS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -119,23 +121,28 @@ def child(path: Column, coordinate: Column, sig: Column) -> Column:
 
 
 def chosen_paths(sets: DataFrame, runs: int) -> DataFrame:
-    """``key, path, size``: the buckets of ``sets(key, sig)`` that hold two sets or more."""
-    at = sets.select("key", "sig", F.explode(F.array(*(child(F.lit(r), F.lit(r * 7 % COORDINATES), F.col("sig")) for r in range(runs)))).alias("path"))
+    """``key, path, size``: the buckets of ``sets(key, sig)`` that hold two sets or more.
+
+    Only keys and paths are shuffled; embeddings are fetched again for the buckets that are split.
+    """
+    at = sets.select("key", F.explode(F.array(*(child(F.lit(r), F.lit(r * 7 % COORDINATES), F.col("sig")) for r in range(runs)))).alias("path"))
     done = []
     for level in range(1, DEPTH + 1):
         size = at.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        shared = cut(at.join(size, "path").select("key", "path", "size"), f"paths-{level}")
         if level == DEPTH:
-            done.append(at.join(size, "path").select("key", "path", "size"))
+            done.append(shared)
             break
-        done.append(at.join(size.filter(F.col("size") <= LIMIT), "path").select("key", "path", "size"))
-        large = at.join(size.filter(F.col("size") > LIMIT), "path")
+        done.append(shared.filter(F.col("size") <= LIMIT))
+        large = shared.filter(F.col("size") > LIMIT).join(sets.select("key", "sig"), "key")
         picks = [F.pmod(F.xxhash64("path", F.lit(level), F.lit(j)), F.lit(COORDINATES)) for j in range(2)]
-        split = large.select("key", "sig", "size", F.col("path").alias("parent"), F.explode(F.array(*(child(F.col("path"), c, F.col("sig")) for c in picks))).alias("path"))
+        split = large.select("key", "size", F.col("path").alias("parent"), F.explode(F.array(*(child(F.col("path"), c, F.col("sig")) for c in picks))).alias("path"))
+        split = cut(split, f"split-{level}")
         # The share of a bucket's pairs that a split would keep together; where most stay, it is searched as it is.
         kept = split.groupBy("parent", "size", "path").agg(F.count(F.lit(1)).alias("c")).groupBy("parent", "size").agg((F.sum(F.col("c") * F.col("c")) / (2 * F.col("size") * F.col("size"))).alias("kept"))
-        alike = kept.filter("kept >= 0.4").select("parent")
-        done.append(large.join(alike.withColumnRenamed("parent", "path"), "path", "left_semi").select("key", "path", "size"))
-        at = split.join(alike, "parent", "left_anti").select("key", "sig", "path")
+        alike = cut(kept.filter("kept >= 0.4").select("parent"), f"alike-{level}")
+        done.append(shared.filter(F.col("size") > LIMIT).join(alike.withColumnRenamed("parent", "path"), "path", "left_semi").select("key", "path", "size"))
+        at = split.join(alike, "parent", "left_anti").select("key", "path")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -251,11 +258,16 @@ def forest(good: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def with_bound(ids: DataFrame, most: int) -> DataFrame:
+    """``ids``, to be broadcast where a count shows that they are few; larger ones are shuffled."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def link_sets(docs: DataFrame, sets: DataFrame, similarity: float, words: int, runs: int) -> DataFrame:
     """``a, b, w``: w links of set a where b is null, and links of spanning forests elsewhere."""
     shares = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = ["path", "lo", "hi"]
-    found = cut(chosen_paths(sets, runs), "paths")
+    found = chosen_paths(sets, runs)
     of_set = found.groupBy("key").agg(F.sort_array(F.collect_list("path")).alias("paths"), F.collect_list(F.struct("path", "size")).alias("own"))
     rows = sets.join(of_set, "key").select("key", "doc", "n", "copies", "sig", "paths", F.inline("own"))
     dealt = tiles(rows).repartition(shares, *by).sortWithinPartitions(*by)
@@ -267,8 +279,10 @@ def link_sets(docs: DataFrame, sets: DataFrame, similarity: float, words: int, r
 
     doc_type = sets.schema["doc"].dataType.simpleString()
     kept = cut(dealt.mapInPandas(sift, f"key string, doc {doc_type}, n long, copies long, paths array<long>, path long, lo int, hi int, side int"), "promising")
-    wanted = kept.select(F.col("doc").alias("doc_id")).distinct()
-    needed = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+    wanted = cut(kept.select(F.col("doc").alias("_w")).distinct(), "wanted")
+    needed = docs.join(with_bound(wanted, BROADCAST_IDS), F.col("doc_id") == F.col("_w"), "left_semi")
+    if not wanted.filter("_w IS NULL").isEmpty():
+        needed = needed.unionByName(docs.filter("doc_id IS NULL"))
     whole = kept.drop("doc").join(sets_of(needed, words).dropDuplicates(["key"]), "key").repartition(shares, *by).sortWithinPartitions(*by)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
