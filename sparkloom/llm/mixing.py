@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import WORD
+from sparkloom.llm.common import WORD, cut
 
 #: The parameters of the query.
 SWEEPS, EXPONENT, FRACTION = 12, 0.5, 0.6
@@ -85,7 +85,8 @@ def mix_documents(docs: DataFrame, targets: DataFrame | None = None, fraction: f
     cells = cells_of(marked.select(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS), n_tokens(F.col("text")).alias("tokens")))
     cells = tempered(cells.coalesce(1), exponent) if targets is None else with_targets(cells, targets)
     cells = calibrate(rake(cells, sweeps), fraction).select(*(F.col(d).alias(f"_c_{d}") for d in DIMENSIONS), F.col("p").alias("_p"))
-    # Spark broadcasts the cells only if their measured size is below its threshold, and splits a hot cell otherwise.
+    # Written, the cells have a known size: Spark broadcasts them only below its threshold, else it splits a hot cell.
+    cells = cut(cells, "cells")
     same = [F.col(f"_{d}") == F.col(f"_c_{d}") for d in DIMENSIONS]
     out = marked.join(cells, same, "left").withColumn("_p", F.coalesce("_p", F.lit(1.0)))
     return out.withColumn("_keep", draw(F.col("doc_id"), F.col("text")) < F.col("_p")).drop(*(f"_c_{d}" for d in DIMENSIONS))
