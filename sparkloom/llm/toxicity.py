@@ -133,30 +133,36 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str]) -> Chai
     n, *sums = rows.agg(F.count(F.lit(1)), *(F.sum(c) for c in categories)).first()
     two = [0 < (s or 0) < n for s in sums]
     words = sorted(set().union(*(choose_features(rows, c, n, s) for c, s, ok in zip(categories, sums, two, strict=True) if ok)))
-    own = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
-    data = rows.select(F.array_intersect("found", own).alias("f"), *categories).orderBy("doc_id").toPandas()
     place = {w: k for k, w in enumerate(words)}
-    x = np.zeros((n, len(words)), np.float32)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            packed = [np.asarray([place[w] for w in f if w in place], np.int32).tobytes() for f in batch["found"]]
+            yield batch.drop(columns="found").assign(f=packed)
+
+    kept = rows.select(F.xxhash64("doc_id").alias("h"), "found", *categories)
+    data = kept.mapInPandas(pack, f"h long, {', '.join(f'{c} int' for c in categories)}, f binary").orderBy("h").toPandas()
+    x = np.zeros((n, len(words) + len(categories)), np.float32)  # room for the earlier categories' log-odds
     for i, f in enumerate(data["f"]):
-        x[i, [place[w] for w in f]] = 1
+        x[i, np.frombuffer(f, np.int32)] = 1
     fold = np.arange(n) % FOLDS
     chain = Chain(categories)
     for k, c in enumerate(categories):
         y = data[c].to_numpy(np.float64)
         if two[k]:
-            w = fit_linear(x, y)
+            w = fit_linear(x[:, : len(words) + k], y)
             held = np.zeros(n)
             for f in range(FOLDS if k + 1 < len(categories) else 0):  # out-of-fold log-odds for the models that follow
-                part = fit_linear(x[fold != f], y[fold != f])
-                held[fold == f] = x[fold == f] @ part[:-1] + part[-1]
+                part = fit_linear(x[fold != f, : len(words) + k], y[fold != f])
+                held[fold == f] = x[fold == f, : len(words) + k] @ part[:-1] + part[-1]
         else:
             share = (sums[k] or 0) / n if n else 0.0
-            w = np.r_[np.zeros(x.shape[1]), math.log(max(share, 1e-12) / max(1 - share, 1e-12))]
+            w = np.r_[np.zeros(len(words) + k), math.log(max(share, 1e-12) / max(1 - share, 1e-12))]
             held = np.full(n, w[-1])
         chain.weights.append({word: float(v) for word, v in zip(words, w, strict=False) if v})
         chain.earlier.append([float(v) for v in w[len(words) : -1]])
         chain.intercepts.append(float(w[-1]))
-        x = np.c_[x, np.clip(held, -4, 4).astype(np.float32)]
+        x[:, len(words) + k] = np.clip(held, -4, 4)
     return chain
 
 
