@@ -17,7 +17,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    plain = lambda v: None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else round(v, 6) if isinstance(v, float) else v
+    plain = lambda v: None if v is None or v is pd.NA or v is pd.NaT or v != v else round(v, 6) if isinstance(v, float) else v
     return sorted((tuple(str(int(v)) if isinstance(v, float) and v.is_integer() else str(v) for v in map(plain, r)) for r in df.itertuples(index=False)))
 
 
