@@ -87,7 +87,7 @@ def keys_at(table: np.ndarray, cell: np.ndarray) -> np.ndarray:
 
 
 def stack(raw: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+    return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1 if len(raw) else 1)
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -146,6 +146,8 @@ def brute_force(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, top: int) ->
 def plan_visits(vectors: DataFrame, queries: DataFrame, n: int, dim: int, top_norm: float, top: int) -> tuple[int, int]:
     """(projections, visits) with which a sample of at most ``SAMPLE`` queries finds ``RECALL`` of its neighbours."""
     sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).dropDuplicates(["vec_id"]).toPandas()
+    if not len(sample):
+        return 0, 1
     ids, q = sample["vec_id"].to_numpy(), stack(sample["v"])
     truth = brute_force(vectors, ids, q, top)
     truth = truth.join(vectors.select("vec_id", "v"), "vec_id").dropDuplicates(["query_id", "vec_id"]).select("query_id", "v").toPandas()
