@@ -4,7 +4,8 @@ Regular expressions propose spans, checksums confirm them (Luhn for cards, mod-9
 just before a span adjust its score. Positions are code points, end exclusive: with the pieces between matches and
 the matches themselves, both in order, running lengths give each match's place.
 
-Null and empty texts have no spans. Repeated rows are scanned on their own. All other columns are kept.
+Null and empty texts have no spans. Repeated rows are scanned on their own. All other columns are kept,
+but for one named ``_pii``, which is replaced.
 
 The patterns begin with ``\\G`` or a look-behind and repeat possessively. They match what the plain patterns in
 ``PLAIN`` match, without scanning a long run again from each of its characters and without recursion.
@@ -92,10 +93,7 @@ def spans_of(kind: str, text: Column) -> Column:
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``_pii``: all confirmed spans by start, then kind."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs
-    for kind in FAST:
-        out = out.withColumn(f"_{kind}", spans_of(kind, text))
-    return out.withColumn("_pii", F.array_sort(F.concat(*(F.col(f"_{k}") for k in FAST)))).drop(*(f"_{k}" for k in FAST))
+    return docs.withColumn("_pii", F.array_sort(F.concat(*(spans_of(kind, text) for kind in FAST))))
 
 
 def redact(docs: DataFrame, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
