@@ -37,7 +37,9 @@ def features_of(text: str | None) -> set[str]:
     words = _WORD.findall(text.lower())
     found = set(words)
     tenth = lambda a, b: min(9, int(10 * a / b)) if b else 0
-    shape = {f"#repeats{tenth(len(words) - len(found), len(words))}", f"#symbols{tenth(len(text) - sum(map(len, words)) - text.count(' '), len(text))}", f"#upper{tenth(sum(map(str.isupper, text[::7])), len(text[::7]))}"}
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    upper = int(((codes >= 65) & (codes <= 90)).sum())
+    shape = {f"#repeats{tenth(len(words) - len(found), len(words))}", f"#symbols{tenth(len(text) - sum(map(len, words)) - text.count(' '), len(text))}", f"#upper{tenth(upper, len(text))}"}
     for n in STEMS:
         found |= {"^" + w[:n] for w in found if len(w) >= n and w[0] != "^"}
     return found | shape
