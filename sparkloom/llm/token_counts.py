@@ -12,7 +12,6 @@ counted on their own. Other columns are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,40 +23,32 @@ RULES = ("first", "last", "most")
 
 
 class SpanEncoder:
-    """Character spans of all tokens of a text, by pieces that the vocabulary's splitter treats on their own.
+    """Character spans of all tokens of whole texts, about a megabyte of text at a time."""
 
-    A piece is a word with the one space before it, or a run of white space; both are cut where the byte-level
-    splitter cuts. Texts with separators on which the two disagree (U+001C to U+001F) are encoded in one go.
-    """
+    CHUNK = 1 << 20
 
-    PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-    ODD = re.compile("[\x1c-\x1f]")
-
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer, processors
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)
         self.tokenizer.encode_special_tokens = True
-        self.limit, self.known = limit, {}
-
-    def offsets(self, texts: list[str]) -> list[tuple[int, bytes]]:
-        return [(len(e.ids), np.asarray(e.offsets, np.int32).reshape(-1, 2).tobytes()) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """(start, end) rows per text."""
-        if len(self.known) > self.limit:
-            self.known = {}
-        split = [[t] if self.ODD.search(t) else self.PIECE.findall(t) for t in texts]
-        missing = list(set().union(*split) - self.known.keys())
-        self.known.update(zip(missing, self.offsets(missing), strict=True))
-        out = []
-        for parts in split:
-            got = list(map(self.known.__getitem__, parts))
-            lens = np.fromiter(map(len, parts), np.int64, len(parts))
-            base = np.repeat(np.cumsum(lens) - lens, np.fromiter((g[0] for g in got), np.int64, len(got)))
-            out.append(np.frombuffer(b"".join(g[1] for g in got), np.int32).reshape(-1, 2) + base[:, None])
-        return out
+
+    def chunks(self, sizes: list[int]) -> Iterator[slice]:
+        """Consecutive texts that come to ``CHUNK`` characters; a longer text is a chunk of its own."""
+        first = held = 0
+        for i, n in enumerate(sizes):
+            if i > first and held + n > self.CHUNK:
+                yield slice(first, i)
+                first, held = i, 0
+            held += n
+        if first < len(sizes):
+            yield slice(first, len(sizes))
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of all tokens, counted from each text's own start, and the number of tokens of each text."""
+        got = [np.asarray(e.offsets, np.int64).reshape(-1, 2) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.concatenate(got), np.asarray([len(g) for g in got], np.int64)
 
 
 _encoders: dict[str, SpanEncoder] = {}
@@ -92,18 +83,16 @@ def count_tokens(docs: DataFrame, fields: list[str], vocabulary: str, id_col: st
         encode = _encoders.get(vocabulary) or _encoders.setdefault(vocabulary, SpanEncoder(vocabulary))
         k = len(fields)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                columns = [part[n].tolist() for n in names]
-                texts = ["\n".join(row) for row in zip(*columns, strict=True)]
-                lens = np.asarray([[len(v) for v in c] for c in columns], np.int64).T
-                counts, crossed = np.zeros((len(part), k), np.int64), np.zeros((len(part), k), np.int64)
-                begin = np.cumsum(np.c_[np.zeros(len(part), np.int64), lens[:, :-1] + 1], axis=1)
-                for i, spans in enumerate(encode(texts)):
-                    where, crossing = allocate(spans, begin[i], rule)
-                    counts[i] = np.bincount(where, minlength=k)[:k]
-                    crossed[i] = np.bincount(where[crossing], minlength=k)[:k]
-                yield pd.DataFrame({"doc_id": part["doc_id"].repeat(k).to_numpy(), "field": fields * len(part), "n_chars": lens.ravel(), "n_tokens": counts.ravel(), "n_crossing": crossed.ravel()})
+            lengths = np.asarray([batch[n].str.len().to_numpy(np.int64) for n in names]).T
+            for part in encode.chunks((lengths.sum(axis=1) + k).tolist()):
+                texts = ["\n".join(row) for row in zip(*(batch[n].iloc[part] for n in names), strict=True)]
+                lens = lengths[part]
+                spans, n_spans = encode(texts)
+                # All texts of a chunk lie on one line, each field with one place for the line end after it.
+                starts = np.cumsum(np.r_[0, (lens + 1).ravel()])[:-1]
+                where, crossing = allocate(spans + np.repeat(starts[::k], n_spans)[:, None], starts, rule)
+                counts, crossed = np.bincount(where, minlength=lens.size), np.bincount(where[crossing], minlength=lens.size)
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].repeat(k).to_numpy(), "field": fields * len(texts), "n_chars": lens.ravel(), "n_tokens": counts, "n_crossing": crossed})
 
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in zip(fields, names, strict=True)))
     out = rows.mapInPandas(run, "doc_id string, field string, n_chars long, n_tokens long, n_crossing long")

@@ -114,6 +114,14 @@ def test_token_counts(spark, docs, odd):
             out = token_counts.count_tokens(df, ["source", "lang", "text"], path, rule=rule).groupBy("doc_id").sum("n_tokens").collect()
             want = {r.doc_id: len(tk.encode("\n".join(x or "" for x in (r.source, r.lang, r.text)), add_special_tokens=False).ids) for r in df.collect()}
             assert {r[0]: r[1] for r in out} == want
+    pair = spark.createDataFrame([(1, "a b", "", "a b\n\n c"), (2, None, "\u00e9", None)], "doc_id long, source string, lang string, text string")
+    out = token_counts.count_tokens(pair, ["source", "lang", "text"], path).collect()
+    want = []
+    for r in pair.collect():
+        starts = [0, len(r.source or "") + 1, len(r.source or "") + len(r.lang or "") + 2]
+        begins = [s for s, _ in token_counts.SpanEncoder(path)(["\n".join(x or "" for x in r[1:])])[0]]
+        want += [(r.doc_id, f, sum(a <= s < b for s in begins)) for f, a, b in zip(("source", "lang", "text"), starts, [*starts[1:], 10**9], strict=True)]
+    assert [(r.doc_id, r.field, r.n_tokens) for r in out] == want
     spans = np.asarray([[0, 2], [2, 6], [6, 7]])
     assert [token_counts.allocate(spans, np.asarray([0, 3]), r)[0].tolist() for r in token_counts.RULES] == [[0, 0, 1], [0, 1, 1], [0, 1, 1]]
 
