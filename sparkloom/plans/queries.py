@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import keys
 from sparkloom.operators import delta, reads, resolve, rollup, traverse
 from sparkloom.plans import testgraph
+from sparkloom.plans.binding import BINDING
 from sparkloom.plans.graph import DEPENDENCIES, Graph
 
 K = "('imports', 'references', 'calls', 'extends', 'implements')"
@@ -213,6 +214,8 @@ GRAPH: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {
     "graph_invariants": (lambda g: g.violations().groupBy("rule").count(), "SELECT 'x' AS rule, 1::BIGINT AS count WHERE false"),
 }
 
+GRAPH |= BINDING
+
 #: name: (function of session and folder, SQL over the tables)
 PLAIN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "job_claim_order": (job_claims, f"WITH j AS ({JOB}) SELECT id, status FROM j WHERE (status = 'ready' AND available_at <= TIMESTAMP '1995-01-01') OR (status = 'processing' AND lease_until <= TIMESTAMP '1995-01-01') ORDER BY available_at, id LIMIT 100"),

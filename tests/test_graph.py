@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sparkloom.functions import keys
-from sparkloom.operators import delta, reads, resolve, rollup, traverse
+from sparkloom.operators import bind, delta, reads, resolve, rollup, traverse
 from sparkloom.plans import queries
 from sparkloom.plans.graph import Graph
 from sparkloom.sources import tree
@@ -93,6 +93,30 @@ def test_export_chains(spark):
     assert out == {1: ("bound", "sx", "deterministic"), 2: ("bound", "sx", "inferred"), 3: ("ambiguous", None, None), 4: ("bound", "sz", "deterministic"), 5: ("unresolved", None, None)}
 
 
+def test_bindings_of_imports_and_calls(spark):
+    state = [("s1", "a", "./m", "internal", "m"), ("s2", "a", "./n", "internal", "n"), ("s3", "a", "./gone", "unresolved", None), ("s4", "a", "./m2", "ambiguous", None), ("s5", "a", "x", "external", None)]
+    statements = spark.createDataFrame([("p", *r) for r in state], "project_id string, statement_id string, file_id string, specifier string, status string, module_id string")
+    names = [("s1", "F", "G", "named", False), ("s1", "lost", "lost", "named", False), ("s1", "ext", "ext", "named", False), ("s2", "*", "NS", "namespace", False), ("s2", "T", "T", "named", True)]
+    bindings = spark.createDataFrame([("p", *r) for r in names], "project_id string, statement_id string, name string, local_name string, kind string, type_only boolean")
+    exports = spark.createDataFrame([("p", "m", "F", "F"), ("p", "n", "k", "K"), ("q", "m", "lost", "other")], "project_id string, file_id string, exported_name string, symbol_id string")
+    re = spark.createDataFrame([("p", "m", "named", "ext", "e", None, "pkg")], "project_id string, file_id string, kind string, exported_as string, name string, target_file string, package string")
+    bound = bind.bind_imports(statements, bindings, exports, re)
+    assert got(bound.edges, "source_id", "target_id", "rule", "resolution") == [("a", "F", "resolve/import", "deterministic"), ("a", "n", "resolve/import-module", "deterministic"), ("a", "npm pkg e.", "resolve/import-external", "deterministic")]
+    assert {tuple(r) for r in bound.gaps.select("code", "specifier", "target_file_id", "name").collect()} == {("unresolved-module", "./gone", None, None), ("ambiguous-module", "./m2", None, None), ("unresolved-export", "./m", "m", "lost")}
+    callees = [("c1", "G", "react:element"), ("c2", "G.run", None), ("c3", "NS.k", None), ("c4", "NS.none", None), ("c5", "h.go", None), ("c6", "G.", None), ("c7", "who", None), ("c8", "", None), ("c9", "G", None), ("c10", "ext.x", None)]
+    nodes = [("a", "file", None, None, "a", None, None), ("top", "symbol", None, "top", "a", None, None), ("F", "symbol", None, "F", "m", None, None), ("P", "symbol", "react:prop", "size", "m", None, None), ("inner", "symbol", None, "inner", "a", None, None)]
+    nodes += [(i, "callSite", s, None, "a", "inner" if i == "c9" else "top", c) for i, c, s in callees]
+    g = Graph(
+        spark.createDataFrame([("p", *n) for n in nodes], "project_id string, id string, kind string, sub_kind string, name string, file_id string, enclosing_symbol_id string, callee string"),
+        graph(spark, [], ["a -contains-> top", "top -contains-> inner", "F -contains-> P"]).edges,
+        graph(spark, [], []).tail,
+        spark.createDataFrame([("p", "c1", 0, "size", "named"), ("p", "c1", 1, "more", "named"), ("p", "c1", 2, "size", "spread")], "project_id string, id string, pos int, arg_name string, pass_kind string"),
+    )
+    edges, gaps = bind.bind_calls(g, bound, exports, re)
+    assert got(edges, "source_id", "target_id", "rule", "resolution") == [("c1", "F", "react/renders-import", "deterministic"), ("c1", "P", "react/binds-prop", "deterministic"), ("c10", "npm pkg e.", "react/calls-member-root", "inferred"), ("c2", "F", "react/calls-member-root", "inferred"), ("c3", "K", "react/calls-namespace-member", "deterministic")]
+    assert {tuple(r) for r in gaps.select("code", "specifier", "target_file_id", "name").collect()} == {("unresolved-member", "G.run", "m", "run"), ("unresolved-member", "NS.none", "n", "none"), ("unbound-callee", "h.go", None, "go"), ("unbound-callee", "ext.x", None, "x")}
+
+
 def test_supersede_and_delta(spark):
     edges = spark.createDataFrame([("a", "npm x f."), ("b", "npm x f."), ("c", "d")], "source_id string, target_id string")
     to = spark.createDataFrame([("npm x f.", 1, "s1"), ("npm x f.", 0, "s0")], "external_id string, rank int, symbol_id string")
