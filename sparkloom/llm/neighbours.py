@@ -10,7 +10,8 @@ How many projections and visits it takes is measured: a bounded sample of querie
 most projections are taken with which ``MAX_VISITS`` visits do, and of visits the
 fewest with which the sample's recall reaches ``RECALL``; with no projections left there is one cell
 and the search is exact. Cells with more than ``CHUNK`` vectors are dealt over several groups, so no group grows with
-the data. Each group keeps its best rows by query alone.
+the data. Each group keeps its best rows by query alone. Queries whose visits found fewer than ``top`` rows, though
+there are more, are searched again exactly, ``BLOCK`` of them at a time against all vectors.
 
 Vectors that are null, zero or hold null or non-finite components, and rows with a null id, take no part. Vectors of
 another length than most are left out too. Rows that repeat an id with another vector are candidates each, of which the
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import cut
 
 #: Tables, cell width, vectors a cell should hold, and bounds of the measurement and of groups.
-TABLES, WIDTH, OCCUPANCY, SAMPLE, RECALL, MAX_VISITS, CHUNK = 6, 1.0, 400, 128, 0.96, 40, 2_000
+TABLES, WIDTH, OCCUPANCY, SAMPLE, RECALL, MAX_VISITS, CHUNK, BLOCK = 6, 1.0, 400, 128, 0.96, 40, 2_000, 2_000
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -137,12 +138,31 @@ def brute_force(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, top: int) ->
     """Exact neighbours of a bounded block of queries, every batch of vectors against it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
         for b in batches:
-            yield best(ids, q, b["vec_id"].to_numpy(), stack(b["v"]), top)
+            rows = pd.concat([*held, best(ids, q, b["vec_id"].to_numpy(), stack(b["v"]), top)], ignore_index=True)
+            rows = rows.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "vec_id"])
+            held = [rows.groupby("query_id").head(top)]
+        yield from held
 
     return ranked(vectors.mapInPandas(run, FOUND), top)
 
 
+def complete(found: DataFrame, vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
+    """``found`` with exact rows for all queries that have fewer than ``top`` of them, or than there are ids."""
+    found = cut(found, "found")
+    enough = min(top, vectors.select("vec_id").distinct().count())
+    full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select(F.col("query_id").alias("vec_id"))
+    short = cut(queries.join(full, "vec_id", "left_anti").select("vec_id", "v"), "short")
+    blocks = math.ceil(short.count() / BLOCK)
+    out = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select(found.columns) if blocks else found
+    for k in range(blocks):
+        block = short.filter(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(blocks)) == k).toPandas()
+        if len(block):
+            out = out.unionByName(cut(brute_force(vectors, block["vec_id"].to_numpy(), stack(block["v"]), top), "exact"))
+    return out
+
+
 def plan_visits(vectors: DataFrame, queries: DataFrame, n: int, dim: int, top_norm: float, top: int) -> tuple[int, int]:
     """(projections, visits) with which a sample of at most ``SAMPLE`` queries finds ``RECALL`` of its neighbours."""
     sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).dropDuplicates(["vec_id"]).toPandas()
@@ -171,7 +191,8 @@ def nearest(df: DataFrame, queries: DataFrame, top: int = 20, id_col: str = "vec
     asked = cut(valid_vectors(queries, id_col, vector_col), "queries")
     common = vectors.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim = common[0].dim if common else 1
-    vectors, asked = vectors.filter(F.col("dim") == dim), asked.filter(F.col("dim") == dim)
+    vectors = vectors.filter(F.col("dim") == dim)
+    asked = asked.filter(F.col("dim") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
     n, top_norm = vectors.agg(F.count(F.lit(1)), F.max("norm")).first()
     k, probes = plan_visits(vectors, asked, n, dim, top_norm or 1.0, top)
     shares = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -188,7 +209,7 @@ def nearest(df: DataFrame, queries: DataFrame, top: int = 20, id_col: str = "vec
             yield pd.DataFrame({"cell": np.concatenate(own) if own else np.zeros(0, np.int64), "vec_id": b["vec_id"].repeat(count).to_numpy(), "v": b["v"].repeat(count).to_numpy()})
 
     schema = "cell long, vec_id long, v binary"
-    entries, probed = vectors.mapInPandas(index, schema), asked.dropDuplicates(["vec_id"]).mapInPandas(probe, schema)
+    entries, probed = vectors.mapInPandas(index, schema), asked.mapInPandas(probe, schema)
     size = vectors.select("vec_id", "v").mapInPandas(index, schema).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     entries = entries.join(size, "cell").withColumn("chunk", F.pmod(F.xxhash64("vec_id", "v"), F.col("chunks")).cast("int"))
     probed = probed.join(size, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -208,7 +229,8 @@ def nearest(df: DataFrame, queries: DataFrame, top: int = 20, id_col: str = "vec
                     yield best(part["vec_id"].to_numpy(), stack(part["v"]), ids[0], v[0], top)
 
     dealt = both.repartition(shares, "cell", "chunk").sortWithinPartitions("cell", "chunk", "asks")
-    return ranked(dealt.mapInPandas(search, FOUND), top)
+    found = ranked(dealt.mapInPandas(search, FOUND), top)
+    return complete(found, vectors, asked, top) if k else found
 
 
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

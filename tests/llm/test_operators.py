@@ -185,6 +185,26 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def exact_neighbours(v, q, top):
+    s = v @ v[q]
+    s[q] = -np.inf
+    return np.lexsort((np.arange(len(v)), -s))[:top].tolist()
+
+
+@pytest.mark.parametrize("block", [neighbours.BLOCK, 3])
+def test_neighbours_of_queries_in_sparse_regions(spark, monkeypatch, block):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((6000, 8)) * 0.05 + np.eye(8)[0]
+    v[:8] = [-np.eye(8)[0], *-0.5 * np.eye(8)[1:]]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    out = neighbours.nearest(df, df.filter("vec_id < 8 OR vec_id % 10 = 0")).toPandas().sort_values(["query_id", "rank"])
+    sizes = out.groupby("query_id").size()
+    assert (len(sizes), sizes.min(), sizes.max()) == (607, 20, 20)
+    for q in (3, 7):
+        assert set(out[out.query_id == q].vec_id) == set(exact_neighbours(v, q, 20))
+
+
 def test_pii(spark, docs, odd):
     extra = ["mail a@b.c_d@e.f now", "ip 1.2.3.4.5.6.7.8 999.1.1.1 010.0.0.1", "card 4111 1111 1111 1111 or 4111111111111112", "call +1 (555) 010-9999.", "IBAN GB82 WEST 1234 5698 7654 32", "x" * 50_000, "1." * 20_000, None, ""]
     df = docs.select("text").unionByName(spark.createDataFrame([(t,) for t in extra], "text string"))
