@@ -14,7 +14,7 @@ the data. Each group keeps its best rows by query alone. Queries whose visits fo
 there are more, are searched again exactly, ``BLOCK`` of them at a time against all vectors.
 
 Vectors that are null, zero or hold null or non-finite components, and rows with a null id, take no part. Vectors of
-another length than most are left out too. Rows that repeat an id with another vector are candidates each, of which the
+another length than most are left out too. Rows that repeat an id and its vector count once. Rows that repeat an id with another vector are candidates each, of which the
 best counts; repeated queries are answered once. Ties go to the smaller id. An empty table gives no rows.
 """
 
@@ -111,8 +111,12 @@ def best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, t
     out = []
     order = np.argsort(ids, kind="stable")
     ids, v = ids[order], v[order]
+    first = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1)) if len(ids) else np.zeros(0, np.int64)
+    repeated, ids = len(first) < len(ids), ids[first]
     for at in range(0, len(query_ids), 256):
         scores = q[at : at + 256] @ v.T
+        if repeated:  # before any cut: rows of one id must not take the places of others
+            scores = np.maximum.reduceat(scores, first, axis=1)
         scores[query_ids[at : at + 256, None] == ids[None, :]] = -np.inf
         for own, s in zip(query_ids[at : at + 256], scores, strict=True):
             if len(s) > 4 * top:
@@ -122,8 +126,7 @@ def best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, t
             else:
                 near = np.arange(len(s))
             near = near[s[near] > -np.inf]
-            near = near[np.lexsort((ids[near], -s[near]))]
-            near = near[np.sort(np.unique(ids[near], return_index=True)[1])][:top] if len(near) else near
+            near = near[np.lexsort((ids[near], -s[near]))][:top]
             out.append(pd.DataFrame({"query_id": own, "vec_id": ids[near], "score": s[near]}))
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
@@ -187,7 +190,7 @@ def plan_visits(vectors: DataFrame, queries: DataFrame, n: int, dim: int, top_no
 
 def nearest(df: DataFrame, queries: DataFrame, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``top`` rows of ``df`` with the largest inner products by query."""
-    vectors = cut(valid_vectors(df, id_col, vector_col), "vectors")
+    vectors = cut(valid_vectors(df, id_col, vector_col).distinct(), "vectors")
     asked = cut(valid_vectors(queries, id_col, vector_col), "queries")
     common = vectors.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim = common[0].dim if common else 1

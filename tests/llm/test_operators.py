@@ -205,6 +205,19 @@ def test_neighbours_of_queries_in_sparse_regions(spark, monkeypatch, block):
         assert set(out[out.query_id == q].vec_id) == set(exact_neighbours(v, q, 20))
 
 
+def test_neighbours_of_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((501, 8))
+    q = v[500]
+    ids, rows = np.r_[np.full(1000, 7), np.arange(100, 600)], np.r_[q * 2 + rng.standard_normal((1000, 8)) * 0.01, v[:500]]
+    near = neighbours.best(np.asarray([1]), q[None], ids, rows, 20)
+    assert near.vec_id.tolist() == [7, *(100 + np.argsort(-(v[:500] @ q))[:19])]
+    assert np.isclose(near.score[0], (rows[:1000] @ q).max())
+    df = spark.createDataFrame([(7, (q * 2).tolist())] * 5000 + [(int(i), r.tolist()) for i, r in zip(ids, rows)] + [(1, q.tolist())], "vec_id long, embedding array<double>")
+    out = neighbours.nearest(df, df.filter("vec_id = 1")).orderBy("rank").toPandas()
+    assert out.vec_id.tolist() == near.vec_id.tolist()
+
+
 def test_pii(spark, docs, odd):
     extra = ["mail a@b.c_d@e.f now", "ip 1.2.3.4.5.6.7.8 999.1.1.1 010.0.0.1", "card 4111 1111 1111 1111 or 4111111111111112", "call +1 (555) 010-9999.", "IBAN GB82 WEST 1234 5698 7654 32", "x" * 50_000, "1." * 20_000, None, ""]
     df = docs.select("text").unionByName(spark.createDataFrame([(t,) for t in extra], "text string"))
