@@ -71,17 +71,17 @@ def confirmed(kind: str, value: Column) -> Column:
 
 
 def spans_of(kind: str, text: Column) -> Column:
-    """array<struct<start, end, kind, value, score>> of the confirmed matches of one kind."""
+    """array<struct<start, rank, end, kind, value, score>> of the confirmed matches of one kind."""
     found = F.regexp_extract_all(text, F.lit(FAST[kind]), F.lit(0))
     gaps = F.transform(F.split(text, FAST[kind], -1), lambda g: F.struct(F.length(g).alias("n"), F.lower(F.right(g, F.lit(REACH))).alias("before")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,value:string,score:double>>").alias("out"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string,score:double>>").alias("out"))
     rank = list(FAST).index(kind)
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + pair["gap"]["n"]
         end = start + F.length(pair["value"])
         score = F.lit(SCORE[kind]) + F.when(pair["gap"]["before"].rlike(rf"\b(?:{CONTEXT[kind]})"), BONUS).otherwise(0.0)
-        row = F.struct(start.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), pair["value"].alias("value"), F.round(score, 2).alias("score"))
+        row = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), pair["value"].alias("value"), F.round(score, 2).alias("score"))
         return F.struct(end.alias("at"), F.when(confirmed(kind, pair["value"]), F.array_append(acc["out"], row)).otherwise(acc["out"]).alias("out"))
 
     pairs = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("value")))

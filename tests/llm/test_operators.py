@@ -230,6 +230,13 @@ def test_pii(spark, docs, odd):
     assert (clash.count(), clash.columns) == (len(ODD), ["doc_id", "text", "lang", "source", "n_chars", "_email", "_pii"])
 
 
+def test_pii_of_one_start_by_kind(spark):
+    df = spark.createDataFrame([("1.2.3.4@host.com",), ("4111111111111111@x.com",)], "text string")
+    for r in pii.find_pii(df).collect():
+        assert [f"{s.kind}:{s.start}:{s.end}" for s in r._pii] == pii.brute_force(r.text)["spans"]
+    assert [r.text for r in pii.redact(df).collect()] == ["<email>", "<email>"]
+
+
 def test_mixing(spark, docs, odd):
     cells = spark.createDataFrame([("a", "x", "t", 100.0), ("a", "y", "t", 50.0), ("b", "x", "u", 30.0), ("b", "y", "t", 20.0)], "source string, lang string, topic string, tokens double")
     share = spark.createDataFrame([("source", "a", 0.5), ("source", "b", 0.5), ("lang", "x", 0.5), ("lang", "y", 0.5), ("topic", "t", 0.75), ("topic", "u", 0.25)], "dimension string, value string, share double")
