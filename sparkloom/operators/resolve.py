@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,15 +70,15 @@ def export_hop(requests: DataFrame, exports: DataFrame, re_exports: DataFrame) -
     return q.withColumns({"outcome": outcome, "next_file": F.when(by_name, F.col("to.target_file")).otherwise(F.col("star_file")), "next_name": F.when(by_name, F.col("to.inner")).otherwise(F.col("name")), "certain": by_name | F.col("symbol_id").isNotNull()}).drop("n_named", "n_star", "star_file", "to")
 
 
-def export_chain(requests: DataFrame, exports: DataFrame, re_exports: DataFrame, hops: int = 32) -> DataFrame:
+def export_chain(requests: DataFrame, exports: DataFrame, re_exports: DataFrame) -> DataFrame:
     """Follow re-exports for ``requests(request_id, file_id, name)``: ``request_id, outcome, symbol_id, resolution``.
 
     Several stars are probed all; one provider binds, several are ambiguous. A visited ``(file, name)`` of a request
-    is not entered again, so cycles end unresolved.
+    is not entered again, so cycles end unresolved, and the loop ends whatever the length of a chain.
     """
     at = requests.select("request_id", "file_id", "name", F.lit(True).alias("det"), F.lit(False).alias("branched"))
     seen, done = cut(at.select("request_id", "file_id", "name"), "seen"), None
-    for _ in range(hops):
+    for n in itertools.count(1):
         hop = cut(export_hop(at, exports, re_exports), "hop")
         bound = hop.filter("outcome = 'bound' OR outcome = 'ambiguous'").select("request_id", "symbol_id", "outcome", "det", "branched")
         done = bound if done is None else done.unionByName(bound)
@@ -87,6 +89,8 @@ def export_chain(requests: DataFrame, exports: DataFrame, re_exports: DataFrame,
         if at.isEmpty():
             break
         seen = seen.unionByName(at.select("request_id", "file_id", "name"))
+        if n % 16 == 0:  # keeps the plans of long chains short
+            seen, done = cut(seen, "seen"), cut(done, "done")
     ends = done.groupBy("request_id").agg(F.countDistinct("symbol_id").alias("k"), F.min("symbol_id").alias("symbol_id"), F.max(F.col("outcome") == "ambiguous").alias("amb"), F.max("det").alias("det"))
     out = requests.select("request_id").join(ends, "request_id", "left")
     outcome = F.when(F.coalesce("amb", F.lit(False)) | (F.col("k") > 1), "ambiguous").when(F.col("k") == 1, "bound").otherwise("unresolved")

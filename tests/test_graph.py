@@ -93,6 +93,14 @@ def test_export_chains(spark):
     assert out == {1: ("bound", "sx", "deterministic"), 2: ("bound", "sx", "inferred"), 3: ("ambiguous", None, None), 4: ("bound", "sz", "deterministic"), 5: ("unresolved", None, None)}
 
 
+def test_export_chain_of_forty_barrels(spark):
+    exports = spark.createDataFrame([("b40", "x", "sx")], "file_id string, exported_name string, symbol_id string")
+    re = spark.createDataFrame([(f"b{i}", "named", "x", "x", f"b{i + 1}") for i in range(40)], "file_id string, kind string, exported_as string, name string, target_file string")
+    asked = spark.createDataFrame([(1, "b0", "x"), (2, "b0", "y")], "request_id int, file_id string, name string")
+    out = {r.request_id: (r.outcome, r.symbol_id, r.resolution) for r in resolve.export_chain(asked, exports, re).collect()}
+    assert out == {1: ("bound", "sx", "deterministic"), 2: ("unresolved", None, None)}
+
+
 def test_bindings_of_imports_and_calls(spark):
     state = [("s1", "a", "./m", "internal", "m"), ("s2", "a", "./n", "internal", "n"), ("s3", "a", "./gone", "unresolved", None), ("s4", "a", "./m2", "ambiguous", None), ("s5", "a", "x", "external", None)]
     statements = spark.createDataFrame([("p", *r) for r in state], "project_id string, statement_id string, file_id string, specifier string, status string, module_id string")
