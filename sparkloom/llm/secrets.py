@@ -2,17 +2,21 @@
 
 The automata come from state merging (ALERGIA): credentials of one kind form a prefix tree whose states are merged,
 in red-blue order, while Hoeffding's bound finds their symbol and end frequencies compatible. A second automaton is
-inferred from ordinary long runs. Every run of credential characters that no pattern covers is a candidate; its score
-is the log-likelihood ratio a character of the best kind's automaton against the ordinary one, and it becomes a span
-``like_<kind>`` where the score passes the level that ``HIT`` of the labelled credentials reach.
-
-The automata are fitted on a bounded sample: at most ``SAMPLE_DOCS`` documents in expectation and ``SAMPLE`` strings
-of a kind, both chosen by hash; kinds with fewer than ``LEAST`` get none. All documents are scanned whole. Null and
-empty texts have no spans. Repeated rows are scanned on their own. Other columns are kept. Positions are code points.
+inferred from ordinary long runs. Every run of 12 or more credential characters is a candidate, unless fixed patterns
+cover it from end to end; one that they cover in part is scored whole. The score is the log-likelihood ratio a
+character of the best kind's automaton against the ordinary one, and the run becomes a span ``like_<kind>`` where it
+passes the level that ``HIT`` of the labelled credentials reach.
+
+The automata are fitted on the ``SAMPLE`` strings of a kind (and ordinary runs that no pattern touches) that have the
+smallest hashes in all documents; kinds with fewer than ``LEAST`` in the corpus get none. All documents are scanned
+whole. Null and empty texts have no spans. Repeated rows are scanned on their own. Other columns are kept. Positions
+are code points.
 """
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import math
 import re
 from collections import defaultdict
@@ -34,9 +38,9 @@ KINDS = (
 #: The same matches, found faster where a kind's failing matches cannot hide others.
 SEARCH = {"access": re.compile(r"AKIA[A-Z0-9]{14,}"), "hex": re.compile(r"[0-9a-f]{16,}")}
 NAMES = ("passw", "secret", "token", "api")
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 SYMBOLS = 66
-SAMPLE_DOCS, SAMPLE, LEAST, HIT, ALPHA = 20_000, 400, 20, 0.95, 0.05
+SAMPLE, LEAST, HIT, ALPHA = 400, 20, 0.95, 0.05
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -145,32 +149,52 @@ def likelihood(table: list, text: str) -> float:
     return total + table[at][2]
 
 
-def runs(text: str, base: list[tuple]) -> Iterator[tuple[int, int, str]]:
-    """Candidates: runs of credential characters that no base span touches."""
-    taken = sorted((s, e) for s, _, e, _ in base)
+def runs(text: str, base: list[tuple]) -> Iterator[tuple[int, int, str, bool]]:
+    """Candidates: whole runs of credential characters but those that base spans cover from end to end, and whether no
+    base span touches them."""
+    taken = []
+    for s, e in sorted((s, e) for s, _, e, _ in base):
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
     k = 0
     for m in RUN.finditer(text):
         while k < len(taken) and taken[k][1] <= m.start():
             k += 1
-        if k == len(taken) or taken[k][0] >= m.end():
-            yield m.start(), m.end(), m[0]
+        free = k == len(taken) or taken[k][0] >= m.end()
+        if free or taken[k][0] > m.start() or taken[k][1] < m.end():
+            yield m.start(), m.end(), m[0], free
+
+
+def least(values: set[str]) -> set[str]:
+    """The ``SAMPLE`` strings with the smallest hashes."""
+    return set(heapq.nsmallest(SAMPLE, values, key=lambda v: (digest(v), v)))
+
+
+def digest(value: str) -> int:
+    return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1
 
 
 def labelled(docs: DataFrame, text_col: str) -> DataFrame:
-    """(kind, value) of base spans and of ordinary runs in a bounded sample of documents."""
-    n = docs.count()
-    share = min(1.0, SAMPLE_DOCS / max(n, 1))
-    chosen = F.pmod(F.xxhash64(F.col(text_col), F.lit(7)), F.lit(1_000_003)) < int(share * 1_000_003)
+    """(kind, value, hash) of base spans and of runs that none touches, in all documents; each task keeps the
+    ``SAMPLE`` smallest hashes of a kind, among which are those of all tasks together."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = defaultdict(set)
         for batch in batches:
-            rows = set()
             for text in batch["text"]:
                 base = base_spans(text)
-                rows |= {(KINDS[r][0], v[:256]) for _, r, _, v in base} | {("ordinary", v[:256]) for *_, v in runs(text, base)}
-            yield pd.DataFrame(sorted(rows), columns=["kind", "value"])
+                for _, r, _, v in base:
+                    held[KINDS[r][0]].add(v[:256])
+                held["ordinary"].update(v[:256] for *_, v, free in runs(text, base) if free)
+                for kind, values in held.items():
+                    if len(values) > 8 * SAMPLE:
+                        held[kind] = least(values)
+        rows = [(kind, v, digest(v)) for kind, values in sorted(held.items()) for v in sorted(least(values))]
+        yield pd.DataFrame(rows, columns=["kind", "value", "hash"])
 
-    return docs.filter(chosen & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text")).mapInPandas(scan, "kind string, value string")
+    return docs.filter(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text")).mapInPandas(scan, "kind string, value string, hash long")
 
 
 def infer_automata(docs: DataFrame, text_col: str = "text") -> dict[str, tuple[list, float]]:
@@ -178,7 +202,7 @@ def infer_automata(docs: DataFrame, text_col: str = "text") -> dict[str, tuple[l
     found = cut(labelled(docs, text_col), "credentials").distinct()
     samples = {}
     for kind in (*(k[0] for k in KINDS), "ordinary"):
-        rows = found.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(SAMPLE).collect()
+        rows = found.filter(F.col("kind") == kind).orderBy("hash", "value").limit(SAMPLE).collect()
         samples[kind] = [r.value for r in rows]
     ordinary = Automaton(samples.pop("ordinary")).infer().table()
     out = {"ordinary": (ordinary, 0.0)}
@@ -202,7 +226,7 @@ def find_secrets(docs: DataFrame, automata: dict | None = None, text_col: str =
             text = text or ""
             base = base_spans(text)
             spans = [(s, r, e, 0.0) for s, r, e, _ in base]
-            for s, e, value in runs(text, base) if len(automata) > 1 else ():
+            for s, e, value, _ in runs(text, base) if len(automata) > 1 else ():
                 against = likelihood(ordinary, value)
                 best = max(((likelihood(automata[k][0], value) - against) / len(value), -i, k) for i, k in enumerate(kinds) if k in automata)
                 if best[0] >= automata[best[2]][1]:

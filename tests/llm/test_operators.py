@@ -167,6 +167,26 @@ def test_secrets(spark, docs, odd):
     assert min(map(score, keys[100:])) > max(map(score, words))
 
 
+def test_secrets_of_rare_kinds_get_an_automaton(spark):
+    rare = "CASE WHEN id % 2500 = 0 THEN concat('key AKIA', upper(md5(CAST(id AS STRING)))) ELSE concat('wort ', id) END AS text"
+    automata = secrets.infer_automata(spark.range(60_000).selectExpr("id AS doc_id", rare))
+    assert "access" in automata
+
+
+def test_secrets_sample_does_not_depend_on_tasks(spark, docs):
+    few, many = (secrets.infer_automata(docs.repartition(n)) for n in (1, 7))
+    assert few == many
+
+
+def test_secrets_candidates(spark):
+    enclosing = "sk-0123456789abcdefXYZ"
+    texts = ["a deadbeef0123 b", f"a {enclosing} b", "a password=abcdefghijkl b", "a shortbare12 b"]
+    table = secrets.Automaton(["deadbeef0123"] * 20).infer().table()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secrets.find_secrets(df, {"ordinary": (table, 0.0), "hex": (table, -1e9)}).orderBy("doc_id").collect()
+    assert [[(s.kind, s.start, s.end) for s in r._spans] for r in found] == [[("like_hex", 2, 14)], [("like_hex", 2, 24), ("hex", 5, 21)], [("assign", 2, 23)], []]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     v = rng.standard_normal((3000, 16))
