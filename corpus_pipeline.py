@@ -49,7 +49,7 @@ STAGES = [
     ("token_files", token_files),
 ]
 
-#: Classifiers, tokenizers and probabilistic joins have no SQL; the tests hold each stage against brute force.
+#: Classifiers, tokenizers and probabilistic joins have no SQL. Tests hold operators, not yet the pipeline's rows, against brute force.
 ORACLE_SQL = None
 
 
