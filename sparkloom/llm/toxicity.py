@@ -5,8 +5,9 @@ symbol-laden and repetitive it is, each in tenths. The features that tell a cate
 chi-squared enter linear models. A later model is trained with out-of-fold probabilities of the earlier ones, so
 that what it sees in training looks like what it gets in use.
 
-Training takes at most ``SAMPLE`` labelled documents in expectation, chosen by a hash of the id. All documents are
-scored, whole. Null and empty texts have no words and get the models' intercepts. Labels that are null don't count; of
+Training takes at most ``SAMPLE`` labelled documents a category in expectation, chosen by a hash of the id. All documents are
+scored, whole. Null and empty texts have no words and get the models' intercepts. Labels that are null don't
+count, other labels of the document do; of
 several labels of a document the largest holds. A category without two classes in the labels gets the share of its
 positive labels (0 without labels) as its probability everywhere. Repeated rows score alike. Other columns are kept.
 """
@@ -17,11 +18,12 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import WORD, add_columns, cut
@@ -68,16 +70,18 @@ def squash(odds: float) -> float:
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str]) -> DataFrame:
     """``doc_id, found`` and a 0/1 column per category, of a bounded sample of labelled documents."""
-    known = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*(F.max(F.col(c).cast("int")).alias(c) for c in categories)).dropna()
-    n = known.count()
-    share = int(min(1.0, SAMPLE / max(n, 1)) * 1_000_003)
-    known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_003)) < share)
+    known = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*(F.max(F.col(c).cast("int")).alias(c) for c in categories)).dropna("all", subset=categories)
+    given = known.agg(*(F.count(c) for c in categories)).first()
+    share = [int(min(1.0, SAMPLE / max(n, 1)) * 1_000_003) for n in given]
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_003))
+    known = known.filter(reduce(Column.__or__, (F.col(c).isNotNull() & (drawn < k) for c, k in zip(categories, share, strict=True))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(found=[sorted(features_of(t)) for t in batch["text"]]).drop(columns="text")
+            whole = {c: batch[c].astype("Int32") for c in categories}
+            yield batch.assign(found=[sorted(features_of(t)) for t in batch["text"]], **whole).drop(columns="text")
 
-    # At most SAMPLE ids in expectation: their size is bounded, whatever the corpus.
+    # At most SAMPLE ids a category in expectation: their size is bounded, whatever the corpus.
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, {', '.join(f'{c} int' for c in categories)}"
     return cut(rows.select("doc_id", "text", *categories).mapInPandas(run, schema.replace(" text string,", "") + ", found array<string>"), "toxicity-sample")
@@ -130,17 +134,18 @@ def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, rounds: i
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str]) -> Chain:
     """Spark draws the sample and picks features over it; the models are fitted on the driver, which gets no more than
-    the chosen features of ``SAMPLE`` documents."""
+    the chosen features of ``SAMPLE`` documents a category."""
     rows = training_rows(docs, labels, categories)
-    n, *sums = rows.agg(F.count(F.lit(1)), *(F.sum(c) for c in categories)).first()
-    two = [0 < (s or 0) < n for s in sums]
-    words = sorted(set().union(*(choose_features(rows, c, n, s) for c, s, ok in zip(categories, sums, two, strict=True) if ok)))
+    n, *found = rows.agg(F.count(F.lit(1)), *(F.sum(c) for c in categories), *(F.count(c) for c in categories)).first()
+    sums, given = found[: len(categories)], found[len(categories) :]
+    two = [0 < (s or 0) < m for s, m in zip(sums, given, strict=True)]
+    words = sorted(set().union(*(choose_features(rows.filter(F.col(c).isNotNull()), c, m, s) for c, s, m, ok in zip(categories, sums, given, two, strict=True) if ok)))
     place = {w: k for k, w in enumerate(words)}
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             packed = [np.asarray([place[w] for w in f if w in place], np.int32).tobytes() for f in batch["found"]]
-            yield batch.drop(columns="found").assign(f=packed)
+            yield batch.drop(columns="found").assign(f=packed, **{c: batch[c].astype("Int32") for c in categories})
 
     kept = rows.select(F.xxhash64("doc_id").alias("h"), "found", *categories)
     data = kept.mapInPandas(pack, f"h long, {', '.join(f'{c} int' for c in categories)}, f binary").orderBy("h").toPandas()
@@ -150,15 +155,18 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str]) -> Chai
     fold = np.arange(n) % FOLDS
     chain = Chain(categories)
     for k, c in enumerate(categories):
-        y = data[c].to_numpy(np.float64)
+        y = data[c].astype("float64").to_numpy()
+        has = ~np.isnan(y)
         if two[k]:
-            w = fit_linear(x[:, : len(words) + k], y)
+            mine = slice(None) if has.all() else has  # no copy where every row has the label
+            w = fit_linear(x[mine, : len(words) + k], y[mine])
             held = np.zeros(n)
             for f in range(FOLDS if k + 1 < len(categories) else 0):  # out-of-fold log-odds for the models that follow
-                part = fit_linear(x[fold != f, : len(words) + k], y[fold != f])
+                train = (fold != f) & has
+                part = fit_linear(x[train, : len(words) + k], y[train])
                 held[fold == f] = x[fold == f, : len(words) + k] @ part[:-1] + part[-1]
         else:
-            share = (sums[k] or 0) / n if n else 0.0
+            share = (sums[k] or 0) / given[k] if given[k] else 0.0
             w = np.r_[np.zeros(len(words) + k), math.log(max(share, 1e-12) / max(1 - share, 1e-12))]
             held = np.full(n, w[-1])
         chain.weights.append({word: float(v) for word, v in zip(words, w, strict=False) if v})

@@ -143,6 +143,14 @@ def test_toxicity_without_labels(spark, odd):
     assert out.filter("_p_toxic >= 0.5").count() == 0
 
 
+@pytest.mark.parametrize("missing", ["TRUE", "toxic = 1"])
+def test_toxicity_with_one_null_column(spark, missing):
+    docs = spark.createDataFrame([(i, f"{'nasty' if i % 3 == 0 else 'kind'} words {i}") for i in range(300)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 3 = 0 AS INT) AS toxic").selectExpr("doc_id", "toxic", f"IF({missing}, NULL, CAST(doc_id % 2 AS INT)) AS quality")
+    out = toxicity.toxicity(docs, docs, labels).toPandas()
+    assert ((out._p_toxic >= 0.5) == (out.doc_id % 3 == 0)).all()
+
+
 def test_decontamination(spark, docs, odd):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     odd_bench = spark.createDataFrame([(1, "A b c"), (2, None), (3, "wort " * 12), (None, "d e")], "item_id long, text string")
