@@ -19,10 +19,13 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where that setting is missing (a local session), a temporary folder takes its place and is set.
+    Where a local session lacks that setting, a temporary folder takes its place and is set. On a cluster no folder of
+    one machine would do, so its absence raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.conf.get("spark.master", "local").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -44,6 +47,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def chunks(sizes: list[int], most: int = 1 << 17) -> Iterator[slice]:
+    """Consecutive texts that come to ``most`` characters; a longer text is a chunk of its own."""
+    first = held = 0
+    for i, n in enumerate(sizes):
+        if i > first and held + n > most:
+            yield slice(first, i)
+            first, held = i, 0
+        held += n
+    if first < len(sizes):
+        yield slice(first, len(sizes))
+
+
 def add_columns(df: DataFrame, text_col: str, ddl: dict[str, tuple[str, pa.DataType]], compute: Callable[[list[str | None]], dict[str, list]]) -> DataFrame:
     """``df`` with columns that ``compute`` makes of a batch of texts; all other columns pass through untouched.
 

@@ -1,7 +1,8 @@
 """Token counts by field: whole documents are encoded once, and tokens fall to the fields that hold them.
 
-The fields of a row are joined by line ends into one text. Tokens come with their character spans, which are
-interval-joined to the fields' spans (a line end belongs to the field before it). A token that crosses a boundary goes
+The fields of a row are joined by line ends into one text. Tokens come with a map of their character spans, which is
+interval-joined to the fields' spans (a line end belongs to the field before it): each field boundary is looked up in
+the map, and a field's tokens are those between its boundaries. A token that crosses a boundary goes
 to one field by rule: ``first`` (the field of its first character), ``last`` or ``most`` (the field with most of its
 characters, the earlier one on a tie). Counts of a row's fields always add up to the tokens of its text.
 
@@ -12,6 +13,7 @@ counted on their own. Other columns are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import os
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,57 +21,70 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RULES = ("first", "last", "most")
+from sparkloom.llm.common import chunks
 
+RULES = ("first", "last", "most")
 
-class SpanEncoder:
-    """Character spans of all tokens of whole texts, about a megabyte of text at a time."""
 
-    CHUNK = 1 << 20
+def encoder(path: str):
+    """The vocabulary's tokenizer, with offsets that keep white space; one a worker, which outlives the task."""
+    from tokenizers import Tokenizer, processors
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer, processors
+    if path not in _encoders:
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)
+        tokenizer.encode_special_tokens = True
+        _encoders[path] = tokenizer
+    return _encoders[path]
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)
-        self.tokenizer.encode_special_tokens = True
 
-    def chunks(self, sizes: list[int]) -> Iterator[slice]:
-        """Consecutive texts that come to ``CHUNK`` characters; a longer text is a chunk of its own."""
-        first = held = 0
-        for i, n in enumerate(sizes):
-            if i > first and held + n > self.CHUNK:
-                yield slice(first, i)
-                first, held = i, 0
-            held += n
-        if first < len(sizes):
-            yield slice(first, len(sizes))
+_encoders: dict = {}
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(start, end) of all tokens, counted from each text's own start, and the number of tokens of each text."""
-        got = [np.asarray(e.offsets, np.int64).reshape(-1, 2) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        return np.concatenate(got), np.asarray([len(g) for g in got], np.int64)
 
+def boundary(encoding, at: int, length: int) -> tuple[int, tuple[int, int] | None]:
+    """How many tokens end at or before character ``at``, and the span of the one that crosses it, if any does.
 
-_encoders: dict[str, SpanEncoder] = {}
+    Looks the character up in the offset map; characters that no token holds are stepped over.
+    """
+    token = None
+    for k in range(at, length):
+        if (token := encoding.char_to_token(k)) is not None:
+            break
+    if token is None:
+        return len(encoding), None
+    span = encoding.token_to_chars(token)
+    return token, span if span[0] < at else None
 
 
-def allocate(spans: np.ndarray, starts: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
-    """The section of each token, and whether it crosses a boundary. ``starts``: sorted section starts, from 0."""
-    first = np.searchsorted(starts, spans[:, 0], "right") - 1
-    last = np.searchsorted(starts, np.maximum(spans[:, 1] - 1, spans[:, 0]), "right") - 1
-    crossing = first != last
-    if rule == "first" or not crossing.any():
-        return first, crossing
+def choose(span: tuple[int, int], starts: list[int], rule: str) -> int:
+    """The section that gets a token which crosses a boundary. ``starts``: ascending section starts, from 0."""
+    first, last = bisect_right(starts, span[0]) - 1, bisect_right(starts, span[1] - 1) - 1
+    if rule == "first":
+        return first
     if rule == "last":
-        return last, crossing
-    out = first.copy()
-    edges = np.r_[starts, np.iinfo(np.int64).max]
-    for k in np.flatnonzero(crossing):
-        own = np.arange(first[k], last[k] + 1)
-        share = np.minimum(edges[own + 1], spans[k, 1]) - np.maximum(edges[own], spans[k, 0])
-        out[k] = own[np.argmax(share)]
-    return out, crossing
+        return last
+    ends = [*starts[1:], span[1]]
+    return max(range(first, last + 1), key=lambda k: (min(ends[k], span[1]) - max(starts[k], span[0]), -k))
+
+
+def attribute(encoding, starts: list[int], length: int, rule: str) -> tuple[list[int], list[int]]:
+    """Tokens of each section, and how many of these cross a boundary.
+
+    What lies between two neighbouring boundaries is the difference of their token indexes; only crossing tokens are
+    looked at one by one. Of tokens that share a character (bytes of one letter) all belong to its section.
+    """
+    counts, crossed = [0] * len(starts), [0] * len(starts)
+    begin, seen = 0, -1
+    for k in range(len(starts)):
+        token, span = (len(encoding), None) if k + 1 == len(starts) else boundary(encoding, starts[k + 1], length)
+        counts[k] += max(0, token - begin)
+        begin = token + (span is not None)
+        if span is not None and token != seen:
+            seen = token
+            to = choose(span, starts, rule)
+            counts[to] += 1
+            crossed[to] += 1
+    return counts, crossed
 
 
 def count_tokens(docs: DataFrame, fields: list[str], vocabulary: str, id_col: str = "doc_id", rule: str = "first") -> DataFrame:
@@ -80,19 +95,16 @@ def count_tokens(docs: DataFrame, fields: list[str], vocabulary: str, id_col: st
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = _encoders.get(vocabulary) or _encoders.setdefault(vocabulary, SpanEncoder(vocabulary))
+        encode = encoder(vocabulary).encode_batch
         k = len(fields)
         for batch in batches:
             lengths = np.asarray([batch[n].str.len().to_numpy(np.int64) for n in names]).T
-            for part in encode.chunks((lengths.sum(axis=1) + k).tolist()):
+            starts = np.c_[np.zeros(len(batch), np.int64), np.cumsum(lengths + 1, axis=1)[:, :-1]]
+            for part in chunks((lengths.sum(axis=1) + k).tolist()):
                 texts = ["\n".join(row) for row in zip(*(batch[n].iloc[part] for n in names), strict=True)]
-                lens = lengths[part]
-                spans, n_spans = encode(texts)
-                # All texts of a chunk lie on one line, each field with one place for the line end after it.
-                starts = np.cumsum(np.r_[0, (lens + 1).ravel()])[:-1]
-                where, crossing = allocate(spans + np.repeat(starts[::k], n_spans)[:, None], starts, rule)
-                counts, crossed = np.bincount(where, minlength=lens.size), np.bincount(where[crossing], minlength=lens.size)
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].repeat(k).to_numpy(), "field": fields * len(texts), "n_chars": lens.ravel(), "n_tokens": counts, "n_crossing": crossed})
+                got = [attribute(e, s, len(t), rule) for e, s, t in zip(encode(texts, add_special_tokens=False), starts[part].tolist(), texts, strict=True)]
+                counts, crossed = np.asarray([g[0] for g in got]).ravel(), np.asarray([g[1] for g in got]).ravel()
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].repeat(k).to_numpy(), "field": fields * len(texts), "n_chars": lengths[part].ravel(), "n_tokens": counts, "n_crossing": crossed})
 
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in zip(fields, names, strict=True)))
     out = rows.mapInPandas(run, "doc_id string, field string, n_chars long, n_tokens long, n_crossing long")

@@ -70,15 +70,17 @@ def test_large_bucket_is_searched_in_blocks(spark):
     assert set(out.class_id) == {0}
 
 
-def test_token_files(spark, docs, odd):
+@pytest.mark.parametrize("vocabulary", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_files(spark, docs, odd, vocabulary):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    path = public_tokenizers.path("word_bpe_49k.json")
+    path = public_tokenizers.path(vocabulary)
     tk = Tokenizer.from_file(path)
-    extra = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(["a<|ENDOFTEXT|>b <|endoftext|>", "It's, U.S.A. 3.14, 'tis\t\x1cx y", "É. ﬁ, Σ."])], "doc_id long, text string")
-    for df in (docs.select("doc_id", "text"), odd.select("doc_id", "text"), extra, extra.limit(0)):
-        rows = sorted(df.collect(), key=lambda r: (-1 if r.doc_id is None else r.doc_id))
+    texts = ["a<|ENDOFTEXT|>b <|endoftext|>", "It's, U.S.A. 3.14, 'tis\t\x1cx y", "\u00c9. \ufb01, \u03a3.", "long words  " * 100_000, None]
+    extra = spark.createDataFrame([*((10**6 + i, t) for i, t in enumerate(texts)), (-1, "minus one"), (-2, "minus two"), (-(2**63), "least"), (2**63 - 1, "most"), (None, "none")], "doc_id long, text string")
+    for df in (docs.select("doc_id", "text"), odd, extra, extra.limit(0)):
+        rows = sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
         got = sorted(token_files.token_digest(df, path).collect(), key=lambda r: r.start)
         start = 0
         assert len(rows) == len(got)
@@ -88,6 +90,28 @@ def test_token_files(spark, docs, odd):
             start += len(ids)
 
 
+def test_token_files_of_one_id(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    df = spark.range(4000).selectExpr("IF(id % 3 = 0, 7L, NULL) AS doc_id", "concat('text ', id % 50) AS text")
+    one, two = ([tuple(r) for r in token_files.token_digest(d, path).orderBy("start").collect()] for d in (df, df.orderBy("text").repartition(5)))
+    assert one == two and [r[0] for r in one] == [None] * 2666 + [7] * 1334
+
+
+def test_damaged_token_files_raise(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    folder = token_files.scratch(spark, "damaged")
+    manifest = token_files.write_token_files(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), folder, path)
+    name = manifest.filter("n_docs > 0").first().file
+    with open(f"{token_files.posix(folder)}/{name}.bin", "ab") as f:
+        f.write(b"xx")
+    with pytest.raises(Exception, match="lengths differ"):
+        token_files.read_token_files(manifest, folder, "<u2").collect()
+
+
 def test_warc_round_trip(spark):
     big = "x" * 1500
     rows = [(1, "http://a/ b", big), (2, None, big), (3, "u\r\nX: y", None), (3, "u", "small"), (None, "n", big), (4, "v", "small")]
@@ -114,16 +138,47 @@ def test_token_counts(spark, docs, odd):
             out = token_counts.count_tokens(df, ["source", "lang", "text"], path, rule=rule).groupBy("doc_id").sum("n_tokens").collect()
             want = {r.doc_id: len(tk.encode("\n".join(x or "" for x in (r.source, r.lang, r.text)), add_special_tokens=False).ids) for r in df.collect()}
             assert {r[0]: r[1] for r in out} == want
-    pair = spark.createDataFrame([(1, "a b", "", "a b\n\n c"), (2, None, "\u00e9", None)], "doc_id long, source string, lang string, text string")
-    out = token_counts.count_tokens(pair, ["source", "lang", "text"], path).collect()
-    want = []
-    for r in pair.collect():
-        starts = [0, len(r.source or "") + 1, len(r.source or "") + len(r.lang or "") + 2]
-        begins = [s for s, _ in token_counts.SpanEncoder(path)(["\n".join(x or "" for x in r[1:])])[0]]
-        want += [(r.doc_id, f, sum(a <= s < b for s in begins)) for f, a, b in zip(("source", "lang", "text"), starts, [*starts[1:], 10**9], strict=True)]
-    assert [(r.doc_id, r.field, r.n_tokens) for r in out] == want
-    spans = np.asarray([[0, 2], [2, 6], [6, 7]])
-    assert [token_counts.allocate(spans, np.asarray([0, 3]), r)[0].tolist() for r in token_counts.RULES] == [[0, 0, 1], [0, 1, 1], [0, 1, 1]]
+
+
+def interval_join(offsets, starts, rule):
+    """Tokens and crossing tokens by section, from all spans one by one."""
+    ends, counts, crossed = [*starts[1:], 10**9], [0] * len(starts), [0] * len(starts)
+    for s, e in offsets:
+        own = [i for i in range(len(starts)) if starts[i] < max(e, s + 1) and ends[i] > s]
+        to = {"first": own[0], "last": own[-1], "most": max(own, key=lambda i: (min(ends[i], e) - max(starts[i], s), -i))}[rule]
+        counts[to] += 1
+        crossed[to] += len(own) > 1
+    return counts, crossed
+
+
+@pytest.mark.parametrize("vocabulary", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_token_attribution_is_an_interval_join(spark, docs, vocabulary):
+    import random
+
+    import public_tokenizers
+
+    path = public_tokenizers.path(vocabulary)
+    tk, rng = token_counts.encoder(path), random.Random(1)
+    parts = ["a", "b ", " ", "\n", "\n\n", "\u00e9", "\u6f22", "\U0001f600", "1", "'s", "the ", ".", " \t"]
+    made = [["".join(rng.choice(parts) for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(1, 5))] for _ in range(1500)]
+    real = [[x or "" for x in (r.source, r.lang, " " + (r.text or ""))] for r in docs.collect()]
+    crossing = 0
+    for fields in made + real:
+        text = "\n".join(fields)
+        starts = np.cumsum([0] + [len(f) + 1 for f in fields[:-1]]).tolist()
+        e = tk.encode(text, add_special_tokens=False)
+        for rule in token_counts.RULES:
+            got = token_counts.attribute(e, starts, len(text), rule)
+            assert got == interval_join(e.offsets, starts, rule)
+            crossing += sum(got[1])
+    assert crossing or "word" in vocabulary
+    frame = spark.createDataFrame([(i, *f) for i, f in enumerate(real)], "doc_id long, source string, lang string, text string")
+    for rule in token_counts.RULES:
+        out = {(r.doc_id, r.field): (r.n_tokens, r.n_crossing) for r in token_counts.count_tokens(frame, ["source", "lang", "text"], path, rule=rule).collect()}
+        for i, f in enumerate(real):
+            starts = [0, len(f[0]) + 1, len(f[0]) + len(f[1]) + 2]
+            want = interval_join(tk.encode("\n".join(f), add_special_tokens=False).offsets, starts, rule)
+            assert [out[i, n] for n in ("source", "lang", "text")] == list(zip(*want, strict=True))
 
 
 def test_toxicity_on_held_out_labels(spark):
