@@ -5,8 +5,10 @@ Each shard consists of ``<name>.bin`` (token ids, unsigned little-endian), ``<na
 consecutive ranges of ascending document ids. The manifest, written by Spark, names the shards that were
 committed; a shard's base is the prefix sum of the ids in all shards before it.
 
-Null and empty texts give the end id alone. Rows with a null document id come first, as document -1 in the
-files and null in results. Repeated rows are encoded once each. Other columns are ignored.
+Every text is encoded whole, by the tokenizers library, whatever the vocabulary; the longest text bounds the memory of
+a task. Null and empty texts give the end id alone. Rows with a null document id come first; the manifest says how many
+a shard has (``n_null``), their places in the ``.doc`` file hold 0, and results have null again. Rows that share an id
+are encoded one by one, in the order of a hash of their texts. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,91 +23,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import posix, scratch
+from sparkloom.llm.common import chunks, posix, scratch
 
-MANIFEST = "shard int, file string, n_docs long, n_ids long"
-NULL_ID = -1
+MANIFEST = "shard int, file string, n_docs long, n_null long, n_ids long"
 
 
-class Known(dict):
-    """Pieces seen so far. The first ``limit`` stay; later ones go through a side table that is emptied when full."""
+_tokenizers: dict = {}
 
-    def __init__(self, limit: int):
-        super().__init__({b"": b""})
-        self.limit, self.recent = limit, {}
 
-    def __missing__(self, piece: bytes) -> bytes:
-        return self.recent[piece]
-
-    def has(self, piece: bytes) -> bool:
-        return piece in self or piece in self.recent
-
-    def put(self, piece: bytes, ids: bytes) -> None:
-        if len(self) < self.limit:
-            self[piece] = ids
-        else:
-            self.recent[piece] = ids
-
-    def trim(self) -> None:
-        if len(self.recent) > self.limit // 4:
-            self.recent.clear()
-
-
-class CachedEncoder:
-    """Encodes with the tokenizers library, one space-separated piece at a time, remembering the pieces.
-
-    The vocabulary lower-cases, drops white space and never joins anything across it, nor a letter or digit with a
-    full stop or comma after it; so the ids of a text are those of its pieces in order. Texts that may name a special
-    token are encoded in one go. ``limit`` bounds the memory of the cache.
-    """
+def tokenizer(path: str):
+    """One tokenizer for each vocabulary in a worker; it outlives the task."""
+    from tokenizers import Tokenizer
 
-    def __init__(self, path: str, dtype: str, limit: int = 1_000_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content[:2].lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.dtype, self.known = dtype, Known(limit)
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, parts: set[bytes]) -> None:
-        bases, later = set(), []
-        for p in parts:
-            if not self.known.has(p):
-                if p[-1:] in (b".", b",") and p[-2:-1].isalnum():
-                    later.append(p)
-                    p = p[:-1]
-                    if self.known.has(p):
-                        continue
-                bases.add(p)
-        if later:
-            bases |= {x for x in (b".", b",") if not self.known.has(x)}
-        bases = list(bases)
-        for p, raw in zip(bases, self.ids([b.decode("utf-8", "replace") for b in bases]), strict=True):
-            self.known.put(p, raw)
-        for p in later:
-            self.known.put(p, self.known[p[:-1]] + self.known[p[-1:]])
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        whole = {i: t for i, t in enumerate(texts) if isinstance(t, str) and any(x in t.lower() for x in self.special)}
-        split = [t.encode("utf-8", "replace").lower().replace(b"\n", b" ").split(b" ") if isinstance(t, str) and i not in whole else [] for i, t in enumerate(texts)]
-        self.known.trim()
-        self.learn(set().union(*split))
-        out = [b"".join(map(self.known.__getitem__, parts)) for parts in split]
-        for i, raw in zip(whole, self.ids(list(whole.values())), strict=True):
-            out[i] = raw
-        return out
-
-
-_encoders: dict[tuple[str, str], CachedEncoder] = {}
-
-
-def encoder(path: str, dtype: str) -> CachedEncoder:
-    """One encoder for each vocabulary in a worker; it outlives the task."""
-    if (path, dtype) not in _encoders:
-        _encoders[path, dtype] = CachedEncoder(path, dtype)
-    return _encoders[path, dtype]
+    if path not in _tokenizers:
+        _tokenizers[path] = Tokenizer.from_file(path)
+    return _tokenizers[path]
 
 
 def id_dtype(vocabulary: str, end_id: int) -> str:
@@ -126,33 +58,36 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     place = posix(folder)
     dtype = id_dtype(vocabulary, end_id)
     end = np.asarray([end_id], dtype).tobytes()
-    width = np.dtype(dtype).itemsize
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = encoder(vocabulary, dtype)
+        encode = tokenizer(vocabulary).encode_batch_fast
         name = f"{place}/shard-{task.partitionId():06d}-{task.taskAttemptId()}"
         os.makedirs(place, exist_ok=True)
-        n_docs = n_ids = 0
+        n_docs = n_ids = n_null = 0
         with open(name + ".bin", "wb") as ids, open(name + ".idx", "wb") as idx, open(name + ".doc", "wb") as doc:
             idx.write(np.zeros(1, "<u8").tobytes())
             for batch in batches:
                 offsets = np.empty(len(batch), "<u8")
                 texts = list(batch["text"])
-                for at in range(0, len(texts), 64):
-                    for i, raw in enumerate(encode(texts[at : at + 64]), at):
-                        ids.write(raw + end)
-                        n_ids += len(raw) // width + 1
+                for part in chunks([len(t) for t in texts]):
+                    for i, e in enumerate(encode(texts[part], add_special_tokens=False), part.start):
+                        ids.write(np.asarray(e.ids, dtype).tobytes() + end)
+                        n_ids += len(e) + 1
                         offsets[i] = n_ids
                 idx.write(offsets.tobytes())
                 doc.write(batch["doc_id"].to_numpy("<i8").tobytes())
                 n_docs += len(batch)
-        yield pd.DataFrame({"shard": [task.partitionId()], "file": [os.path.basename(name)], "n_docs": [n_docs], "n_ids": [n_ids]})
-
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+                n_null += int(batch["missing"].sum())
+        yield pd.DataFrame({"shard": [task.partitionId()], "file": [os.path.basename(name)], "n_docs": [n_docs], "n_null": [n_null], "n_ids": [n_ids]})
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    # The hash spreads rows that share an id, and orders them; equal hashes go by the text.
+    rows = rows.repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    rows = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("missing"), "text")
     rows.mapInPandas(write, MANIFEST).write.parquet(f"{folder}/manifest")
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     # One row a shard: the prefix sum runs over a list whose length is the number of output files.
@@ -179,11 +114,11 @@ def read_token_files(manifest: DataFrame, folder: str, dtype: str) -> DataFrame:
                     off = np.asarray(idx[at : to + 1], np.int64)
                     part = np.asarray(ids[off[0] : off[-1]]).astype("<u4")
                     crc = [zlib.crc32(part[s:e]) for s, e in zip(off[:-1] - off[0], off[1:] - off[0], strict=True)]
-                    yield pd.DataFrame({"doc_id": np.asarray(doc[at:to]), "start": off[:-1] + row.base, "n_tokens": np.diff(off), "ids_crc32": np.asarray(crc, np.int64)})
+                    yield pd.DataFrame({"doc_id": np.asarray(doc[at:to]), "missing": np.arange(at, to) < row.n_null, "start": off[:-1] + row.base, "n_tokens": np.diff(off), "ids_crc32": np.asarray(crc, np.int64)})
 
     shards = manifest.repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "file")
-    out = shards.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+    out = shards.mapInPandas(read, "doc_id long, missing boolean, start long, n_tokens long, ids_crc32 long")
+    return out.withColumn("doc_id", F.when(~F.col("missing"), F.col("doc_id"))).drop("missing")
 
 
 def token_digest(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
