@@ -151,33 +151,44 @@ def interval_join(offsets, starts, rule):
     return counts, crossed
 
 
-@pytest.mark.parametrize("vocabulary", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("vocabulary", ["byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_50k.tiktoken"])
 def test_token_attribution_is_an_interval_join(spark, docs, vocabulary):
     import random
 
     import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, ranks = public_tokenizers.path(vocabulary), vocabulary.endswith(".tiktoken")
+    pattern, rng = public_tokenizers.PATTERN if ranks else None, random.Random(1)
+    encode = token_counts.encoder(path, pattern)
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json") if ranks else path)
+
+    def spans(text):
+        """From the tokenizers library; for ranks the lengths of its tokens, whose letters stand for bytes."""
+        e = tk.encode(text, add_special_tokens=False)
+        if not ranks:
+            return e.offsets
+        ends = np.cumsum([len(t) for t in e.tokens]).tolist()
+        return list(zip([0, *ends[:-1]], ends, strict=True)) if ends else []
 
-    path = public_tokenizers.path(vocabulary)
-    tk, rng = token_counts.encoder(path), random.Random(1)
     parts = ["a", "b ", " ", "\n", "\n\n", "\u00e9", "\u6f22", "\U0001f600", "1", "'s", "the ", ".", " \t"]
     made = [["".join(rng.choice(parts) for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(1, 5))] for _ in range(1500)]
     real = [[x or "" for x in (r.source, r.lang, " " + (r.text or ""))] for r in docs.collect()]
     crossing = 0
     for fields in made + real:
         text = "\n".join(fields)
-        starts = np.cumsum([0] + [len(f) + 1 for f in fields[:-1]]).tolist()
-        e = tk.encode(text, add_special_tokens=False)
+        starts = np.cumsum([0] + [encode.size(f) + 1 for f in fields[:-1]]).tolist()
         for rule in token_counts.RULES:
-            got = token_counts.attribute(e, starts, len(text), rule)
-            assert got == interval_join(e.offsets, starts, rule)
+            got = token_counts.attribute(encode([text])[0], starts, rule)
+            assert got == interval_join(spans(text), starts, rule)
             crossing += sum(got[1])
     assert crossing or "word" in vocabulary
     frame = spark.createDataFrame([(i, *f) for i, f in enumerate(real)], "doc_id long, source string, lang string, text string")
     for rule in token_counts.RULES:
-        out = {(r.doc_id, r.field): (r.n_tokens, r.n_crossing) for r in token_counts.count_tokens(frame, ["source", "lang", "text"], path, rule=rule).collect()}
+        out = {(r.doc_id, r.field): (r.n_tokens, r.n_crossing) for r in token_counts.count_tokens(frame, ["source", "lang", "text"], path, rule=rule, pattern=pattern).collect()}
         for i, f in enumerate(real):
-            starts = [0, len(f[0]) + 1, len(f[0]) + len(f[1]) + 2]
-            want = interval_join(tk.encode("\n".join(f), add_special_tokens=False).offsets, starts, rule)
+            starts = [0, encode.size(f[0]) + 1, encode.size(f[0]) + encode.size(f[1]) + 2]
+            want = interval_join(spans("\n".join(f)), starts, rule)
             assert [out[i, n] for n in ("source", "lang", "text")] == list(zip(*want, strict=True))
 
 
