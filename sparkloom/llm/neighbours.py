@@ -6,21 +6,26 @@ projections cut at width ``WIDTH``. A query visits its own cell and perturbed on
 their estimated success (the squared distances to the crossed boundaries). The candidates of all visited cells are
 ranked by their exact inner products on the original vectors, in double precision.
 
-How many projections and visits it takes is measured: a bounded sample of queries is solved by brute force, and the
-most projections are taken with which ``MAX_VISITS`` visits do, and of visits the
-fewest with which the sample's recall reaches ``RECALL``; with no projections left there is one cell
-and the search is exact. Cells with more than ``CHUNK`` vectors are dealt over several groups, so no group grows with
-the data. Each group keeps its best rows by query alone. Queries whose visits found fewer than ``top`` rows, though
-there are more, are searched again exactly, ``BLOCK`` of them at a time against all vectors.
-
-Vectors that are null, zero or hold null or non-finite components, and rows with a null id, take no part. Vectors of
-another length than most are left out too. Rows that repeat an id and its vector count once. Rows that repeat an id with another vector are candidates each, of which the
-best counts; repeated queries are answered once. Ties go to the smaller id. An empty table gives no rows.
+The number of projections grows with the logarithm of the table, from one up. How many of them and how many visits it
+takes is measured: a bounded sample of queries is solved by brute force, and the most projections are taken with which
+``MAX_VISITS`` visits do, and of visits the fewest with which the sample's recall reaches ``RECALL``. With one
+projection visits go on until they do. Cells with more than ``CHUNK`` vectors or visiting queries are dealt over several
+groups, of vectors and of queries. Each group keeps its best rows by query alone. Queries whose visits found fewer than
+``top`` rows, though there are more, are searched again exactly, ``BLOCK`` of them at a time against all vectors.
+
+Groups compare by matrix products, whose last digits depend on their shapes; whatever these leave possible is scored
+anew, products added from first to last on numbers scaled by powers of two. So the score is a function of the two
+vectors alone, and equal scores are ties, which go to the smaller id. Scores beyond the range of doubles are infinite.
+
+Vectors that are null, zero or hold null or non-finite components, and rows with a null id, take no part; neither do
+vectors of another length than most. Rows that repeat an id and its vector count once. Of rows with equal vectors the
+``top + 1`` smallest ids are kept, since no other can be among the ``top``. Rows that repeat an id with another vector
+are candidates each, of which the best counts; repeated queries are answered once. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import itertools
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import cut
 
 #: Tables, cell width, vectors a cell should hold, and bounds of the measurement and of groups.
-TABLES, WIDTH, OCCUPANCY, SAMPLE, RECALL, MAX_VISITS, CHUNK, BLOCK = 6, 1.0, 400, 128, 0.96, 40, 2_000, 2_000
+TABLES, WIDTH, OCCUPANCY, SAMPLE, RECALL, MAX_VISITS, CHUNK, BLOCK = 6, 1.0, 400, 128, 0.96, 40, 1_000, 2_000
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -41,12 +46,17 @@ def projections(dim: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.standard_normal((TABLES, dim + 1, k)), rng.uniform(0, WIDTH, (TABLES, k))
 
 
-def lift(v: np.ndarray, top: float, query: bool) -> np.ndarray:
-    """Rows as unit vectors of one more dimension."""
-    norm = np.sqrt((v * v).sum(1))
-    u = v / norm[:, None] if query else v / top
-    rest = np.zeros(len(v)) if query else np.sqrt(np.maximum(0, 1 - (norm / top) ** 2))
-    return np.c_[u, rest]
+def scaled(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with their largest component in [0.5, 1), and the powers of two that were taken out."""
+    power = np.frexp(np.abs(v).max(axis=1, initial=0.0))[1]
+    return np.ldexp(v, -power[:, None]), power
+
+
+def lift(v: np.ndarray, top: tuple[int, float], query: bool) -> np.ndarray:
+    """Rows as unit vectors of one more dimension. ``top``: the largest norm, after a power of two was taken out."""
+    u = scaled(v)[0] if query else np.ldexp(v, -top[0]) / top[1]
+    norm = np.sqrt((u * u).sum(1))
+    return np.c_[u / norm[:, None], np.zeros(len(u))] if query else np.c_[u, np.sqrt(np.maximum(0, 1 - norm**2))]
 
 
 def cells(x: np.ndarray, dim: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,20 +73,30 @@ def keys(cell: np.ndarray) -> np.ndarray:
     return keys_at(np.tile(np.arange(t), n), cell.reshape(-1, k)).reshape(n, t)
 
 
-def perturbations(k: int) -> np.ndarray:
-    return np.asarray(list(itertools.product(range(-2, 3) if k <= 4 else range(-1, 2), repeat=k)), np.int64).reshape(-1, k)
+def moves(frac: float) -> Iterator[tuple[float, int]]:
+    """(squared distance, cells to move) in one projection, the nearest first."""
+    up, down = (((j - frac) ** 2, j) for j in range(1, 1 << 20)), (((frac + j - 1) ** 2, -j) for j in range(1, 1 << 20))
+    yield 0.0, 0
+    yield from heapq.merge(up, down)
 
 
 def visits(x: np.ndarray, dim: int, k: int, n: int) -> Iterator[np.ndarray]:
     """For each query the keys of its first ``n`` cells over all tables, the likeliest first."""
     cell, frac = cells(x, dim, k)
-    moves = perturbations(k)
     for c, f in zip(cell, frac, strict=True):
-        away = np.where(moves > 0, moves - f[:, None, :], np.where(moves < 0, f[:, None, :] - moves - 1, 0.0))
-        cost = (away**2).sum(2)  # (tables, moves)
-        first = np.argsort(cost, axis=None, kind="stable")[:n]
-        t, m = np.unravel_index(first, cost.shape)
-        yield keys_at(t, c[t] + moves[m])
+        source = [[moves(x) for x in row] for row in f]
+        known = [[[next(m)] for m in row] for row in source]
+        heap = [(0.0, t, (0,) * k) for t in range(TABLES)]
+        out, table = np.empty((n, k), np.int64), np.empty(n, np.int64)
+        for i in range(n):
+            cost, t, at = heapq.heappop(heap)
+            table[i], out[i] = t, [known[t][j][a][1] for j, a in enumerate(at)]
+            # Each set of moves comes from one other: the one before it in its last moved projection.
+            for j in range(max((j for j in range(k) if at[j]), default=0), k):
+                if len(known[t][j]) == at[j] + 1:
+                    known[t][j].append(next(source[t][j]))
+                heapq.heappush(heap, (cost - known[t][j][at[j]][0] + known[t][j][at[j] + 1][0], t, (*at[:j], at[j] + 1, *at[j + 1 :])))
+        yield keys_at(table, c[table] + out)
 
 
 def keys_at(table: np.ndarray, cell: np.ndarray) -> np.ndarray:
@@ -92,18 +112,35 @@ def stack(raw: pd.Series) -> np.ndarray:
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id, v`` (packed doubles), ``norm`` of the rows that take part."""
+    """``vec_id, v`` (packed doubles), ``dim, largest`` (component) of the rows that take part."""
     v = F.col(vector_col).cast("array<double>")
-    sound = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    sound = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("e")).filter("vec_id IS NOT NULL AND e IS NOT NULL").filter(F.coalesce(sound, F.lit(False)))
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
-    rows = rows.withColumn("norm", norm).filter((F.col("norm") > 0) & (F.col("norm") < float("inf")))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"vec_id": b["vec_id"], "v": [np.asarray(e, np.float64).tobytes() for e in b["e"]], "norm": b["norm"], "dim": [len(e) for e in b["e"]]})
+            v = [np.asarray(e, np.float64) + 0.0 for e in b["e"]]  # -0.0 becomes 0.0
+            yield pd.DataFrame({"vec_id": b["vec_id"], "v": [x.tobytes() for x in v], "dim": [len(x) for x in v], "largest": [np.abs(x).max() for x in v]})
+
+    return rows.mapInPandas(pack, "vec_id long, v binary, dim int, largest double")
+
+
+def largest_norm(vectors: DataFrame) -> tuple[int, float]:
+    """(power of two, norm) of the longest vector, the norm after the power was taken out of all vectors."""
+    power = math.frexp(vectors.agg(F.max("largest")).first()[0] or 1.0)[1]
+
+    def norm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"norm": np.sqrt((np.ldexp(stack(b["v"]), -power) ** 2).sum(1))})
+
+    return power, vectors.select("v").mapInPandas(norm, "norm double").agg(F.max("norm")).first()[0] or 1.0
+
 
-    return rows.mapInPandas(pack, "vec_id long, v binary, norm double, dim int")
+def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products of one query with rows: products are added one after the other, whatever the number of rows."""
+    (q, by), (v, powers) = scaled(q[None]), scaled(v)
+    with np.errstate(over="ignore"):
+        return np.ldexp(np.cumsum(q * v, axis=1)[:, -1], by + powers)
 
 
 def best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, top: int) -> pd.DataFrame:
@@ -112,22 +149,26 @@ def best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, t
     order = np.argsort(ids, kind="stable")
     ids, v = ids[order], v[order]
     first = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1)) if len(ids) else np.zeros(0, np.int64)
-    repeated, ids = len(first) < len(ids), ids[first]
+    power = np.frexp(np.abs(v).max(initial=0.0))[1]
+    flat = np.ldexp(v, -power)
+    size = np.sqrt((flat * flat).sum(1))
     for at in range(0, len(query_ids), 256):
-        scores = q[at : at + 256] @ v.T
-        if repeated:  # before any cut: rows of one id must not take the places of others
-            scores = np.maximum.reduceat(scores, first, axis=1)
-        scores[query_ids[at : at + 256, None] == ids[None, :]] = -np.inf
-        for own, s in zip(query_ids[at : at + 256], scores, strict=True):
-            if len(s) > 4 * top:
-                level = np.partition(s, -2 * top)[-2 * top]
-                near = np.flatnonzero(s > level)
-                near = np.r_[near, np.flatnonzero(s == level)[: 2 * top]]
-            else:
-                near = np.arange(len(s))
-            near = near[s[near] > -np.inf]
-            near = near[np.lexsort((ids[near], -s[near]))][:top]
-            out.append(pd.DataFrame({"query_id": own, "vec_id": ids[near], "score": s[near]}))
+        part = scaled(q[at : at + 256])[0]
+        rough = part @ flat.T
+        slack = 4 * v.shape[1] * np.finfo(float).eps * np.sqrt((part * part).sum(1))
+        for own, x, s, e in zip(query_ids[at : at + 256], q[at : at + 256], rough, slack, strict=True):
+            e = e * size + 1e-300
+            s[ids == own] = -np.inf
+            sure = np.maximum.reduceat(s - e, first) if len(first) else s
+            level = np.partition(sure, -top)[-top] if len(sure) > top else -np.inf
+            near = np.flatnonzero((s + e >= level) & (s > -np.inf))
+            exact = scores(x, v[near])
+            order = np.lexsort((ids[near], -exact))
+            near, exact = near[order], exact[order]
+            if len(first) < len(ids):  # repeated ids: their best row alone
+                once = np.sort(np.unique(ids[near], return_index=True)[1])
+                near, exact = near[once], exact[once]
+            out.append(pd.DataFrame({"query_id": own, "vec_id": ids[near[:top]], "score": exact[:top]}))
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
@@ -166,74 +207,82 @@ def complete(found: DataFrame, vectors: DataFrame, queries: DataFrame, top: int)
     return out
 
 
-def plan_visits(vectors: DataFrame, queries: DataFrame, n: int, dim: int, top_norm: float, top: int) -> tuple[int, int]:
+def plan_visits(vectors: DataFrame, queries: DataFrame, n: int, dim: int, longest: tuple[int, float], top: int) -> tuple[int, int]:
     """(projections, visits) with which a sample of at most ``SAMPLE`` queries finds ``RECALL`` of its neighbours."""
     sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).dropDuplicates(["vec_id"]).toPandas()
     if not len(sample):
-        return 0, 1
+        return 1, 1
     ids, q = sample["vec_id"].to_numpy(), stack(sample["v"])
     truth = brute_force(vectors, ids, q, top)
-    truth = truth.join(vectors.select("vec_id", "v"), "vec_id").dropDuplicates(["query_id", "vec_id"]).select("query_id", "v").toPandas()
+    truth = truth.join(vectors.select("vec_id", "v"), "vec_id").groupBy("query_id", "vec_id").agg(F.min("v").alias("v")).toPandas()
     if not len(truth):
-        return 0, 1
+        return 1, 1
     row = {i: k for k, i in enumerate(ids)}
-    of, x, near = truth["query_id"].map(row).to_numpy(), lift(q, top_norm, True), lift(stack(truth["v"]), top_norm, False)
-    for k in range(max(0, min(8, round(math.log(max(n, 1) / OCCUPANCY, 4)))), 0, -1):
-        mine = keys(cells(near, dim, k)[0])
-        order = list(visits(x, dim, k, MAX_VISITS))
-        at = np.asarray([np.flatnonzero(np.isin(order[o], m))[:1].sum() if np.isin(order[o], m).any() else MAX_VISITS for o, m in zip(of, mine, strict=True)])
-        reached = np.cumsum(np.bincount(at, minlength=MAX_VISITS + 1)[:MAX_VISITS]) / len(at)
-        if reached[-1] >= RECALL:
-            return k, int(np.argmax(reached >= RECALL)) + 1
-    return 0, 1
+    of, x, near = truth["query_id"].map(row).to_numpy(), lift(q, longest, True), lift(stack(truth["v"]), longest, False)
+    for k in range(max(1, round(math.log(max(n, 1) / OCCUPANCY, 4))), 0, -1):
+        most = MAX_VISITS
+        while True:
+            mine, order = keys(cells(near, dim, k)[0]), list(visits(x, dim, k, most))
+            at = np.asarray([np.append(np.flatnonzero(np.isin(order[o], m)), most)[0] for o, m in zip(of, mine, strict=True)])
+            reached = np.cumsum(np.bincount(at, minlength=most + 1)[:most]) / len(at)
+            if reached[-1] >= RECALL:
+                return k, int(np.argmax(reached >= RECALL)) + 1
+            if k > 1:
+                break
+            most *= 2  # cells of one projection run out, so this ends
 
 
 def nearest(df: DataFrame, queries: DataFrame, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``top`` rows of ``df`` with the largest inner products by query."""
-    vectors = cut(valid_vectors(df, id_col, vector_col).distinct(), "vectors")
+    vectors = valid_vectors(df, id_col, vector_col).distinct()
+    first = Window.partitionBy("v").orderBy("vec_id")
+    vectors = cut(vectors.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= top + 1).drop("_r"), "vectors")
     asked = cut(valid_vectors(queries, id_col, vector_col), "queries")
     common = vectors.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim = common[0].dim if common else 1
     vectors = vectors.filter(F.col("dim") == dim)
     asked = asked.filter(F.col("dim") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n, top_norm = vectors.agg(F.count(F.lit(1)), F.max("norm")).first()
-    k, probes = plan_visits(vectors, asked, n, dim, top_norm or 1.0, top)
+    longest = largest_norm(vectors)
+    k, probes = plan_visits(vectors, asked, vectors.count(), dim, longest, top)
     shares = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            key = keys(cells(lift(stack(b["v"]), top_norm, False), dim, k)[0]) if k else np.zeros((len(b), 1), np.int64)
-            yield pd.DataFrame({"cell": key.ravel(), "vec_id": b["vec_id"].repeat(key.shape[1]).to_numpy(), "v": b["v"].repeat(key.shape[1]).to_numpy()})
+            key = keys(cells(lift(stack(b["v"]), longest, False), dim, k)[0])
+            yield pd.DataFrame({"cell": key.ravel(), "vec_id": b["vec_id"].repeat(TABLES).to_numpy(), "v": b["v"].repeat(TABLES).to_numpy()})
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = list(visits(lift(stack(b["v"]), top_norm, True), dim, k, probes)) if k else [np.zeros(1, np.int64)] * len(b)
-            count = [len(x) for x in own]
-            yield pd.DataFrame({"cell": np.concatenate(own) if own else np.zeros(0, np.int64), "vec_id": b["vec_id"].repeat(count).to_numpy(), "v": b["v"].repeat(count).to_numpy()})
+            own = list(visits(lift(stack(b["v"]), longest, True), dim, k, probes))
+            yield pd.DataFrame({"cell": np.concatenate(own) if own else np.zeros(0, np.int64), "vec_id": b["vec_id"].repeat(probes).to_numpy(), "v": b["v"].repeat(probes).to_numpy()})
 
     schema = "cell long, vec_id long, v binary"
-    entries, probed = vectors.mapInPandas(index, schema), asked.mapInPandas(probe, schema)
-    size = vectors.select("vec_id", "v").mapInPandas(index, schema).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    entries = entries.join(size, "cell").withColumn("chunk", F.pmod(F.xxhash64("vec_id", "v"), F.col("chunks")).cast("int"))
-    probed = probed.join(size, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    both = entries.withColumn("asks", F.lit(False)).unionByName(probed.withColumn("asks", F.lit(True))).drop("chunks")
+    entries, probed = vectors.select("vec_id", "v").mapInPandas(index, schema), asked.mapInPandas(probe, schema)
+    # A cell is a grid of groups: each holds a share of its vectors and a share of the queries that visit it.
+    parts = lambda rows, name: rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias(name))
+    size = parts(entries, "columns").join(parts(probed, "rows"), "cell")
+    own = lambda c, seed: F.pmod(F.xxhash64("vec_id", "v", F.lit(seed)), F.col(c)).cast("int")
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    entries = entries.join(size, "cell").withColumn("column", own("columns", 1)).withColumn("row", all_of("rows")).withColumn("asks", F.lit(False))
+    probed = probed.join(size, "cell").withColumn("row", own("rows", 2)).withColumn("column", all_of("columns")).withColumn("asks", F.lit(True))
+    group = ["cell", "row", "column"]
+    both = entries.unionByName(probed).select(*group, "asks", "vec_id", "v")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, ids, v = None, [], []
         for b in batches:
-            for key, part in b.groupby(["cell", "chunk", "asks"], sort=True):
-                if key[:2] != at:
-                    at, ids, v = key[:2], [], []
-                if not key[2]:
+            for key, part in b.groupby([*group, "asks"], sort=True):
+                if key[:3] != at:
+                    at, ids, v = key[:3], [], []
+                if not key[3]:
                     ids.append(part["vec_id"].to_numpy())
                     v.append(stack(part["v"]))
                 elif ids:
                     ids, v = [np.concatenate(ids)], [np.concatenate(v)]
                     yield best(part["vec_id"].to_numpy(), stack(part["v"]), ids[0], v[0], top)
 
-    dealt = both.repartition(shares, "cell", "chunk").sortWithinPartitions("cell", "chunk", "asks")
-    found = ranked(dealt.mapInPandas(search, FOUND), top)
-    return complete(found, vectors, asked, top) if k else found
+    dealt = both.repartition(shares, *group).sortWithinPartitions(*group, "asks")
+    return complete(ranked(dealt.mapInPandas(search, FOUND), top), vectors, asked, top)
 
 
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

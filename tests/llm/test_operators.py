@@ -276,6 +276,7 @@ def test_neighbours(spark):
         assert np.allclose(part.score, s[part.vec_id])
         hits += len(set(np.lexsort((np.arange(3000), -s))[:10]) & set(part.vec_id))
     assert hits / (10 * 60) >= 0.9
+    assert len(out) == 600
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
@@ -312,6 +313,46 @@ def test_neighbours_of_repeated_ids(spark):
     assert out.vec_id.tolist() == near.vec_id.tolist()
 
 
+def test_neighbours_among_copies_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CHUNK", 7)
+    monkeypatch.setattr(neighbours, "RECALL", 1.0)  # all queries are in the sample, so this makes the search exact
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((140, 384))
+    v[40:100] = v[3]  # equal vectors over several groups: ties by id
+    rows = [(int(i), r.tolist()) for i, r in enumerate(v)] + [(7, v[7].tolist())] * 60
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = neighbours.nearest(df, df.filter("vec_id % 20 = 0 OR vec_id IN (7, 50)"))
+    for q, part in out.toPandas().groupby("query_id"):
+        part = part.sort_values("rank")
+        s = np.asarray([neighbours.scores(v[q], x[None])[0] for x in v])
+        assert np.allclose(s, v @ v[q])
+        s[q] = -np.inf
+        assert part.vec_id.tolist() == np.lexsort((np.arange(len(v)), -s))[:20].tolist()
+        assert part.score.tolist() == s[part.vec_id].tolist()
+
+
+def test_neighbours_beyond_squares_of_doubles(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "RECALL", 1.0)
+    v = {1: [1e200, 0.0], 2: [1e-200, 1e-200], 3: [3.0, 4.0], 4: [-1e200, 1.0], 5: [1e200, 1e200], 6: [1.0]}
+    df = spark.createDataFrame(list(v.items()), "vec_id long, embedding array<double>")
+    out = {(r.query_id, r.rank): (r.vec_id, r.score) for r in neighbours.nearest(df, df, 2).collect()}
+    assert out == {(1, 1): (5, np.inf), (1, 2): (3, 3e200), (2, 1): (5, 2.0), (2, 2): (1, 1.0), (3, 1): (5, 7e200), (3, 2): (1, 3e200), (4, 1): (2, -1.0 + 1e-200), (4, 2): (3, -3e200), (5, 1): (1, np.inf), (5, 2): (3, 7e200)}
+
+
+def test_visits_come_in_order_of_distance():
+    import itertools
+
+    x = neighbours.lift(np.random.default_rng(6).standard_normal((3, 5)), (0, 1.0), True)
+    for k in (1, 3, 9):
+        cell, frac = neighbours.cells(x, 5, k)
+        for q, got in enumerate(neighbours.visits(x, 5, k, 30)):
+            cost = lambda m, f: ((m - f) ** 2 if m > 0 else (f - m - 1) ** 2 if m < 0 else 0.0)
+            steps = range(-3, 4) if k < 9 else range(-1, 2)
+            every = sorted((sum(cost(m, f) for m, f in zip(ms, frac[q, t], strict=True)), t, ms) for t in range(neighbours.TABLES) for ms in itertools.product(steps, repeat=k))[:30]
+            want = neighbours.keys_at(np.asarray([t for _, t, _ in every]), np.asarray([cell[q, t] + ms for _, t, ms in every]))
+            assert set(got) == set(want) and len(set(got)) == 30
+
+
 def test_pii(spark, docs, odd):
     extra = ["mail a@b.c_d@e.f now", "ip 1.2.3.4.5.6.7.8 999.1.1.1 010.0.0.1", "card 4111 1111 1111 1111 or 4111111111111112", "call +1 (555) 010-9999.", "IBAN GB82 WEST 1234 5698 7654 32", "x" * 50_000, "1." * 20_000, None, ""]
     df = docs.select("text").unionByName(spark.createDataFrame([(t,) for t in extra], "text string"))
