@@ -65,7 +65,7 @@ def add_columns(df: DataFrame, text_col: str, ddl: dict[str, tuple[str, pa.DataT
     Columns of ``df`` that have one of the new names are replaced, as ``withColumn`` does.
     """
     keep = [c for c in df.columns if c not in ddl]
-    given = df.select(*(F.col(f"`{c.replace('`', '``')}`") for c in keep), F.col(text_col).cast("string").alias("_given"))
+    given = df.select(*(F.col(f"`{c.replace('`', '``')}`") for c in keep), F.col(text_col).cast("string")).toDF(*(f"c{i}" for i in range(len(keep) + 1)))
     fields = "".join(f"`{c.replace('`', '``')}` {df.schema[c].dataType.simpleString()}, " for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,12 +99,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def pieces(texts: Iterable[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """Consecutive whole texts as UTF-8, about a megabyte at a time, with the position of the first."""
+def pieces(texts: Iterable[str | None], most: int = PIECE) -> Iterator[tuple[int, list[bytes]]]:
+    """Consecutive whole texts as UTF-8, about ``most`` bytes at a time, with the position of the first."""
     held, size, first = [], 0, 0
     for i, text in enumerate(texts):
         raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
-        if held and size + len(raw) > PIECE:
+        if held and size + len(raw) > most:
             yield first, held
             held, size, first = [], 0, i
         held.append(raw)

@@ -1,21 +1,25 @@
 """Benchmark decontamination with suffix arrays over the training words.
 
-Every batch of whole documents is a shard: its words become ids of the benchmark's vocabulary, the suffixes that
-begin with a word pair of the benchmark are sorted into a suffix array, and every benchmark suffix is looked up in
-it by binary search. Words outside the vocabulary and document ends break suffixes. Hits that continue each other
-on a diagonal make up the longest verbatim matches, with their places in the document and the item.
+Consecutive whole documents make up a shard of about ``SHARD`` bytes. All suffixes of its words are sorted into a suffix
+array, by as many words as a window has, and every suffix of the benchmark that begins a window is looked up in it by
+binary search; equal windows are looked up once, with the list of items that hold them. Words are 64-bit hashes, and
+sums of their products with powers tell how many words two suffixes share. Each place that is found is then looked up
+among the benchmark's own suffixes, which gives the longest verbatim match there, however long.
 
 A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. Null and
 empty texts have no words and are never hit. Null item ids take part under an empty name. Repeated items and
-documents are treated alike, each on its own. Other columns are kept untouched by :func:`decontaminate`.
+documents are treated alike, each on its own. Other columns are kept untouched by :func:`decontaminate`, and by
+:func:`find_contamination` unless they have a name of ``MARKS``, which is replaced. Empty tables give no rows, or no hits.
 
-The benchmark is broadcast once its size was checked against ``max_benchmark_bytes`` (64 MB of text; larger ones are
-refused and can be given in parts), and is searched in blocks of ``block_bytes``, which bound the memory of a task.
+The benchmark is fetched and broadcast in parts of about ``part_bytes``, whatever its size: a larger one takes several
+passes over the documents, each written before the next, and each adds what its items hit.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,205 +27,267 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import add_columns, pieces, word_hashes
+from sparkloom.llm.common import cut, pieces, word_hashes
 
-_MATCH = pa.struct([("item_id", pa.string()), ("doc_word", pa.int32()), ("item_word", pa.int32()), ("n_words", pa.int32())])
+SHARD = 4 << 20
+_HIT = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+_MATCH = pa.struct([("doc_word", pa.int32()), ("n_words", pa.int32()), ("item_id", pa.string()), ("item_word", pa.int32())])
+#: ``_hits``: runs of hit words. ``_matches``: longest matches that none to their left goes on into, with an item.
 MARKS = {
     "_n_words": ("long", pa.int64()),
     "_n_hit": ("long", pa.int64()),
     "_items": ("array<string>", pa.list_(pa.string())),
-    "_matches": ("array<struct<item_id:string,doc_word:int,item_word:int,n_words:int>>", pa.list_(_MATCH)),
+    "_hits": ("array<struct<start:int,end:int>>", pa.list_(_HIT)),
+    "_matches": ("array<struct<doc_word:int,n_words:int,item_id:string,item_word:int>>", pa.list_(_MATCH)),
 }
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Words:
+    """A sequence of word hashes, with sums that tell whether two stretches are alike."""
+
+    powers = np.ones(1, np.uint64)
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        Words.grow(len(words))
+        self.sums = np.r_[np.zeros(1, np.uint64), np.cumsum(words * Words.powers[: len(words)], dtype=np.uint64)]
+
+    @staticmethod
+    def grow(n: int) -> None:
+        if len(Words.powers) <= n:
+            Words.powers = np.cumprod(np.r_[np.ones(1, np.uint64), np.full(2 * n, _BASE)], dtype=np.uint64)
+
+    def shared(self, at: np.ndarray, other: Words, place: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """How many words, ``limit`` at most, the suffixes from ``at`` and those of ``other`` from ``place`` share."""
+        Words.grow(max(len(self.words), len(other.words)))
+        limit = np.minimum(limit, np.minimum(len(self.words) - at, len(other.words) - place))
+        out = np.zeros(len(at), np.int64)
+        step = 1 << int(limit.max(initial=1)).bit_length()
+        while step := step >> 1:
+            k = np.flatnonzero(out + step <= limit)
+            a, b = at[k] + out[k], place[k] + out[k]
+            alike = (self.sums[a + step] - self.sums[a]) * Words.powers[b] == (other.sums[b + step] - other.sums[b]) * Words.powers[a]
+            out[k[alike]] += step
+        return out
+
+
+def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
+    """All places in the order of their suffixes' first ``depth`` words, by doubling of ranks."""
+    rank = np.unique(words, return_inverse=True)[1].astype(np.int64)
+    known = 1
+    while known < depth and (top := int(rank.max(initial=0)) + 1) < len(rank):
+        step = min(known, depth - known)
+        rank = np.unique(rank * top + np.r_[rank[step:], np.zeros(min(step, len(rank)), np.int64)], return_inverse=True)[1]
+        known += step
+    return np.argsort(rank, kind="stable")
+
+
+def search(text: Words, order: np.ndarray, query: Words, place: np.ndarray, length: np.ndarray, after: bool) -> np.ndarray:
+    """Binary search of all queries at once: how many suffixes of ``text`` come before each, or before what follows it."""
+    first = text.words[order]
+    lo = np.searchsorted(first, query.words[place], "left")
+    hi = np.searchsorted(first, query.words[place], "right")
+    open_ = np.flatnonzero(lo < hi)
+    while len(open_):
+        mid = (lo[open_] + hi[open_]) >> 1
+        at, own, most = order[mid], place[open_], length[open_]
+        n = text.shared(at, query, own, most)
+        end = n == most
+        a, b = at + n, own + n
+        less = np.where(a < len(text.words), text.words[np.minimum(a, len(text.words) - 1)], 0) < query.words[np.minimum(b, len(query.words) - 1)]
+        go = np.where(end, after, less)
+        lo[open_] = np.where(go, mid + 1, lo[open_])
+        hi[open_] = np.where(go, hi[open_], mid)
+        open_ = open_[lo[open_] < hi[open_]]
+    return lo
 
 
 @dataclass
-class Block:
-    """Benchmark suffixes in one block: the words of all items, and a row per window."""
+class Part:
+    """A part of the benchmark: its words, their suffix array, and its distinct windows with the items that hold them."""
 
     names: list[str]
-    vocab: np.ndarray  # sorted word hashes; word k has id k + 1
-    pairs: np.ndarray  # sorted keys of the windows' first two words
-    words: np.ndarray  # one row per window, padded with -1
+    text: Words
+    begins: np.ndarray  # where each item begins; a separator follows each
+    order: np.ndarray
+    place: np.ndarray  # one place of each window
     length: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
-
-
-def make_block(items: list[tuple[str, str]], window: int) -> Block | None:
-    names, seqs = [], []
-    for name, text in items:
-        hashes, _ = word_hashes([text.encode("utf-8", "surrogatepass")])
-        if len(hashes):
-            names.append(name)
-            seqs.append(hashes)
-    if not seqs:
+    first: np.ndarray  # where each window's list begins in ``items``, and the end of the last
+    items: np.ndarray
+
+
+def make_part(items: list[tuple[str, str]], window: int) -> Part | None:
+    items = sorted(items)
+    hashes, bounds = word_hashes([text.encode("utf-8", "surrogatepass") for _, text in items])
+    keep = np.flatnonzero(np.diff(bounds))
+    if not len(keep):
         return None
-    vocab = np.unique(np.concatenate(seqs))
-    rows, length, item, place = [], [], [], []
-    for k, seq in enumerate(seqs):
-        ids = np.searchsorted(vocab, seq) + 1
-        n = min(window, len(ids))
-        for i in range(len(ids) - n + 1):
-            rows.append(np.pad(ids[i : i + n], (0, window - n), constant_values=-1))
-            length.append(n)
-            item.append(k)
-            place.append(i)
-    words, length = np.asarray(rows, np.int64), np.asarray(length)
-    second = np.where(length > 1, words[:, min(1, window - 1)], 0)
-    return Block(names, vocab, np.unique(words[:, 0] << 32 | second), words, length, np.asarray(item), np.asarray(place))
-
-
-def ids_of(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """1 + the place of each value in a sorted table, or 0 where it is absent."""
-    slot = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return np.where(table[slot] == values, slot + 1, 0)
-
-
-def suffix_array(ids: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted starts of the shard's suffixes that begin like a window, and their first words as rows.
-
-    ``ids`` ends with as many zeros as a window has words. Zero stands for anything outside the vocabulary.
-    """
-    width = block.words.shape[1]
-    n = len(ids) - width
-    first = ids[:n]
-    maybe = np.flatnonzero(first)
-    keys = first[maybe] << 32
-    pairs = keys | ids[maybe + 1]
-    start = maybe[(ids_of(pairs, block.pairs) > 0) | (ids_of(keys, block.pairs) > 0)]
-    rows = ids[start[:, None] + np.arange(width)]
-    order = np.lexsort(rows.T[::-1])
-    return start[order], rows[order]
-
-
-def search(rows: np.ndarray, words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Binary search of all queries at once: the range of suffixes that begin with each query's first words."""
-
-    def bound(right: bool) -> np.ndarray:
-        lo, hi = np.zeros(len(words), np.int64), np.full(len(words), len(rows), np.int64)
-        while (open_ := lo < hi).any():
-            mid = np.minimum((lo + hi) >> 1, len(rows) - 1)
-            less, same = np.zeros(len(words), bool), np.ones(len(words), bool)
-            for c in range(length):
-                x = rows[mid, c]
-                less |= same & (x < words[:, c])
-                same &= x == words[:, c]
-            go = less | same if right else less
-            lo = np.where(open_ & go, mid + 1, lo)
-            hi = np.where(open_ & ~go, mid, hi)
-        return lo
-
-    return bound(False), bound(True)
-
-
-def occurrences(ids: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """All (start in the shard, window) at which a benchmark window occurs."""
-    start, rows = suffix_array(ids, block)
-    at, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for n in np.unique(block.length) if len(start) else ():
-        q = np.flatnonzero(block.length == n)
-        lo, hi = search(rows, block.words[q], int(n))
-        count = hi - lo
-        if total := int(count.sum()):
-            inner = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-            at.append(start[np.repeat(lo, count) + inner])
-            which.append(np.repeat(q, count))
-    return np.concatenate(at), np.concatenate(which)
-
-
-def diagonals(at: np.ndarray, item: np.ndarray, place: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Maximal runs of windows that continue each other: rows of (item, start, place, words)."""
-    order = np.lexsort((at, at - place, item))
-    at, item, place, length = at[order], item[order], place[order], length[order]
-    new = np.r_[True, (np.diff(item) != 0) | (np.diff(at) != 1) | (np.diff(place) != 1)]
-    first = np.flatnonzero(new)
-    size = np.diff(np.r_[first, len(at)])
-    return np.c_[item[first], at[first], place[first], length[first] + size - 1]
-
-
-def marks(texts: list[str | None], blocks: list[Block]) -> dict[str, list]:
-    """The columns of ``MARKS`` for a batch of whole documents."""
+    count = np.diff(bounds)[keep]
+    begins = np.cumsum(np.r_[0, count[:-1] + 1])
+    words = np.ones(int(count.sum()) + len(keep), np.uint64)
+    owner = np.repeat(np.arange(len(keep)), count)
+    words[np.arange(len(owner)) + owner] = np.maximum(hashes, 2)
+    text = Words(words)
+    spot = np.arange(len(owner)) + owner
+    need = np.minimum(count, window)[owner]
+    starts = spot - begins[owner] <= (count[owner] - need)
+    spot, need, owner = spot[starts], need[starts], owner[starts]
+    key = (text.sums[spot + need] - text.sums[spot]) * Words.powers[len(words) - spot]
+    _, window_of = np.unique(np.stack([key, need.astype(np.uint64)], 1), axis=0, return_inverse=True)
+    pairs = np.unique(np.stack([window_of.ravel(), owner], 1), axis=0)
+    one = np.zeros(int(window_of.max()) + 1, np.int64)
+    one[window_of.ravel()] = np.arange(len(spot))
+    return Part([items[k][0] for k in keep], text, begins, suffix_array(words, int(count.max())), spot[one], need[one], np.searchsorted(pairs[:, 0], np.arange(len(one) + 1)), pairs[:, 1])
+
+
+def occurrences(text: Words, part: Part, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """All (place in the shard, window) at which a benchmark window occurs."""
+    order = suffix_array(text.words, depth)
+    lo, hi = (search(text, order, part.text, part.place, part.length, after) for after in (False, True))
+    count = hi - lo
+    inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    return order[np.repeat(lo, count) + inner], np.repeat(np.arange(len(count)), count)
+
+
+def longest(text: Words, at: np.ndarray, part: Part) -> tuple[np.ndarray, np.ndarray]:
+    """The longest match at each place: its words, and a place in the benchmark."""
+    full = np.full(len(at), len(part.text.words))
+    slot = search(part.text, part.order, text, at, full, False)
+    best, where = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    for near in (slot, slot - 1):
+        place = part.order[np.clip(near, 0, len(part.order) - 1)]
+        n = text.shared(at, part.text, place, full)
+        where = np.where(n > best, place, where)
+        best = np.maximum(best, n)
+    return best, where
+
+
+def join_runs(runs: list[tuple[int, int]]) -> list[dict[str, int]]:
+    out: list[dict[str, int]] = []
+    for s, e in sorted(runs):
+        if out and s <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], e)
+        else:
+            out.append({"start": s, "end": e})
+    return out
+
+
+def marks(texts: list[str | None], part: Part | None, window: int, before: dict[str, list] | None = None) -> dict[str, list]:
+    """The columns of ``MARKS`` for a batch of whole documents, with what earlier parts have found."""
     n = len(texts)
-    n_words, n_hit, items, matches = [0] * n, [0] * n, [set() for _ in range(n)], [[] for _ in range(n)]
-    for base, part in pieces(texts):
-        hashes, bounds = word_hashes(part)
+    out = {"_n_words": [0] * n, "_n_hit": [0] * n, "_items": [[] for _ in range(n)], "_hits": [[] for _ in range(n)], "_matches": [[] for _ in range(n)]} if before is None else before
+    for base, shard in pieces(texts, SHARD):
+        hashes, bounds = word_hashes(shard)
         count = np.diff(bounds)
-        n_words[base : base + len(part)] = count.tolist()
-        begins = bounds[:-1] + np.arange(len(part))
-        spot = np.arange(len(hashes)) + np.repeat(np.arange(len(part)), count)
-        masks: dict[int, np.ndarray] = {}
-        for block in blocks if len(hashes) else ():
-            ids = np.zeros(len(hashes) + len(part) + block.words.shape[1], np.int64)  # a zero after each document
-            ids[spot] = ids_of(hashes, block.vocab)
-            at, which = occurrences(ids, block)
-            doc = np.searchsorted(begins, at, "right") - 1
-            for d in np.unique(doc):
-                own = doc == d
-                start, w = at[own] - begins[d], which[own]
-                delta = np.zeros(count[d] + 1, np.int64)
-                np.add.at(delta, start, 1)
-                np.add.at(delta, start + block.length[w], -1)
-                masks[d] = masks.get(d, False) | (np.cumsum(delta[:-1]) > 0)
-                items[base + d] |= {block.names[i] for i in np.unique(block.item[w])}
-                matches[base + d] += [{"item_id": block.names[i], "doc_word": int(s), "item_word": int(p), "n_words": int(x)} for i, s, p, x in diagonals(start, block.item[w], block.place[w], block.length[w])]
-        for d, mask in masks.items():
-            n_hit[base + d] = int(mask.sum())
-    return {"_n_words": n_words, "_n_hit": n_hit, "_items": [sorted(x) for x in items], "_matches": matches}
-
-
-def blocks_of(benchmark: DataFrame, window: int, block_bytes: int, max_bytes: int) -> list[Block]:
-    """The benchmark in blocks. It is a query set of a stated size, which is checked before anything is fetched."""
+        out["_n_words"][base : base + len(shard)] = count.tolist()
+        if part is None or not len(hashes):
+            continue
+        begins = bounds[:-1] + np.arange(len(shard))  # a zero after each document
+        words = np.zeros(len(hashes) + len(shard), np.uint64)
+        words[np.arange(len(hashes)) + np.repeat(np.arange(len(shard)), count)] = np.maximum(hashes, 2)
+        text = Words(words)
+        at, which = occurrences(text, part, window)
+        if not len(at):
+            continue
+        change = np.zeros(len(words) + 1, np.int64)
+        np.add.at(change, at, 1)
+        np.add.at(change, at + part.length[which], -1)
+        edge = np.flatnonzero(np.diff(np.cumsum(change) > 0, prepend=False))
+        runs = defaultdict(list)
+        for d, s, e in zip(np.searchsorted(begins, edge[::2], "right") - 1, edge[::2], edge[1::2], strict=True):
+            runs[d].append((int(s - begins[d]), int(e - begins[d])))
+        for d, own in runs.items():
+            out["_hits"][base + d] = hits = join_runs([*own, *((h["start"], h["end"]) for h in out["_hits"][base + d])])
+            out["_n_hit"][base + d] = sum(h["end"] - h["start"] for h in hits)
+        doc = np.searchsorted(begins, at, "right") - 1
+        pairs = np.unique(np.stack([doc, which], 1), axis=0)
+        for d in np.unique(doc):
+            own = pairs[np.searchsorted(pairs[:, 0], d) : np.searchsorted(pairs[:, 0], d, "right"), 1]
+            found = np.unique(np.concatenate([part.items[part.first[w] : part.first[w + 1]] for w in own]))
+            out["_items"][base + d] = sorted({part.names[i] for i in found} | set(out["_items"][base + d]))
+        place = np.unique(at)
+        size, where = longest(text, place, part)
+        fresh = np.r_[True, (np.diff(place) != 1) | (size[1:] >= size[:-1])]
+        item = np.searchsorted(part.begins, where, "right") - 1
+        for p, k, i, w, d in zip(place[fresh], size[fresh], item[fresh], where[fresh], np.searchsorted(begins, place[fresh], "right") - 1, strict=True):
+            out["_matches"][base + d].append({"doc_word": int(p - begins[d]), "n_words": int(k), "item_id": part.names[i], "item_word": int(w - part.begins[i])})
+    return out
+
+
+def parts_of(benchmark: DataFrame, part_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    """The benchmark's (item, text) in parts that hold about ``part_bytes`` each."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = rows.select(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    if size > max_bytes:
-        raise ValueError(f"the benchmark has {size} bytes; max_benchmark_bytes is {max_bytes}")
-    out, held, n = [], [], 0
-    for row in rows.toLocalIterator():
-        if held and n + len(row.text) > block_bytes:
-            out.append(make_block(held, window))
-            held, n = [], 0
-        held.append((row.item_id, row.text))
-        n += len(row.text)
-    return [b for b in (*out, make_block(held, window)) if b is not None]
+    size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    n = -(-size // part_bytes)
+    for k in range(n):
+        yield [tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toLocalIterator()]
+
+
+def add_marks(docs: DataFrame, part: Part | None, window: int, text_col: str, again: bool) -> DataFrame:
+    """One pass: ``docs`` with ``MARKS``; ``again``: they are there and get more."""
+    keep = [c for c in docs.columns if c not in MARKS]
+    name = lambda c: "`" + c.replace("`", "``") + "`"
+    given = docs.select(*(F.col(name(c)) for c in keep), F.col(name(text_col)).cast("string").alias("_given"), *(MARKS if again else ()))
+    schema = "".join(f"{name(c)} {docs.schema[c].dataType.simpleString()}, " for c in keep) + ", ".join(f"{k} {d}" for k, (d, _) in MARKS.items())
+    given = given.toDF(*(f"c{i}" for i in range(len(given.columns))))
+    sent = docs.sparkSession.sparkContext.broadcast(part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before = {k: batch.column(len(keep) + 1 + i).to_pylist() for i, k in enumerate(MARKS)} if again else None
+            made = marks(batch.column(len(keep)).to_pylist(), sent.value, window, before)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(made[k], t) for k, (_, t) in MARKS.items())], [*keep, *MARKS])
+
+    return given.mapInArrow(run, schema)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", block_bytes: int = 1 << 20, max_benchmark_bytes: int = 64 << 20) -> DataFrame:
-    """``docs`` with ``_n_words``, ``_n_hit`` (words inside an occurrence), ``_items`` and ``_matches``."""
-    sent = docs.sparkSession.sparkContext.broadcast(blocks_of(benchmark, window, block_bytes, max_benchmark_bytes))
-    return add_columns(docs, text_col, MARKS, lambda texts: marks(texts, sent.value))
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", part_bytes: int = 8 << 20) -> DataFrame:
+    """``docs`` with ``_n_words``, ``_n_hit`` (words inside an occurrence), ``_items``, ``_hits`` and ``_matches``."""
+    out = None
+    for items in parts_of(benchmark, part_bytes):
+        out = add_marks(docs, make_part(items, window), window, text_col, False) if out is None else add_marks(cut(out, "marks"), make_part(items, window), window, text_col, True)
+    return add_marks(docs, None, window, text_col, False) if out is None else out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents that share no window with the benchmark, with their own columns."""
-    return find_contamination(docs, benchmark, window).filter(F.col("_n_hit") == 0).select(*docs.columns)
+    """The documents that share no window with the benchmark, with their own columns, whatever these are called."""
+    own = [f"_c{i}" for i in range(len(docs.columns))]
+    found = find_contamination(docs.toDF(*own), benchmark, window, own[docs.columns.index("text")])
+    return found.filter(F.col("_n_hit") == 0).select(*own).toDF(*docs.columns)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    longest = F.coalesce(F.array_max(F.transform("_matches", lambda m: m["n_words"])), F.lit(0)).cast("long")
-    return found.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "_items"), 256).alias("items_sha256"), (F.col("_n_hit") > 0).alias("contaminated"), longest.alias("longest_match"))
+    most = F.coalesce(F.array_max(F.transform("_matches", lambda m: m["n_words"])), F.lit(0)).cast("long")
+    return found.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "_items"), 256).alias("items_sha256"), (F.col("_n_hit") > 0).alias("contaminated"), most.alias("longest_match"))
 
 
-def brute_force(texts: list[str | None], items: list[tuple[str, str | None]], window: int = 10) -> list[tuple[int, int, int, str]]:
-    """The same figures from lists of words, for tests."""
+def brute_force(texts: list[str | None], items: list[tuple[str, str | None]], window: int = 10) -> list[tuple[int, int, int, str, int]]:
+    """The same figures, and the longest match, from lists of words, for tests."""
     import re
 
     from sparkloom.llm.common import WORD
 
     words = lambda t: re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    wins = []
-    for name, text in items:
-        w = words(text)
+    wins, whole = [], [words(text) for _, text in items]
+    for (name, _), w in zip(items, whole, strict=True):
         n = min(window, len(w))
         wins += [(name, w[i : i + n]) for i in range(len(w) - n + 1)] if n else []
     out = []
     for text in texts:
-        w, hit, names = words(text), set(), set()
+        w, hit, names, starts = words(text), set(), set(), set()
         for name, win in wins:
             for i in range(len(w) - len(win) + 1):
                 if w[i : i + len(win)] == win:
                     hit |= set(range(i, i + len(win)))
                     names.add(name)
-        out.append((len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()))
+                    starts.add(i)
+        most = 0
+        for p in starts:
+            for item in whole:
+                for j in range(len(item)):
+                    most = max(most, next((k for k, (x, y) in enumerate(zip(w[p:], item[j:])) if x != y), min(len(w) - p, len(item) - j)))
+        out.append((len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), most))
     return out

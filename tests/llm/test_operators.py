@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from compare import connect, differences
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkloom.llm import decontaminate, jaccard_join, mixing, neighbours, pii, registry, secrets, token_counts, token_files, toxicity, warc
@@ -217,14 +218,39 @@ def test_toxicity_with_one_null_column(spark, missing):
     assert ((out._p_toxic >= 0.5) == (out.doc_id % 3 == 0)).all()
 
 
-def test_decontamination(spark, docs, odd):
+def decontamination_rows(df):
+    return [(r._n_words, r._n_hit, len(r._items), hashlib.sha256(",".join(r._items).encode()).hexdigest(), max([m.n_words for m in r._matches], default=0)) for r in df]
+
+
+@pytest.mark.parametrize("part_bytes", [600, 8 << 20])
+def test_decontamination(spark, docs, odd, part_bytes):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    odd_bench = spark.createDataFrame([(1, "A b c"), (2, None), (3, "wort " * 12), (None, "d e")], "item_id long, text string")
-    for df, b in ((docs, bench), (odd, odd_bench), (odd, odd_bench.limit(0))):
-        rows = decontaminate.find_contamination(df, b, block_bytes=600).collect()
-        want = decontaminate.brute_force([r.text for r in rows], [("" if r.item_id is None else str(r.item_id), r.text) for r in b.collect()]) if len(ODD) != len(rows) or b.count() else [(r._n_words, 0, 0, hashlib.sha256(b"").hexdigest()) for r in rows]
-        assert [(r._n_words, r._n_hit, len(r._items), hashlib.sha256(",".join(r._items).encode()).hexdigest()) for r in rows] == want
-    assert decontaminate.decontaminate(odd, odd_bench).columns == odd.columns
+    odd_bench = spark.createDataFrame([(1, "A b c"), (2, None), (3, "wort " * 12), (None, "d e"), (4, ""), (1, "A b c"), (5, "e f")], "item_id long, text string")
+    short = odd.withColumn("text", F.substring("text", 1, 900))
+    for df, b in ((docs, bench), (short, odd_bench), (short, odd_bench.limit(0)), (short.limit(0), odd_bench)):
+        rows = decontaminate.find_contamination(df, b, part_bytes=part_bytes * (20 if df is docs else 1)).collect()
+        want = decontaminate.brute_force([r.text for r in rows], [("" if r.item_id is None else str(r.item_id), r.text) for r in b.collect()])
+        assert decontamination_rows(rows) == want
+    clash = odd.selectExpr("*", "1 AS _n_hit", "'x' AS _given", "2 AS `a.b`", "3 AS _hits")
+    assert decontaminate.decontaminate(clash, odd_bench).columns == clash.columns
+    assert {tuple(r)[6:] for r in decontaminate.decontaminate(clash, odd_bench).collect()} == {(1, "x", 2, 3)}
+
+
+def test_decontamination_of_a_shared_window(spark):
+    items = [(i, f"start{i} " + "one two three four five six seven eight nine ten") for i in range(600)]
+    doc = "one two three four five six seven eight nine ten " * 200
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    row = decontaminate.find_contamination(spark.createDataFrame([(1, doc), (2, doc + "start7 one two three four five six seven eight nine")], "doc_id long, text string"), bench).orderBy("doc_id").collect()
+    assert [(r._n_hit, len(r._items), len(r._matches)) for r in row] == [(2000, 600, 200), (2010, 600, 201)]
+    assert row[1]._matches[-1].asDict() == {"doc_word": 2000, "n_words": 10, "item_id": "7", "item_word": 0}
+
+
+def test_suffix_array_is_sorted():
+    rng = np.random.default_rng(1)
+    words = rng.integers(2, 5, 300).astype(np.uint64)
+    for depth in (1, 3, 10, 400):
+        order = decontaminate.suffix_array(words, depth).tolist()
+        assert order == sorted(range(300), key=lambda i: [*words[i : i + depth].tolist(), *[2] * max(0, i + depth - 300)])
 
 
 def test_secrets(spark, docs, odd):
