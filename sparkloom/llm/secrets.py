@@ -2,21 +2,24 @@
 
 The automata come from state merging (ALERGIA): credentials of one kind form a prefix tree whose states are merged,
 in red-blue order, while Hoeffding's bound finds their symbol and end frequencies compatible. A second automaton is
-inferred from ordinary long runs. Every run of 12 or more credential characters is a candidate, unless fixed patterns
-cover it from end to end; one that they cover in part is scored whole. The score is the log-likelihood ratio a
-character of the best kind's automaton against the ordinary one, and the run becomes a span ``like_<kind>`` where it
-passes the level that ``HIT`` of the labelled credentials reach.
-
-The automata are fitted on the ``SAMPLE`` strings of a kind (and ordinary runs that no pattern touches) that have the
-smallest hashes in all documents; kinds with fewer than ``LEAST`` in the corpus get none. All documents are scanned
-whole. Null and empty texts have no spans. Repeated rows are scanned on their own. Other columns are kept. Positions
-are code points.
+inferred from ordinary long runs. All candidates are scored: what the fixed patterns find, every run of 12 or more
+credential characters whole, and of a run that they cover in part also the parts that they leave, if these are as long.
+The score is the log-likelihood ratio a character of the best kind's automaton (for a fixed pattern: its own kind's)
+against the ordinary one. A run, or else its uncovered parts, become spans ``like_<kind>`` where they pass the level
+that ``HIT`` of the labelled credentials reach; a run that fixed patterns cover from end to end adds none.
+
+The automata are fitted on the ``SAMPLE`` strings of a kind (and ordinary runs that no pattern touches) of at most
+``LONGEST`` characters that have the smallest hashes in all documents; kinds with fewer than ``LEAST`` in the corpus get
+none, and their fixed patterns' spans have null scores. All documents are scanned whole. Null and empty texts have no
+spans. Repeated rows are scanned on their own. Other columns are kept, but for one named ``_spans``, which is replaced.
+An empty table gives no rows. Positions are code points.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import math
 import re
 from collections import defaultdict
@@ -38,9 +41,10 @@ KINDS = (
 #: The same matches, found faster where a kind's failing matches cannot hide others.
 SEARCH = {"access": re.compile(r"AKIA[A-Z0-9]{14,}"), "hex": re.compile(r"[0-9a-f]{16,}")}
 NAMES = ("passw", "secret", "token", "api")
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+SHORTEST = 12
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
 SYMBOLS = 66
-SAMPLE, LEAST, HIT, ALPHA = 400, 20, 0.95, 0.05
+SAMPLE, LEAST, LONGEST, HIT, ALPHA = 400, 20, 256, 0.95, 0.05
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -149,9 +153,8 @@ def likelihood(table: list, text: str) -> float:
     return total + table[at][2]
 
 
-def runs(text: str, base: list[tuple]) -> Iterator[tuple[int, int, str, bool]]:
-    """Candidates: whole runs of credential characters but those that base spans cover from end to end, and whether no
-    base span touches them."""
+def runs(text: str, base: list[tuple]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """(start, end, parts that no base span covers) of all runs of credential characters."""
     taken = []
     for s, e in sorted((s, e) for s, _, e, _ in base):
         if taken and s <= taken[-1][1]:
@@ -160,11 +163,16 @@ def runs(text: str, base: list[tuple]) -> Iterator[tuple[int, int, str, bool]]:
             taken.append([s, e])
     k = 0
     for m in RUN.finditer(text):
+        at, free = m.start(), []
         while k < len(taken) and taken[k][1] <= m.start():
             k += 1
-        free = k == len(taken) or taken[k][0] >= m.end()
-        if free or taken[k][0] > m.start() or taken[k][1] < m.end():
-            yield m.start(), m.end(), m[0], free
+        for s, e in itertools.takewhile(lambda t: t[0] < m.end(), itertools.islice(taken, k, None)):
+            if at < s:
+                free.append((at, s))
+            at = e
+        if at < m.end():
+            free.append((at, m.end()))
+        yield m.start(), m.end(), free
 
 
 def least(values: set[str]) -> set[str]:
@@ -186,8 +194,9 @@ def labelled(docs: DataFrame, text_col: str) -> DataFrame:
             for text in batch["text"]:
                 base = base_spans(text)
                 for _, r, _, v in base:
-                    held[KINDS[r][0]].add(v[:256])
-                held["ordinary"].update(v[:256] for *_, v, free in runs(text, base) if free)
+                    if len(v) <= LONGEST:
+                        held[KINDS[r][0]].add(v)
+                held["ordinary"].update(text[s:e] for s, e, free in runs(text, base) if free == [(s, e)] and e - s <= LONGEST)
                 for kind, values in held.items():
                     if len(values) > 8 * SAMPLE:
                         held[kind] = least(values)
@@ -220,18 +229,29 @@ def find_secrets(docs: DataFrame, automata: dict | None = None, text_col: str =
     ordinary = automata["ordinary"][0]
     kinds = [k[0] for k in KINDS]
 
+    def ratio(kind: str, value: str) -> float:
+        return (likelihood(automata[kind][0], value) - likelihood(ordinary, value)) / len(value)
+
+    def like(text: str, start: int, end: int) -> tuple | None:
+        """The span of a candidate whose best kind's score passes that kind's level."""
+        against, n = likelihood(ordinary, text[start:end]), end - start
+        score, rank = max(((likelihood(automata[k][0], text[start:end]) - against) / n, -r) for r, k in enumerate(kinds) if k in automata)
+        return (start, len(kinds) - rank, end, score) if score >= automata[kinds[-rank]][1] else None
+
     def compute(texts: list[str | None]) -> dict[str, list]:
         out = []
         for text in texts:
             text = text or ""
             base = base_spans(text)
-            spans = [(s, r, e, 0.0) for s, r, e, _ in base]
-            for s, e, value, _ in runs(text, base) if len(automata) > 1 else ():
-                against = likelihood(ordinary, value)
-                best = max(((likelihood(automata[k][0], value) - against) / len(value), -i, k) for i, k in enumerate(kinds) if k in automata)
-                if best[0] >= automata[best[2]][1]:
-                    spans.append((s, len(kinds) - best[1], e, best[0]))
-            out.append([{"kind": kinds[r] if r < len(kinds) else "like_" + kinds[r - len(kinds)], "start": s, "end": e, "score": x} for s, r, e, x in sorted(spans)])
+            spans = [(s, r, e, ratio(kinds[r], v) if kinds[r] in automata else None) for s, r, e, v in base]
+            for s, e, free in runs(text, base) if len(automata) > 1 else ():
+                if free:
+                    found = [like(text, s, e)]
+                    if found == [None] and free != [(s, e)]:
+                        found = [like(text, *part) for part in free if part[1] - part[0] >= SHORTEST]
+                    spans += [x for x in found if x]
+            spans.sort(key=lambda x: x[:3])
+            out.append([{"kind": kinds[r] if r < len(kinds) else "like_" + kinds[r - len(kinds)], "start": s, "end": e, "score": x} for s, r, e, x in spans])
         return {"_spans": out}
 
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])

@@ -280,11 +280,75 @@ def test_secrets_sample_does_not_depend_on_tasks(spark, docs):
 
 def test_secrets_candidates(spark):
     enclosing = "sk-0123456789abcdefXYZ"
-    texts = ["a deadbeef0123 b", f"a {enclosing} b", "a password=abcdefghijkl b", "a shortbare12 b"]
+    texts = ["a deadbeef0123 b", f"a {enclosing} b", "a password=abcdefghijkl b", "a shortbare12 b", "zz" + "a1" * 10 + "ZZZZ_" * 8]
     table = secrets.Automaton(["deadbeef0123"] * 20).infer().table()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = secrets.find_secrets(df, {"ordinary": (table, 0.0), "hex": (table, -1e9)}).orderBy("doc_id").collect()
-    assert [[(s.kind, s.start, s.end) for s in r._spans] for r in found] == [[("like_hex", 2, 14)], [("like_hex", 2, 24), ("hex", 5, 21)], [("assign", 2, 23)], []]
+    assert [[(s.kind, s.start, s.end) for s in r._spans] for r in found] == [[("like_hex", 2, 14)], [("like_hex", 2, 24), ("hex", 5, 21)], [("assign", 2, 23)], [], [("like_hex", 0, 62), ("hex", 2, 22)]]
+    assert [[s.score for s in r._spans] for r in found] == [[0.0], [0.0, 0.0], [None], [], [0.0, 0.0]]
+
+
+def plain_likelihood(table, text):
+    """Step by step over states: an unseen symbol starts over."""
+    at, total = 0, 0.0
+    for c in text:
+        if c in table[at][0]:
+            at, p = table[at][0][c]
+        else:
+            at, p = 0, table[at][1]
+        total += p
+    return total + table[at][2]
+
+
+def plain_secrets(text, automata):
+    """All spans by marking covered characters one by one."""
+    text, kinds, spans = text or "", [k[0] for k in secrets.KINDS], []
+    base = secrets.brute_force(text)
+    covered = [False] * len(text)
+    for x in base:
+        _, s, e = x.split(":")
+        covered[int(s) : int(e)] = [True] * (int(e) - int(s))
+        spans.append((int(s), kinds.index(x.split(":")[0]), int(e)))
+
+    def like(s, e):
+        best = None
+        for r, k in enumerate(kinds):
+            if k in automata:
+                x = (plain_likelihood(automata[k][0], text[s:e]) - plain_likelihood(automata["ordinary"][0], text[s:e])) / (e - s)
+                best = (x, r) if best is None or x > best[0] else best
+        if best and best[0] >= automata[kinds[best[1]]][1]:
+            spans.append((s, len(kinds) + best[1], e))
+            return True
+
+    for m in re.finditer("[A-Za-z0-9+/_.=-]+", text):
+        flags = covered[m.start() : m.end()]
+        if len(m[0]) >= 12 and not all(flags) and not like(m.start(), m.end()) and any(flags):
+            for part in re.finditer("o{12,}", "".join("xo"[not f] for f in flags)):
+                like(m.start() + part.start(), m.start() + part.end())
+    return [f"{kinds[r] if r < 3 else 'like_' + kinds[r - 3]}:{s}:{e}" for s, r, e in sorted(spans)]
+
+
+def test_secrets_against_marking(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    automata = secrets.infer_automata(docs)
+    assert {"ordinary", "hex"} <= set(automata)
+    rng = np.random.default_rng(3)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 24)) for _ in range(60)]
+    glued = [f"x {h[:14].upper()}{g}-{h[:13].swapcase()} y {h[:15]} AKIA{h.upper()}_{g[:14]}" for h, g in zip(hexes, hexes[::-1], strict=True)]
+    texts = docs.unionByName(spark.createDataFrame([(-1 - i, t) for i, t in enumerate([*glued, None, "", "ab/" * 30_000])], "doc_id long, text string"))
+    rows = secrets.find_secrets(texts, automata).collect()
+    got = [[f"{s.kind}:{s.start}:{s.end}" for s in r._spans] for r in rows]
+    assert got == [plain_secrets(r.text, automata) for r in rows]
+    assert any(x.startswith("like_") for g in got for x in g)
+
+
+def test_merged_states_accept_a_language():
+    strings = ["ab" * k for k in (1, 1, 1, 1, 2, 2, 3, 4)] * 20
+    automaton = secrets.Automaton(strings).infer()
+    assert len(automaton.visits) <= 4
+    table = automaton.table()
+    assert secrets.likelihood(table, "ab" * 9) > secrets.likelihood(table, "ba" * 9)
+    assert sum(automaton.ends) == len(strings)
 
 
 def test_neighbours(spark):
