@@ -47,6 +47,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shielded(df: DataFrame, needed: Iterable[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with all columns but ``needed`` renamed, so that none clashes with an operator's own; and the new names.
+
+    ``select(*names).toDF(*df.columns)`` gives them their names back.
+    """
+    names = [c if c in needed else f"x{i}" for i, c in enumerate(df.columns)]
+    return df.toDF(*names), names
+
+
 def chunks(sizes: list[int], most: int = 1 << 17) -> Iterator[slice]:
     """Consecutive texts that come to ``most`` characters; a longer text is a chunk of its own."""
     first = held = 0

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, pieces, word_hashes
+from sparkloom.llm.common import cut, pieces, shielded, word_hashes
 
 SHARD = 4 << 20
 _HIT = pa.struct([("start", pa.int32()), ("end", pa.int32())])
@@ -252,9 +252,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents that share no window with the benchmark, with their own columns, whatever these are called."""
-    own = [f"_c{i}" for i in range(len(docs.columns))]
-    found = find_contamination(docs.toDF(*own), benchmark, window, own[docs.columns.index("text")])
-    return found.filter(F.col("_n_hit") == 0).select(*own).toDF(*docs.columns)
+    given, names = shielded(docs, ["text"])
+    return find_contamination(given, benchmark, window).filter(F.col("_n_hit") == 0).select(*names).toDF(*docs.columns)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

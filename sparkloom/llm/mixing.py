@@ -1,25 +1,32 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions alone.
 
 Documents fall into cells by source, language and topic. A cell's weight starts as its tokens. Each sweep scales the
-weights to the target share of every source, then of every language, then of every topic; after ``sweeps`` sweeps the
-cell's share of the token budget, over its tokens, is the probability with which each of its documents is kept.
-A document's draw depends on its id and text alone, so repeated attempts decide alike.
+weights to the target share of every source, then of every language, then of every topic, until a sweep changes no
+factor by more than ``TOLERANCE`` or ``sweeps`` sweeps are done. The cell's share of the token budget, over its tokens,
+is the probability with which each of its documents is kept. A document's draw depends on its id and text alone, so
+repeated attempts decide alike.
+
+A weight is the cell's tokens times a factor for each dimension, so a step aggregates the cells by one dimension, with
+partial sums first, and writes that dimension's factors. Neither cells nor factors have to fit into a task or the
+driver; written, their sizes are known, and Spark broadcasts factors only below its threshold.
 
 Null and empty values of a dimension are categories of their own ("" stands for both); null texts have no tokens and
 are dealt with like any other document of their cell. Cells without tokens keep all their documents. A probability is
-at most 1: a cell that has less than its share gives all it has. Repeated rows share their draw. All columns are kept.
-Cells are as many as distinct combinations in the data; they alone go through single-partition windows.
+at most 1: a cell that has less than its share gives all it has. Repeated rows share their draw. All columns are kept,
+but for those named ``_topic``, ``_p`` and ``_keep``, which are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import WORD, cut
+from sparkloom.llm.common import WORD, cut, shielded
 
 #: The parameters of the query.
-SWEEPS, EXPONENT, FRACTION = 12, 0.5, 0.6
+SWEEPS, EXPONENT, FRACTION, TOLERANCE = 12, 0.5, 0.6, 1e-12
 DIMENSIONS = ("source", "lang", "topic")
 
 
@@ -43,53 +50,75 @@ def cells_of(docs: DataFrame) -> DataFrame:
     return docs.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
 
 
+def with_column(cells: DataFrame, d: str, values: DataFrame, name: str) -> DataFrame:
+    """``cells`` with a column of ``values(_v, <name>)`` for their value of a dimension; 0 where it has none."""
+    return cells.join(values, F.col(d) == F.col("_v"), "left").drop("_v").fillna(0.0, [name])
+
+
 def tempered(cells: DataFrame, exponent: float) -> DataFrame:
     """Add ``target_<dimension>``: each value's share, in proportion to its tokens to a power."""
     for d in DIMENSIONS:
-        w = Window.partitionBy(d)
-        once = F.when(F.row_number().over(w.orderBy(*(x for x in DIMENSIONS if x != d))) == 1, F.pow(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(exponent)))
-        cells = cells.withColumn("_once", once)
-        cells = cells.withColumn(f"target_{d}", F.max("_once").over(w) / F.sum("_once").over(Window.partitionBy())).drop("_once")
+        parts = cut(cells.groupBy(F.col(d).alias("_v")).agg(F.pow(F.sum("tokens"), F.lit(exponent)).alias("part")), "targets")
+        total = parts.agg(F.sum("part")).first()[0] or 1.0
+        cells = with_column(cells, d, parts.select("_v", (F.col("part") / F.lit(total)).alias(f"target_{d}")), f"target_{d}")
     return cells
 
 
 def with_targets(cells: DataFrame, targets: DataFrame) -> DataFrame:
     """Add the shares of a table ``(dimension, value, share)``; values that it doesn't name get none."""
     for d in DIMENSIONS:
-        own = targets.filter(F.col("dimension") == d).select(F.col("value").alias("_v"), F.col("share").alias(f"target_{d}"))
-        cells = cells.join(own, F.col(d).eqNullSafe(F.col("_v")), "left").drop("_v").fillna(0.0, [f"target_{d}"])
+        own = targets.filter(F.col("dimension") == d).groupBy(F.coalesce("value", F.lit("")).alias("_v")).agg(F.sum("share").alias(f"target_{d}"))
+        cells = with_column(cells, d, own, f"target_{d}")
     return cells
 
 
-def rake(cells: DataFrame, sweeps: int) -> DataFrame:
+def rake(cells: DataFrame, sweeps: int, tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` with ``weight``: tokens scaled to the target shares of each dimension in turn."""
-    cells = cells.coalesce(1).withColumn("weight", F.col("tokens"))
+    cells = cut(cells, "cells")
+    factors: dict[str, DataFrame] = {}
+
+    def weighed(*dims: str) -> DataFrame:
+        out = cells
+        for d in dims:
+            out = with_column(out, d, factors[d].select("_v", F.col("factor").alias(f"f_{d}")), f"f_{d}") if d in factors else out.withColumn(f"f_{d}", F.lit(1.0))
+        return out
+
+    product = lambda dims: F.col("tokens") * reduce(Column.__mul__, (F.col(f"f_{d}") for d in dims))
     for _ in range(sweeps):
         for d in DIMENSIONS:
-            now = F.sum("weight").over(Window.partitionBy(d))
-            cells = cells.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"target_{d}") / now).otherwise(0.0))
-    return cells
+            others = [x for x in DIMENSIONS if x != d]
+            now = weighed(*DIMENSIONS).groupBy(F.col(d).alias("_v")).agg(F.sum(product(others)).alias("now"), F.max(f"target_{d}").alias("target"), F.max(f"f_{d}").alias("before"))
+            factors[d] = cut(now.select("_v", F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(0.0).alias("factor"), "before"), "factors")
+        changes = reduce(DataFrame.unionByName, (f.select((F.abs(F.col("factor") - F.col("before")) > F.lit(tolerance) * F.col("factor")).alias("moved")) for f in factors.values()))
+        if changes.filter("moved").isEmpty():
+            break
+    return weighed(*DIMENSIONS).withColumn("weight", product(DIMENSIONS)).drop(*(f"f_{d}" for d in DIMENSIONS))
 
 
 def calibrate(cells: DataFrame, fraction: float) -> DataFrame:
     """``cells`` with ``p``: the probability that a document of the cell is kept."""
-    total, weight = F.sum("tokens").over(Window.partitionBy()), F.sum("weight").over(Window.partitionBy())
-    p = F.when((F.col("tokens") == 0) | (weight == 0), 1.0).otherwise(F.least(F.lit(1.0), fraction * total * F.col("weight") / weight / F.col("tokens")))
+    tokens, weight = (F.lit(float(x or 0.0)) for x in cells.agg(F.sum("tokens"), F.sum("weight")).first())
+    p = F.when((F.col("tokens") == 0) | (weight == 0), 1.0).otherwise(F.least(F.lit(1.0), fraction * tokens * F.col("weight") / weight / F.col("tokens")))
     return cells.withColumn("p", F.round(p, 9))
 
 
 def mix_documents(docs: DataFrame, targets: DataFrame | None = None, fraction: float = FRACTION, exponent: float = EXPONENT, sweeps: int = SWEEPS, topic: Column | None = None) -> DataFrame:
-    """``docs`` with ``_p`` and ``_keep``; without ``targets``, shares follow tokens to the power ``exponent``."""
+    """``docs`` with ``_topic``, ``_p`` and ``_keep``; without ``targets``, shares follow tokens to the power ``exponent``.
+
+    ``topic`` may name ``doc_id``, ``text``, ``source`` and ``lang`` only; without it, :func:`topic_of` the text.
+    """
+    given, names = shielded(docs, ("doc_id", "text", "source", "lang"))
     plain = {"_source": F.col("source"), "_lang": F.col("lang"), "_topic": topic_of(F.col("text")) if topic is None else topic}
-    marked = docs.withColumns({k: F.coalesce(v.cast("string"), F.lit("")) for k, v in plain.items()})
-    cells = cells_of(marked.select(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS), n_tokens(F.col("text")).alias("tokens")))
-    cells = tempered(cells.coalesce(1), exponent) if targets is None else with_targets(cells, targets)
+    marked = given.withColumns({k: F.coalesce(v.cast("string"), F.lit("")) for k, v in plain.items()})
+    cells = cut(cells_of(marked.select(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS), n_tokens(F.col("text")).alias("tokens"))), "cells")
+    cells = tempered(cells, exponent) if targets is None else with_targets(cells, targets)
     cells = calibrate(rake(cells, sweeps), fraction).select(*(F.col(d).alias(f"_c_{d}") for d in DIMENSIONS), F.col("p").alias("_p"))
     # Written, the cells have a known size: Spark broadcasts them only below its threshold, else it splits a hot cell.
     cells = cut(cells, "cells")
-    same = [F.col(f"_{d}") == F.col(f"_c_{d}") for d in DIMENSIONS]
-    out = marked.join(cells, same, "left").withColumn("_p", F.coalesce("_p", F.lit(1.0)))
-    return out.withColumn("_keep", draw(F.col("doc_id"), F.col("text")) < F.col("_p")).drop(*(f"_c_{d}" for d in DIMENSIONS))
+    out = marked.join(cells, [F.col(f"_{d}") == F.col(f"_c_{d}") for d in DIMENSIONS], "left").withColumn("_p", F.coalesce("_p", F.lit(1.0)))
+    out = out.withColumn("_keep", draw(F.col("doc_id"), F.col("text")) < F.col("_p"))
+    made = ("_topic", "_p", "_keep")
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c not in made), *made)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -472,6 +472,28 @@ def test_mixing(spark, docs, odd):
     assert mixing.mix_documents(odd.limit(0)).count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(spark, docs):
+    df = docs.selectExpr("*", "1 AS _source", "2 AS _c_source", "3 AS x0", "4 AS tokens", "5 AS `a.b`", "6 AS _keep", "7 AS weight")
+    out = mixing.mix_documents(df)
+    assert out.columns == [c for c in df.columns if c != "_keep"] + ["_topic", "_p", "_keep"]
+    assert {tuple(r) for r in out.select("_source", "_c_source", "x0", "tokens", "`a.b`", "weight").collect()} == {(1, 2, 3, 4, 5, 7)}
+    plain = {r.doc_id: (r._p, r._keep) for r in mixing.mix_documents(docs).collect()}
+    assert {r.doc_id: (r._p, r._keep) for r in out.collect()} == plain
+
+
+def test_raking_against_numpy(spark):
+    rng = np.random.default_rng(7)
+    rows = [(f"s{i}", f"l{j}", f"t{k}", float(rng.integers(0, 50))) for i in range(40) for j in range(6) for k in range(3) if rng.random() < 0.7]
+    cells = mixing.tempered(spark.createDataFrame(rows, "source string, lang string, topic string, tokens double"), 0.5)
+    out = mixing.rake(cells, 9).toPandas()
+    w = out.tokens.to_numpy().copy()
+    for _ in range(9):
+        for d in mixing.DIMENSIONS:
+            now = out.assign(w=w).groupby(d).w.transform("sum").to_numpy()
+            w = np.where(now > 0, w * out[f"target_{d}"].to_numpy() / np.where(now > 0, now, 1), 0.0)
+    assert np.allclose(out.weight, w, rtol=1e-9)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = corpus_pipeline.run(spark, SF)
