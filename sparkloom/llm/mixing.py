@@ -7,8 +7,8 @@ is the probability with which each of its documents is kept. A document's draw d
 repeated attempts decide alike.
 
 A weight is the cell's tokens times a factor for each dimension, so a step aggregates the cells by one dimension, with
-partial sums first, and writes that dimension's factors. Neither cells nor factors have to fit into a task or the
-driver; written, their sizes are known, and Spark broadcasts factors only below its threshold.
+partial sums first; a sweep's factors are written. Neither cells nor factors have to fit into a task or the driver.
+Factors are broadcast only where a count shows at most ``BROADCAST_VALUES`` values of the dimension.
 
 Null and empty values of a dimension are categories of their own ("" stands for both); null texts have no tokens and
 are dealt with like any other document of their cell. Cells without tokens keep all their documents. A probability is
@@ -28,6 +28,7 @@ from sparkloom.llm.common import WORD, cut, shielded
 #: The parameters of the query.
 SWEEPS, EXPONENT, FRACTION, TOLERANCE = 12, 0.5, 0.6, 1e-12
 DIMENSIONS = ("source", "lang", "topic")
+BROADCAST_VALUES = 100_000
 
 
 def n_tokens(text: Column) -> Column:
@@ -75,24 +76,28 @@ def with_targets(cells: DataFrame, targets: DataFrame) -> DataFrame:
 def rake(cells: DataFrame, sweeps: int, tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` with ``weight``: tokens scaled to the target shares of each dimension in turn."""
     cells = cut(cells, "cells")
-    factors: dict[str, DataFrame] = {}
+    few = dict(zip(DIMENSIONS, (n <= BROADCAST_VALUES for n in cells.agg(*(F.countDistinct(d) for d in DIMENSIONS)).first()), strict=True))
+    factors = {d: cells.select(F.col(d).alias(f"v_{d}"), F.lit(1.0).alias(f"f_{d}")).distinct() for d in DIMENSIONS}
 
-    def weighed(*dims: str) -> DataFrame:
+    def weighed(now: dict[str, DataFrame]) -> DataFrame:
         out = cells
-        for d in dims:
-            out = with_column(out, d, factors[d].select("_v", F.col("factor").alias(f"f_{d}")), f"f_{d}") if d in factors else out.withColumn(f"f_{d}", F.lit(1.0))
+        for d in DIMENSIONS:
+            out = out.join(F.broadcast(now[d]) if few[d] else now[d], F.col(d) == F.col(f"v_{d}"))
         return out
 
     product = lambda dims: F.col("tokens") * reduce(Column.__mul__, (F.col(f"f_{d}") for d in dims))
     for _ in range(sweeps):
+        now, old = dict(factors), {}
         for d in DIMENSIONS:
-            others = [x for x in DIMENSIONS if x != d]
-            now = weighed(*DIMENSIONS).groupBy(F.col(d).alias("_v")).agg(F.sum(product(others)).alias("now"), F.max(f"target_{d}").alias("target"), F.max(f"f_{d}").alias("before"))
-            factors[d] = cut(now.select("_v", F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(0.0).alias("factor"), "before"), "factors")
-        changes = reduce(DataFrame.unionByName, (f.select((F.abs(F.col("factor") - F.col("before")) > F.lit(tolerance) * F.col("factor")).alias("moved")) for f in factors.values()))
-        if changes.filter("moved").isEmpty():
+            total, target = F.sum(product([x for x in DIMENSIONS if x != d])), F.max(f"target_{d}")
+            old[d] = weighed(now).groupBy(F.col(d).alias(f"v_{d}")).agg(F.when(total > 0, target / total).otherwise(0.0).alias(f"f_{d}"), F.max(f"f_{d}").alias("old"))
+            now[d] = old[d].select(f"v_{d}", f"f_{d}")
+        moved = lambda f: F.abs(F.col(f) - F.col("old")) > tolerance * F.col(f)
+        made = cut(reduce(DataFrame.union, (x.select(F.lit(d).alias("d"), f"v_{d}", f"f_{d}", moved(f"f_{d}").alias("moved")) for d, x in old.items())), "factors")
+        factors = {d: made.filter(F.col("d") == d).select(F.col(made.columns[1]).alias(f"v_{d}"), F.col(made.columns[2]).alias(f"f_{d}")) for d in DIMENSIONS}
+        if made.filter("moved").isEmpty():
             break
-    return weighed(*DIMENSIONS).withColumn("weight", product(DIMENSIONS)).drop(*(f"f_{d}" for d in DIMENSIONS))
+    return weighed(factors).select(*cells.columns, product(DIMENSIONS).alias("weight"))
 
 
 def calibrate(cells: DataFrame, fraction: float) -> DataFrame:
