@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, mix, pieces, word_hashes
+from sparkloom.llm.common import cut, mix, pieces, shielded, word_hashes
 from sparkloom.llm.components import components
 
 #: Words in a run, similarity, coordinates, bucket size, levels, recall by pair, and embedding's slack.
@@ -87,7 +87,7 @@ def embed(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, key, n, sig`` by row of ``docs(doc_id, text)``."""
+    """``doc_id, h, key, n, sig`` by row of ``docs(doc_id, h, text)``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -99,9 +99,9 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 if full:
                     for i, row in zip(full, embed([sets[i] for i in full]), strict=True):
                         sig[i] = row
-                yield pd.DataFrame({"doc_id": ids.iloc[first : first + len(texts)].to_numpy(), "key": [set_key(s) for s in sets], "n": [len(s) for s in sets], "sig": sig}).astype({"doc_id": ids.dtype})
+                yield pd.DataFrame({"doc_id": ids.iloc[first : first + len(texts)].to_numpy(), "h": batch["h"].iloc[first : first + len(texts)].to_numpy(), "key": [set_key(s) for s in sets], "n": [len(s) for s in sets], "sig": sig}).astype({"doc_id": ids.dtype})
 
-    return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key string, n long, sig array<int>")
+    return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, key string, n long, sig array<int>")
 
 
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
@@ -297,13 +297,10 @@ def link_sets(docs: DataFrame, sets: DataFrame, similarity: float, words: int, r
     return cut(whole.mapInPandas(verify, "a string, b string, w long"), "links")
 
 
-def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL) -> DataFrame:
-    """A row per row of ``docs(doc_id, text)``: ``doc_id, class_id, n_links, copy_id, n_copies``.
-
-    ``class_id`` is the smallest id among all documents that links connect, ``n_links`` the number of other documents
-    at the similarity or above, ``copy_id`` the smallest id among those with the same set and ``n_copies`` their number.
-    """
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+def find_classes(docs: DataFrame, similarity: float, words: int, recall: float) -> DataFrame:
+    """A row per row of ``docs(doc_id, text)`` with the columns of :func:`jaccard_join`, ``h`` (a hash of the text) and
+    ``component``: what tells classes apart, null for texts without runs."""
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h"))
     rows = cut(signatures(docs, words), "signatures")
     classes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"))
     one = rows.filter("key IS NOT NULL").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "n", "sig")
@@ -313,25 +310,45 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, words: int = W
     parts = components(found.filter("b IS NOT NULL"))
     named = parts.join(sets.select("key", "doc"), "key")
     names = named.groupBy("component").agg(F.min("doc").alias("class_doc"))
-    linked_sets = named.join(names, "component").select("key", "class_doc").join(links.withColumnRenamed("a", "key"), "key", "left")
-    out = rows.select("doc_id", "key").join(classes, "key", "left").join(linked_sets, "key", "left")
+    linked_sets = named.join(names, "component").select("key", "component", "class_doc").join(links.withColumnRenamed("a", "key"), "key", "left")
+    out = rows.select("doc_id", "h", "key").join(classes, "key", "left").join(linked_sets, "key", "left")
     return out.select(
         "doc_id",
         F.coalesce("class_doc", "doc", "doc_id").alias("class_id"),
         F.when(F.col("key").isNull(), 0).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
         F.coalesce("doc", "doc_id").alias("copy_id"),
         F.coalesce("copies", F.lit(1)).alias("n_copies"),
+        "h",
+        F.coalesce("component", "key").alias("component"),
     )
 
 
+def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL) -> DataFrame:
+    """A row per row of ``docs(doc_id, text)``: ``doc_id, class_id, n_links, copy_id, n_copies``.
+
+    ``class_id`` is the smallest id among all documents that links connect, ``n_links`` the number of other documents
+    at the similarity or above, ``copy_id`` the smallest id among those with the same set and ``n_copies`` their number.
+    Classes whose smallest ids are equal, because different texts share an id, show the same ``class_id``.
+    """
+    return find_classes(docs, similarity, words, recall).drop("h", "component")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, that with the smallest id. Of rows that repeat its id one stays."""
-    kept = jaccard_join(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).withColumnRenamed("doc_id", "_kept")
-    kept = cut(kept, "kept")
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]))
-    once = found.filter("_rows = 1 OR _kept IS NULL").select(*docs.columns)
-    again = found.filter("_rows > 1 AND _kept IS NOT NULL").select(*docs.columns)
-    return once.unionByName(again.dropDuplicates(["doc_id"]))
+    """One row of each class, with its own columns: that with the smallest id, null last, then the smallest text hash.
+
+    Rows are told apart by id and text, so different texts that share an id are kept or dropped each on its own; of
+    rows that repeat both, one stays. Texts without runs (null or empty) are classes of their own and stay, all of them.
+    """
+    given, names = shielded(docs, ("doc_id", "text"))
+    found = find_classes(given, SIMILARITY, WORDS, RECALL)
+    alike = found.filter("component IS NOT NULL").groupBy("component", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    first = alike.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "n")).alias("first"))
+    kept = cut(first.select(F.col("first.doc_id").alias("_kept"), F.col("first.h").alias("_h"), F.col("first.n").alias("_n")), "kept")
+    text = F.col("text").cast("string")
+    marked = given.withColumn("_hash", F.xxhash64(text)).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_hash") == F.col("_h")), "left")
+    once = marked.filter((F.coalesce(text, F.lit("")) == "") | (F.col("_n") == 1)).select(*names)
+    again = marked.filter("_n > 1").select(*names, "_hash").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    return once.unionByName(again).toDF(*docs.columns)
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ symbol-laden and repetitive it is, each in tenths. The features that tell a cate
 chi-squared enter linear models. A later model is trained with out-of-fold probabilities of the earlier ones, so
 that what it sees in training looks like what it gets in use.
 
-Training takes at most ``SAMPLE`` labelled documents a category in expectation, chosen by a hash of the id. All documents are
-scored, whole. Null and empty texts have no words and get the models' intercepts. Labels that are null don't
+Training takes at most ``SAMPLE`` labelled documents a category, those with the smallest hashes of their ids. All
+documents are scored, whole. Null and empty texts have no words and get the models' intercepts. Labels that are null don't
 count, other labels of the document do; of
 several labels of a document the largest holds. A category without two classes in the labels gets the share of its
 positive labels (0 without labels) as its probability everywhere. Repeated rows score alike. Other columns are kept.
@@ -23,7 +23,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import WORD, add_columns, cut
@@ -71,17 +71,17 @@ def squash(odds: float) -> float:
 def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str]) -> DataFrame:
     """``doc_id, found`` and a 0/1 column per category, of a bounded sample of labelled documents."""
     known = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*(F.max(F.col(c).cast("int")).alias(c) for c in categories)).dropna("all", subset=categories)
-    given = known.agg(*(F.count(c) for c in categories)).first()
-    share = [int(min(1.0, SAMPLE / max(n, 1)) * 1_000_003) for n in given]
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_003))
-    known = known.filter(reduce(Column.__or__, (F.col(c).isNotNull() & (drawn < k) for c, k in zip(categories, share, strict=True))))
+    known = cut(known, "labels")
+    order = F.xxhash64("doc_id", F.lit(11)), "doc_id"
+    drawn = [known.filter(F.col(c).isNotNull()).orderBy(*order).limit(SAMPLE).select("doc_id") for c in categories]
+    # At most SAMPLE ids a category: their size is bounded, whatever the corpus.
+    known = known.join(F.broadcast(reduce(DataFrame.union, drawn).distinct()), "doc_id", "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             whole = {c: batch[c].astype("Int32") for c in categories}
             yield batch.assign(found=[sorted(features_of(t)) for t in batch["text"]], **whole).drop(columns="text")
 
-    # At most SAMPLE ids a category in expectation: their size is bounded, whatever the corpus.
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, {', '.join(f'{c} int' for c in categories)}"
     return cut(rows.select("doc_id", "text", *categories).mapInPandas(run, schema.replace(" text string,", "") + ", found array<string>"), "toxicity-sample")

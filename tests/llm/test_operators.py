@@ -57,6 +57,25 @@ def test_jaccard_join(spark, docs, odd):
     assert jaccard_join.keep_one(odd.limit(0)).count() == 0
 
 
+def test_keep_one_goes_by_row(spark):
+    a, b, c = "a b c d e f", "v w x y z", "one two three four five six seven eight nine"
+    rows = [(4, a), (4, b), (2, b), (None, a), (4, a), (9, None), (9, ""), (9, None), (5, c), (5, c), (None, "lone words of a row without an id")]
+    df = spark.createDataFrame([(i, t, "r", 1) for i, t in rows], "doc_id long, text string, _rows string, component int")
+    out = jaccard_join.keep_one(df)
+    assert out.columns == df.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in out.collect()) == sorted([("4", a), ("2", b), ("9", ""), ("9", ""), ("9", ""), ("5", c), ("None", "lone words of a row without an id")])
+    two = spark.createDataFrame([(4, a), (4, b)], "doc_id long, text string")
+    assert sorted(r.text for r in jaccard_join.keep_one(two).collect()) == [a, b]
+
+
+def test_components_of_a_hub_and_a_chain(spark):
+    from sparkloom.llm.components import components
+
+    links = [("hub", f"k{i}") for i in range(3000)] + [(f"z{i:03}", f"z{i + 1:03}") for i in range(40)] + [("q", "q"), (None, "x")]
+    out = {r.key: r.component for r in components(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert out == {k: "hub" for k in ("hub", *(f"k{i}" for i in range(3000)))} | {f"z{i:03}": "z000" for i in range(41)}
+
+
 def test_large_bucket_is_searched_in_blocks(spark):
     base = [f"w{i}" for i in range(200)]
     texts = [" ".join(base[:k] + ["x" + str(k)] + base[k + 1 :]) for k in range(5, 195)] * 2 + [" ".join(base)] * 120
@@ -203,6 +222,45 @@ def test_toxicity_on_held_out_labels(spark):
     assert ((out._p_toxic >= 0.5) & (out.toxic == 0)).mean() < 0.01
 
 
+def test_chain_of_folds_against_plain_fits(spark):
+    """The chain's later model sees out-of-fold log-odds of the earlier one: every step once more, one by one."""
+    rng = np.random.default_rng(8)
+    words = ["alpha", "beta", "gamma", "delta", "kilo", "lima"]
+    texts = [" ".join(rng.choice(words, 5)) for _ in range(240)]
+    first = [int(("alpha" in t) ^ (rng.random() < 0.1)) for t in texts]
+    second = [int(("beta" in t and a) ^ (rng.random() < 0.1)) for t, a in zip(texts, first, strict=True)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(first, second, strict=True))], "doc_id long, one int, two int")
+    chain = toxicity.fit_chain(docs, labels, ["one", "two"])
+    order = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id")).collect()]
+    names = sorted({n for w in chain.weights for n in w})
+    rows = toxicity.training_rows(docs, labels, ["one", "two"])
+    known = sorted(set(toxicity.choose_features(rows, "one", 240, sum(first))) | set(toxicity.choose_features(rows, "two", 240, sum(second))))
+    assert set(names) <= set(known)
+    x = np.asarray([[float(n in toxicity.features_of(texts[i])) for n in known] for i in order], np.float32)
+    y = np.asarray([[first[i], second[i]] for i in order], float)
+    one = toxicity.fit_linear(x, y[:, 0])
+    held = np.zeros(240)
+    for f in range(toxicity.FOLDS):
+        out = np.arange(240) % toxicity.FOLDS == f
+        w = toxicity.fit_linear(x[~out], y[~out, 0])
+        held[out] = x[out] @ w[:-1] + w[-1]
+    two = toxicity.fit_linear(np.c_[x, np.clip(held, -4, 4)].astype(np.float32), y[:, 1])
+    got = toxicity.score_documents(docs, chain).toPandas().set_index("doc_id")
+    squash = lambda z: 1 / (1 + np.exp(-z))
+    z = x @ one[:-1] + one[-1]
+    assert np.allclose(got._p_one[order], squash(z), atol=1e-3)
+    assert np.allclose(got._p_two[order], squash(x @ two[:-2] + two[-2] * np.clip(z, -4, 4) + two[-1]), atol=1e-2)
+
+
+def test_training_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 50)
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat('word ', id % 7) AS text")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS one", "IF(doc_id % 10 = 0, 1, NULL) AS two")
+    rows = toxicity.training_rows(docs, labels, ["one", "two"]).toPandas()
+    assert rows.one.notna().sum() >= 50 and rows.two.notna().sum() >= 50 and len(rows) <= 100
+
+
 def test_toxicity_without_labels(spark, odd):
     labels = spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int")
     out = toxicity.toxicity(odd, odd, labels)
