@@ -37,7 +37,7 @@ NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"(?:[0-9][\x20-
 #: Scores without context, and words that raise them when they stand in the 40 characters before.
 SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.5, "iban": 0.9}
 CONTEXT = {"email": "mail|contact", "ip": "ip|host|server|address", "card": "card|visa|credit|payment", "phone": "phone|call|tel|mobile|fax", "iban": "iban|account|bank"}
-BONUS, REACH = 0.1, 40
+BONUS, REACH, BLOCK = 0.1, 40, 64
 
 
 def digits(value: Column) -> Column:
@@ -74,7 +74,8 @@ def spans_of(kind: str, text: Column) -> Column:
     """array<struct<start, rank, end, kind, value, score>> of the confirmed matches of one kind."""
     found = F.regexp_extract_all(text, F.lit(FAST[kind]), F.lit(0))
     gaps = F.transform(F.split(text, FAST[kind], -1), lambda g: F.struct(F.length(g).alias("n"), F.lower(F.right(g, F.lit(REACH))).alias("before")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string,score:double>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string,score:double>>")
+    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
     rank = list(FAST).index(kind)
 
     def step(acc: Column, pair: Column) -> Column:
@@ -86,7 +87,11 @@ def spans_of(kind: str, text: Column) -> Column:
 
     pairs = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("value")))
     pairs = F.filter(pairs, lambda p: p["value"].isNotNull())
-    walked = F.aggregate(pairs, begin, step, lambda acc: acc["out"])
+    # Appending copies an array; blocks keep that short in texts with many matches.
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda b: F.slice(pairs, b * BLOCK + 1, BLOCK))
+    start = F.struct(F.lit(0).alias("at"), F.array(none).alias("out"))
+    walk = lambda acc, block: F.aggregate(block, F.struct(acc["at"].alias("at"), none.alias("out")), step, lambda x: F.struct(x["at"].alias("at"), F.array_append(acc["out"], x["out"]).alias("out")))
+    walked = F.aggregate(F.when(F.size(pairs) > 0, blocks).otherwise(F.array(pairs)), start, walk, lambda acc: F.flatten(acc["out"]))
     return F.when(text.rlike(NEEDS[kind]), walked).otherwise(begin["out"])
 
 

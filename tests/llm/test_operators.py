@@ -502,7 +502,7 @@ def test_visits_come_in_order_of_distance():
 
 
 def test_pii(spark, docs, odd):
-    extra = ["mail a@b.c_d@e.f now", "ip 1.2.3.4.5.6.7.8 999.1.1.1 010.0.0.1", "card 4111 1111 1111 1111 or 4111111111111112", "call +1 (555) 010-9999.", "IBAN GB82 WEST 1234 5698 7654 32", "x" * 50_000, "1." * 20_000, None, ""]
+    extra = ["mail a@b.c_d@e.f now", "ip 1.2.3.4.5.6.7.8 999.1.1.1 010.0.0.1", "card 4111 1111 1111 1111 or 4111111111111112", "call +1 (555) 010-9999.", "IBAN GB82 WEST 1234 5698 7654 32", "x" * 50_000, "1." * 20_000, "x@y.z " * 9_000 + "1.2.3.4", None, ""]
     df = docs.select("text").unionByName(spark.createDataFrame([(t,) for t in extra], "text string"))
     for r in pii.find_pii(df).collect():
         assert [f"{s.kind}:{s.start}:{s.end}" for s in r._pii if s.kind != "iban"] == pii.brute_force(r.text)["spans"]
@@ -552,9 +552,77 @@ def test_raking_against_numpy(spark):
     assert np.allclose(out.weight, w, rtol=1e-9)
 
 
-def test_pipeline(spark):
+def plain_classes(texts):
+    """The smallest index that exact links connect each text with."""
+    words = [re.findall(jaccard_join_word, re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else ({t} if t else set()) for w, t in zip(words, texts, strict=True)]
+    top = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]) and top[i] != top[j]:
+                lo, hi = sorted((top[i], top[j]))
+                top = [lo if x == hi else x for x in top]
+    return top
+
+
+def plain_mixing(rows):
+    """Ids that are kept: raking cell by cell over dictionaries, and the documents' draws."""
+    topic = lambda t: "table" if " | " in t else "shout" if "!! " in t else "noise" if "### " in t or "%%% " in t else "note" if len(t) < 400 else "prose"
+    cell = lambda r: (r.source or "", r.lang or "", topic(r.text) if r.text is not None else "prose")
+    tokens = {}
+    for r in rows:
+        tokens[cell(r)] = tokens.get(cell(r), 0) + len(re.findall(jaccard_join_word, r.text or ""))
+    sums = lambda w, d: {v: sum(x for c, x in w.items() if c[d] == v) for v in {c[d] for c in w}}
+    parts = [{v: x**mixing.EXPONENT for v, x in sums(tokens, d).items()} for d in range(3)]
+    weight = {c: float(x) for c, x in tokens.items()}
+    for _ in range(mixing.SWEEPS):
+        for d in range(3):
+            now = sums(weight, d)
+            weight = {c: x * parts[d][c[d]] / sum(parts[d].values()) / now[c[d]] if now[c[d]] else 0.0 for c, x in weight.items()}
+    all_tokens, all_weight = sum(tokens.values()), sum(weight.values())
+    kept = []
+    for r in rows:
+        c = cell(r)
+        p = 1.0 if not tokens[c] or not all_weight else min(1.0, mixing.FRACTION * all_tokens * weight[c] / all_weight / tokens[c])
+        key = f"{r.doc_id}|{hashlib.md5((r.text or '').encode()).hexdigest()}"
+        if int(hashlib.md5(key.encode()).hexdigest()[:12], 16) / 16**12 < round(p, 9):
+            kept.append(r.doc_id)
+    return kept
+
+
+def test_pipeline_against_plain_python(spark):
+    """Every stage on what the stage before it kept, and the rows at the end."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    out = corpus_pipeline.run(spark, SF)
-    assert 0 < out.count() < docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, SF).columns == docs.columns, name
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    chain = toxicity.fit_chain(docs, toxicity.chain_labels(labels), ["low_quality", "toxic"])
+    items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    n = [len(rows)]
+    rows = [r for r in rows if chain.score(toxicity.features_of(r.text))[1] < 0.5]
+    n.append(len(rows))
+    rows = [r for i, (r, c) in enumerate(zip(rows, plain_classes([r.text for r in rows]), strict=True)) if i == c]
+    n.append(len(rows))
+    rows = [r for r, x in zip(rows, decontaminate.brute_force([r.text for r in rows], items), strict=True) if not x[1]]
+    n.append(len(rows))
+    kept = plain_mixing(rows)
+    assert len(kept) < n[3] < n[2] < n[1] < n[0]
+    tk, start, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0, []
+    for r in rows:
+        if r.doc_id in set(kept):
+            ids = [*tk.encode(r.text or "", add_special_tokens=False).ids, 2]
+            want.append((r.doc_id, start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes())))
+            start += len(ids)
+    assert [tuple(r) for r in corpus_pipeline.run(spark, SF).orderBy("start").collect()] == want
+
+
+def test_pipeline_stages_take_odd_tables(spark, odd):
+    own = odd.selectExpr("*", "'k' AS _keep", "1 AS _hits", "2 AS x0", "3 AS component", "4 AS _n", "5 AS tokens")
+    for name, stage in corpus_pipeline.STAGES:
+        for df in (own, own.limit(0)):
+            out = stage(spark, df, SF)
+            rows = out.collect()
+            assert name == "token_files" or (out.columns == own.columns and {(r._keep, r._hits, r.x0, r.component, r._n, r.tokens) for r in rows} == ({("k", 1, 2, 3, 4, 5)} if rows else set())), name
+            assert bool(rows) == (df is own), name
