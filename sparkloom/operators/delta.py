@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.keys import backoff_ceiling
+
 
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``new`` over ``stored``: of new rows with a key the one with the largest ``seq`` wins. Idempotent."""
@@ -46,11 +48,30 @@ def enqueue(jobs: DataFrame, new: DataFrame) -> DataFrame:
     """The jobs of ``new`` that are added: one for each dedupe key, none while one is ready or processing."""
     active = jobs.filter(F.col("status").isin("ready", "processing")).select("dedupe_key")
     first = Window.partitionBy("dedupe_key").orderBy("id")
-    once = new.withColumn("_r", F.when(F.col("dedupe_key").isNull(), 1).otherwise(F.row_number().over(first))).filter("_r = 1").drop("_r")
-    return once.join(active, "dedupe_key", "left_anti").select(*new.columns)
+    once = new.filter("dedupe_key IS NOT NULL").withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
+    return once.join(active, "dedupe_key", "left_anti").select(*new.columns).unionByName(new.filter("dedupe_key IS NULL"))
 
 
 def claimable(jobs: DataFrame, now) -> DataFrame:
     """Jobs that are due or whose lease ran out, the oldest first."""
     due = ((F.col("status") == "ready") & (F.col("available_at") <= now)) | ((F.col("status") == "processing") & (F.col("lease_until") <= now))
     return jobs.filter(due).orderBy("available_at", "id")
+
+
+def claim(jobs: DataFrame, now: Column, limit: int, lease: str = "5 minutes") -> DataFrame:
+    """``jobs`` after a claim: the first ``limit`` due ones are processing, with one more attempt and a new lease."""
+    won = claimable(jobs, now).limit(limit).select("id", F.lit(True).alias("_won"))
+    out = jobs.join(F.broadcast(won), "id", "left")
+    changed = {"status": F.lit("processing"), "attempts": F.col("attempts") + 1, "lease_until": now + F.expr(f"INTERVAL {lease}")}
+    return out.withColumns({k: F.when(F.col("_won"), v).otherwise(F.col(k)) for k, v in changed.items()}).select(*jobs.columns)
+
+
+def settle(jobs: DataFrame, outcomes: DataFrame, now: Column, most: int = 5) -> DataFrame:
+    """``jobs`` after ``outcomes(id, ok)`` of processing ones: done, or ready again behind the backoff's ceiling, or
+    dead after ``most`` attempts. Outcomes of other jobs change nothing; a job with several is done if one is ok."""
+    known = outcomes.groupBy("id").agg(F.max("ok").alias("_ok"))
+    hit = (F.col("status") == "processing") & F.col("_ok").isNotNull()
+    status = F.when(F.col("_ok"), "done").when(F.col("attempts") >= most, "dead").otherwise("ready")
+    wait = F.make_dt_interval(secs=backoff_ceiling(F.col("attempts")).cast("decimal(18,6)"))
+    out = jobs.join(known, "id", "left").withColumns({"_s": F.when(hit, status).otherwise(F.col("status")), "_a": F.when(hit & (status == "ready"), now + wait).otherwise(F.col("available_at")), "_l": F.when(~F.coalesce(hit, F.lit(False)), F.col("lease_until"))})
+    return out.drop("status", "available_at", "lease_until").withColumnsRenamed({"_s": "status", "_a": "available_at", "_l": "lease_until"}).select(*jobs.columns)

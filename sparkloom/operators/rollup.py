@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.keys import clamp_limit
 from sparkloom.plans.graph import IMPORT_CODES, USAGE_CODES, Graph
 
 
@@ -61,6 +62,17 @@ def map_edges(g: Graph, level: str, scope: str | None = None) -> DataFrame:
     return e.groupBy("project_id", "src", "tgt").agg(*trust_counts())
 
 
+def map_view(g: Graph, level: str, scope: str | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame, bool]:
+    """(nodes, edges, truncated): the first containers by id, the dependencies between them, and whether there are more."""
+    n = clamp_limit(limit)
+    nodes = map_nodes(g, level, scope)
+    first = [r.id for r in nodes.orderBy("project_id", "id").limit(n + 1).collect()]
+    shown = nodes.orderBy("project_id", "id").limit(n)
+    ends = lambda c: shown.select("project_id", F.col("id").alias(c))
+    edges = map_edges(g, level, scope).join(ends("src"), ["project_id", "src"], "left_semi").join(ends("tgt"), ["project_id", "tgt"], "left_semi")
+    return shown, edges, len(first) > n
+
+
 def trust_rows(edges: DataFrame) -> DataFrame:
     """One row for each pair and trust with a count."""
     return edges.unpivot(["project_id", "src", "tgt"], ["deterministic", "inferred"], "trust", "n").filter("n > 0")

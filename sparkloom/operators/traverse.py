@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.reads import top_rows
 from sparkloom.plans.graph import DEPENDENCIES, Graph, cut
 
 
+#: Rows of a frontier that are broadcast at most; a larger one is shuffled to the edges.
+BROADCAST_FRONTIER = 100_000
+
+
 def blast_radius(g: Graph, node_id: str, max_depth: int = 32, kinds: tuple[str, ...] = DEPENDENCIES) -> DataFrame:
     """What depends on a node: smallest depth, and whether a path within the cap has proven edges only.
 
@@ -20,17 +25,39 @@ def blast_radius(g: Graph, node_id: str, max_depth: int = 32, kinds: tuple[str,
     e = cut(e.select("project_id", F.col("target_id").alias("id"), "source_id", (F.col("resolution") == "deterministic").alias("det")).distinct(), "edges")
     seen = e.filter(F.col("id") == node_id).select("project_id", "id").distinct().withColumns({"proven": F.lit(True), "depth": F.lit(0)})
     seen = cut(seen.unionByName(seen.withColumn("proven", F.lit(False))), "seen")
-    frontier = seen
+    frontier, size = seen, 0
     for depth in range(1, max_depth + 1):
-        step = frontier.join(e, ["project_id", "id"]).filter("NOT proven OR det").select("project_id", F.col("source_id").alias("id"), "proven").distinct()
+        step = (F.broadcast(frontier) if size <= BROADCAST_FRONTIER else frontier).join(e, ["project_id", "id"]).filter("NOT proven OR det").select("project_id", F.col("source_id").alias("id"), "proven").distinct()
         step = cut(step.join(seen, ["project_id", "id", "proven"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        if step.isEmpty():
+        if not (size := step.count()):
             break
         seen, frontier = seen.unionByName(step), step
     hits = seen.filter(F.col("id") != node_id).groupBy("project_id", "id").agg(F.min("depth").alias("depth"), F.max("proven").alias("proven"))
     return hits.select("project_id", "id", F.col("depth").cast("long").alias("depth"), F.when(F.col("proven"), "deterministic").otherwise("inferred").alias("resolution"))
 
 
+def blast_radius_page(g: Graph, node_id: str, limit: int | None = None, cursor: tuple | None = None, max_depth: int = 32, kinds: tuple[str, ...] = DEPENDENCIES) -> DataFrame:
+    """A page of hits by depth and id, with their nodes' columns (null without a node) and ``truncated``: whether any
+    hit, on the page or not, lies at the cap."""
+    hits = cut(blast_radius(g, node_id, max_depth, kinds), "hits")
+    deepest = hits.agg(F.max("depth")).first()[0]
+    shown = top_rows(hits, ["depth", "id"], limit, cursor)
+    nodes = g.nodes.select("project_id", "id", F.col("kind").alias("node_kind"), F.coalesce("name", "path").alias("label"))
+    return shown.join(nodes, ["project_id", "id"], "left").withColumn("truncated", F.lit(deepest is not None and deepest >= max_depth))
+
+
+def expansion_probe(g: Graph, node_id: str, max_depth: int = 3, kinds: tuple[str, ...] = DEPENDENCIES) -> DataFrame:
+    """By depth: how many walks reach a node's dependents, counted without listing them, and how many nodes they reach."""
+    e = cut(g.dependencies(kinds).select("project_id", F.col("target_id").alias("id"), "source_id"), "edges")
+    at = e.filter(F.col("id") == node_id).select("project_id", "id").distinct().withColumn("walks", F.lit(1).cast("long"))
+    out = None
+    for depth in range(1, max_depth + 1):
+        at = cut(at.join(e, ["project_id", "id"]).groupBy("project_id", F.col("source_id").alias("id")).agg(F.sum("walks").alias("walks")), "walks")
+        row = at.groupBy("project_id").agg(F.lit(depth).cast("long").alias("depth"), F.sum("walks").alias("walks"), F.count(F.lit(1)).alias("nodes"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def cycle_candidates(g: Graph) -> DataFrame:
     """Dependencies whose source has an incoming and whose target an outgoing dependency."""
     e = g.dependencies()
@@ -99,15 +126,28 @@ def cycles(g: Graph) -> DataFrame:
     return groups.join(inner, ["project_id", "component"], "left").select("project_id", "cycle_id", "size", F.coalesce("candidate", F.lit(False)).alias("candidate"))
 
 
+def cycle_list(g: Graph, most: int = 100) -> DataFrame:
+    """:func:`cycles` with the ``most`` smallest ids as ``members`` and ``truncated``, in the order of ``cycle_id``."""
+    found = components(g).groupBy("project_id", "id").agg(F.min("component").alias("component"))
+    first = Window.partitionBy("project_id", "component").orderBy("id")
+    kept = found.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= most)
+    lists = kept.groupBy("project_id", "component").agg(F.array_join(F.array_sort(F.collect_list("id")), " ").alias("members"), F.min("id").alias("cycle_id")).drop("component")
+    return cycles(g).join(lists, ["project_id", "cycle_id"]).withColumn("truncated", F.col("size") > most)
+
+
 def file_association(g: Graph, rounds: int = 64) -> DataFrame:
     """``project_id, id, file_id``: the owning file along ``contains``, the file itself for files, else null."""
     parent = g.edges.filter("kind = 'contains'").groupBy("project_id", F.col("target_id").alias("id")).agg(F.max(F.struct("edge_key", "source_id"))["source_id"].alias("up"))
     n = g.nodes.select("project_id", "id", (F.col("kind") == "file").alias("is_file"))
     at = n.join(parent, ["project_id", "id"], "left").select("project_id", "id", F.when(F.col("is_file"), F.col("id")).alias("file_id"), F.when(~F.col("is_file"), F.col("up")).alias("up"))
+    before = None
     for _ in range(rounds):
         at = cut(at, "owner")
-        if at.filter("file_id IS NULL AND up IS NOT NULL").isEmpty():
+        # Steps double, so a round that settles nothing leaves cycles alone.
+        left = at.filter("file_id IS NULL AND up IS NOT NULL").count()
+        if left in (0, before):
             break
+        before = left
         next_ = at.select("project_id", F.col("id").alias("up"), F.col("file_id").alias("f2"), F.col("up").alias("u2"))
         at = at.join(next_, ["project_id", "up"], "left").select("project_id", "id", F.coalesce("file_id", "f2").alias("file_id"), F.when(F.coalesce("file_id", "f2").isNull(), F.col("u2")).alias("up"))
     return at.select("project_id", "id", "file_id")

@@ -44,10 +44,15 @@ class Graph:
 
 
 def cut(df: DataFrame, name: str = "level") -> DataFrame:
-    """Write to the shared folder in ``spark.checkpoint.dir`` and read back, so that loops keep short plans."""
+    """Write to the shared folder in ``spark.checkpoint.dir`` and read back, so that loops keep short plans.
+
+    A local session without that setting gets a temporary folder; on a cluster its absence raises.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.conf.get("spark.master", "local").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from sparkloom.functions import keys
 from sparkloom.operators import delta, reads, resolve, rollup, traverse
 from sparkloom.plans import testgraph
-from sparkloom.plans.binding import BINDING
+from sparkloom.plans.binding import BINDING, IMPORTS, imports
 from sparkloom.plans.graph import DEPENDENCIES, Graph
 
 K = "('imports', 'references', 'calls', 'extends', 'implements')"
-HOT = f"hot AS (SELECT e.target_id AS id FROM edge e WHERE kind IN {K} AND EXISTS (SELECT 1 FROM node n WHERE n.project_id = e.project_id AND n.id = e.target_id AND n.kind = 'symbol') GROUP BY 1, e.project_id ORDER BY count(*) DESC, e.project_id, 1 LIMIT 1)"
+HOT = f"hot AS (SELECT e.target_id AS id FROM edge e JOIN node n ON n.project_id = e.project_id AND n.id = e.target_id AND n.kind = 'symbol' WHERE e.kind IN {K} GROUP BY 1, e.project_id ORDER BY count(*) DESC, e.project_id, 1 LIMIT 1)"
 TOP = "top AS (SELECT * FROM node s WHERE s.kind = 'symbol' AND EXISTS (SELECT 1 FROM edge e JOIN node f ON f.project_id = e.project_id AND f.id = e.source_id WHERE e.project_id = s.project_id AND e.target_id = s.id AND e.kind = 'contains' AND f.kind = 'file'))"
 NODE = "project_id, id, kind, sub_kind, name, path"
 
@@ -28,6 +28,30 @@ def first_id(g: Graph, kind: str) -> str:
     return g.nodes.filter(F.col("kind") == kind).agg(F.min("id")).first()[0]
 
 
+def inner_file(g: Graph) -> str:
+    """The first file with a dependency between two of its symbols, else the first file."""
+    s = g.nodes.filter("kind = 'symbol'").select("project_id", F.col("id").alias("source_id"), "file_id")
+    t = s.select("project_id", F.col("source_id").alias("target_id"), F.col("file_id").alias("other"))
+    e = g.dependencies().filter("source_id <> target_id").select("project_id", "source_id", "target_id")
+    found = e.join(s, ["project_id", "source_id"]).join(t, ["project_id", "target_id"]).filter("file_id = other").agg(F.min("file_id")).first()[0]
+    return found or first_id(g, "file")
+
+
+def marked_names(g: Graph) -> Graph:
+    """The graph with props whose names end in characters that mean something in patterns."""
+    name = F.when(F.col("sub_kind") == "react:prop", F.concat("name", F.lit("%_o"))).otherwise(F.col("name"))
+    return Graph(g.nodes.withColumn("name", name), g.edges, g.tail)
+
+
+def broken(g: Graph) -> Graph:
+    """The graph with rows that break each of its rules."""
+    kind = F.when(F.col("kind") == "package", "thing").otherwise(F.col("kind"))
+    sub = F.when(F.col("sub_kind") == "react:prop", "Prop").otherwise(F.col("sub_kind"))
+    lost = F.when(F.col("kind") != "calls", F.col("confidence"))
+    wide = F.when(F.col("kind") == "extends", "widens").otherwise(F.col("kind"))
+    return Graph(g.nodes.withColumns({"kind": kind, "sub_kind": sub}), g.edges.withColumn("confidence", lost).withColumn("kind", wide), g.tail)
+
+
 def node_cols(df: DataFrame) -> DataFrame:
     return df.select(*NODE.split(", "))
 
@@ -119,8 +143,36 @@ def owners(g: Graph) -> DataFrame:
 def certainty(g: Graph) -> DataFrame:
     hop = g.dependencies().select("project_id", F.col("edge_key").alias("k1"), F.col("target_id").alias("mid"), F.col("resolution").alias("r1"), F.col("confidence").alias("c1"))
     nxt = g.dependencies().filter("sub_kind IS NULL").select("project_id", F.col("edge_key").alias("k2"), F.col("source_id").alias("mid"), F.col("resolution").alias("r2"), F.col("confidence").alias("c2"))
+    # Each side is counted first: at a node with many edges, kinds of certainty meet instead of edges.
+    hop = hop.groupBy("project_id", "mid", "r1", "c1").agg(F.count(F.lit(1)).alias("n1"))
+    nxt = nxt.groupBy("project_id", "mid", "r2", "c2").agg(F.count(F.lit(1)).alias("n2"))
     both = hop.join(nxt, ["project_id", "mid"])
-    return both.groupBy("project_id", resolve.combine_certainty(F.col("r1"), F.col("c1"), F.col("r2"), F.col("c2")).alias("certainty")).agg(F.count(F.lit(1)).alias("n"))
+    return both.groupBy("project_id", resolve.combine_certainty(F.col("r1"), F.col("c1"), F.col("r2"), F.col("c2")).alias("certainty")).agg(F.sum(F.col("n1") * F.col("n2")).alias("n"))
+
+
+def export_chains(g: Graph) -> DataFrame:
+    """Names that files export, and as many that none does, asked at the barrel of their package."""
+    _, _, exports, re_exports = imports(g)
+    away = lambda c: keys.key_of(F.col("project_id"), F.col(c))
+    at = exports.join(re_exports.select("project_id", F.col("file_id").alias("barrel"), F.col("target_file").alias("file_id")), ["project_id", "file_id"])
+    at = at.select("project_id", "barrel", F.explode(F.array("exported_name", F.concat("exported_name", F.lit("?")))).alias("name")).distinct()
+    asked = at.withColumn("request_id", keys.key_of(F.col("project_id"), F.col("barrel"), F.col("name")))
+    hops = re_exports.select(away("file_id").alias("file_id"), "kind", "exported_as", "name", away("target_file").alias("target_file"))
+    found = resolve.export_chain(asked.select("request_id", away("barrel").alias("file_id"), "name"), exports.select(away("file_id").alias("file_id"), "exported_name", "symbol_id"), hops)
+    return asked.join(found, "request_id").select("project_id", "barrel", "name", "outcome", "symbol_id", "resolution")
+
+
+def superseded(g: Graph) -> DataFrame:
+    """Imports whose targets are external names; every fourth has records of workspace symbols, of which the first holds."""
+    n = F.substring_index("target_id", ":", -1).cast("long")
+    edges = g.edges.filter("kind = 'imports' AND target_id LIKE 'sym:%'").select("project_id", "source_id", F.concat(F.lit("npm w "), "target_id", F.lit(".")).alias("target_id"), n.alias("n"))
+    records = edges.filter("n % 4 = 0").select(F.col("target_id").alias("external_id"), F.explode(F.array(F.lit(2), F.lit(1))).alias("rank"), "n").distinct()
+    return resolve.supersede_externals(edges.drop("n"), records.select("external_id", "rank", F.concat(F.lit("own:"), "n", F.lit(":"), "rank").alias("symbol_id"))).select("project_id", "source_id", "target_id")
+
+
+def map_page(g: Graph) -> DataFrame:
+    _, edges, truncated = rollup.map_view(g, "package", limit=10)
+    return edges.withColumn("truncated", F.lit(truncated))
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,13 +185,34 @@ JOB = "SELECT o_orderkey AS id, 'k' || (o_custkey % 50) AS dedupe_key, CASE o_or
 
 
 def job_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delta.claimable(jobs(spark, sf_dir), F.to_timestamp(F.lit("1995-01-01 00:00:00"))).select("id", "status").limit(100)
+    return delta.claimable(jobs(spark, sf_dir), now()).select("id", "status").limit(100)
+
+
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs(spark, sf_dir).withColumn("attempts", (F.col("id") % 7).cast("int"))
+
+
+NOW_SQL = "TIMESTAMP '1995-01-01'"
+
+
+def now() -> F.Column:
+    return F.to_timestamp(F.lit("1995-01-01 00:00:00"))
+
+
+def job_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta.claim(job_states(spark, sf_dir), now(), 100).select("id", "status", "attempts", F.col("lease_until").cast("string").alias("lease"))
+
+
+def job_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    all_jobs = job_states(spark, sf_dir)
+    outcomes = all_jobs.filter("id % 3 <> 0").select("id", (F.col("id") % 3 == 1).alias("ok"))
+    return delta.settle(all_jobs, outcomes, now()).select("id", "status", "attempts", F.col("available_at").cast("string").alias("available"), F.col("lease_until").isNotNull().alias("leased"))
 
 
 def job_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_jobs = jobs(spark, sf_dir)
     new = all_jobs.select("id", F.concat(F.lit("k"), (F.col("id") % 80).cast("string")).alias("dedupe_key"))
-    return delta.enqueue(all_jobs.filter("id < 4000"), new)
+    return delta.enqueue(all_jobs, new)
 
 
 def backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +233,7 @@ GRAPH: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {
     "map_file_nodes": (lambda g: rollup.map_nodes(g, "file"), "SELECT f.project_id, f.id, f.path AS label, count(s.id) AS children FROM node f LEFT JOIN node s ON s.project_id = f.project_id AND s.file_id = f.id AND s.kind = 'symbol' WHERE f.kind = 'file' GROUP BY ALL"),
     "map_file_edges": (lambda g: rollup.map_edges(g, "file"), map_sql("file")),
     "map_symbol_nodes": (lambda g: rollup.map_nodes(g, "symbol", first_id(g, "file")), "SELECT s.project_id, s.id, s.name AS label, count(c.edge_key) AS children FROM node s LEFT JOIN edge c ON c.project_id = s.project_id AND c.source_id = s.id AND c.kind = 'contains' WHERE s.kind = 'symbol' AND s.file_id = (SELECT min(id) FROM node WHERE kind = 'file') GROUP BY ALL"),
-    "map_symbol_edges": (lambda g: rollup.map_edges(g, "symbol", first_id(g, "file")), f"WITH v AS (SELECT project_id, id FROM node WHERE kind = 'symbol' AND file_id = (SELECT min(id) FROM node WHERE kind = 'file')) SELECT e.project_id, e.source_id AS src, e.target_id AS tgt, count(*) FILTER (resolution = 'deterministic') AS deterministic, count(*) FILTER (resolution <> 'deterministic') AS inferred FROM edge e JOIN v a ON a.project_id = e.project_id AND a.id = e.source_id JOIN v b ON b.project_id = e.project_id AND b.id = e.target_id WHERE e.kind IN {K} AND e.source_id <> e.target_id GROUP BY 1, 2, 3"),
+    "map_symbol_edges": (lambda g: rollup.map_edges(g, "symbol", inner_file(g)), f"WITH v AS (SELECT project_id, id FROM node WHERE kind = 'symbol' AND file_id = (SELECT min(s.file_id) FROM edge e JOIN node s ON s.project_id = e.project_id AND s.id = e.source_id AND s.kind = 'symbol' JOIN node t ON t.project_id = e.project_id AND t.id = e.target_id AND t.kind = 'symbol' AND t.file_id = s.file_id WHERE s.id <> t.id AND e.kind IN {K})) SELECT e.project_id, e.source_id AS src, e.target_id AS tgt, count(*) FILTER (resolution = 'deterministic') AS deterministic, count(*) FILTER (resolution <> 'deterministic') AS inferred FROM edge e JOIN v a ON a.project_id = e.project_id AND a.id = e.source_id JOIN v b ON b.project_id = e.project_id AND b.id = e.target_id WHERE e.kind IN {K} AND e.source_id <> e.target_id GROUP BY 1, 2, 3"),
     "map_edge_trust_rows": (lambda g: rollup.trust_rows(rollup.map_edges(g, "package")), f"WITH m AS (SELECT * FROM ({map_sql('package')})) SELECT project_id, src, tgt, 'deterministic' AS trust, deterministic AS n FROM m WHERE deterministic > 0 UNION ALL SELECT project_id, src, tgt, 'inferred', inferred FROM m WHERE inferred > 0"),
     "get_node": (lambda g: node_cols(reads.get_node(g, hot(g))), f"WITH {HOT} SELECT {NODE} FROM node WHERE id = (SELECT id FROM hot)"),
     "file_content_hashes": (reads.file_content_hashes, "SELECT project_id, path, content_hash FROM node WHERE kind = 'file' AND path IS NOT NULL AND content_hash IS NOT NULL"),
@@ -172,7 +245,7 @@ GRAPH: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {
     "search_path": (lambda g: node_cols(reads.search(g, "supplier#", "file")), f"SELECT {NODE} FROM node WHERE kind = 'file' AND (contains(lower(coalesce(name, '')), 'supplier#') OR contains(lower(coalesce(path, '')), 'supplier#'))"),
     "search_kind": (lambda g: node_cols(reads.search(g, kind="package")), f"SELECT {NODE} FROM node WHERE kind = 'package'"),
     "search_subkind": (lambda g: node_cols(reads.search(g, sub_kind="react:prop")), f"SELECT {NODE} FROM node WHERE sub_kind = 'react:prop'"),
-    "search_wildcard_literal": (lambda g: node_cols(reads.search(g, "b%t_")), f"SELECT {NODE} FROM node WHERE contains(lower(coalesce(name, '')), 'b%t_')"),
+    "search_wildcard_literal": (lambda g: node_cols(reads.search(marked_names(g), "t%_O")), f"SELECT {NODE.replace('name', 'name || chr(37) || chr(95) || chr(111) AS name')} FROM node WHERE sub_kind = 'react:prop' AND contains(lower(name) || '%_o', 't%_o')"),
     "declared_interface": (lambda g: node_cols(reads.declared_interface(g, first_id(g, "file"))), f"SELECT {', '.join('n.' + c for c in NODE.split(', '))} FROM edge e JOIN node n ON n.project_id = e.project_id AND n.id = e.target_id WHERE e.kind = 'contains' AND n.kind = 'symbol' AND e.source_id = (SELECT min(id) FROM node WHERE kind = 'file')"),
     "contained_declarations": (lambda g: node_cols(reads.contained_declarations(g, first_id(g, "package"))), f"SELECT {', '.join('n.' + c for c in NODE.split(', '))} FROM edge e JOIN node n ON n.project_id = e.project_id AND n.id = e.target_id WHERE e.kind = 'contains' AND n.kind <> 'callSite' AND e.source_id = (SELECT min(id) FROM node WHERE kind = 'package')"),
     "call_sites_of": (lambda g: reads.call_sites_of(g, g.nodes.agg(F.min("enclosing_symbol_id")).first()[0]).select("project_id", "id", "callee", "ordinal"), "SELECT project_id, id, callee, ordinal FROM node WHERE kind = 'callSite' AND enclosing_symbol_id = (SELECT min(enclosing_symbol_id) FROM node)"),
@@ -183,7 +256,7 @@ GRAPH: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {
     "name_collisions": (rollup.name_collisions, f"WITH {TOP} SELECT project_id, name, id, file_id FROM top WHERE name IS NOT NULL QUALIFY count(*) OVER (PARTITION BY project_id, name) > 1"),
     "name_collisions_page2": (lambda g: second_page(rollup.name_collisions(g), ["name", "id"], 20), f"WITH {TOP} SELECT * FROM (SELECT project_id, name, id, file_id FROM top WHERE name IS NOT NULL QUALIFY count(*) OVER (PARTITION BY project_id, name) > 1) ORDER BY name, id LIMIT 20 OFFSET 20"),
     "unused_symbols": (rollup.unused_symbols, f"WITH {TOP} SELECT project_id, id, name, EXISTS (SELECT 1 FROM tail t WHERE t.project_id = top.project_id AND t.name = top.name AND ((t.code = 'unresolved-member' AND t.target_file_id = top.file_id) OR t.code = 'unbound-callee')) AS candidate, EXISTS (SELECT 1 FROM edge x WHERE x.project_id = top.project_id AND x.target_id = top.id AND x.kind = 'exports') AS exported FROM top WHERE NOT EXISTS (SELECT 1 FROM edge e WHERE e.project_id = top.project_id AND e.target_id = top.id AND e.kind IN {K})"),
-    "cycle_candidate_edges": (lambda g: traverse.cycle_candidates(g).select("project_id", "edge_key"), f"WITH d AS (SELECT * FROM edge WHERE kind IN {K}) SELECT project_id, edge_key FROM d WHERE EXISTS (SELECT 1 FROM d x WHERE x.project_id = d.project_id AND x.target_id = d.source_id) AND EXISTS (SELECT 1 FROM d x WHERE x.project_id = d.project_id AND x.source_id = d.target_id)"),
+    "cycle_candidate_edges": (lambda g: traverse.cycle_candidates(g).select("project_id", "edge_key"), f"WITH d AS (SELECT * FROM edge WHERE kind IN {K}) SELECT project_id, edge_key FROM d SEMI JOIN (SELECT DISTINCT project_id, target_id AS source_id FROM d) USING (project_id, source_id) SEMI JOIN (SELECT DISTINCT project_id, source_id AS target_id FROM d) USING (project_id, target_id)"),
     "cycles": (traverse.cycles, f"{REACH} SELECT m.project_id, cycle_id, count(DISTINCT m.id) AS size, bool_or(e.resolution <> 'deterministic') AS candidate FROM member m JOIN edge e ON e.project_id = m.project_id AND e.source_id = m.id AND e.kind IN {K} JOIN member t ON t.project_id = m.project_id AND t.id = e.target_id AND t.cycle_id = m.cycle_id GROUP BY 1, 2".replace("JOIN member t", "JOIN (SELECT project_id, id, cycle_id AS cid FROM member) t").replace("t.cycle_id = m.cycle_id", "t.cid = m.cycle_id")),
     "cycle_members": (cycle_members, f"{REACH} SELECT project_id, id, cycle_id FROM member"),
     "blast_radius": (blast, blast_sql()),
@@ -211,15 +284,25 @@ GRAPH: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {
     "focus_neighbourhood": (lambda g: reads.focus(g, hot(g)), f"WITH {HOT}, e AS (SELECT * FROM edge WHERE source_id = (SELECT id FROM hot) OR target_id = (SELECT id FROM hot)) SELECT project_id, source_id AS id FROM e UNION SELECT project_id, target_id FROM e"),
     "declaration_buckets": (reads.declaration_buckets, "SELECT project_id, id, CASE WHEN sub_kind IN ('react:prop', 'ts:parameter') THEN 'parameter' WHEN sub_kind = 'ts:local' THEN 'local' WHEN kind = 'symbol' THEN 'nested' ELSE 'none' END AS bucket FROM node"),
     "signature_text": (reads.signatures, "SELECT project_id, id, 'call(' || string_agg(coalesce(arg_name, '...'), ', ' ORDER BY pos) || ')' AS signature FROM payload GROUP BY 1, 2"),
-    "graph_invariants": (lambda g: g.violations().groupBy("rule").count(), "SELECT 'x' AS rule, 1::BIGINT AS count WHERE false"),
+    "graph_invariants": (lambda g: broken(g).violations().groupBy("rule").count(), "SELECT 'confidence' AS rule, count(*) AS count FROM edge WHERE resolution = 'inferred' AND kind = 'calls' UNION ALL SELECT 'edge-kind', count(*) FROM edge WHERE kind = 'extends' UNION ALL SELECT 'node-kind', count(*) FROM node WHERE kind = 'package' UNION ALL SELECT 'sub-kind', count(*) FROM node WHERE sub_kind = 'react:prop'"),
 }
 
 GRAPH |= BINDING
+GRAPH |= {
+    "export_chain": (export_chains, f"{IMPORTS}, h AS (SELECT DISTINCT project_id, pkg, files FROM home), w AS (SELECT w.*, h.files FROM wide w JOIN h ON h.project_id = w.project_id AND h.pkg = w.pkg) SELECT project_id, 'barrel:' || pkg AS barrel, name, CASE WHEN k = 1 THEN 'bound' ELSE 'ambiguous' END AS outcome, CASE WHEN k = 1 THEN sym END AS symbol_id, CASE WHEN k = 1 THEN CASE WHEN files = 1 THEN 'inferred' ELSE 'deterministic' END END AS resolution FROM w UNION ALL SELECT project_id, 'barrel:' || pkg, name || '?', 'unresolved', NULL, NULL FROM w"),
+    "workspace_supersede": (superseded, "SELECT project_id, source_id, CASE WHEN split_part(target_id, ':', 2)::BIGINT % 4 = 0 THEN 'own:' || split_part(target_id, ':', 2) || ':1' ELSE 'npm w ' || target_id || '.' END AS target_id FROM edge WHERE kind = 'imports' AND target_id LIKE 'sym:%'"),
+    "map_view_page": (map_page, f"WITH m AS (SELECT * FROM ({map_sql('package')})), v AS (SELECT project_id, id FROM node WHERE kind = 'package' ORDER BY project_id, id LIMIT 10) SELECT m.*, (SELECT count(*) FROM node WHERE kind = 'package') > 10 AS truncated FROM m JOIN v a ON a.project_id = m.project_id AND a.id = m.src JOIN v b ON b.project_id = m.project_id AND b.id = m.tgt"),
+    "blast_radius_hydrated": (lambda g: traverse.blast_radius_page(g, hot(g), 30, None, 2), f"SELECT h.*, n.kind AS node_kind, coalesce(n.name, n.path) AS label, (SELECT count(*) FROM ({blast_sql(2).replace('WITH', 'WITH RECURSIVE', 1)}) WHERE depth >= 2) > 0 AS truncated FROM (SELECT * FROM ({blast_sql(2).replace('WITH', 'WITH RECURSIVE', 1)}) ORDER BY depth, id LIMIT 30) h LEFT JOIN node n ON n.project_id = h.project_id AND n.id = h.id"),
+    "expansion_probe": (lambda g: traverse.expansion_probe(g, hot(g), 3), f"WITH {HOT}, dep AS (SELECT project_id, source_id, target_id FROM edge WHERE kind IN {K}), w1 AS (SELECT project_id, source_id AS id, count(*) AS walks FROM dep WHERE target_id = (SELECT id FROM hot) GROUP BY 1, 2), w2 AS (SELECT d.project_id, d.source_id AS id, sum(walks)::BIGINT AS walks FROM w1 w JOIN dep d ON d.project_id = w.project_id AND d.target_id = w.id GROUP BY 1, 2), w3 AS (SELECT d.project_id, d.source_id AS id, sum(walks)::BIGINT AS walks FROM w2 w JOIN dep d ON d.project_id = w.project_id AND d.target_id = w.id GROUP BY 1, 2) SELECT project_id, 1::BIGINT AS depth, sum(walks)::BIGINT AS walks, count(*) AS nodes FROM w1 GROUP BY 1 UNION ALL SELECT project_id, 2, sum(walks)::BIGINT, count(*) FROM w2 GROUP BY 1 UNION ALL SELECT project_id, 3, sum(walks)::BIGINT, count(*) FROM w3 GROUP BY 1"),
+    "cycle_list": (traverse.cycle_list, f"{REACH}, r AS (SELECT *, row_number() OVER (PARTITION BY project_id, cycle_id ORDER BY id) AS r FROM member), c AS (SELECT project_id, cycle_id, count(*) AS size, string_agg(id, ' ' ORDER BY id) FILTER (r <= 100) AS members FROM r GROUP BY 1, 2), x AS (SELECT m.project_id, m.cycle_id, bool_or(e.resolution <> 'deterministic') AS candidate FROM member m JOIN edge e ON e.project_id = m.project_id AND e.source_id = m.id AND e.kind IN {K} JOIN (SELECT project_id, id, cycle_id AS cid FROM member) t ON t.project_id = m.project_id AND t.id = e.target_id AND t.cid = m.cycle_id GROUP BY 1, 2) SELECT c.*, candidate, size > 100 AS truncated FROM c JOIN x USING (project_id, cycle_id)"),
+}
 
 #: name: (function of session and folder, SQL over the tables)
 PLAIN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "job_claim_order": (job_claims, f"WITH j AS ({JOB}) SELECT id, status FROM j WHERE (status = 'ready' AND available_at <= TIMESTAMP '1995-01-01') OR (status = 'processing' AND lease_until <= TIMESTAMP '1995-01-01') ORDER BY available_at, id LIMIT 100"),
-    "job_dedupe": (job_dedupe, f"WITH j AS ({JOB}) SELECT min(id) AS id, 'k' || (id % 80) AS dedupe_key FROM j WHERE 'k' || (id % 80) NOT IN (SELECT dedupe_key FROM j WHERE id < 4000 AND status IN ('ready', 'processing')) GROUP BY 2"),
+    "job_dedupe": (job_dedupe, f"WITH j AS ({JOB}) SELECT min(id) AS id, 'k' || (id % 80) AS dedupe_key FROM j WHERE 'k' || (id % 80) NOT IN (SELECT dedupe_key FROM j WHERE status IN ('ready', 'processing')) GROUP BY 2"),
+    "job_claim": (job_claim, f"WITH j AS ({JOB}), won AS (SELECT id FROM j WHERE (status = 'ready' AND available_at <= {NOW_SQL}) OR (status = 'processing' AND lease_until <= {NOW_SQL}) ORDER BY available_at, id LIMIT 100) SELECT j.id, CASE WHEN won.id IS NULL THEN status ELSE 'processing' END AS status, (j.id % 7)::INTEGER + CASE WHEN won.id IS NULL THEN 0 ELSE 1 END AS attempts, strftime(CASE WHEN won.id IS NULL THEN lease_until ELSE {NOW_SQL} + INTERVAL 5 MINUTE END, '%Y-%m-%d %H:%M:%S') AS lease FROM j LEFT JOIN won ON won.id = j.id"),
+    "job_settle": (job_settle, f"WITH j AS (SELECT *, (id % 7)::INTEGER AS attempts, status = 'processing' AND id % 3 <> 0 AS hit FROM ({JOB})), s AS (SELECT *, CASE WHEN NOT hit THEN status WHEN id % 3 = 1 THEN 'done' WHEN attempts >= 5 THEN 'dead' ELSE 'ready' END AS after FROM j) SELECT id, after AS status, attempts, strftime(CASE WHEN hit AND after = 'ready' THEN {NOW_SQL} + to_microseconds((least(300.0, pow(2.0, attempts - 1)) * 1000000)::BIGINT) ELSE available_at END, '%Y-%m-%d %H:%M:%S') || CASE WHEN hit AND after = 'ready' AND attempts = 0 THEN '.5' ELSE '' END AS available, NOT hit AND lease_until IS NOT NULL AS leased FROM s"),
     "backoff_ceiling": (backoff, "SELECT n_nationkey::BIGINT + 1 AS attempt, least(300.0, pow(2.0, n_nationkey)) AS seconds FROM nation"),
     "specifier_kinds": (specifiers, "WITH s AS (SELECT p_partkey AS id, (['./', '../', '@/', '~/', '@scope/', ''])[p_partkey % 6 + 1] || lower(p_name) || '/sub' AS spec FROM part) SELECT id, CASE WHEN starts_with(spec, '.') THEN 'relative' WHEN starts_with(spec, '@/') OR starts_with(spec, '~/') THEN 'alias' ELSE 'bare' END AS spec_kind, CASE WHEN starts_with(spec, '@') THEN split_part(spec, '/', 1) || '/' || split_part(spec, '/', 2) ELSE split_part(spec, '/', 1) END AS package FROM s"),
 }

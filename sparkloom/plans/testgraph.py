@@ -80,7 +80,10 @@ def with_ctes(sha: str) -> str:
 
 def duckdb(sql: str) -> str:
     """``sql`` over the tables ``node``, ``edge``, ``payload`` and ``tail`` for DuckDB."""
-    return with_ctes("sha256({})").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + (", " + sql[5:] if sql.upper().startswith("WITH ") else " " + sql)
+    head = with_ctes("sha256({})").replace("WITH ", "WITH RECURSIVE ", 1)
+    for t in ("node", "edge", "payload", "tail"):
+        head = head.replace(f", {t} AS (", f", {t} AS MATERIALIZED (", 1)
+    return head.rstrip() + (", " + sql[5:] if sql.upper().startswith("WITH ") else " " + sql)
 
 
 _stored: dict[tuple[str, str], Graph] = {}
