@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import cut
 
 #: Tables, cell width, vectors a cell should hold, and bounds of the measurement and of groups.
-TABLES, WIDTH, OCCUPANCY, SAMPLE, RECALL, MAX_VISITS, CHUNK, BLOCK = 6, 1.0, 400, 128, 0.96, 40, 1_000, 2_000
+TABLES, WIDTH, OCCUPANCY, SAMPLE, RECALL, MAX_VISITS, CHUNK, BLOCK = 6, 1.0, 400, 128, 0.96, 40, 4_000, 2_000
 FOUND = "query_id long, vec_id long, score double"
 
 
