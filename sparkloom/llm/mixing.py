@@ -7,7 +7,7 @@ is the probability with which each of its documents is kept. A document's draw d
 repeated attempts decide alike.
 
 A weight is the cell's tokens times a factor for each dimension, so a step aggregates the cells by one dimension, with
-partial sums first; a sweep's factors are written. Neither cells nor factors have to fit into a task or the driver.
+partial sums first, and its factors are written. Neither cells nor factors have to fit into a task or the driver.
 Factors are broadcast only where a count shows at most ``BROADCAST_VALUES`` values of the dimension.
 
 Null and empty values of a dimension are categories of their own ("" stands for both); null texts have no tokens and
@@ -87,15 +87,13 @@ def rake(cells: DataFrame, sweeps: int, tolerance: float = TOLERANCE) -> DataFra
 
     product = lambda dims: F.col("tokens") * reduce(Column.__mul__, (F.col(f"f_{d}") for d in dims))
     for _ in range(sweeps):
-        now, old = dict(factors), {}
+        made = {}
         for d in DIMENSIONS:
-            total, target = F.sum(product([x for x in DIMENSIONS if x != d])), F.max(f"target_{d}")
-            old[d] = weighed(now).groupBy(F.col(d).alias(f"v_{d}")).agg(F.when(total > 0, target / total).otherwise(0.0).alias(f"f_{d}"), F.max(f"f_{d}").alias("old"))
-            now[d] = old[d].select(f"v_{d}", f"f_{d}")
-        moved = lambda f: F.abs(F.col(f) - F.col("old")) > tolerance * F.col(f)
-        made = cut(reduce(DataFrame.union, (x.select(F.lit(d).alias("d"), f"v_{d}", f"f_{d}", moved(f"f_{d}").alias("moved")) for d, x in old.items())), "factors")
-        factors = {d: made.filter(F.col("d") == d).select(F.col(made.columns[1]).alias(f"v_{d}"), F.col(made.columns[2]).alias(f"f_{d}")) for d in DIMENSIONS}
-        if made.filter("moved").isEmpty():
+            total, target, old = F.sum(product([x for x in DIMENSIONS if x != d])), F.max(f"target_{d}"), F.max(f"f_{d}")
+            factor = F.when(total > 0, target / total).otherwise(0.0)
+            made[d] = cut(weighed(factors).groupBy(F.col(d).alias(f"v_{d}")).agg(factor.alias(f"f_{d}"), (F.abs(factor - old) > tolerance * factor).alias("moved")), "factors")
+            factors[d] = made[d].select(f"v_{d}", f"f_{d}")
+        if all(made[d].filter("moved").isEmpty() for d in reversed(DIMENSIONS)):
             break
     return weighed(factors).select(*cells.columns, product(DIMENSIONS).alias("weight"))
 
