@@ -71,6 +71,13 @@ def package_name(spec: Column) -> Column:
     return F.when(spec.startswith("@"), F.concat_ws("/", F.slice(parts, 1, 2))).otherwise(parts[0])
 
 
+def external_symbol(package: Column, name: Column) -> Column:
+    """The id of a package's symbol: spaces of the package are doubled, names with other characters stand in backticks."""
+    plain = name.rlike(r"^[A-Za-z0-9_+\-$]+$")
+    quoted = F.concat(F.lit("`"), F.replace(name, F.lit("`"), F.lit("``")), F.lit("`"))
+    return F.concat(F.lit("npm "), F.replace(package, F.lit(" "), F.lit("  ")), F.lit(" "), F.when(plain, name).otherwise(quoted), F.lit("."))
+
+
 def certainty_rank(resolution: Column, confidence: Column) -> Column:
     return F.when(resolution == "deterministic", 4).when(confidence == "high", 3).when(confidence == "medium", 2).otherwise(1)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators import bind
+from sparkloom.operators import bind, workspace
 from sparkloom.plans.graph import Graph, cut
 
 
@@ -40,14 +40,33 @@ def import_gaps(g: Graph) -> DataFrame:
     return bind.bind_imports(*imports(g)).gaps
 
 
-def calls(g: Graph) -> tuple[DataFrame, DataFrame]:
-    asked = imports(g)
-    bound = bind.bind_imports(*asked)
+def unbound(g: Graph, bound: bind.Bound) -> Graph:
+    """The graph with callees of its own, as a parser would leave it: no call-site is bound."""
     first = bound.values.groupBy("project_id", "file_id").agg(F.min("root").alias("first"))
     callee = F.when(F.col("ordinal") % 3 == 0, F.col("first")).when(F.col("ordinal") % 3 == 1, F.concat("first", F.lit(".run"))).otherwise("handler.go.now")
     sites = g.nodes.filter("kind = 'callSite'").join(first, ["project_id", "file_id"], "left").withColumns({"callee": callee, "sub_kind": F.when(F.col("ordinal") % 2 == 0, bind.RENDER)}).select(*g.nodes.columns)
-    unbound = Graph(g.nodes.filter("kind <> 'callSite'").unionByName(sites), g.edges.filter("kind <> 'calls'"), g.tail, g.payload)
-    return bind.bind_calls(unbound, bound, *asked[2:])
+    return Graph(g.nodes.filter("kind <> 'callSite'").unionByName(sites), g.edges.filter("kind <> 'calls'"), g.tail, g.payload)
+
+
+def calls(g: Graph) -> tuple[DataFrame, DataFrame]:
+    asked = imports(g)
+    bound = bind.bind_imports(*asked)
+    return bind.bind_calls(unbound(g, bound), bound, *asked[2:])
+
+
+def resolved(g: Graph) -> DataFrame:
+    """All edges that the resolver adds to the parsed graph."""
+    asked = imports(g)
+    whole = workspace.resolve_project(unbound(g, bind.bind_imports(*asked)), *asked)
+    return whole.edges.filter("provenance_rule LIKE 'resolve/%' OR provenance_rule LIKE 'react/%'").select("project_id", "source_id", "target_id", "kind", "sub_kind", F.col("provenance_rule").alias("rule"), "resolution", "confidence")
+
+
+def synthesised(g: Graph) -> DataFrame:
+    """Edges from package nodes that are made anew, from folders and names."""
+    dirs = g.nodes.filter("kind = 'package'").select("project_id", F.concat(F.lit("pkg "), "name").alias("name"), F.lower("name").alias("dir"))
+    whole = workspace.with_packages(Graph(g.nodes.filter("kind <> 'package'"), g.edges, g.tail), dirs)
+    made = whole.edges.filter(F.col("provenance_rule") == workspace.CONTAINS_FILE)
+    return made.join(whole.nodes.filter("kind = 'package'").select("project_id", F.col("id").alias("source_id"), F.col("name").alias("label")), ["project_id", "source_id"]).select("project_id", "source_id", "label", "target_id")
 
 
 IMPORTS = """WITH pair AS (SELECT DISTINCT e.project_id, e.file_id AS f, t.file_id AS m, t.name FROM edge e JOIN node t ON t.project_id = e.project_id AND t.id = e.target_id AND t.kind = 'symbol' WHERE e.kind IN ('imports', 'references', 'calls', 'extends', 'implements') AND e.file_id <> t.file_id),
@@ -72,4 +91,6 @@ BINDING = {
     "import_gaps": (import_gaps, GAPS_SQL),
     "call_site_binding": (lambda g: calls(g)[0], CALL_EDGES_SQL),
     "call_site_gaps": (lambda g: calls(g)[1], CALL_GAPS_SQL),
+    "resolve_project": (resolved, f"SELECT project_id, source_id, target_id, 'imports' AS kind, NULL::VARCHAR AS sub_kind, rule, resolution, confidence FROM ({EDGES_SQL}) UNION ALL SELECT project_id, source_id, target_id, kind, sub_kind, rule, resolution, confidence FROM ({CALL_EDGES_SQL})"),
+    "package_synthesis": (synthesised, "SELECT f.project_id, 'pkg ' || p.name AS source_id, 'pkg ' || p.name AS label, f.id AS target_id FROM node f JOIN node p ON p.project_id = f.project_id AND p.kind = 'package' AND lower(p.name) = split_part(f.path, '/', 1) WHERE f.kind = 'file'"),
 }
