@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import keys
-from sparkloom.operators import delta, reads, resolve, rollup, traverse
+from sparkloom.operators import delta, reads, resolve, rollup, traverse, views
 from sparkloom.plans import testgraph
 from sparkloom.plans.binding import BINDING, IMPORTS, imports
 from sparkloom.plans.graph import DEPENDENCIES, Graph
@@ -297,6 +297,13 @@ GRAPH |= {
     "cycle_list": (traverse.cycle_list, f"{REACH}, r AS (SELECT *, row_number() OVER (PARTITION BY project_id, cycle_id ORDER BY id) AS r FROM member), c AS (SELECT project_id, cycle_id, count(*) AS size, string_agg(id, ' ' ORDER BY id) FILTER (r <= 100) AS members FROM r GROUP BY 1, 2), x AS (SELECT m.project_id, m.cycle_id, bool_or(e.resolution <> 'deterministic') AS candidate FROM member m JOIN edge e ON e.project_id = m.project_id AND e.source_id = m.id AND e.kind IN {K} JOIN (SELECT project_id, id, cycle_id AS cid FROM member) t ON t.project_id = m.project_id AND t.id = e.target_id AND t.cid = m.cycle_id GROUP BY 1, 2) SELECT c.*, candidate, size > 100 AS truncated FROM c JOIN x USING (project_id, cycle_id)"),
 }
 
+GRAPH |= {
+    "declared_signatures": (lambda g: views.declared_signatures(g, "flavor", "size"), "SELECT s.project_id, s.id, s.name || CASE WHEN count(c.id) > 0 THEN '(' || string_agg(c.name || coalesce(': ' || (c.properties::JSON ->> 'flavor'), ''), ', ' ORDER BY c.id) || ')' ELSE '' END || coalesce(': ' || (s.properties::JSON ->> 'size'), '') AS signature FROM node s LEFT JOIN edge e ON e.project_id = s.project_id AND e.source_id = s.id AND e.kind = 'contains' LEFT JOIN node c ON c.project_id = e.project_id AND c.id = e.target_id AND c.kind = 'symbol' WHERE s.kind = 'symbol' GROUP BY s.project_id, s.id, s.name, s.properties"),
+    "detail_uses": (lambda g: views.uses(g, hot(g)).select("project_id", "direction", "edge_key", "far_id", "has_inferred"), f"WITH {HOT}, e AS (SELECT *, 'in' AS direction, source_id AS far_id FROM edge WHERE target_id = (SELECT id FROM hot) UNION ALL SELECT *, 'out', target_id FROM edge WHERE source_id = (SELECT id FROM hot)) SELECT project_id, direction, edge_key, far_id, (SELECT bool_or(resolution = 'inferred') FROM e) AS has_inferred FROM e WHERE kind IN {K}"),
+    "binding_rows": (views.binding_rows, f"SELECT *, bound_id IS NULL OR coalesce(bound_resolution = 'inferred', false) AS uncertain FROM ({GRAPH['call_bindings'][1]})"),
+    "blast_rows": (lambda g: views.blast_rows(g, hot(g), 2), f"SELECT h.*, coalesce(n.name, n.path) AS label FROM ({blast_sql(2).replace('WITH', 'WITH RECURSIVE', 1)}) h LEFT JOIN node n ON n.project_id = h.project_id AND n.id = h.id"),
+}
+
 #: name: (function of session and folder, SQL over the tables)
 PLAIN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "job_claim_order": (job_claims, f"WITH j AS ({JOB}) SELECT id, status FROM j WHERE (status = 'ready' AND available_at <= TIMESTAMP '1995-01-01') OR (status = 'processing' AND lease_until <= TIMESTAMP '1995-01-01') ORDER BY available_at, id LIMIT 100"),

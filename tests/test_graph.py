@@ -211,7 +211,7 @@ def test_query_against_sql(spark, name):
     assert not differences(queries.queries()[name](spark, SF), queries.oracle_sql()[name], connect(SF))
 
 
-@pytest.mark.parametrize("name", ["map_symbol_edges", "search_wildcard_literal", "graph_invariants", "job_dedupe", "export_chain", "cycle_list", "resolve_project", "package_synthesis"])
+@pytest.mark.parametrize("name", ["map_symbol_edges", "search_wildcard_literal", "graph_invariants", "job_dedupe", "export_chain", "cycle_list", "resolve_project", "package_synthesis", "declared_signatures", "detail_uses", "binding_rows", "blast_rows"])
 def test_query_has_rows(spark, name):
     assert not queries.queries()[name](spark, SF).isEmpty()
 
