@@ -9,7 +9,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Everything but ASCII letters and digits separates words; all code points from U+0080 up belong to words.
@@ -56,6 +56,31 @@ def shielded(df: DataFrame, needed: Iterable[str]) -> tuple[DataFrame, list[str]
     return df.toDF(*names), names
 
 
+def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``pos``, each row's place from 0 in its ``group`` by ``order``, and ``total``, the group's rows.
+
+    One range exchange sorts everything, so a group of any size is spread; rows that are equal in ``order`` go by their
+    place in ``df``, which should be a table that was read or written, so that a repeated task finds the same places.
+    Only one row for each group and partition is summed up afterwards.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [group, *order, "_tie"]
+    placed = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    placed = cut(placed.drop("_tie").withColumn("_spot", F.monotonically_increasing_id()), name)
+    placed = placed.withColumn("_part", F.shiftright("_spot", 33))
+    runs = placed.groupBy(group, "_part").agg(F.min("_spot").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(group, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_n").over(Window.partitionBy(group)).alias("total"))
+    return placed.join(runs, [group, "_part"]).withColumn("pos", F.col("_spot") + F.col("_shift")).drop("_spot", "_part", "_shift")
+
+
+def crc32_sql(table: str, text: str, key: str) -> str:
+    """Two common table expressions for DuckDB; the second, ``crcs``, has ``key`` and ``crc``, the text's CRC-32."""
+    step = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    return f"""crc_table AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, _: {step}, b)) AS t),
+    crcs AS (SELECT {key}, xor(list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]), 4294967295), 4294967295) AS crc FROM (SELECT DISTINCT {key}, {text} FROM {table}), crc_table)"""
+
+
 def chunks(sizes: list[int], most: int = 1 << 17) -> Iterator[slice]:
     """Consecutive texts that come to ``most`` characters; a longer text is a chunk of its own."""
     first = held = 0
