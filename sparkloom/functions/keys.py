@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import math
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,6 +79,13 @@ def external_symbol(package: Column, name: Column) -> Column:
     return F.concat(F.lit("npm "), F.replace(package, F.lit(" "), F.lit("  ")), F.lit(" "), F.when(plain, name).otherwise(quoted), F.lit("."))
 
 
+def external_id(package: str, name: str) -> str:
+    """:func:`external_symbol` of plain strings, for code inside tasks."""
+    plain = re.fullmatch(r"[A-Za-z0-9_+\-$]+", name)
+    shown = name if plain else "`" + name.replace("`", "``") + "`"
+    return f"npm {package.replace(' ', '  ')} {shown}."
+
+
 def certainty_rank(resolution: Column, confidence: Column) -> Column:
     return F.when(resolution == "deterministic", 4).when(confidence == "high", 3).when(confidence == "medium", 2).otherwise(1)
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.keys import external_symbol, key_of
+from sparkloom.functions.keys import key_of
 from sparkloom.operators.resolve import export_chain
 from sparkloom.plans.graph import Graph, cut
 
@@ -36,18 +36,16 @@ def confidence(resolution: Column) -> Column:
 def chains(asked: DataFrame, exports: DataFrame, re_exports: DataFrame) -> DataFrame:
     """The distinct ``asked(project_id, module_id, name)`` with ``outcome, symbol_id, resolution, external``.
 
-    File ids are scoped by project. Named re-exports of a ``package`` end at the external symbol of
-    that package, proven whatever led there.
+    File ids are scoped by project. What a package re-exports, by name or by star, ends at the external symbol of that
+    package, proven whatever led there.
     """
     scoped = lambda c: F.when(F.col(c).isNotNull(), key_of(F.col("project_id"), F.col(c)))
-    away = F.when((F.col("kind") == "named") & F.col("package").isNotNull(), key_of(F.lit("npm"), F.col("package")))
-    hops = re_exports.select(scoped("file_id").alias("file_id"), "kind", "exported_as", "name", F.coalesce(scoped("target_file"), away).alias("target_file"))
+    hops = re_exports.withColumns({"file_id": scoped("file_id"), "target_file": scoped("target_file")})
     known = exports.select(scoped("file_id").alias("file_id"), "exported_name", "symbol_id")
-    outside = re_exports.filter(away.isNotNull()).select(away.alias("file_id"), F.col("name").alias("exported_name"), external_symbol(F.col("package"), F.col("name")).alias("symbol_id")).distinct()
     ask = cut(asked.select("project_id", "module_id", "name").distinct().withColumn("request_id", key_of(F.col("project_id"), F.col("module_id"), F.col("name"))), "asked")
-    found = export_chain(ask.select("request_id", scoped("module_id").alias("file_id"), "name"), known.unionByName(outside), hops.filter("target_file IS NOT NULL"))
-    external = F.coalesce(F.col("symbol_id").startswith("npm "), F.lit(False))
-    return ask.join(found, "request_id").select("project_id", "module_id", "name", "outcome", "symbol_id", F.when(external, "deterministic").otherwise(F.col("resolution")).alias("resolution"), external.alias("external"))
+    found = export_chain(ask.select("request_id", scoped("module_id").alias("file_id"), "name"), known, hops)
+    external = F.col("outcome") == "external"
+    return ask.join(found, "request_id").select("project_id", "module_id", "name", F.when(external, "bound").otherwise(F.col("outcome")).alias("outcome"), "symbol_id", "resolution", external.alias("external"))
 
 
 def bind_imports(statements: DataFrame, bindings: DataFrame, exports: DataFrame, re_exports: DataFrame) -> Bound:

@@ -1,13 +1,15 @@
-"""Cross-file resolution as joins: module probing, aliases, export chains, workspace packages and package owners."""
+"""Cross-file resolution as joins: module probing, export chains and package owners."""
 
 from __future__ import annotations
 
 import itertools
+import sys
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.keys import certainty_rank, dirname, normalise_path
+from sparkloom.functions.keys import certainty_rank, dirname, external_id, external_symbol, normalise_path
 from sparkloom.plans.graph import cut
 
 #: Extensions in the order of probing, and source extensions for those of built files.
@@ -35,66 +37,126 @@ def probe_modules(requests: DataFrame, files: DataFrame) -> DataFrame:
     return requests.join(hit, key, "left")
 
 
-def resolve_aliases(requests: DataFrame, rules: DataFrame) -> DataFrame:
-    """``requests(project_id, specifier)`` with ``target``: the rule with the longest prefix fills in its ``*``.
-
-    ``rules(project_id, rank, prefix, substitute)`` is configuration; the first rule wins among equal prefixes.
-    """
-    r, q = rules, requests.select("project_id", "specifier").distinct()
-    match = q.join(r, (q.project_id == r.project_id) & q.specifier.startswith(r.prefix)).select(q.project_id, q.specifier, F.struct(F.length("prefix").alias("n"), (-F.col("rank")).alias("r"), F.col("prefix"), F.col("substitute")).alias("m"))
-    best = match.groupBy("project_id", "specifier").agg(F.max("m").alias("m"))
-    rest = F.expr("substring(specifier, m.n + 1)")
-    best = best.select("project_id", "specifier", F.replace(F.col("m.substitute"), F.lit("*"), rest).alias("target"))
-    return requests.join(best, ["project_id", "specifier"], "left")
-
-
 def combine_certainty(resolution_a, confidence_a, resolution_b, confidence_b) -> F.Column:
     """Proven only if both are; else the lower confidence."""
     low = F.least(certainty_rank(resolution_a, confidence_a), certainty_rank(resolution_b, confidence_b))
     return F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high"), F.lit("deterministic")), low)
 
 
+def with_status(re_exports: DataFrame) -> DataFrame:
+    """``re_exports`` with ``package``, ``pos`` and ``status``, which says how its module resolved.
+
+    A target file is ``internal`` and a package ``external``; without either, a given status ``ambiguous`` holds, and
+    everything else is ``unresolved``.
+    """
+    none = F.lit(None)
+    given = {c: F.col(c) if c in re_exports.columns else none.cast(t) for c, t in (("package", "string"), ("pos", "int"), ("status", "string"))}
+    status = F.when(F.col("target_file").isNotNull(), "internal").when(given["package"].isNotNull(), "external").when(given["status"] == "ambiguous", "ambiguous").otherwise("unresolved")
+    return re_exports.withColumns(given | {"status": status})
+
+
 def export_hop(requests: DataFrame, exports: DataFrame, re_exports: DataFrame) -> DataFrame:
-    """One hop for ``requests(file_id, name)``: ``outcome, symbol_id, next_file, next_name, certainty``.
+    """One hop for ``requests(file_id, name)``: ``outcome, symbol_id, next_file, next_name, certain, stars``.
 
     A local export is proven; else one named re-export redirects, several are ambiguous; else one star redirects as
     inferred, several are ``multi-star``; else the name is unresolved. ``re_exports(file_id, kind, exported_as, name,
-    target_file)`` holds named, star and namespace rows; the last never match.
+    target_file)`` holds named, star and namespace rows; the last never match. Redirects to a package end ``external``,
+    those to modules that failed end as these did; see :func:`with_status`.
     """
+    hops = with_status(re_exports)
     local = exports.groupBy("file_id", F.col("exported_name").alias("name")).agg(F.min("symbol_id").alias("symbol_id"))
-    named = re_exports.filter("kind = 'named'").groupBy("file_id", F.col("exported_as").alias("name")).agg(F.count(F.lit(1)).alias("n_named"), F.min(F.struct("target_file", F.col("name").alias("inner"))).alias("to"))
-    star = re_exports.filter("kind = 'star'").groupBy("file_id").agg(F.count(F.lit(1)).alias("n_star"), F.min("target_file").alias("star_file"))
+    aim = F.struct("pos", "target_file", "package", "status")
+    named = hops.filter("kind = 'named'").groupBy("file_id", F.col("exported_as").alias("name")).agg(F.count(F.lit(1)).alias("n_named"), F.min(F.struct(aim.alias("aim"), F.col("name").alias("inner"))).alias("to"))
+    star = hops.filter("kind = 'star'").groupBy("file_id").agg(F.sort_array(F.collect_list(aim)).alias("stars"))
     q = requests.join(local, ["file_id", "name"], "left").join(named, ["file_id", "name"], "left").join(star, "file_id", "left")
-    outcome = F.when(F.col("symbol_id").isNotNull(), "bound").when(F.col("n_named") == 1, "redirect").when(F.col("n_named") > 1, "ambiguous").when(F.col("n_star") == 1, "redirect").when(F.col("n_star") > 1, "multi-star").otherwise("unresolved")
-    by_name = F.col("n_named") == 1
-    return q.withColumns({"outcome": outcome, "next_file": F.when(by_name, F.col("to.target_file")).otherwise(F.col("star_file")), "next_name": F.when(by_name, F.col("to.inner")).otherwise(F.col("name")), "certain": by_name | F.col("symbol_id").isNotNull()}).drop("n_named", "n_star", "star_file", "to")
+    by_name, one_star = F.col("n_named") == 1, F.size("stars") == 1
+    aim = F.when(by_name, F.col("to.aim")).when(one_star, F.element_at("stars", 1))
+    inner = F.when(by_name, F.col("to.inner")).otherwise(F.col("name"))
+    redirect = F.when(aim["status"] == "internal", "redirect").otherwise(aim["status"])
+    outcome = F.when(F.col("symbol_id").isNotNull(), "bound").when(by_name, redirect).when(F.col("n_named") > 1, "ambiguous").when(one_star, redirect).when(F.size("stars") > 1, "multi-star").otherwise("unresolved")
+    away = (outcome == "external") & F.col("symbol_id").isNull()
+    made = {"outcome": outcome, "next_file": aim["target_file"], "next_name": inner, "certain": F.coalesce(by_name, F.lit(False)) | F.col("symbol_id").isNotNull(), "symbol_id": F.when(away, external_symbol(aim["package"], inner)).otherwise(F.col("symbol_id")), "stars": F.when(outcome == "multi-star", F.col("stars"))}
+    return q.withColumns(made).drop("n_named", "to")
+
+
+def probe_stars(rows: list[dict]) -> tuple[str, str | None, bool]:
+    """Outcome, symbol and proof of a request from the hops that it can reach; the first row is its start.
+
+    Stars are tried in order, depth first. A branch that is ambiguous or unresolved inside provides nothing, and a
+    ``(file, name)`` that was entered before is a dead end wherever it comes up again. One distinct provider binds with
+    the proof of its own branch, the last one's of equal providers.
+    """
+    hops, entered = {(r["file_id"], r["name"]): r for r in rows}, set()
+
+    def enter(file_id: str, name: str, proven: bool) -> tuple[str, str | None, bool]:
+        while (file_id, name) not in entered:
+            entered.add((file_id, name))
+            hop = hops[file_id, name]
+            proven = proven and (hop["certain"] or hop["outcome"] == "multi-star")
+            if hop["outcome"] == "multi-star":
+                return probe(hop["stars"], name, proven)
+            if hop["outcome"] != "redirect":
+                return hop["outcome"], hop["symbol_id"], proven
+            file_id, name = hop["next_file"], hop["next_name"]
+        return "unresolved", None, False
+
+    def probe(stars: list[dict], name: str, proven: bool) -> tuple[str, str | None, bool]:
+        found = {}
+        for star in stars:
+            if star["status"] == "internal":
+                end = enter(star["target_file"], name, proven)
+            else:
+                end = (star["status"], star["package"] and external_id(star["package"], name), True)
+            if end[0] in ("bound", "external"):
+                found[end[:2]] = end
+        return next(iter(found.values())) if len(found) == 1 else ("ambiguous" if found else "unresolved", None, False)
+
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 4 * len(rows) + 1_000))
+    try:
+        return enter(rows[0]["file_id"], rows[0]["name"], True)
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 def export_chain(requests: DataFrame, exports: DataFrame, re_exports: DataFrame) -> DataFrame:
     """Follow re-exports for ``requests(request_id, file_id, name)``: ``request_id, outcome, symbol_id, resolution``.
 
-    Several stars are probed all; one provider binds, several are ambiguous. A visited ``(file, name)`` of a request
-    is not entered again, so cycles end unresolved, and the loop ends whatever the length of a chain.
+    All requests take a hop a round, each ``(file, name)`` once a request, so cycles end unresolved. Requests that meet
+    several stars get their whole search as rows, which :func:`probe_stars` judges: what a branch provides depends on
+    what was entered before it, so a depth-first search in order is the meaning, and no set of ends would do. An
+    ``external`` outcome carries the external symbol and is proven, whatever led there.
     """
-    at = requests.select("request_id", "file_id", "name", F.lit(True).alias("det"), F.lit(False).alias("branched"))
-    seen, done = cut(at.select("request_id", "file_id", "name"), "seen"), None
+    key = ["request_id", "file_id", "name"]
+    at = requests.select(*key, F.lit(True).alias("det"), F.lit(0).alias("round"))
+    seen, hops = cut(at.select(*key), "seen"), None
     for n in itertools.count(1):
         hop = cut(export_hop(at, exports, re_exports), "hop")
-        bound = hop.filter("outcome = 'bound' OR outcome = 'ambiguous'").select("request_id", "symbol_id", "outcome", "det", "branched")
-        done = bound if done is None else done.unionByName(bound)
-        one = hop.filter("outcome = 'redirect'").select("request_id", F.col("next_file").alias("file_id"), F.col("next_name").alias("name"), (F.col("det") & F.col("certain")).alias("det"), "branched")
-        stars = re_exports.filter("kind = 'star'").select("file_id", F.col("target_file").alias("to"))
-        many = hop.filter("outcome = 'multi-star'").join(stars, "file_id").select("request_id", F.col("to").alias("file_id"), "name", "det", F.lit(True).alias("branched"))
-        at = cut(one.unionByName(many).dropDuplicates(["request_id", "file_id", "name"]).join(seen, ["request_id", "file_id", "name"], "left_anti"), "at")
+        hops = hop if hops is None else hops.unionByName(hop)
+        det = F.col("det") & (F.col("certain") | (F.col("outcome") == "multi-star"))
+        one = hop.filter("outcome = 'redirect'").select("request_id", F.col("next_file").alias("file_id"), F.col("next_name").alias("name"), det.alias("det"))
+        many = hop.filter("outcome = 'multi-star'").select("request_id", F.explode("stars").alias("star"), "name", "det").filter("star.status = 'internal'").select("request_id", F.col("star.target_file").alias("file_id"), "name", "det")
+        at = cut(one.unionByName(many).dropDuplicates(key).join(seen, key, "left_anti").withColumn("round", F.lit(n)), "at")
         if at.isEmpty():
             break
-        seen = seen.unionByName(at.select("request_id", "file_id", "name"))
+        seen = seen.unionByName(at.select(*key))
         if n % 16 == 0:  # keeps the plans of long chains short
-            seen, done = cut(seen, "seen"), cut(done, "done")
-    ends = done.groupBy("request_id").agg(F.countDistinct("symbol_id").alias("k"), F.min("symbol_id").alias("symbol_id"), F.max(F.col("outcome") == "ambiguous").alias("amb"), F.max("det").alias("det"))
+            seen, hops = cut(seen, "seen"), cut(hops, "hops")
+    branched = hops.filter("outcome = 'multi-star'").select("request_id").distinct()
+    ends = hops.join(branched, "request_id", "left_anti").filter("outcome IN ('bound', 'external', 'ambiguous')").select("request_id", "outcome", "symbol_id", (F.col("det") & F.col("certain")).alias("det"))
+
+    def judge(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["round"])
+        outcome, symbol, det = probe_stars(rows)
+        return pa.table({"request_id": pa.array([rows[0]["request_id"]], table.schema.field("request_id").type), "outcome": [outcome], "symbol_id": pa.array([symbol], pa.string()), "det": [det]})
+
+    kind = requests.schema["request_id"].dataType.simpleString()
+    searched = hops.join(branched, "request_id", "left_semi").select(*key, "round", "outcome", "symbol_id", "certain", "next_file", "next_name", "stars")
+    ends = ends.unionByName(searched.groupBy("request_id").applyInArrow(judge, f"request_id {kind}, outcome string, symbol_id string, det boolean"))
     out = requests.select("request_id").join(ends, "request_id", "left")
-    outcome = F.when(F.coalesce("amb", F.lit(False)) | (F.col("k") > 1), "ambiguous").when(F.col("k") == 1, "bound").otherwise("unresolved")
-    return out.select("request_id", outcome.alias("outcome"), F.when(outcome == "bound", F.col("symbol_id")).alias("symbol_id"), F.when(outcome == "bound", F.when(F.col("det"), "deterministic").otherwise("inferred")).alias("resolution"))
+    outcome, found = F.coalesce("outcome", F.lit("unresolved")), F.col("outcome").isin("bound", "external")
+    resolution = F.when(F.col("outcome") == "external", "deterministic").when(found, F.when(F.col("det"), "deterministic").otherwise("inferred"))
+    return out.select("request_id", outcome.alias("outcome"), F.when(found, F.col("symbol_id")).alias("symbol_id"), resolution.alias("resolution"))
 
 
 def package_owner(files: DataFrame, packages: DataFrame) -> DataFrame:
@@ -103,10 +165,3 @@ def package_owner(files: DataFrame, packages: DataFrame) -> DataFrame:
     above = files.select("project_id", "id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("dir")))).alias("a")).select("project_id", "id", "a.depth", "a.dir")
     hit = above.join(packages.select("project_id", "dir", "package_id"), ["project_id", "dir"]).groupBy("project_id", "id").agg(F.max_by("package_id", "depth").alias("package_id"))
     return files.join(hit, ["project_id", "id"], "left")
-
-
-def supersede_externals(edges: DataFrame, replacements: DataFrame) -> DataFrame:
-    """Point edges at workspace symbols: every edge to ``external_id`` gets ``symbol_id``, the first record's."""
-    w = Window.partitionBy("external_id").orderBy("rank")
-    first = replacements.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(F.col("external_id").alias("target_id"), "symbol_id")
-    return edges.join(first, "target_id", "left").withColumn("target_id", F.coalesce("symbol_id", "target_id")).drop("symbol_id")

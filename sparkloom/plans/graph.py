@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Closed sets of kinds.
@@ -43,18 +43,23 @@ class Graph:
         return e.unionByName(k).unionByName(n).unionByName(s)
 
 
-def cut(df: DataFrame, name: str = "level") -> DataFrame:
-    """Write to the shared folder in ``spark.checkpoint.dir`` and read back, so that loops keep short plans.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    A local session without that setting gets a temporary folder; on a cluster its absence raises.
+    A local session without that setting gets a temporary folder; any other master, or none at all, raises.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if spark.conf.get("spark.master", "local").split("[")[0] != "local":
+        if spark.conf.get("spark.master", "").split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "level") -> DataFrame:
+    """Write to the shared folder and read back, so that loops keep short plans."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

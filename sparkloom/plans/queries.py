@@ -12,6 +12,7 @@ from sparkloom.functions import keys
 from sparkloom.operators import delta, reads, resolve, rollup, traverse, views
 from sparkloom.plans import testgraph
 from sparkloom.plans.binding import BINDING, IMPORTS, imports
+from sparkloom.plans.committed import COMMITTED, job_claim_commit, job_claim_sql
 from sparkloom.plans.graph import DEPENDENCIES, Graph
 
 K = "('imports', 'references', 'calls', 'extends', 'implements')"
@@ -128,12 +129,6 @@ def relative(g: Graph) -> DataFrame:
     return resolve.relative_targets(asked)
 
 
-def aliases(g: Graph, spark: SparkSession) -> DataFrame:
-    rules = spark.createDataFrame([(0, "@/", "src/*"), (1, "@/lib/", "lib/*"), (2, "~/", "home/*")], "rank int, prefix string, substitute string").crossJoin(g.nodes.filter("kind = 'repo'").select("project_id"))
-    asked = g.nodes.filter("kind = 'file'").select("project_id", F.concat(F.when(F.substring_index("id", ":", -1).cast("long") % 2 == 0, "@/lib/").otherwise("@/"), "path").alias("specifier"))
-    return resolve.resolve_aliases(asked, rules)
-
-
 def owners(g: Graph) -> DataFrame:
     files = g.nodes.filter("kind = 'file'").select("project_id", "id", "path")
     dirs = g.nodes.filter("kind = 'package'").select("project_id", F.lower("name").alias("dir"), F.col("id").alias("package_id"))
@@ -162,14 +157,6 @@ def export_chains(g: Graph) -> DataFrame:
     return asked.join(found, "request_id").select("project_id", "barrel", "name", "outcome", "symbol_id", "resolution")
 
 
-def superseded(g: Graph) -> DataFrame:
-    """Imports whose targets are external names; every fourth has records of workspace symbols, of which the first holds."""
-    n = F.substring_index("target_id", ":", -1).cast("long")
-    edges = g.edges.filter("kind = 'imports' AND target_id LIKE 'sym:%'").select("project_id", "source_id", F.concat(F.lit("npm w "), "target_id", F.lit(".")).alias("target_id"), n.alias("n"))
-    records = edges.filter("n % 4 = 0").select(F.col("target_id").alias("external_id"), F.explode(F.array(F.lit(2), F.lit(1))).alias("rank"), "n").distinct()
-    return resolve.supersede_externals(edges.drop("n"), records.select("external_id", "rank", F.concat(F.lit("own:"), "n", F.lit(":"), "rank").alias("symbol_id"))).select("project_id", "source_id", "target_id")
-
-
 def map_page(g: Graph) -> DataFrame:
     _, edges, truncated = rollup.map_view(g, "package", limit=10)
     return edges.withColumn("truncated", F.lit(truncated))
@@ -203,6 +190,10 @@ def job_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta.claim(job_states(spark, sf_dir), now(), 100).select("id", "status", "attempts", F.col("lease_until").cast("string").alias("lease"))
 
 
+def job_two_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return job_claim_commit(job_states(spark, sf_dir).withColumn("dedupe_key", F.concat(F.lit("k"), F.col("id") % 1000)), now())
+
+
 def job_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_jobs = job_states(spark, sf_dir)
     outcomes = all_jobs.filter("id % 3 <> 0").select("id", (F.col("id") % 3 == 1).alias("ok"))
@@ -287,10 +278,9 @@ GRAPH: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {
     "graph_invariants": (lambda g: broken(g).violations().groupBy("rule").count(), "SELECT 'confidence' AS rule, count(*) AS count FROM edge WHERE resolution = 'inferred' AND kind = 'calls' UNION ALL SELECT 'edge-kind', count(*) FROM edge WHERE kind = 'extends' UNION ALL SELECT 'node-kind', count(*) FROM node WHERE kind = 'package' UNION ALL SELECT 'sub-kind', count(*) FROM node WHERE sub_kind = 'react:prop'"),
 }
 
-GRAPH |= BINDING
+GRAPH |= BINDING | COMMITTED
 GRAPH |= {
     "export_chain": (export_chains, f"{IMPORTS}, h AS (SELECT DISTINCT project_id, pkg, files FROM home), w AS (SELECT w.*, h.files FROM wide w JOIN h ON h.project_id = w.project_id AND h.pkg = w.pkg) SELECT project_id, 'barrel:' || pkg AS barrel, name, CASE WHEN k = 1 THEN 'bound' ELSE 'ambiguous' END AS outcome, CASE WHEN k = 1 THEN sym END AS symbol_id, CASE WHEN k = 1 THEN CASE WHEN files = 1 THEN 'inferred' ELSE 'deterministic' END END AS resolution FROM w UNION ALL SELECT project_id, 'barrel:' || pkg, name || '?', 'unresolved', NULL, NULL FROM w"),
-    "workspace_supersede": (superseded, "SELECT project_id, source_id, CASE WHEN split_part(target_id, ':', 2)::BIGINT % 4 = 0 THEN 'own:' || split_part(target_id, ':', 2) || ':1' ELSE 'npm w ' || target_id || '.' END AS target_id FROM edge WHERE kind = 'imports' AND target_id LIKE 'sym:%'"),
     "map_view_page": (map_page, f"WITH m AS (SELECT * FROM ({map_sql('package')})), v AS (SELECT project_id, id FROM node WHERE kind = 'package' ORDER BY project_id, id LIMIT 10) SELECT m.*, (SELECT count(*) FROM node WHERE kind = 'package') > 10 AS truncated FROM m JOIN v a ON a.project_id = m.project_id AND a.id = m.src JOIN v b ON b.project_id = m.project_id AND b.id = m.tgt"),
     "blast_radius_hydrated": (lambda g: traverse.blast_radius_page(g, hot(g), 30, None, 2), f"SELECT h.*, n.kind AS node_kind, coalesce(n.name, n.path) AS label, (SELECT count(*) FROM ({blast_sql(2).replace('WITH', 'WITH RECURSIVE', 1)}) WHERE depth >= 2) > 0 AS truncated FROM (SELECT * FROM ({blast_sql(2).replace('WITH', 'WITH RECURSIVE', 1)}) ORDER BY depth, id LIMIT 30) h LEFT JOIN node n ON n.project_id = h.project_id AND n.id = h.id"),
     "expansion_probe": (lambda g: traverse.expansion_probe(g, hot(g), 3), f"WITH {HOT}, dep AS (SELECT project_id, source_id, target_id FROM edge WHERE kind IN {K}), w1 AS (SELECT project_id, source_id AS id, count(*) AS walks FROM dep WHERE target_id = (SELECT id FROM hot) GROUP BY 1, 2), w2 AS (SELECT d.project_id, d.source_id AS id, sum(walks)::BIGINT AS walks FROM w1 w JOIN dep d ON d.project_id = w.project_id AND d.target_id = w.id GROUP BY 1, 2), w3 AS (SELECT d.project_id, d.source_id AS id, sum(walks)::BIGINT AS walks FROM w2 w JOIN dep d ON d.project_id = w.project_id AND d.target_id = w.id GROUP BY 1, 2) SELECT project_id, 1::BIGINT AS depth, sum(walks)::BIGINT AS walks, count(*) AS nodes FROM w1 GROUP BY 1 UNION ALL SELECT project_id, 2, sum(walks)::BIGINT, count(*) FROM w2 GROUP BY 1 UNION ALL SELECT project_id, 3, sum(walks)::BIGINT, count(*) FROM w3 GROUP BY 1"),
@@ -306,6 +296,7 @@ GRAPH |= {
 
 #: name: (function of session and folder, SQL over the tables)
 PLAIN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "job_two_workers": (job_two_workers, job_claim_sql(f"SELECT * REPLACE ('k' || id % 1000 AS dedupe_key) FROM ({JOB})", NOW_SQL)),
     "job_claim_order": (job_claims, f"WITH j AS ({JOB}) SELECT id, status FROM j WHERE (status = 'ready' AND available_at <= TIMESTAMP '1995-01-01') OR (status = 'processing' AND lease_until <= TIMESTAMP '1995-01-01') ORDER BY available_at, id LIMIT 100"),
     "job_dedupe": (job_dedupe, f"WITH j AS ({JOB}) SELECT min(id) AS id, 'k' || (id % 80) AS dedupe_key FROM j WHERE 'k' || (id % 80) NOT IN (SELECT dedupe_key FROM j WHERE status IN ('ready', 'processing')) GROUP BY 2"),
     "job_claim": (job_claim, f"WITH j AS ({JOB}), won AS (SELECT id FROM j WHERE (status = 'ready' AND available_at <= {NOW_SQL}) OR (status = 'processing' AND lease_until <= {NOW_SQL}) ORDER BY available_at, id LIMIT 100) SELECT j.id, CASE WHEN won.id IS NULL THEN status ELSE 'processing' END AS status, (j.id % 7)::INTEGER + CASE WHEN won.id IS NULL THEN 0 ELSE 1 END AS attempts, strftime(CASE WHEN won.id IS NULL THEN lease_until ELSE {NOW_SQL} + INTERVAL 5 MINUTE END, '%Y-%m-%d %H:%M:%S') AS lease FROM j LEFT JOIN won ON won.id = j.id"),
@@ -313,18 +304,15 @@ PLAIN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "backoff_ceiling": (backoff, "SELECT n_nationkey::BIGINT + 1 AS attempt, least(300.0, pow(2.0, n_nationkey)) AS seconds FROM nation"),
     "specifier_kinds": (specifiers, "WITH s AS (SELECT p_partkey AS id, (['./', '../', '@/', '~/', '@scope/', ''])[p_partkey % 6 + 1] || lower(p_name) || '/sub' AS spec FROM part) SELECT id, CASE WHEN starts_with(spec, '.') THEN 'relative' WHEN starts_with(spec, '@/') OR starts_with(spec, '~/') THEN 'alias' ELSE 'bare' END AS spec_kind, CASE WHEN starts_with(spec, '@') THEN split_part(spec, '/', 1) || '/' || split_part(spec, '/', 2) ELSE split_part(spec, '/', 1) END AS package FROM s"),
 }
-ALIAS_SQL = "SELECT project_id, s AS specifier, CASE WHEN starts_with(s, '@/lib/') THEN 'lib/' || substr(s, 7) ELSE 'src/' || substr(s, 3) END AS target FROM (SELECT project_id, CASE WHEN split_part(id, ':', 2)::BIGINT % 2 = 0 THEN '@/lib/' ELSE '@/' END || path AS s FROM node WHERE kind = 'file')"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {k: (lambda spark, d, f=f: f(testgraph.load(spark, d))) for k, (f, _) in GRAPH.items()}
-    out["alias_longest_prefix"] = lambda spark, d: aliases(testgraph.load(spark, d), spark)
     return out | {k: f for k, (f, _) in PLAIN.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {k: testgraph.duckdb(sql) for k, (_, sql) in GRAPH.items() if sql is not None}
-    out["alias_longest_prefix"] = testgraph.duckdb(ALIAS_SQL)
     return out | {k: sql for k, (_, sql) in PLAIN.items()}
 
 

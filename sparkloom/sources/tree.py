@@ -1,26 +1,16 @@
-"""Source trees and the graph's store.
-
-Directories are read with Spark's binary-file source, so listing and reading are spread over the cluster. The
-tables are written as one snapshot folder; the pointer row with the largest number names the snapshot in force, so
-readers see all or nothing.
-"""
+"""Source trees, read with Spark's binary-file source, so that listing and reading are spread over the cluster."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.plans.graph import Graph
-
 #: Folders that are never walked, and bounds in bytes.
 SKIPPED = ("node_modules", ".git", "dist", "build", "coverage")
 FILE_BYTES, TREE_BYTES = 8 << 20, 256 << 20
 #: Comments, and import and export-from statements with their specifier.
 COMMENT = r"(?s)/\*.*?\*/|(?m)^\s*//[^\n]*"
 IMPORT = r"""(?m)^\s*(?:(?:import|export)\b[^'";]*?from|import)\s*['"]([^'"]+)['"]"""
-POINTER = "seq long, snapshot string, tables array<string>"
 
 
 def discover(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".ts", ".tsx", ".js", ".jsx")) -> DataFrame:
@@ -39,27 +29,3 @@ def discover(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".ts",
 def imports_of(files: DataFrame) -> DataFrame:
     """``importer_path, specifier`` of the import and re-export statements in ``files(path, text)``."""
     return files.select(F.col("path").alias("importer_path"), F.explode(F.regexp_extract_all(F.regexp_replace("text", COMMENT, ""), F.lit(IMPORT), F.lit(1))).alias("specifier"))
-
-
-def save(g: Graph, root: str) -> str:
-    """Write a snapshot and, last, point at it."""
-    name, spark = uuid.uuid4().hex, g.nodes.sparkSession
-    tables = {"node": g.nodes, "edge": g.edges, "tail": g.tail, "payload": g.payload}
-    held = [t for t, df in tables.items() if df is not None]
-    for table in held:  # rebalancing splits a project that is too large for a task
-        tables[table].hint("rebalance", "project_id").write.partitionBy("project_id").parquet(f"{root}/{name}/{table}")
-    last = pointers(spark, root).agg(F.max("seq")).first()[0] or 0
-    spark.createDataFrame([(last + 1, name, held)], POINTER).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
-    return name
-
-
-def pointers(spark: SparkSession, root: str) -> DataFrame:
-    """All pointer rows below ``root``; none before the first snapshot."""
-    spark.createDataFrame([], POINTER).write.mode("append").parquet(f"{root}/pointer")
-    return spark.read.schema(POINTER).parquet(f"{root}/pointer")
-
-
-def load(spark: SparkSession, root: str) -> Graph:
-    """The latest snapshot; filters on the project prune its partitions."""
-    last = spark.read.schema(POINTER).parquet(f"{root}/pointer").orderBy(F.desc("seq"), F.desc("snapshot")).first()
-    return Graph(*(spark.read.parquet(f"{root}/{last.snapshot}/{t}") if t in last.tables else None for t in ("node", "edge", "tail", "payload")))

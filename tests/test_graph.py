@@ -93,6 +93,32 @@ def test_export_chains(spark):
     assert out == {1: ("bound", "sx", "deterministic"), 2: ("bound", "sx", "inferred"), 3: ("ambiguous", None, None), 4: ("bound", "sz", "deterministic"), 5: ("unresolved", None, None)}
 
 
+HOPS = "file_id string, kind string, exported_as string, name string, target_file string, package string, status string, pos int"
+
+
+def star(file, *targets):
+    """Stars of a file in order: a file, a package ("npm x") or a failure ("!unresolved", "!ambiguous")."""
+    return [(file, "star", None, None, None if t[0] == "!" or t.startswith("npm ") else t, t[4:] if t.startswith("npm ") else None, t[1:] if t[0] == "!" else None, i) for i, t in enumerate(targets)]
+
+
+def named(file, outer, inner, target=None, package=None, status=None):
+    return (file, "named", outer, inner, target, package, status, 0)
+
+
+def test_stars_are_probed_as_a_tree(spark):
+    exports = [("A1", "x", "sA1"), ("A2", "x", "sA2"), ("B", "x", "sB"), ("m1", "y", "sy"), ("C", "x", "sC"), ("D", "x", "sD"), ("p", "U", "Up"), ("p", "D", "Dp"), ("q", "D", "Dq"), ("deep", "w", "sw")]
+    re = [*star("W", "A", "B"), *star("A", "A1", "A2"), *star("V", "m1", "m2"), named("m2", "y", "y1", "m1"), named("m2", "y", "y2", "m1"), *star("U", "A", "Z"), *star("multi", "p", "q"), *star("mixed", "p", "npm react"), *star("lone", "npm @s/x y"), *star("failed", "!unresolved", "!ambiguous"), *star("bad", "!unresolved"), *star("odd", "!ambiguous")]
+    re += [named("n", "P", "Q", package="react"), named("n", "R", "R", status="unresolved"), named("n", "S", "S", status="ambiguous"), *star("n", "p"), *star("two", "npm react", "npm react"), *star("both", "npm react", "npm vue")]
+    # C is entered by way of L first, so M provides D's x alone; and of a loop each start sees the rest once.
+    re += [*star("T", "L", "M"), *star("L", "C"), *star("M", "C", "D"), *star("r1", "r2", "empty"), *star("r2", "r1", "deep"), *star("one", "inner"), *star("inner", "deep", "empty")]
+    want = {("W", "x"): ("bound", "sB", "deterministic"), ("V", "y"): ("bound", "sy", "deterministic"), ("U", "x"): ("unresolved", None, None), ("multi", "U"): ("bound", "Up", "deterministic"), ("multi", "D"): ("ambiguous", None, None), ("multi", "N"): ("unresolved", None, None), ("mixed", "R"): ("external", "npm react R.", "deterministic"), ("mixed", "U"): ("ambiguous", None, None)}
+    want |= {("lone", "a b"): ("external", "npm @s/x  y `a b`.", "deterministic"), ("failed", "x"): ("unresolved", None, None), ("bad", "x"): ("unresolved", None, None), ("odd", "x"): ("ambiguous", None, None), ("n", "P"): ("external", "npm react Q.", "deterministic"), ("n", "R"): ("unresolved", None, None), ("n", "S"): ("ambiguous", None, None), ("n", "U"): ("bound", "Up", "inferred"), ("two", "x"): ("external", "npm react x.", "deterministic"), ("both", "x"): ("ambiguous", None, None)}
+    want |= {("T", "x"): ("ambiguous", None, None), ("M", "x"): ("ambiguous", None, None), ("r1", "w"): ("bound", "sw", "deterministic"), ("r2", "w"): ("bound", "sw", "deterministic"), ("one", "w"): ("bound", "sw", "inferred"), ("gone", "x"): ("unresolved", None, None)}
+    asked = spark.createDataFrame([("|".join(k), *k) for k in want], "request_id string, file_id string, name string")
+    out = {tuple(r.request_id.split("|")): (r.outcome, r.symbol_id, r.resolution) for r in resolve.export_chain(asked, spark.createDataFrame(exports, "file_id string, exported_name string, symbol_id string"), spark.createDataFrame(re, HOPS)).collect()}
+    assert out == want
+
+
 def test_export_chain_of_forty_barrels(spark):
     exports = spark.createDataFrame([("b40", "x", "sx")], "file_id string, exported_name string, symbol_id string")
     re = spark.createDataFrame([(f"b{i}", "named", "x", "x", f"b{i + 1}") for i in range(40)], "file_id string, kind string, exported_as string, name string, target_file string")
@@ -125,10 +151,7 @@ def test_bindings_of_imports_and_calls(spark):
     assert {tuple(r) for r in gaps.select("code", "specifier", "target_file_id", "name").collect()} == {("unresolved-member", "G.run", "m", "run"), ("unresolved-member", "NS.none", "n", "none"), ("unbound-callee", "h.go", None, "go"), ("unbound-callee", "ext.x", None, "x")}
 
 
-def test_supersede_and_delta(spark):
-    edges = spark.createDataFrame([("a", "npm x f."), ("b", "npm x f."), ("c", "d")], "source_id string, target_id string")
-    to = spark.createDataFrame([("npm x f.", 1, "s1"), ("npm x f.", 0, "s0")], "external_id string, rank int, symbol_id string")
-    assert got(resolve.supersede_externals(edges, to), "source_id", "target_id") == [("a", "s0"), ("b", "s0"), ("c", "d")]
+def test_delta(spark):
     h = lambda *r: spark.createDataFrame([("p", *x) for x in r], "project_id string, path string, content_hash string")
     assert delta.unchanged(h(("a", "1")), h(("a", "1")))
     assert not delta.unchanged(h(("a", "1")), h(("a", "2")))
@@ -136,21 +159,13 @@ def test_supersede_and_delta(spark):
     assert got(delta.cache_put(cache, spark.createDataFrame([("k1", "new"), ("k2", "x")], cache.schema)), "cache_key", "fragment") == [("k1", "old"), ("k2", "x")]
 
 
-def test_tree_and_store(spark, tmp_path):
+def test_tree(spark, tmp_path):
     for name, text in {"src/a.ts": "import {b} from './b';\nexport * from \"./c\";\n", "node_modules/x.ts": "", "src/b.md": ""}.items():
         (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "t" / name).write_text(text)
     files = tree.discover(spark, str(tmp_path / "t"))
     assert [r.path for r in files.collect()] == ["src/a.ts"]
     assert got(tree.imports_of(files), "specifier") == [("./b",), ("./c",)]
-    g = graph(spark, [("f", "file", None, "f")], ["f -contains-> x"], [("unbound-callee", None, "n")])
-    tree.save(g, str(tmp_path / "s"))
-    assert tree.load(spark, str(tmp_path / "s")).payload is None
-    args = spark.createDataFrame([("p", "c", 0, "x", "named")], "project_id string, id string, pos int, arg_name string, pass_kind string")
-    tree.save(Graph(g.nodes, g.edges, g.tail, args), str(tmp_path / "s"))
-    stored = tree.load(spark, str(tmp_path / "s"))
-    assert stored.edges.count() == 1 and reads.call_bindings(stored).count() == 1
-    assert [r.seq for r in tree.pointers(spark, str(tmp_path / "s")).orderBy("seq").collect()] == [1, 2]
 
 
 def test_imports_without_names_and_in_comments(spark):
@@ -211,7 +226,7 @@ def test_query_against_sql(spark, name):
     assert not differences(queries.queries()[name](spark, SF), queries.oracle_sql()[name], connect(SF))
 
 
-@pytest.mark.parametrize("name", ["map_symbol_edges", "search_wildcard_literal", "graph_invariants", "job_dedupe", "export_chain", "cycle_list", "resolve_project", "package_synthesis", "declared_signatures", "detail_uses", "binding_rows", "blast_rows"])
+@pytest.mark.parametrize("name", ["map_symbol_edges", "search_wildcard_literal", "graph_invariants", "job_dedupe", "export_chain", "export_probe", "store_replace", "workspace_supersede", "alias_longest_prefix", "job_two_workers", "cycle_list", "resolve_project", "package_synthesis", "declared_signatures", "detail_uses", "binding_rows", "blast_rows"])
 def test_query_has_rows(spark, name):
     assert not queries.queries()[name](spark, SF).isEmpty()
 
