@@ -39,6 +39,40 @@ def cache_partition(files: DataFrame, cache: DataFrame, version: str) -> DataFra
     return files.withColumn("cache_key", key).join(held, "cache_key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
+def decoded(cache: DataFrame, shape: str, version: str, required: tuple[str, ...]) -> DataFrame:
+    """The rows of ``cache(cache_key, fragment)`` that decode to ``shape``, as ``cache_key, value``.
+
+    Text that isn't JSON, a value of another type, a missing ``required`` field or another ``version`` is no fragment.
+    """
+    read = F.from_json("fragment", f"{shape}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    sound = F.col("value._bad").isNull() & (F.col("value.version") == version)
+    for field in required:
+        sound = sound & F.col(f"value.{field}").isNotNull()
+    return cache.select("cache_key", read.alias("value")).filter(F.coalesce(sound, F.lit(False))).withColumn("value", F.col("value").dropFields("_bad"))
+
+
+def cache_get(files: DataFrame, cache: DataFrame, version: str, shape: str, required: tuple[str, ...]) -> DataFrame:
+    """``files(project_id, path, content_hash)`` with ``cache_key`` and ``value``; where that is null, the file has to be
+    parsed again, whether its fragment is absent or corrupt."""
+    key = F.concat_ws(":", F.lit(version), "content_hash")
+    held = decoded(cache, shape, version, required).groupBy("cache_key").agg(F.first("value").alias("value"))
+    return files.withColumn("cache_key", key).join(held, "cache_key", "left")
+
+
+def link_guarded(stored: DataFrame, asks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``stored(id, owner, created_at, updated_at)`` after ``asks(seq, id, owner, at)``, and each ask's ``outcome``.
+
+    An id belongs to its stored owner, or else to the first asker by ``seq``. An owner's ask is ``linked`` and touches
+    the row; anyone else's is an ``owner-mismatch`` and changes nothing.
+    """
+    first = asks.groupBy("id").agg(F.min_by("owner", "seq").alias("_first"), F.min_by("at", "seq").alias("_at"))
+    holder = first.join(stored.select("id", F.col("owner").alias("_owner"), F.col("created_at").alias("_made")), "id", "left")
+    holder = holder.select("id", F.coalesce("_owner", "_first").alias("_holder"), F.coalesce("_made", "_at").alias("_made"))
+    judged = asks.join(holder, "id").withColumn("outcome", F.when(F.col("owner") == F.col("_holder"), "linked").otherwise("owner-mismatch"))
+    touched = judged.filter("outcome = 'linked'").groupBy("id").agg(F.first("_holder").alias("owner"), F.first("_made").alias("created_at"), F.max_by("at", "seq").alias("updated_at"))
+    return stored.join(touched, "id", "left_anti").unionByName(touched), judged.select("seq", "id", "owner", "outcome")
+
+
 def cache_put(cache: DataFrame, new: DataFrame) -> DataFrame:
     """Keys that the cache holds keep their fragment."""
     return cache.unionByName(new.dropDuplicates(["cache_key"]).join(cache, "cache_key", "left_anti"))

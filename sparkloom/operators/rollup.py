@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.keys import clamp_limit
+from sparkloom.functions.symbols import is_external
 from sparkloom.plans.graph import IMPORT_CODES, USAGE_CODES, Graph
 
 
@@ -114,9 +115,8 @@ def tally(df: DataFrame, column: str) -> DataFrame:
 
 def import_metrics(g: Graph) -> DataFrame:
     """Resolution of imports by project; rates are 0 where there is nothing to resolve."""
-    known = g.nodes.select("project_id", F.col("id").alias("target_id"), F.lit(1).alias("known"))
-    e = g.edges.filter("kind = 'imports'").join(known, ["project_id", "target_id"], "left")
-    det, out = F.col("resolution") == "deterministic", F.col("known").isNull()
+    e = g.edges.filter("kind = 'imports'").withColumn("out", is_external(F.col("target_id")))
+    det, out = F.col("resolution") == "deterministic", F.col("out")
     edges = e.groupBy("project_id").agg(F.count(F.when(~out & det, 1)).alias("deterministic"), F.count(F.when(~out & ~det, 1)).alias("inferred"), F.count(F.when(out, 1)).alias("external"))
     bad = g.tail.filter(F.col("code").isin(*IMPORT_CODES)).groupBy("project_id").agg(F.count(F.when(F.col("code").startswith("ambiguous"), 1)).alias("ambiguous"), F.count(F.when(F.col("code").startswith("unresolved"), 1)).alias("unresolved"))
     m = edges.join(bad, "project_id", "full").fillna(0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.reads import top_rows
@@ -46,18 +46,56 @@ def blast_radius_page(g: Graph, node_id: str, limit: int | None = None, cursor:
     return shown.join(nodes, ["project_id", "id"], "left").withColumn("truncated", F.lit(deepest is not None and deepest >= max_depth))
 
 
-def expansion_probe(g: Graph, node_id: str, max_depth: int = 3, kinds: tuple[str, ...] = DEPENDENCIES) -> DataFrame:
-    """By depth: how many walks reach a node's dependents, counted without listing them, and how many nodes they reach."""
-    e = cut(g.dependencies(kinds).select("project_id", F.col("target_id").alias("id"), "source_id"), "edges")
-    at = e.filter(F.col("id") == node_id).select("project_id", "id").distinct().withColumn("walks", F.lit(1).cast("long"))
-    out = None
+def expansion_probe(g: Graph, node_id: str, max_depth: int = 3, kinds: tuple[str, ...] = DEPENDENCIES, budget: int = 10_000_000) -> DataFrame:
+    """By depth: how many simple paths lead from dependents to a node, and how many nodes they start at.
+
+    A path enters no node twice, and parallel edges count as paths of their own; these are kept as one row with a
+    count. More than ``budget`` rows raise, as no sum over nodes would tell simple paths from others.
+    """
+    e = g.dependencies(kinds).groupBy("project_id", F.col("target_id").alias("id"), "source_id").agg(F.count(F.lit(1)).alias("times"))
+    e = cut(e, "edges")
+    at = e.filter(F.col("id") == node_id).select("project_id", "id").distinct().withColumns({"path": F.array("id"), "n": F.lit(1).cast("long")})
+    out, rows = None, 0
     for depth in range(1, max_depth + 1):
-        at = cut(at.join(e, ["project_id", "id"]).groupBy("project_id", F.col("source_id").alias("id")).agg(F.sum("walks").alias("walks")), "walks")
-        row = at.groupBy("project_id").agg(F.lit(depth).cast("long").alias("depth"), F.sum("walks").alias("walks"), F.count(F.lit(1)).alias("nodes"))
+        step = at.join(e, ["project_id", "id"]).filter(~F.array_contains("path", F.col("source_id")))
+        at = cut(step.select("project_id", F.col("source_id").alias("id"), F.array_append("path", F.col("source_id")).alias("path"), (F.col("n") * F.col("times")).alias("n")), "paths")
+        rows += at.count()
+        if rows > budget:
+            raise ValueError(f"more than {budget} paths lead to {node_id} within {depth} steps")
+        row = at.groupBy("project_id").agg(F.lit(depth).cast("long").alias("depth"), F.sum("n").alias("paths"), F.countDistinct("id").alias("nodes"))
         out = row if out is None else out.unionByName(row)
     return out
 
 
+def breadcrumbs(g: Graph, rounds: int = 64) -> DataFrame:
+    """``project_id, id, trail``: the containers of each node from the outermost down to itself, as ``(id, label)``.
+
+    Lists double in each round, so the rounds grow with the logarithm of the depth. Of several containers that with the
+    largest edge key holds; one that is no node ends the trail, with its id as label. Nodes whose containers form a
+    cycle have no trail.
+    """
+    parent = g.edges.filter("kind = 'contains'").groupBy("project_id", F.col("target_id").alias("id")).agg(F.max_by("source_id", "edge_key").alias("up"))
+    label = F.coalesce("name", "path", "id")
+    own = F.array(F.struct(F.col("id"), label.alias("label")))
+    at = g.nodes.select("project_id", "id", own.alias("trail")).join(parent, ["project_id", "id"], "left")
+    before = None
+    for _ in range(rounds):
+        at = cut(at, "trail")
+        left = at.filter("up IS NOT NULL").count()
+        if left in (0, before):  # a round that settles nothing leaves cycles alone
+            break
+        before = left
+        above = at.select("project_id", F.col("id").alias("up"), F.col("trail").alias("_trail"), F.col("up").alias("_up"))
+        lost = F.when(F.col("up").isNotNull(), F.array(F.struct(F.col("up").alias("id"), F.col("up").alias("label"))))
+        at = at.join(above, ["project_id", "up"], "left").select("project_id", "id", F.concat(F.coalesce("_trail", lost, F.array().cast(at.schema["trail"].dataType)), "trail").alias("trail"), F.col("_up").alias("up"))
+    return at.select("project_id", "id", F.when(F.col("up").isNull(), F.col("trail")).alias("trail"))
+
+
+def drill_level(kind: Column) -> Column:
+    """The level of the map below a container, null at the deepest."""
+    return F.when(kind == "package", "file").when(kind == "file", "symbol")
+
+
 def cycle_candidates(g: Graph) -> DataFrame:
     """Dependencies whose source has an incoming and whose target an outgoing dependency."""
     e = g.dependencies()
@@ -113,9 +151,9 @@ def components(g: Graph) -> DataFrame:
     return cut(out, "components")
 
 
-def cycles(g: Graph) -> DataFrame:
+def cycles(g: Graph, found: DataFrame | None = None) -> DataFrame:
     """``project_id, cycle_id, size, candidate``: components of two nodes or more, or of one with a self loop."""
-    c = components(g)
+    c = components(g) if found is None else found
     real = c.groupBy("project_id", "id").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("k"))
     loops = g.dependencies().filter("source_id = target_id").select("project_id", F.col("source_id").alias("id")).distinct().withColumn("loop", F.lit(True))
     real = real.join(loops, ["project_id", "id"], "left")
@@ -128,11 +166,12 @@ def cycles(g: Graph) -> DataFrame:
 
 def cycle_list(g: Graph, most: int = 100) -> DataFrame:
     """:func:`cycles` with the ``most`` smallest ids as ``members`` and ``truncated``, in the order of ``cycle_id``."""
-    found = components(g).groupBy("project_id", "id").agg(F.min("component").alias("component"))
+    parts = components(g)
+    found = parts.groupBy("project_id", "id").agg(F.min("component").alias("component"))
     first = Window.partitionBy("project_id", "component").orderBy("id")
     kept = found.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= most)
     lists = kept.groupBy("project_id", "component").agg(F.array_join(F.array_sort(F.collect_list("id")), " ").alias("members"), F.min("id").alias("cycle_id")).drop("component")
-    return cycles(g).join(lists, ["project_id", "cycle_id"]).withColumn("truncated", F.col("size") > most)
+    return cycles(g, parts).join(lists, ["project_id", "cycle_id"]).withColumn("truncated", F.col("size") > most)
 
 
 def file_association(g: Graph, rounds: int = 64) -> DataFrame:

@@ -13,6 +13,7 @@ from sparkloom.operators import delta, reads, resolve, rollup, traverse, views
 from sparkloom.plans import testgraph
 from sparkloom.plans.binding import BINDING, IMPORTS, imports
 from sparkloom.plans.committed import COMMITTED, job_claim_commit, job_claim_sql
+from sparkloom.plans.details import DETAILS, TABLES, external_imports
 from sparkloom.plans.graph import DEPENDENCIES, Graph
 
 K = "('imports', 'references', 'calls', 'extends', 'implements')"
@@ -258,7 +259,7 @@ GRAPH: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {
     "nodes_by_kind": (lambda g: rollup.tally(g.nodes, "kind"), "SELECT kind AS value, count(*) AS n FROM node GROUP BY 1"),
     "symbols_by_subkind": (lambda g: rollup.tally(g.nodes.filter("kind = 'symbol'"), "sub_kind"), "SELECT sub_kind AS value, count(*) AS n FROM node WHERE kind = 'symbol' AND sub_kind IS NOT NULL GROUP BY 1"),
     "edges_by_kind": (lambda g: rollup.tally(g.edges, "kind"), "SELECT kind AS value, count(*) AS n FROM edge GROUP BY 1"),
-    "import_resolution_metrics": (rollup.import_metrics, "WITH e AS (SELECT e.project_id, count(*) FILTER (n.id IS NOT NULL AND resolution = 'deterministic') AS deterministic, count(*) FILTER (n.id IS NOT NULL AND resolution <> 'deterministic') AS inferred, count(*) FILTER (n.id IS NULL) AS external FROM edge e LEFT JOIN node n ON n.project_id = e.project_id AND n.id = e.target_id WHERE e.kind = 'imports' GROUP BY 1), t AS (SELECT project_id, count(*) FILTER (code LIKE 'ambiguous-%') AS ambiguous, count(*) FILTER (code IN ('unresolved-module', 'unresolved-export')) AS unresolved FROM tail WHERE code NOT IN ('unresolved-member', 'unbound-callee') GROUP BY 1), m AS (SELECT project_id, coalesce(deterministic, 0) AS deterministic, coalesce(inferred, 0) AS inferred, coalesce(external, 0) AS external, coalesce(ambiguous, 0) AS ambiguous, coalesce(unresolved, 0) AS unresolved FROM e FULL JOIN t USING (project_id)) SELECT *, deterministic + inferred + external + ambiguous + unresolved AS total, round(coalesce((deterministic + inferred + external) / nullif(deterministic + inferred + external + ambiguous + unresolved, 0), 0.0), 6) AS resolved_rate, round(coalesce(deterministic / nullif(deterministic + inferred, 0), 0.0), 6) AS deterministic_share FROM m"),
+    "import_resolution_metrics": (external_imports, "WITH e AS (SELECT e.project_id, count(*) FILTER (n.id IS NOT NULL AND resolution = 'deterministic') AS deterministic, count(*) FILTER (n.id IS NOT NULL AND resolution <> 'deterministic') AS inferred, count(*) FILTER (n.id IS NULL) AS external FROM edge e LEFT JOIN node n ON n.project_id = e.project_id AND n.id = e.target_id WHERE e.kind = 'imports' GROUP BY 1), t AS (SELECT project_id, count(*) FILTER (code LIKE 'ambiguous-%') AS ambiguous, count(*) FILTER (code IN ('unresolved-module', 'unresolved-export')) AS unresolved FROM tail WHERE code NOT IN ('unresolved-member', 'unbound-callee') GROUP BY 1), m AS (SELECT project_id, coalesce(deterministic, 0) AS deterministic, coalesce(inferred, 0) AS inferred, coalesce(external, 0) AS external, coalesce(ambiguous, 0) AS ambiguous, coalesce(unresolved, 0) AS unresolved FROM e FULL JOIN t USING (project_id)) SELECT *, deterministic + inferred + external + ambiguous + unresolved AS total, round(coalesce((deterministic + inferred + external) / nullif(deterministic + inferred + external + ambiguous + unresolved, 0), 0.0), 6) AS resolved_rate, round(coalesce(deterministic / nullif(deterministic + inferred, 0), 0.0), 6) AS deterministic_share FROM m"),
     "relationship_metrics": (rollup.relationship_metrics, "SELECT project_id, " + ", ".join(f"count(*) FILTER ({c} AND provenance_pass {o} 'resolve') AS {n}_{w}" for n, c in (("renders", "sub_kind = 'react:renders'"), ("calls", "kind = 'calls' AND sub_kind IS NULL"), ("prop_bindings", "sub_kind = 'react:propBinding'")) for w, o in (("cross", "="), ("intra", "<>"))) + " FROM edge GROUP BY 1"),
     "json_property_filter": (lambda g: g.nodes.filter(F.get_json_object("properties", "$.flavor") == "PROMO").select("project_id", "id", F.get_json_object("properties", "$.size").alias("size")), "SELECT project_id, id, properties::JSON ->> 'size' AS size FROM node WHERE (properties::JSON ->> 'flavor') = 'PROMO'"),
     "json_property_missing": (lambda g: g.nodes.filter("kind = 'symbol'").filter(F.get_json_object("properties", "$.flavor").isNull()).select("project_id", "id"), "SELECT project_id, id FROM node WHERE kind = 'symbol' AND (properties::JSON ->> 'flavor') IS NULL"),
@@ -278,12 +279,11 @@ GRAPH: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {
     "graph_invariants": (lambda g: broken(g).violations().groupBy("rule").count(), "SELECT 'confidence' AS rule, count(*) AS count FROM edge WHERE resolution = 'inferred' AND kind = 'calls' UNION ALL SELECT 'edge-kind', count(*) FROM edge WHERE kind = 'extends' UNION ALL SELECT 'node-kind', count(*) FROM node WHERE kind = 'package' UNION ALL SELECT 'sub-kind', count(*) FROM node WHERE sub_kind = 'react:prop'"),
 }
 
-GRAPH |= BINDING | COMMITTED
+GRAPH |= BINDING | COMMITTED | DETAILS
 GRAPH |= {
     "export_chain": (export_chains, f"{IMPORTS}, h AS (SELECT DISTINCT project_id, pkg, files FROM home), w AS (SELECT w.*, h.files FROM wide w JOIN h ON h.project_id = w.project_id AND h.pkg = w.pkg) SELECT project_id, 'barrel:' || pkg AS barrel, name, CASE WHEN k = 1 THEN 'bound' ELSE 'ambiguous' END AS outcome, CASE WHEN k = 1 THEN sym END AS symbol_id, CASE WHEN k = 1 THEN CASE WHEN files = 1 THEN 'inferred' ELSE 'deterministic' END END AS resolution FROM w UNION ALL SELECT project_id, 'barrel:' || pkg, name || '?', 'unresolved', NULL, NULL FROM w"),
     "map_view_page": (map_page, f"WITH m AS (SELECT * FROM ({map_sql('package')})), v AS (SELECT project_id, id FROM node WHERE kind = 'package' ORDER BY project_id, id LIMIT 10) SELECT m.*, (SELECT count(*) FROM node WHERE kind = 'package') > 10 AS truncated FROM m JOIN v a ON a.project_id = m.project_id AND a.id = m.src JOIN v b ON b.project_id = m.project_id AND b.id = m.tgt"),
     "blast_radius_hydrated": (lambda g: traverse.blast_radius_page(g, hot(g), 30, None, 2), f"SELECT h.*, n.kind AS node_kind, coalesce(n.name, n.path) AS label, (SELECT count(*) FROM ({blast_sql(2).replace('WITH', 'WITH RECURSIVE', 1)}) WHERE depth >= 2) > 0 AS truncated FROM (SELECT * FROM ({blast_sql(2).replace('WITH', 'WITH RECURSIVE', 1)}) ORDER BY depth, id LIMIT 30) h LEFT JOIN node n ON n.project_id = h.project_id AND n.id = h.id"),
-    "expansion_probe": (lambda g: traverse.expansion_probe(g, hot(g), 3), f"WITH {HOT}, dep AS (SELECT project_id, source_id, target_id FROM edge WHERE kind IN {K}), w1 AS (SELECT project_id, source_id AS id, count(*) AS walks FROM dep WHERE target_id = (SELECT id FROM hot) GROUP BY 1, 2), w2 AS (SELECT d.project_id, d.source_id AS id, sum(walks)::BIGINT AS walks FROM w1 w JOIN dep d ON d.project_id = w.project_id AND d.target_id = w.id GROUP BY 1, 2), w3 AS (SELECT d.project_id, d.source_id AS id, sum(walks)::BIGINT AS walks FROM w2 w JOIN dep d ON d.project_id = w.project_id AND d.target_id = w.id GROUP BY 1, 2) SELECT project_id, 1::BIGINT AS depth, sum(walks)::BIGINT AS walks, count(*) AS nodes FROM w1 GROUP BY 1 UNION ALL SELECT project_id, 2, sum(walks)::BIGINT, count(*) FROM w2 GROUP BY 1 UNION ALL SELECT project_id, 3, sum(walks)::BIGINT, count(*) FROM w3 GROUP BY 1"),
     "cycle_list": (traverse.cycle_list, f"{REACH}, r AS (SELECT *, row_number() OVER (PARTITION BY project_id, cycle_id ORDER BY id) AS r FROM member), c AS (SELECT project_id, cycle_id, count(*) AS size, string_agg(id, ' ' ORDER BY id) FILTER (r <= 100) AS members FROM r GROUP BY 1, 2), x AS (SELECT m.project_id, m.cycle_id, bool_or(e.resolution <> 'deterministic') AS candidate FROM member m JOIN edge e ON e.project_id = m.project_id AND e.source_id = m.id AND e.kind IN {K} JOIN (SELECT project_id, id, cycle_id AS cid FROM member) t ON t.project_id = m.project_id AND t.id = e.target_id AND t.cid = m.cycle_id GROUP BY 1, 2) SELECT c.*, candidate, size > 100 AS truncated FROM c JOIN x USING (project_id, cycle_id)"),
 }
 
@@ -295,7 +295,7 @@ GRAPH |= {
 }
 
 #: name: (function of session and folder, SQL over the tables)
-PLAIN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+PLAIN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = TABLES | {
     "job_two_workers": (job_two_workers, job_claim_sql(f"SELECT * REPLACE ('k' || id % 1000 AS dedupe_key) FROM ({JOB})", NOW_SQL)),
     "job_claim_order": (job_claims, f"WITH j AS ({JOB}) SELECT id, status FROM j WHERE (status = 'ready' AND available_at <= TIMESTAMP '1995-01-01') OR (status = 'processing' AND lease_until <= TIMESTAMP '1995-01-01') ORDER BY available_at, id LIMIT 100"),
     "job_dedupe": (job_dedupe, f"WITH j AS ({JOB}) SELECT min(id) AS id, 'k' || (id % 80) AS dedupe_key FROM j WHERE 'k' || (id % 80) NOT IN (SELECT dedupe_key FROM j WHERE status IN ('ready', 'processing')) GROUP BY 2"),

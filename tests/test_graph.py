@@ -187,7 +187,7 @@ def test_pages_of_hits_cycles_and_maps(spark):
     assert got(page, "id", "depth", "node_kind", "truncated") == [("B", 1, "symbol", True), ("C", 2, "symbol", True)]
     assert got(traverse.blast_radius_page(g, "A", 9, (1, "B")), "id", "node_kind", "truncated") == [("C", "symbol", False), ("D", "symbol", False), ("E", None, False)]
     assert got(traverse.cycle_list(g, 3), "cycle_id", "size", "members", "truncated") == [("A", 4, "A B C", True)]
-    assert got(traverse.expansion_probe(g, "A", 2), "depth", "walks", "nodes") == [(1, 1, 1), (2, 2, 2)]
+    assert got(traverse.expansion_probe(g, "A", 2), "depth", "paths", "nodes") == [(1, 1, 1), (2, 2, 2)]
     p = graph(spark, [("p1", "package", "p1", None), ("p2", "package", "p2", None), ("p3", "package", "p3", None)], [])
     nodes, edges, truncated = rollup.map_view(p, "package", limit=2)
     assert (got(nodes, "id"), edges.count(), truncated) == ([("p1",), ("p2",)], 0, True)
