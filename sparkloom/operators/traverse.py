@@ -11,6 +11,8 @@ from sparkloom.plans.graph import DEPENDENCIES, Graph, cut
 
 #: Rows of a frontier that are broadcast at most; a larger one is shuffled to the edges.
 BROADCAST_FRONTIER = 100_000
+#: Levels that one job takes from a frontier of up to that size.
+LEVELS = 4
 
 
 def blast_radius(g: Graph, node_id: str, max_depth: int = 32, kinds: tuple[str, ...] = DEPENDENCIES) -> DataFrame:
@@ -22,16 +24,26 @@ def blast_radius(g: Graph, node_id: str, max_depth: int = 32, kinds: tuple[str,
     if "\x1f" in node_id:
         raise ValueError("the id holds a reserved character")
     e = g.dependencies(kinds) if kinds else g.edges.limit(0)
-    e = cut(e.select("project_id", F.col("target_id").alias("id"), "source_id", (F.col("resolution") == "deterministic").alias("det")).distinct(), "edges")
+    e = e.select("project_id", F.col("target_id").alias("id"), "source_id", (F.col("resolution") == "deterministic").alias("det"))
+    # Edges of projects that don't hold the node are never written.
+    e = cut(e.join(e.filter(F.col("id") == node_id).select("project_id").distinct(), "project_id", "left_semi").distinct(), "edges")
     seen = e.filter(F.col("id") == node_id).select("project_id", "id").distinct().withColumns({"proven": F.lit(True), "depth": F.lit(0)})
     seen = cut(seen.unionByName(seen.withColumn("proven", F.lit(False))), "seen")
-    frontier, size = seen, 0
-    for depth in range(1, max_depth + 1):
-        step = (F.broadcast(frontier) if size <= BROADCAST_FRONTIER else frontier).join(e, ["project_id", "id"]).filter("NOT proven OR det").select("project_id", F.col("source_id").alias("id"), "proven").distinct()
-        step = cut(step.join(seen, ["project_id", "id", "proven"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        if not (size := step.count()):
+    frontier, size, depth, state = seen, 0, 0, ["project_id", "id", "proven"]
+    while depth < max_depth:
+        steps = min(LEVELS if size <= BROADCAST_FRONTIER else 1, max_depth - depth)
+        at, found = (F.broadcast(frontier) if size <= BROADCAST_FRONTIER else frontier).select(*state), None
+        for k in range(1, steps + 1):
+            at = at.join(e, ["project_id", "id"]).filter("NOT proven OR det").select("project_id", F.col("source_id").alias("id"), "proven").distinct().join(seen.select(*state), state, "left_anti")
+            level = at.withColumn("depth", F.lit(depth + k))
+            found = level if found is None else found.unionByName(level)
+        found = cut(found.groupBy(*state).agg(F.min("depth").alias("depth")), "levels")
+        depth += steps
+        frontier = found.filter(F.col("depth") == depth)
+        if not (size := frontier.count()):
+            seen = seen.unionByName(found)
             break
-        seen, frontier = seen.unionByName(step), step
+        seen = seen.unionByName(found)
     hits = seen.filter(F.col("id") != node_id).groupBy("project_id", "id").agg(F.min("depth").alias("depth"), F.max("proven").alias("proven"))
     return hits.select("project_id", "id", F.col("depth").cast("long").alias("depth"), F.when(F.col("proven"), "deterministic").otherwise("inferred").alias("resolution"))
 
@@ -111,40 +123,74 @@ def spread(values: DataFrame, edges: DataFrame, rounds: int = 100_000) -> DataFr
         for _ in range(4):  # a few steps for each job
             new = new.unionByName(new.withColumnRenamed("id", "a").join(edges, ["p", "a"]).select("p", F.col("b").alias("id"), "v")).groupBy("p", "id").agg(F.min("v").alias("v"))
         new = cut(new, "spread")
-        if new.exceptAll(values).isEmpty():
+        if new.join(values.withColumnRenamed("v", "_v"), ["p", "id"]).filter("v < _v").isEmpty():
             return new
         values = new
     raise RuntimeError("no fixpoint")
 
 
+def reached(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``p, id`` of what ``starts(p, id)`` reach along ``edges(p, a, b)``, themselves included."""
+    seen = frontier = cut(starts.select("p", "id"), "seen")
+    while True:
+        at, found = frontier, None
+        for _ in range(LEVELS):
+            at = at.withColumnRenamed("id", "a").join(edges, ["p", "a"]).select("p", F.col("b").alias("id")).distinct().join(seen, ["p", "id"], "left_anti")
+            found = at if found is None else found.unionByName(at)
+        frontier = cut(found.distinct(), "reached")
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+
+
+def trimmed(e: DataFrame) -> tuple[DataFrame, int]:
+    """``e(p, a, b)`` without what can't lie on a cycle, and its rows."""
+    size = -1
+    while True:
+        for _ in range(2):
+            e = e.join(e.select("p", F.col("b").alias("a")), ["p", "a"], "left_semi").join(e.select("p", F.col("a").alias("b")), ["p", "b"], "left_semi").select("p", "a", "b")
+        e = cut(e, "trim")
+        n = e.count()
+        if n in (size, 0):
+            return e, n
+        size = n
+
+
+def without(e: DataFrame, nodes: DataFrame) -> DataFrame:
+    gone = nodes.select("p", F.col("id").alias("a"))
+    return e.join(gone, ["p", "a"], "left_anti").join(gone.withColumnRenamed("a", "b"), ["p", "b"], "left_anti")
+
+
 def components(g: Graph) -> DataFrame:
-    """``project_id, id, component`` of nodes on cycles: strongly connected components by trimming and colouring.
+    """``project_id, id, component`` of nodes on cycles: strongly connected components, each by its smallest id.
 
-    The smallest id that reaches a node is its colour; what reaches a colour's root inside the colour is a component.
-    Found components leave the graph, and the rest goes on. No project has to fit into one task.
+    A project mostly has one large component: what the busiest node reaches and is reached by. With that and the edges
+    into and out of it gone, the rest goes by trimming and colouring, all components at once: the smallest id that
+    reaches a node is its colour, and what reaches a colour's root inside the colour is a component. No project has to
+    fit into one task.
     """
     e = cut(cycle_candidates(g).select(F.col("project_id").alias("p"), F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct(), "cycle-edges")
     own = e.filter("a = b").select(F.col("p").alias("project_id"), F.col("a").alias("id"), F.col("a").alias("component"))
-    e, found = e.filter("a != b"), []
-    while True:
-        size = -1
-        while True:  # trim what can't lie on a cycle
-            e = cut(e.join(e.select("p", F.col("b").alias("a")), ["p", "a"], "left_semi").join(e.select("p", F.col("a").alias("b")), ["p", "b"], "left_semi").select("p", "a", "b"), "trim")
-            n = e.count()
-            if n == size or n == 0:
-                break
-            size = n
-        if n == 0:
-            break
+    found = []
+    e, n = trimmed(e.filter("a != b"))
+    if n:
+        degrees = e.groupBy("p", F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("out")).join(e.groupBy("p", F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("in")), ["p", "id"])
+        busiest = cut(degrees.groupBy("p").agg(F.max_by("id", F.struct(F.col("in") * F.col("out"), "id")).alias("id")), "pivots")
+        ahead, behind = reached(busiest, e), reached(busiest, e.select("p", F.col("b").alias("a"), F.col("a").alias("b")))
+        big = cut(ahead.join(behind, ["p", "id"]), "big")
+        found.append(big.join(big.groupBy("p").agg(F.min("id").alias("component")), "p").select(F.col("p").alias("project_id"), "id", "component"))
+        # No other cycle leaves the part that is ahead, or enters it.
+        side = ahead.withColumn("side", F.lit(True))
+        rest = without(e, big).join(side.withColumnRenamed("id", "a"), ["p", "a"], "left").withColumnRenamed("side", "sa").join(side.withColumnRenamed("id", "b"), ["p", "b"], "left").filter("sa <=> side").select("p", "a", "b")
+        e, n = trimmed(cut(rest, "rest"))
+    while n:
         nodes = e.select("p", F.col("a").alias("id")).unionByName(e.select("p", F.col("b").alias("id"))).distinct()
-        colour = spread(nodes.withColumn("v", F.col("id")), e)
+        colour = spread(cut(nodes.withColumn("v", F.col("id")), "colours"), e)
         inside = e.join(colour.select("p", F.col("id").alias("a"), F.col("v").alias("va")), ["p", "a"]).join(colour.select("p", F.col("id").alias("b"), F.col("v").alias("vb")), ["p", "b"]).filter("va = vb")
         back = cut(inside.select("p", F.col("b").alias("a"), F.col("a").alias("b")), "back")
-        roots = colour.filter("id = v").select("p", "id", "v")
-        part = cut(spread(roots, back), "component")
+        part = cut(spread(cut(colour.filter("id = v"), "roots"), back), "component")
         found.append(part.select(F.col("p").alias("project_id"), "id", F.col("v").alias("component")))
-        gone = part.select("p", F.col("id").alias("a"))
-        e = cut(e.join(gone, ["p", "a"], "left_anti").join(gone.withColumnRenamed("a", "b"), ["p", "b"], "left_anti"), "rest")
+        e, n = trimmed(cut(without(e, part), "rest"))
     out = own
     for f in found:
         out = out.unionByName(f)

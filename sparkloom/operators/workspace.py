@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.keys import external_symbol, key_of, normalise_path
+from sparkloom.functions.keys import external_symbol, key_of, normalise_path, package_name, specifier_kind
 from sparkloom.operators.bind import bind_calls, bind_imports, chains, confidence
-from sparkloom.operators.resolve import candidates, package_owner
+from sparkloom.operators.resolve import candidates, package_owner, probe_modules, relative_targets
 from sparkloom.plans.graph import NODE_KINDS, Graph
+from sparkloom.sources.tree import imports_of
 
 #: Entries of a package, conditions of its exports in the order of preference, suffixes of built files.
 ENTRIES = ("src/index.ts", "src/index.tsx", "index.ts", "index.tsx")
@@ -54,6 +55,53 @@ def resolve_paths(requests: DataFrame, rules: DataFrame, files: DataFrame) -> Da
     return requests.join(hit, key, "left")
 
 
+def module_requests(files: DataFrame) -> DataFrame:
+    """The imports of ``files(project_id, path, id, text)``: ``project_id, file_id, importer_path, specifier``, once each."""
+    found = imports_of(files, "project_id", F.col("id").alias("file_id"))
+    return found.distinct()
+
+
+def resolve_modules(requests: DataFrame, rules: DataFrame, files: DataFrame) -> DataFrame:
+    """``requests(project_id, importer_path, specifier, ...)`` with ``status, module_id, package, subpath``.
+
+    Relative specifiers and those of path rules are ``internal`` where a candidate exists among ``files(project_id,
+    path, id)``, else ``unresolved``; all others name a package and are ``external``. Each distinct target is probed
+    once, whatever the number of its importers.
+    """
+    key = ["project_id", "importer_path", "specifier"]
+    asked = requests.select(*key).distinct().withColumn("_kind", specifier_kind(F.col("specifier")))
+    near = probe_modules(relative_targets(asked.filter("_kind = 'relative'")), files).select(*key, "module_id")
+    ruled = resolve_paths(asked.filter("_kind = 'alias'"), rules, files).select(*key, "module_id")
+    name = package_name(F.col("specifier"))
+    away = asked.filter("_kind = 'bare'").select(*key, F.lit(None).cast("string").alias("module_id"), name.alias("package"), F.regexp_replace(F.substring(F.col("specifier"), F.length(name) + 1, F.length("specifier")), "^/", "").alias("subpath"))
+    ends = near.unionByName(ruled).unionByName(away, allowMissingColumns=True)
+    status = F.when(F.col("package").isNotNull(), "external").when(F.col("module_id").isNotNull(), "internal").otherwise("unresolved")
+    return requests.join(ends.withColumn("status", status), key)
+
+
+def workspace_globs(configs: DataFrame) -> DataFrame:
+    """``project_id, glob`` of the projects' roots, from ``configs(project_id, path, text)``.
+
+    The list ``packages`` of ``pnpm-workspace.yaml`` holds where that file exists, in block or flow style; else the
+    field ``workspaces`` of ``package.json``, a list or an object with ``packages``. What isn't a string is left out.
+    """
+    item = r"""(?m)(?:^\s*-\s+|[\[,]\s*)(?:"([^"\n]*)"|'([^'\n]*)'|([^\s"'#,\[\]][^#,\]\n]*))"""
+    yaml = configs.filter("path = 'pnpm-workspace.yaml'").select("project_id", F.regexp_extract("text", r"(?ms)^packages:[ \t]*(?:#[^\n]*)?(\[.*?\]|(?:\n[ \t]*-[^\n]*|\n[ \t]*(?:#[^\n]*)?(?=\n|\z))*)", 1).alias("list"))
+    texts = F.arrays_zip(*(F.regexp_extract_all("list", F.lit(item), F.lit(i)).alias(f"g{i}") for i in (1, 2, 3)))
+    listed = yaml.select("project_id", F.explode(texts).alias("t")).select("project_id", F.rtrim(F.concat("t.g1", "t.g2", "t.g3")).alias("glob")).filter("glob <> ''")
+    plain = configs.filter("path = 'package.json'").join(yaml.select("project_id"), "project_id", "left_anti")
+    field = lambda p: F.get_json_object("text", p)
+    chosen = F.when(F.startswith(F.ltrim(field("$.workspaces")), F.lit("[")), field("$.workspaces")).otherwise(field("$.workspaces.packages"))
+    values = plain.select("project_id", F.explode(F.from_json(chosen, "array<string>")).alias("glob")).filter("glob IS NOT NULL")
+    return listed.unionByName(values)
+
+
+def workspace_packages(configs: DataFrame) -> DataFrame:
+    """``project_id, dir, name, manifest`` of a workspace's named packages, from its configuration files."""
+    manifests = configs.filter("path = 'package.json' OR path LIKE '%/package.json'").select("project_id", F.regexp_replace("path", "/?package\\.json$", "").alias("dir"), F.col("text").alias("manifest"))
+    return members(manifests, workspace_globs(configs))
+
+
 def glob_pattern(glob: Column) -> Column:
     """The pattern of a workspace glob: ``*`` is one segment, ``**`` any text; a slash at the end doesn't count."""
     quoted = F.regexp_replace(F.regexp_replace(glob, "/+$", ""), r"([\\^$+?.()|\[\]{}])", r"\\$1")

@@ -125,6 +125,19 @@ def workspace_entries(g: Graph) -> DataFrame:
     return workspace.workspace_entries(workspace.members(made, globs), files)
 
 
+def modules(g: Graph) -> DataFrame:
+    """The imports of made-up texts of all files: one of each kind of specifier, resolved among the files."""
+    n = number("id")
+    files = g.nodes.filter("kind = 'file'").select("project_id", "path", "id", n.alias("n"), F.regexp_replace("path", r"\.ts$", "").alias("stem"))
+    lines = ["import a from '../", F.col("stem"), "'\nexport * from \"./../../../", F.col("stem"), ".js\"\n/* import x from './gone' */\nimport {b} from '@/", F.col("path"), "'\nimport './none", F.col("n").cast("string"), "'\nimport type C from '@s/pkg/sub/", F.col("n").cast("string"), "'\nimport d from 'react'\n"]
+    text = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in lines))
+    rules = g.nodes.filter("kind = 'repo'").select("project_id", F.lit(0).alias("rank"), F.lit("@/*").alias("pattern"), F.posexplode(F.array(F.lit("lost/*"), F.lit("*"))).alias("pos", "target"))
+    found = workspace.resolve_modules(workspace.module_requests(files.select("project_id", "path", "id", text.alias("text"))), rules, files)
+    return found.select("project_id", "file_id", "specifier", "status", "module_id", "package", "subpath")
+
+
+MODULES_SQL = """WITH f AS (SELECT project_id, id, path, regexp_replace(path, '\\.ts$', '') AS stem, split_part(id, ':', 2) AS n FROM node WHERE kind = 'file')
+    SELECT f.project_id, f.id AS file_id, s.specifier, s.status, CASE WHEN s.status = 'internal' THEN f.id END AS module_id, s.package, s.subpath FROM f, LATERAL (VALUES ('../' || stem, 'internal', NULL, NULL), ('./../../../' || stem || '.js', 'internal', NULL, NULL), ('@/' || path, 'internal', NULL, NULL), ('./none' || n, 'unresolved', NULL, NULL), ('@s/pkg/sub/' || n, 'external', '@s/pkg', 'sub/' || n), ('react', 'external', 'react', '')) s(specifier, status, package, subpath)"""
 ENTRIES_SQL = """WITH p AS (SELECT project_id, lower(name) AS low, split_part(id, ':', 2)::BIGINT AS n FROM node WHERE kind = 'package'), m AS (SELECT * FROM p WHERE n % 6 <> 5 AND NOT regexp_full_match(low, 'nation_1[^/]+'))
     SELECT project_id, '@s/' || low AS name, '' AS subpath, 'file:' || n || CASE WHEN n % 3 <> 0 THEN '/src/index.ts' ELSE '/index.tsx' END AS module_id FROM m UNION ALL SELECT project_id, '@s/' || low, 'ui', 'file:' || n || '/src/ui/index.ts' FROM m WHERE n % 4 = 0"""
 PROBE_SQL = f"""WITH hot AS (SELECT e.target_id AS id FROM edge e JOIN node n ON n.project_id = e.project_id AND n.id = e.target_id AND n.kind = 'symbol' WHERE e.kind IN {K} GROUP BY 1, e.project_id ORDER BY count(*) DESC, e.project_id, 1 LIMIT 1),
@@ -142,6 +155,7 @@ DETAILS = {
     "fragment_cache": (fragment_cache, "WITH f AS (SELECT *, split_part(id, ':', 2)::BIGINT % 7 IN (0, 6) AS hit FROM node WHERE kind = 'file') SELECT project_id, path, hit, CASE WHEN hit THEN 2 END AS n_symbols FROM f"),
     "breadcrumbs": (trails, TRAIL_SQL),
     "node_detail": (node_parts, NODE_SQL),
+    "resolve_modules": (modules, MODULES_SQL),
     "workspace_entries": (workspace_entries, ENTRIES_SQL),
     "expansion_probe": (lambda g: traverse.expansion_probe(g, rollup.hot_symbols(g, 1).first().id, 3), PROBE_SQL),
 }

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as fs
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.plans.graph import cut
@@ -91,6 +91,6 @@ def discover(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIXE
     return discover_trees(spark.createDataFrame([("", root)], "project_id string, root string"), suffixes, gitignore).drop("project_id").orderBy("path")
 
 
-def imports_of(files: DataFrame) -> DataFrame:
-    """``importer_path, specifier`` of the import and re-export statements in ``files(path, text)``."""
-    return files.select(F.col("path").alias("importer_path"), F.explode(F.regexp_extract_all(F.regexp_replace("text", COMMENT, ""), F.lit(IMPORT), F.lit(1))).alias("specifier"))
+def imports_of(files: DataFrame, *kept: Column | str) -> DataFrame:
+    """``importer_path, specifier`` of the import and re-export statements in ``files(path, text)``, and what is kept."""
+    return files.select(*kept, F.col("path").alias("importer_path"), F.explode(F.regexp_extract_all(F.regexp_replace("text", COMMENT, ""), F.lit(IMPORT), F.lit(1))).alias("specifier"))

@@ -33,6 +33,41 @@ def test_members_and_entries(spark):
     assert got(entries, "name", "subpath", "module_id") == [("a", "", "file:packages/a/src/main.ts"), ("a", "ui/button", "file:packages/a/src/ui/button/index.tsx"), ("y", "", "file:tools/x/y/src/index.tsx")]
 
 
+def test_globs_of_workspaces(spark):
+    texts = {
+        "block": {"pnpm-workspace.yaml": "# all\npackages:  # here\n  - 'packages/*'\n\n  # more\n  - \"apps/**\" # deep\n- !tools/x\n  - plain/dir  \ncatalog:\n  - other\n", "package.json": '{"workspaces": ["no"]}'},
+        "flow": {"pnpm-workspace.yaml": "x: 1\npackages: ['a/*', \"b\",\n  c/d]\ny: [z]\n"},
+        "none": {"pnpm-workspace.yaml": "catalog:\n  - other\n", "package.json": '{"workspaces": ["no"]}'},
+        "list": {"package.json": '{"workspaces": ["p/*", "!p/x"]}'},
+        "object": {"package.json": '{"workspaces": {"packages": ["q/*"], "nohoist": ["r"]}}'},
+        "single": {"package.json": '{"name": "one"}'},
+        "broken": {"package.json": "{"},
+    }
+    configs = spark.createDataFrame([(k, p, t) for k, files in texts.items() for p, t in files.items()], "project_id string, path string, text string")
+    out = {}
+    for r in workspace.workspace_globs(configs).collect():
+        out.setdefault(r.project_id, set()).add(r.glob)
+    assert out == {"block": {"packages/*", "apps/**", "!tools/x", "plain/dir"}, "flow": {"a/*", "b", "c/d"}, "list": {"p/*", "!p/x"}, "object": {"q/*"}}
+    tree = [("list", "package.json", '{"workspaces": ["p/*", "!p/x"]}'), ("list", "p/a/package.json", '{"name": "a"}'), ("list", "p/x/package.json", '{"name": "x"}'), ("list", "p/b/package.json", "{}"), ("flow", "p/a/package.json", '{"name": "b"}')]
+    assert got(workspace.workspace_packages(spark.createDataFrame(tree, configs.schema)), "project_id", "dir", "name") == [("list", "p/a", "a")]
+
+
+def test_modules_of_a_tree(spark):
+    texts = {"src/a.ts": "import './b.js'\nimport {c} from '../lib'\nimport x from '@/b'\nimport y from '@s/p'\nimport z from 'p/sub/x'\nimport '../../../../lib/index'\nimport './b.js'", "src/b.ts": "export * from './none'", "lib/index.tsx": ""}
+    files = spark.createDataFrame([("p", k, "file:" + k, t) for k, t in texts.items()], "project_id string, path string, id string, text string")
+    rules = spark.createDataFrame([("p", 0, "@/*", 0, "src/*"), ("q", 0, "@/*", 0, "lib/*")], "project_id string, rank int, pattern string, pos int, target string")
+    out = workspace.resolve_modules(workspace.module_requests(files), rules, files)
+    assert got(out.na.fill("-"), "file_id", "specifier", "status", "module_id", "package", "subpath") == [
+        ("file:src/a.ts", "../../../../lib/index", "internal", "file:lib/index.tsx", "-", "-"),
+        ("file:src/a.ts", "../lib", "internal", "file:lib/index.tsx", "-", "-"),
+        ("file:src/a.ts", "./b.js", "internal", "file:src/b.ts", "-", "-"),
+        ("file:src/a.ts", "@/b", "internal", "file:src/b.ts", "-", "-"),
+        ("file:src/a.ts", "@s/p", "external", "-", "@s/p", ""),
+        ("file:src/a.ts", "p/sub/x", "external", "-", "p", "sub/x"),
+        ("file:src/b.ts", "./none", "unresolved", "-", "-", "-"),
+    ]
+
+
 def test_ids_of_external_symbols(spark):
     df = spark.createDataFrame([("a b", "x$1"), ("@s/p", "a`b c"), ("k", "default")], "package string, name string")
     assert got(df.select(keys.external_symbol(F.col("package"), F.col("name")).alias("id")), "id") == [("npm @s/p `a``b c`.",), ("npm a  b x$1.",), ("npm k default.",)]
