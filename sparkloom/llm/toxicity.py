@@ -69,7 +69,10 @@ def squash(odds: float) -> float:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str]) -> DataFrame:
-    """``doc_id, found`` and a 0/1 column per category, of a bounded sample of labelled documents."""
+    """``doc_id, found`` and a 0/1 column per category, of a bounded sample of labelled documents.
+
+    An id counts once, by its text with the smallest hash, so that rows are as bounded as ids.
+    """
     known = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*(F.max(F.col(c).cast("int")).alias(c) for c in categories)).dropna("all", subset=categories)
     known = cut(known, "labels")
     order = F.xxhash64("doc_id", F.lit(11)), "doc_id"
@@ -83,6 +86,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str]) ->
             yield batch.assign(found=[sorted(features_of(t)) for t in batch["text"]], **whole).drop(columns="text")
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id", *categories).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, {', '.join(f'{c} int' for c in categories)}"
     return cut(rows.select("doc_id", "text", *categories).mapInPandas(run, schema.replace(" text string,", "") + ", found array<string>"), "toxicity-sample")
 
