@@ -19,12 +19,12 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where a local session lacks that setting, a temporary folder takes its place and is set. On a cluster no folder of
-    one machine would do, so its absence raises.
+    Where a local session lacks that setting, a temporary folder takes its place and is set. With any other master, or
+    none at all, no folder of one machine would do, so its absence raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if spark.conf.get("spark.master", "local").split("[")[0] != "local":
+        if spark.conf.get("spark.master", "").split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -110,20 +110,6 @@ def add_columns(df: DataFrame, text_col: str, ddl: dict[str, tuple[str, pa.DataT
     return given.mapInArrow(run, fields + ", ".join(f"{k} {d}" for k, (d, _) in ddl.items()))
 
 
-_rng = np.random.default_rng(20240501)
-_BYTE = np.zeros(256, np.uint64)
-for _b in range(256):
-    _v = int(_rng.integers(1, 2**63))
-    if 0x30 <= _b <= 0x39 or 0x61 <= _b <= 0x7A or _b >= 0x80:
-        _BYTE[_b] = _v
-for _b in range(0x41, 0x5B):
-    _BYTE[_b] = _BYTE[_b + 32]
-_IS_WORD = _BYTE > 0
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.cumprod(np.full(256, _STEP, np.uint64))
-PIECE = 1 << 20
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective finaliser over unsigned 64-bit values."""
     h = h ^ (h >> np.uint64(33))
@@ -133,6 +119,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+_BYTE = np.zeros(256, np.uint64)
+for _b in range(256):
+    if 0x30 <= _b <= 0x39 or 0x61 <= _b <= 0x7A or _b >= 0x80:
+        _BYTE[_b] = _b
+    if 0x41 <= _b <= 0x5A:
+        _BYTE[_b] = _b + 32
+_IS_WORD = _BYTE > 0
+_STEP, _KEY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+
+
+def weights(n: int) -> np.ndarray:
+    """A number for each of ``n`` places of a word, none of which follows from another by a factor.
+
+    Powers of one base would give words of a thousand letters, a sequence and its complement, the same sum.
+    """
+    return mix(mix(np.arange(1, n + 1, dtype=np.uint64) * _STEP) ^ _KEY)
+
+
+_WEIGHTS = weights(256)
+PIECE = 1 << 20
+
+
 def pieces(texts: Iterable[str | None], most: int = PIECE) -> Iterator[tuple[int, list[bytes]]]:
     """Consecutive whole texts as UTF-8, about ``most`` bytes at a time, with the position of the first."""
     held, size, first = [], 0, 0
@@ -149,7 +157,7 @@ def pieces(texts: Iterable[str | None], most: int = PIECE) -> Iterator[tuple[int
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of ``texts`` (A-Z lower-cased), and where each text begins (and the last ends)."""
-    global _POWERS
+    global _WEIGHTS
     buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     inside = _IS_WORD[buf]
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
@@ -160,8 +168,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), bounds
     lens = ends - starts
     first = np.cumsum(lens) - lens
-    if lens.max() > len(_POWERS):
-        _POWERS = np.cumprod(np.full(int(lens.max()), _STEP, np.uint64))
+    if lens.max() > len(_WEIGHTS):
+        _WEIGHTS = weights(int(lens.max()))
     letters = _BYTE[buf[inside]]
     place = np.arange(len(letters)) - np.repeat(first, lens)
-    return mix(np.add.reduceat(letters * _POWERS[place], first) + lens.astype(np.uint64)), bounds
+    return mix(np.add.reduceat(letters * _WEIGHTS[place], first) + lens.astype(np.uint64)), bounds
