@@ -2,16 +2,18 @@
 
 Vectors are scaled by the largest norm and lifted by one coordinate to unit length, so that the largest inner product is
 the smallest distance; queries are scaled to unit length. A table hashes a vector to the cells of ``k`` Gaussian
-projections cut at width ``WIDTH``. A query visits its own cell and perturbed ones, over all tables in the order of
+projections cut at ``WIDTH`` times the vectors' spread about their mean, so that vectors that lie close together fill
+many cells too. A query visits its own cell and perturbed ones, over all tables in the order of
 their estimated success (the squared distances to the crossed boundaries). The candidates of all visited cells are
 ranked by their exact inner products on the original vectors, in double precision.
 
-The number of projections grows with the logarithm of the table, from one up. How many of them and how many visits it
-takes is measured: a bounded sample of queries is solved by brute force, and the most projections are taken with which
-``MAX_VISITS`` visits do, and of visits the fewest with which the sample's recall reaches ``RECALL``. With one
-projection visits go on until they do. Cells with more than ``CHUNK`` vectors or visiting queries are dealt over several
-groups, of vectors and of queries. Each group keeps its best rows by query alone. Queries whose visits found fewer than
-``top`` rows, though there are more, are searched again exactly, ``BLOCK`` of them at a time against all vectors.
+The number of projections grows with the logarithm of the table, so that cells get finer as it grows, and visits grow
+until they reach ``RECALL``: a bounded sample of queries is solved by brute force, and the fewest visits are taken with
+which the sample's recall does. Only where more visits than a cell of ``OCCUPANCY`` vectors goes into the table would
+be needed, there is a projection less; with one projection visits go on until they do. Cells with more than ``CHUNK``
+vectors or visiting queries are dealt over several groups, of vectors and of queries. Each group keeps its best rows by
+query alone, and a task those of its groups. Queries whose visits found fewer than ``top`` rows, though there are more,
+are searched again exactly, ``BLOCK`` of them at a time against all vectors.
 
 Groups compare by matrix products, whose last digits depend on their shapes; whatever these leave possible is scored
 anew, products added from first to last on numbers scaled by powers of two. So the score is a function of the two
@@ -36,14 +38,15 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import cut
 
-#: Tables, cell width, vectors a cell should hold, and bounds of the measurement and of groups.
-TABLES, WIDTH, OCCUPANCY, SAMPLE, RECALL, MAX_VISITS, CHUNK, BLOCK = 6, 1.0, 400, 128, 0.96, 40, 4_000, 2_000
+#: Tables, cell width, cells that a projection makes in effect, vectors a cell should hold, and bounds of
+#: the measurement and of groups.
+TABLES, WIDTH, SPREAD, OCCUPANCY, SAMPLE, RECALL, CHUNK, BLOCK, HELD, LEAST_SPREAD = 12, 2.0, 3, 40, 128, 0.95, 4_000, 2_000, 1 << 19, 0.01
 FOUND = "query_id long, vec_id long, score double"
 
 
 def projections(dim: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(dim * 1_000 + k)
-    return rng.standard_normal((TABLES, dim + 1, k)), rng.uniform(0, WIDTH, (TABLES, k))
+    return rng.standard_normal((TABLES, dim + 1, k)), rng.uniform(0, 1, (TABLES, k))
 
 
 def scaled(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,10 +62,10 @@ def lift(v: np.ndarray, top: tuple[int, float], query: bool) -> np.ndarray:
     return np.c_[u / norm[:, None], np.zeros(len(u))] if query else np.c_[u, np.sqrt(np.maximum(0, 1 - norm**2))]
 
 
-def cells(x: np.ndarray, dim: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def cells(x: np.ndarray, dim: int, k: int, width: float = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Cell numbers (rows, tables, k) and the place within the cell, in [0, 1)."""
     a, b = projections(dim, k)
-    at = (np.einsum("nd,tdk->ntk", x, a) + b) / WIDTH
+    at = np.einsum("nd,tdk->ntk", x, a) / width + b
     low = np.floor(at)
     return low.astype(np.int64), at - low
 
@@ -80,9 +83,9 @@ def moves(frac: float) -> Iterator[tuple[float, int]]:
     yield from heapq.merge(up, down)
 
 
-def visits(x: np.ndarray, dim: int, k: int, n: int) -> Iterator[np.ndarray]:
+def visits(x: np.ndarray, dim: int, k: int, n: int, width: float = WIDTH) -> Iterator[np.ndarray]:
     """For each query the keys of its first ``n`` cells over all tables, the likeliest first."""
-    cell, frac = cells(x, dim, k)
+    cell, frac = cells(x, dim, k, width)
     for c, f in zip(cell, frac, strict=True):
         source = [[moves(x) for x in row] for row in f]
         known = [[[next(m)] for m in row] for row in source]
@@ -138,38 +141,51 @@ def largest_norm(vectors: DataFrame) -> tuple[int, float]:
 
 def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Inner products of one query with rows: products are added one after the other, whatever the number of rows."""
-    (q, by), (v, powers) = scaled(q[None]), scaled(v)
+    return added(scaled(q[None]), scaled(v), np.zeros(len(v), np.int64), np.arange(len(v)))
+
+
+def added(q: tuple, v: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """:func:`scores` of pairs of rows, of numbers that :func:`scaled` returned."""
+    out = np.empty(len(i))
     with np.errstate(over="ignore"):
-        return np.ldexp(np.cumsum(q * v, axis=1)[:, -1], by + powers)
+        for at in range(0, len(i), 1 << 14):
+            a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            out[at : at + len(a)] = np.ldexp(np.cumsum(q[0][a] * v[0][b], axis=1)[:, -1], q[1][a] + v[1][b])
+    return out
+
+
+def leading(rows: pd.DataFrame, top: int) -> pd.DataFrame:
+    """The ``top`` rows by query of ``query_id, vec_id, score``, every id with its best score, ties to the smaller id."""
+    query, ids, score = (rows[c].to_numpy() for c in ("query_id", "vec_id", "score"))
+    order = np.lexsort((ids, -score, query))
+    query, ids = query[order], ids[order]
+    same = np.lexsort((ids, query))  # stable, so an id's best row comes first
+    again = same[1:][(query[same[1:]] == query[same[:-1]]) & (ids[same[1:]] == ids[same[:-1]])]
+    once = np.delete(np.arange(len(order)), again)
+    rank = np.arange(len(once)) - np.searchsorted(query[once], query[once])
+    return rows.iloc[order[once[rank < top]]]
 
 
 def best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, top: int) -> pd.DataFrame:
     """The best rows of a block by query, own ids left out, ties to the smaller id; every id once."""
-    out = []
+    out = [pd.DataFrame({"query_id": query_ids[:0], "vec_id": ids[:0], "score": np.zeros(0)})]
     order = np.argsort(ids, kind="stable")
     ids, v = ids[order], v[order]
-    first = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1)) if len(ids) else np.zeros(0, np.int64)
-    power = np.frexp(np.abs(v).max(initial=0.0))[1]
-    flat = np.ldexp(v, -power)
-    size = np.sqrt((flat * flat).sum(1))
-    for at in range(0, len(query_ids), 256):
-        part = scaled(q[at : at + 256])[0]
-        rough = part @ flat.T
-        slack = 4 * v.shape[1] * np.finfo(float).eps * np.sqrt((part * part).sum(1))
-        for own, x, s, e in zip(query_ids[at : at + 256], q[at : at + 256], rough, slack, strict=True):
-            e = e * size + 1e-300
-            s[ids == own] = -np.inf
-            sure = np.maximum.reduceat(s - e, first) if len(first) else s
-            level = np.partition(sure, -top)[-top] if len(sure) > top else -np.inf
-            near = np.flatnonzero((s + e >= level) & (s > -np.inf))
-            exact = scores(x, v[near])
-            order = np.lexsort((ids[near], -exact))
-            near, exact = near[order], exact[order]
-            if len(first) < len(ids):  # repeated ids: their best row alone
-                once = np.sort(np.unique(ids[near], return_index=True)[1])
-                near, exact = near[once], exact[once]
-            out.append(pd.DataFrame({"query_id": own, "vec_id": ids[near[:top]], "score": exact[:top]}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    first = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1))
+    flat = np.ldexp(v, -np.frexp(np.abs(v).max(initial=0.0))[1])
+    size, each = np.sqrt((flat * flat).sum(1)), scaled(v)
+    for at in range(0, len(query_ids) if len(ids) else 0, 256):
+        own, part = query_ids[at : at + 256], scaled(q[at : at + 256])
+        rough = part[0] @ flat.T
+        slack = 4 * v.shape[1] * np.finfo(float).eps * np.sqrt((part[0] * part[0]).sum(1))[:, None] * size + 1e-300
+        rough[own[:, None] == ids] = -np.inf
+        level = -np.inf
+        if len(first) > top:
+            sure = np.maximum.reduceat(rough - slack, first, axis=1)
+            level = np.partition(sure, -top, axis=1)[:, -top, None]
+        i, j = np.nonzero((rough + slack >= level) & (rough > -np.inf))
+        out.append(leading(pd.DataFrame({"query_id": own[i], "vec_id": ids[j], "score": added(part, each, i, j)}), top))
+    return pd.concat(out[1:] or out, ignore_index=True)
 
 
 def ranked(found: DataFrame, top: int) -> DataFrame:
@@ -184,9 +200,7 @@ def brute_force(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, top: int) ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = []
         for b in batches:
-            rows = pd.concat([*held, best(ids, q, b["vec_id"].to_numpy(), stack(b["v"]), top)], ignore_index=True)
-            rows = rows.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "vec_id"])
-            held = [rows.groupby("query_id").head(top)]
+            held = [leading(pd.concat([*held, best(ids, q, b["vec_id"].to_numpy(), stack(b["v"]), top)], ignore_index=True), top)]
         yield from held
 
     return ranked(vectors.mapInPandas(run, FOUND), top)
@@ -207,7 +221,19 @@ def complete(found: DataFrame, vectors: DataFrame, queries: DataFrame, top: int)
     return out
 
 
-def plan_visits(vectors: DataFrame, queries: DataFrame, n: int, dim: int, longest: tuple[int, float], top: int) -> tuple[int, int]:
+def cell_width(vectors: DataFrame, n: int, longest: tuple[int, float]) -> float:
+    """``WIDTH`` times the root mean square distance of the lifted vectors from their mean."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = sum(lift(stack(b["v"]), longest, False).sum(0) for b in batches if len(b))
+        yield pd.DataFrame({"at": np.arange(np.size(total)), "x": np.ravel(total)})
+
+    mean = vectors.select("v").mapInPandas(sums, "at long, x double").groupBy("at").agg((F.sum("x") / F.lit(float(max(n, 1)))).alias("x"))
+    length = mean.agg(F.sum(F.col("x") * F.col("x"))).first()[0] or 0.0
+    return WIDTH * max(LEAST_SPREAD, math.sqrt(max(0.0, 1.0 - length)))
+
+
+def plan_visits(vectors: DataFrame, queries: DataFrame, n: int, dim: int, longest: tuple[int, float], width: float, top: int) -> tuple[int, int]:
     """(projections, visits) with which a sample of at most ``SAMPLE`` queries finds ``RECALL`` of its neighbours."""
     sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).dropDuplicates(["vec_id"]).toPandas()
     if not len(sample):
@@ -219,17 +245,16 @@ def plan_visits(vectors: DataFrame, queries: DataFrame, n: int, dim: int, longes
         return 1, 1
     row = {i: k for k, i in enumerate(ids)}
     of, x, near = truth["query_id"].map(row).to_numpy(), lift(q, longest, True), lift(stack(truth["v"]), longest, False)
-    for k in range(max(1, round(math.log(max(n, 1) / OCCUPANCY, 4))), 0, -1):
-        most = MAX_VISITS
-        while True:
-            mine, order = keys(cells(near, dim, k)[0]), list(visits(x, dim, k, most))
+    for k in range(max(1, round(math.log(max(n, 1) / OCCUPANCY, SPREAD))), 0, -1):
+        bound = n // OCCUPANCY
+        most = 16 if k == 1 else min(16, bound)
+        while k == 1 or most <= bound:
+            mine, order = keys(cells(near, dim, k, width)[0]), list(visits(x, dim, k, most, width))
             at = np.asarray([np.append(np.flatnonzero(np.isin(order[o], m)), most)[0] for o, m in zip(of, mine, strict=True)])
             reached = np.cumsum(np.bincount(at, minlength=most + 1)[:most]) / len(at)
             if reached[-1] >= RECALL:
                 return k, int(np.argmax(reached >= RECALL)) + 1
-            if k > 1:
-                break
-            most *= 2  # cells of one projection run out, so this ends
+            most = bound if k > 1 and most < bound < 2 * most else 2 * most
 
 
 def nearest(df: DataFrame, queries: DataFrame, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -243,17 +268,19 @@ def nearest(df: DataFrame, queries: DataFrame, top: int = 20, id_col: str = "vec
     vectors = vectors.filter(F.col("dim") == dim)
     asked = asked.filter(F.col("dim") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
     longest = largest_norm(vectors)
-    k, probes = plan_visits(vectors, asked, vectors.count(), dim, longest, top)
+    n = vectors.count()
+    width = cell_width(vectors, n, longest)
+    k, probes = plan_visits(vectors, asked, n, dim, longest, width, top)
     shares = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            key = keys(cells(lift(stack(b["v"]), longest, False), dim, k)[0])
+            key = keys(cells(lift(stack(b["v"]), longest, False), dim, k, width)[0])
             yield pd.DataFrame({"cell": key.ravel(), "vec_id": b["vec_id"].repeat(TABLES).to_numpy(), "v": b["v"].repeat(TABLES).to_numpy()})
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = list(visits(lift(stack(b["v"]), longest, True), dim, k, probes))
+            own = list(visits(lift(stack(b["v"]), longest, True), dim, k, probes, width))
             yield pd.DataFrame({"cell": np.concatenate(own) if own else np.zeros(0, np.int64), "vec_id": b["vec_id"].repeat(probes).to_numpy(), "v": b["v"].repeat(probes).to_numpy()})
 
     schema = "cell long, vec_id long, v binary"
@@ -269,7 +296,7 @@ def nearest(df: DataFrame, queries: DataFrame, top: int = 20, id_col: str = "vec
     both = entries.unionByName(probed).select(*group, "asks", "vec_id", "v")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, ids, v = None, [], []
+        at, ids, v, held, rows = None, [], [], [], 0
         for b in batches:
             for key, part in b.groupby([*group, "asks"], sort=True):
                 if key[:3] != at:
@@ -279,7 +306,16 @@ def nearest(df: DataFrame, queries: DataFrame, top: int = 20, id_col: str = "vec
                     v.append(stack(part["v"]))
                 elif ids:
                     ids, v = [np.concatenate(ids)], [np.concatenate(v)]
-                    yield best(part["vec_id"].to_numpy(), stack(part["v"]), ids[0], v[0], top)
+                    held.append(best(part["vec_id"].to_numpy(), stack(part["v"]), ids[0], v[0], top))
+                    rows += len(held[-1])
+                if rows > HELD:
+                    held = [leading(pd.concat(held, ignore_index=True), top)]
+                    rows = len(held[0])
+                    if rows > HELD // 2:
+                        yield held[0]
+                        held, rows = [], 0
+        if held:
+            yield leading(pd.concat(held, ignore_index=True), top)
 
     dealt = both.repartition(shares, *group).sortWithinPartitions(*group, "asks")
     return complete(ranked(dealt.mapInPandas(search, FOUND), top), vectors, asked, top)
