@@ -15,6 +15,7 @@ from sparkloom.plans.binding import BINDING, IMPORTS, imports
 from sparkloom.plans.committed import COMMITTED, job_claim_commit, job_claim_sql
 from sparkloom.plans.details import DETAILS, TABLES, external_imports
 from sparkloom.plans.graph import DEPENDENCIES, Graph
+from sparkloom.plans.lists import LISTS, TAIL_SQL, cycle_rows, tail_upsert
 
 K = "('imports', 'references', 'calls', 'extends', 'implements')"
 HOT = f"hot AS (SELECT e.target_id AS id FROM edge e JOIN node n ON n.project_id = e.project_id AND n.id = e.target_id AND n.kind = 'symbol' WHERE e.kind IN {K} GROUP BY 1, e.project_id ORDER BY count(*) DESC, e.project_id, 1 LIMIT 1)"
@@ -294,8 +295,13 @@ GRAPH |= {
     "blast_rows": (lambda g: views.blast_rows(g, hot(g), 2), f"SELECT h.*, coalesce(n.name, n.path) AS label FROM ({blast_sql(2).replace('WITH', 'WITH RECURSIVE', 1)}) h LEFT JOIN node n ON n.project_id = h.project_id AND n.id = h.id"),
 }
 
+GRAPH |= {
+    "cycle_page": (cycle_rows, f"{REACH}, c AS ({GRAPH['cycles'][1].removeprefix(REACH)}) SELECT * FROM c WHERE project_id = (SELECT min(project_id) FROM c) ORDER BY cycle_id LIMIT 20"),
+    "tail_upsert": (tail_upsert, TAIL_SQL),
+}
+
 #: name: (function of session and folder, SQL over the tables)
-PLAIN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = TABLES | {
+PLAIN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = TABLES | LISTS | {
     "job_two_workers": (job_two_workers, job_claim_sql(f"SELECT * REPLACE ('k' || id % 1000 AS dedupe_key) FROM ({JOB})", NOW_SQL)),
     "job_claim_order": (job_claims, f"WITH j AS ({JOB}) SELECT id, status FROM j WHERE (status = 'ready' AND available_at <= TIMESTAMP '1995-01-01') OR (status = 'processing' AND lease_until <= TIMESTAMP '1995-01-01') ORDER BY available_at, id LIMIT 100"),
     "job_dedupe": (job_dedupe, f"WITH j AS ({JOB}) SELECT min(id) AS id, 'k' || (id % 80) AS dedupe_key FROM j WHERE 'k' || (id % 80) NOT IN (SELECT dedupe_key FROM j WHERE status IN ('ready', 'processing')) GROUP BY 2"),
