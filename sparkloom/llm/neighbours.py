@@ -9,8 +9,8 @@ ranked by their exact inner products on the original vectors, in double precisio
 
 The number of projections grows with the logarithm of the table, so that cells get finer as it grows, and visits grow
 until they reach ``RECALL``: a bounded sample of queries is solved by brute force, and the fewest visits are taken with
-which the sample's recall does. Only where more visits than a cell of ``OCCUPANCY`` vectors goes into the table would
-be needed, there is a projection less; with one projection visits go on until they do. Cells with more than ``CHUNK``
+which the sample's recall does. Where that takes more than ``VISITS``, there is a projection less, so that the rows of
+all visits grow no faster than the queries; with one projection visits go on until they do. Cells with more than ``CHUNK``
 vectors or visiting queries are dealt over several groups, of vectors and of queries. Each group keeps its best rows by
 query alone, and a task those of its groups. Queries whose visits found fewer than ``top`` rows, though there are more,
 are searched again exactly, ``BLOCK`` of them at a time against all vectors.
@@ -40,7 +40,7 @@ from sparkloom.llm.common import cut
 
 #: Tables, cell width, cells that a projection makes in effect, vectors a cell should hold, and bounds of
 #: the measurement and of groups.
-TABLES, WIDTH, SPREAD, OCCUPANCY, SAMPLE, RECALL, CHUNK, BLOCK, HELD, LEAST_SPREAD = 12, 2.0, 3, 40, 128, 0.95, 4_000, 2_000, 1 << 19, 0.01
+TABLES, WIDTH, SPREAD, OCCUPANCY, SAMPLE, RECALL, VISITS, CHUNK, BLOCK, HELD, LEAST_SPREAD = 12, 2.0, 3, 40, 128, 0.95, 64, 4_000, 2_000, 1 << 19, 0.01
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -246,15 +246,14 @@ def plan_visits(vectors: DataFrame, queries: DataFrame, n: int, dim: int, longes
     row = {i: k for k, i in enumerate(ids)}
     of, x, near = truth["query_id"].map(row).to_numpy(), lift(q, longest, True), lift(stack(truth["v"]), longest, False)
     for k in range(max(1, round(math.log(max(n, 1) / OCCUPANCY, SPREAD))), 0, -1):
-        bound = n // OCCUPANCY
-        most = 16 if k == 1 else min(16, bound)
-        while k == 1 or most <= bound:
+        most = 16
+        while k == 1 or most <= VISITS:
             mine, order = keys(cells(near, dim, k, width)[0]), list(visits(x, dim, k, most, width))
             at = np.asarray([np.append(np.flatnonzero(np.isin(order[o], m)), most)[0] for o, m in zip(of, mine, strict=True)])
             reached = np.cumsum(np.bincount(at, minlength=most + 1)[:most]) / len(at)
             if reached[-1] >= RECALL:
                 return k, int(np.argmax(reached >= RECALL)) + 1
-            most = bound if k > 1 and most < bound < 2 * most else 2 * most
+            most *= 2
 
 
 def nearest(df: DataFrame, queries: DataFrame, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
