@@ -1,26 +1,32 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions alone.
 
-Documents fall into cells by source, language and topic. A cell's weight starts as its tokens. Each sweep scales the
-weights to the target share of every source, then of every language, then of every topic, until a sweep changes no
-factor by more than ``TOLERANCE`` or ``sweeps`` sweeps are done. The cell's share of the token budget, over its tokens,
-is the probability with which each of its documents is kept. A document's draw depends on its id and text alone, so
-repeated attempts decide alike.
+Documents fall into cells by source, language and topic. A cell's weight starts as its tokens. Each of ``sweeps``
+sweeps scales the weights to the goal of every source, then of every language, then of every topic; a block of
+``SWEEPS_A_WRITE`` sweeps whose last one changes no weight by more than ``TOLERANCE`` ends them. The cell's share of the
+token budget, over its tokens, is the probability with which each of its documents is kept. A document's draw depends on
+its id and text alone, so repeated attempts decide alike.
 
-A weight is the cell's tokens times a factor for each dimension, so a step aggregates the cells by one dimension, with
-partial sums first, and its factors are written. Neither cells nor factors have to fit into a task or the driver.
-Factors are broadcast only where a count shows at most ``BROADCAST_VALUES`` values of the dimension.
+A probability is at most 1. Cells that would need more are fixed at 1, what they give is taken off the budget and the
+goals of their values, and the others are raked again, until no cell is added. So the budget is spent wherever the
+tokens suffice, and the shares are met as nearly as the fixed cells allow. Where the goals of all cells that are left
+are used up, what remains of the budget is spread evenly over those whose targets aren't zero.
+
+A step aggregates the cells by one dimension. Up to ``TASK_CELLS`` cells, counted, go through a block of sweeps in one
+task; with more, each step is a join with sums by value, pre-aggregated, and is written. So neither cells nor values
+have to fit into a task or the driver, and Spark broadcasts the sums only below its own threshold.
 
 Null and empty values of a dimension are categories of their own ("" stands for both); null texts have no tokens and
-are dealt with like any other document of their cell. Cells without tokens keep all their documents. A probability is
-at most 1: a cell that has less than its share gives all it has. Repeated rows share their draw. All columns are kept,
-but for those named ``_topic``, ``_p`` and ``_keep``, which are replaced. An empty table gives no rows.
+are dealt with like any other document of their cell. Cells without tokens keep all their documents, and so do all
+cells where no targets hold for any tokens. Repeated rows share their draw. All columns are kept, but for those named
+``_topic``, ``_p`` and ``_keep``, which are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import WORD, cut, shielded
@@ -28,7 +34,8 @@ from sparkloom.llm.common import WORD, cut, shielded
 #: The parameters of the query.
 SWEEPS, EXPONENT, FRACTION, TOLERANCE = 12, 0.5, 0.6, 1e-12
 DIMENSIONS = ("source", "lang", "topic")
-BROADCAST_VALUES = 100_000
+#: Cells that one task takes at most, and the sweeps between two writes of them.
+TASK_CELLS, SWEEPS_A_WRITE = 20_000, 12
 
 
 def n_tokens(text: Column) -> Column:
@@ -59,7 +66,7 @@ def with_column(cells: DataFrame, d: str, values: DataFrame, name: str) -> DataF
 def tempered(cells: DataFrame, exponent: float) -> DataFrame:
     """Add ``target_<dimension>``: each value's share, in proportion to its tokens to a power."""
     for d in DIMENSIONS:
-        parts = cut(cells.groupBy(F.col(d).alias("_v")).agg(F.pow(F.sum("tokens"), F.lit(exponent)).alias("part")), "targets")
+        parts = cells.groupBy(F.col(d).alias("_v")).agg(F.pow(F.sum("tokens"), F.lit(exponent)).alias("part"))
         total = parts.agg(F.sum("part")).first()[0] or 1.0
         cells = with_column(cells, d, parts.select("_v", (F.col("part") / F.lit(total)).alias(f"target_{d}")), f"target_{d}")
     return cells
@@ -73,36 +80,56 @@ def with_targets(cells: DataFrame, targets: DataFrame) -> DataFrame:
     return cells
 
 
-def rake(cells: DataFrame, sweeps: int, tolerance: float = TOLERANCE) -> DataFrame:
-    """``cells`` with ``weight``: tokens scaled to the target shares of each dimension in turn."""
-    cells = cut(cells, "cells")
-    few = dict(zip(DIMENSIONS, (n <= BROADCAST_VALUES for n in cells.agg(*(F.countDistinct(d) for d in DIMENSIONS)).first()), strict=True))
-    factors = {d: cells.select(F.col(d).alias(f"v_{d}"), F.lit(1.0).alias(f"f_{d}")).distinct() for d in DIMENSIONS}
-
-    def weighed(now: dict[str, DataFrame]) -> DataFrame:
-        out = cells
-        for d in DIMENSIONS:
-            out = out.join(F.broadcast(now[d]) if few[d] else now[d], F.col(d) == F.col(f"v_{d}"))
-        return out
-
-    product = lambda dims: F.col("tokens") * reduce(Column.__mul__, (F.col(f"f_{d}") for d in dims))
-    for _ in range(sweeps):
-        made = {}
-        for d in DIMENSIONS:
-            total, target, old = F.sum(product([x for x in DIMENSIONS if x != d])), F.max(f"target_{d}"), F.max(f"f_{d}")
-            factor = F.when(total > 0, target / total).otherwise(0.0)
-            made[d] = cut(weighed(factors).groupBy(F.col(d).alias(f"v_{d}")).agg(factor.alias(f"f_{d}"), (F.abs(factor - old) > tolerance * factor).alias("moved")), "factors")
-            factors[d] = made[d].select(f"v_{d}", f"f_{d}")
-        if all(made[d].filter("moved").isEmpty() for d in reversed(DIMENSIONS)):
+def with_sum(cells: DataFrame, d: str, value: Column, name: str, few: bool) -> DataFrame:
+    """Add the sum of a column over the cells with the same value of a dimension; ``few`` cells lie in one task."""
+    if few:
+        return cells.withColumn(name, F.sum(value).over(Window.partitionBy(d)))
+    return with_column(cells, d, cells.groupBy(F.col(d).alias("_v")).agg(F.sum(value).alias(name)), name)
+
+
+def rake(cells: DataFrame, sweeps: int, tolerance: float = TOLERANCE, start: str = "tokens", goals: str = "target", few: bool = False) -> DataFrame:
+    """``cells`` with ``weight``: the column ``start`` scaled to ``<goals>_<dimension>`` of each dimension in turn."""
+    at = cells.withColumn("weight", F.col(start).cast("double"))
+    at = at if few else cut(at, "cells")
+    while sweeps > 0:
+        n = min(SWEEPS_A_WRITE, sweeps)
+        at = at.coalesce(1) if few else at
+        for i in range(n):
+            at = at.withColumn("_before", F.col("weight")) if i == n - 1 else at
+            for d in DIMENSIONS:
+                now, total = (at, F.sum("weight").over(Window.partitionBy(d))) if few else (with_sum(at, d, F.col("weight"), "_total", few), F.col("_total"))
+                weight = F.coalesce(F.try_divide(F.col("weight") * F.col(f"{goals}_{d}"), total), F.lit(0.0))
+                at = now.withColumn("weight", weight)
+                at = at if few else cut(at.drop("_total"), "step")
+        at = cut(at, "sweeps") if few else at
+        sweeps -= n
+        if sweeps and at.filter(F.abs(F.col("weight") - F.col("_before")) > tolerance * F.col("weight")).isEmpty():
             break
-    return weighed(factors).select(*cells.columns, product(DIMENSIONS).alias("weight"))
+    return at.drop("_before")
 
 
-def calibrate(cells: DataFrame, fraction: float) -> DataFrame:
+def calibrate(cells: DataFrame, fraction: float, sweeps: int) -> DataFrame:
     """``cells`` with ``p``: the probability that a document of the cell is kept."""
-    tokens, weight = (F.lit(float(x or 0.0)) for x in cells.agg(F.sum("tokens"), F.sum("weight")).first())
-    p = F.when((F.col("tokens") == 0) | (weight == 0), 1.0).otherwise(F.least(F.lit(1.0), fraction * tokens * F.col("weight") / weight / F.col("tokens")))
-    return cells.withColumn("p", F.round(p, 9))
+    cells = cut(cells, "targets")
+    aimed = reduce(and_, (F.col(f"target_{d}") > 0 for d in DIMENSIONS))
+    n, total, some = (float(x or 0.0) for x in cells.agg(F.count(F.lit(1)), F.sum("tokens"), F.sum(F.when(aimed, F.col("tokens")))).first())
+    if not some:
+        return cells.withColumn("p", F.lit(1.0))
+    few, budget, given, fixed = n <= TASK_CELLS, fraction * total, cells.columns, F.col("fixed")
+    cells, held = cells.withColumn("fixed", F.lit(False)), F.when(fixed, F.col("tokens")).otherwise(0.0)
+    while True:
+        at = cells.coalesce(1) if few else cells
+        for d in DIMENSIONS:
+            at = with_sum(at, d, held, "_held", few).withColumn(f"goal_{d}", F.greatest(F.lit(0.0), F.lit(budget) * F.col(f"target_{d}") - F.col("_held"))).drop("_held")
+        at = rake(at.withColumn("free", F.col("tokens") - held), sweeps, start="free", goals="goal", few=few)
+        rate = F.when(F.col("free") > 0, F.col("weight") / F.col("tokens"))
+        spent, weight, most, left = (float(x or 0.0) for x in at.agg(F.sum(held), F.sum("weight"), F.max(rate), F.sum(F.when(aimed, F.col("free")))).first())
+        scale = (budget - spent) / weight if weight else 0.0
+        if most * scale <= 1:
+            spread = F.when(aimed, F.lit((budget - spent) / left)) if left and not weight else rate * F.lit(scale)
+            p = F.when(fixed | (F.col("tokens") == 0), 1.0).otherwise(F.least(F.lit(1.0), F.coalesce(spread, F.lit(0.0))))
+            return at.select(*given, F.round(p, 9).alias("p"))
+        cells = at.select(*given, (fixed | F.coalesce(rate * F.lit(scale) > 1, F.lit(False))).alias("fixed"))
 
 
 def mix_documents(docs: DataFrame, targets: DataFrame | None = None, fraction: float = FRACTION, exponent: float = EXPONENT, sweeps: int = SWEEPS, topic: Column | None = None) -> DataFrame:
@@ -115,7 +142,7 @@ def mix_documents(docs: DataFrame, targets: DataFrame | None = None, fraction: f
     marked = given.withColumns({k: F.coalesce(v.cast("string"), F.lit("")) for k, v in plain.items()})
     cells = cut(cells_of(marked.select(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS), n_tokens(F.col("text")).alias("tokens"))), "cells")
     cells = tempered(cells, exponent) if targets is None else with_targets(cells, targets)
-    cells = calibrate(rake(cells, sweeps), fraction).select(*(F.col(d).alias(f"_c_{d}") for d in DIMENSIONS), F.col("p").alias("_p"))
+    cells = calibrate(cells, fraction, sweeps).select(*(F.col(d).alias(f"_c_{d}") for d in DIMENSIONS), F.col("p").alias("_p"))
     # Written, the cells have a known size: Spark broadcasts them only below its threshold, else it splits a hot cell.
     cells = cut(cells, "cells")
     out = marked.join(cells, [F.col(f"_{d}") == F.col(f"_c_{d}") for d in DIMENSIONS], "left").withColumn("_p", F.coalesce("_p", F.lit(1.0)))
@@ -131,17 +158,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sql() -> str:
     topic = "CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!! ') THEN 'shout' WHEN contains(text, '### ') OR contains(text, '%%% ') THEN 'noise' WHEN length(text) < 400 THEN 'note' ELSE 'prose' END"
+    each = lambda f, by=", ": by.join(f(x) for x in DIMENSIONS)
+    state = f"{each(str)}, tokens, {each(lambda x: f'target_{x}')}"
+    aimed, last = each(lambda x: f"target_{x} > 0", " AND "), 3 * SWEEPS
+    goal = lambda x: f"greatest(0.0, budget * target_{x} - sum(held) OVER (PARTITION BY {x}))"
+    step = lambda x: f"CASE WHEN sum(weight) OVER (PARTITION BY {x}) > 0 THEN weight * {goal(x)} / sum(weight) OVER (PARTITION BY {x}) ELSE 0.0 END"
+    share = f"CASE WHEN fixed OR tokens = 0 THEN 1.0 WHEN sum(weight) OVER () > 0 THEN (budget - sum(held) OVER ()) * weight / sum(weight) OVER () / tokens WHEN {aimed} THEN (budget - sum(held) OVER ()) / sum(tokens - held) FILTER ({aimed}) OVER () ELSE 0.0 END"
     steps = [
         f"d AS (SELECT doc_id, source AS s0, lang AS l0, text, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {topic} AS topic, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::DOUBLE AS tokens FROM documents)",
         "c AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM d GROUP BY ALL)",
         *(f"t_{x} AS (SELECT {x}, pow(sum(tokens), {EXPONENT}) / sum(pow(sum(tokens), {EXPONENT})) OVER () AS target_{x} FROM c GROUP BY {x})" for x in DIMENSIONS),
-        "w0 AS (SELECT *, tokens AS weight FROM c JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))",
+        # A round has the steps of all sweeps, then one that fixes cells; the last round fixes none.
+        f"r AS (SELECT {state}, tokens AS weight, FALSE AS fixed, 1.0::DOUBLE AS p, 0 AS k, FALSE AS done FROM c JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic)"
+        f" UNION ALL SELECT {state}, CASE WHEN k < {last} THEN moved WHEN fixed OR share > 1 THEN 0.0 ELSE tokens END, fixed OR (k = {last} AND share > 1), share, (k + 1) % {last + 1}, k = {last} AND NOT bool_or(NOT fixed AND share > 1) OVER ()"
+        f" FROM (SELECT *, CASE k % 3 WHEN 0 THEN {step('source')} WHEN 1 THEN {step('lang')} ELSE {step('topic')} END AS moved, {share} AS share"
+        f" FROM (SELECT *, CASE WHEN fixed THEN tokens ELSE 0.0 END AS held, {FRACTION} * sum(tokens) OVER () AS budget FROM r WHERE NOT done)))",
+        f"p AS (SELECT {each(str)}, round(CASE WHEN (SELECT sum(tokens) FROM c) > 0 THEN p ELSE 1.0 END, 9) AS p FROM r WHERE done)",
     ]
-    n = 0
-    for _ in range(SWEEPS):
-        for x in DIMENSIONS:
-            steps.append(f"w{n + 1} AS MATERIALIZED (SELECT * EXCLUDE (weight), CASE WHEN sum(weight) OVER (PARTITION BY {x}) > 0 THEN weight * target_{x} / sum(weight) OVER (PARTITION BY {x}) ELSE 0.0 END AS weight FROM w{n})")
-            n += 1
-    steps.append(f"p AS (SELECT source, lang, topic, round(CASE WHEN tokens = 0 OR sum(weight) OVER () = 0 THEN 1.0 ELSE least(1.0, {FRACTION} * sum(tokens) OVER () * weight / sum(weight) OVER () / tokens) END, 9) AS p FROM w{n})")
     u = "('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 12))::BIGINT::DOUBLE / 281474976710656.0"
-    return f"WITH {', '.join(steps)} SELECT doc_id, s0 AS source, l0 AS lang, topic, round(p, 6) AS p, {u} < p AS kept FROM d JOIN p USING (source, lang, topic)"
+    return f"WITH RECURSIVE {', '.join(steps)} SELECT doc_id, s0 AS source, l0 AS lang, topic, round(p, 6) AS p, {u} < p AS kept FROM d JOIN p USING (source, lang, topic)"

@@ -9,8 +9,8 @@ against the ordinary one. A run, or else its uncovered parts, become spans ``lik
 that ``HIT`` of the labelled credentials reach; a run that fixed patterns cover from end to end adds none.
 
 The automata are fitted on the ``SAMPLE`` strings of a kind (and ordinary runs that no pattern touches) of at most
-``LONGEST`` characters that have the smallest hashes in all documents; kinds with fewer than ``LEAST`` in the corpus get
-none, and their fixed patterns' spans have null scores. All documents are scanned whole. Null and empty texts have no
+``LONGEST`` characters that have the smallest hashes in all documents; a kind with none of these in the corpus gets no
+automaton, and its fixed patterns' spans have null scores. All documents are scanned whole. Null and empty texts have no
 spans. Repeated rows are scanned on their own. Other columns are kept, but for one named ``_spans``, which is replaced.
 An empty table gives no rows. Positions are code points.
 """
@@ -44,7 +44,7 @@ NAMES = ("passw", "secret", "token", "api")
 SHORTEST = 12
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
 SYMBOLS = 66
-SAMPLE, LEAST, LONGEST, HIT, ALPHA = 400, 20, 256, 0.95, 0.05
+SAMPLE, LONGEST, HIT, ALPHA = 400, 256, 0.95, 0.05
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -216,10 +216,10 @@ def infer_automata(docs: DataFrame, text_col: str = "text") -> dict[str, tuple[l
     ordinary = Automaton(samples.pop("ordinary")).infer().table()
     out = {"ordinary": (ordinary, 0.0)}
     for kind, strings in samples.items():
-        if len(strings) >= LEAST:
+        if strings:
             table = Automaton(strings).infer().table()
             scores = sorted(((likelihood(table, s) - likelihood(ordinary, s)) / len(s) for s in strings), reverse=True)
-            out[kind] = (table, max(0.5, scores[int(HIT * len(scores)) - 1]))
+            out[kind] = (table, max(0.5, scores[math.ceil(HIT * len(scores)) - 1]))
     return out
 
 

@@ -539,6 +539,41 @@ def test_mixing_keeps_columns_of_any_name(spark, docs):
     assert {r.doc_id: (r._p, r._keep) for r in out.collect()} == plain
 
 
+def cells_with(spark, rows, shares):
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")
+    return mixing.with_targets(cells, spark.createDataFrame([(d, v, s) for d in mixing.DIMENSIONS for v, s in shares[d].items()], "dimension string, value string, share double"))
+
+
+def test_mixing_makes_up_for_fixed_cells(spark):
+    """What a cell lacks is given by the others, of its language and topic as far as they can; the budget is spent."""
+    shares = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 1.0}, "topic": {"t": 1.0}}
+    few = mixing.calibrate(cells_with(spark, [("a", "x", "t", 100.0), ("b", "x", "t", 9900.0)], shares), 0.6, 12).toPandas().set_index("source")
+    assert few.p["a"] == 1.0 and np.isclose(few.p["b"] * 9900 + 100, 6000)
+    shares["source"], shares["lang"] = {"a": 0.4, "b": 0.4, "c": 0.2}, {"x": 0.5, "y": 0.5}
+    rows = [("a", "x", "t", 10.0), ("a", "y", "t", 3000.0), ("b", "x", "t", 2500.0), ("b", "y", "t", 2500.0), ("c", "x", "t", 4000.0), ("c", "y", "t", 100.0)]
+    out = mixing.calibrate(cells_with(spark, rows, shares), 0.5, 60).toPandas()
+    out["kept"] = out.p * out.tokens
+    assert np.isclose(out.kept.sum(), 0.5 * sum(r[3] for r in rows)) and (out.p <= 1).all() and (out.p == 1).sum() == 1
+    for d in mixing.DIMENSIONS:
+        assert all(abs(v / out.kept.sum() - shares[d][k]) < 2e-3 for k, v in out.groupby(d).kept.sum().items()), d
+
+
+def test_mixing_of_zero_shares_and_of_all(spark):
+    rows = [("a", "x", "t", 100.0), ("b", "x", "t", 50.0), ("b", "x", "u", 0.0)]
+    shares = {"source": {"a": 1.0}, "lang": {"x": 1.0}, "topic": {"t": 0.5, "u": 0.5}}
+    p = {r[:2]: r.p for r in mixing.calibrate(cells_with(spark, rows, shares), 0.9, 12).select("source", "topic", "p").collect()}
+    assert p == {("a", "t"): 1.0, ("b", "t"): 0.0, ("b", "u"): 1.0}
+    for share in ({"a": 0.5, "b": 0.5}, {"z": 1.0}):
+        out = mixing.calibrate(cells_with(spark, rows, shares | {"source": share}), 1.0, 12)
+        assert {r.p for r in out.collect()} == {1.0}, share
+
+
+def test_mixing_of_many_cells_is_that_of_few(spark, docs, monkeypatch):
+    want = {r.doc_id: r._p for r in mixing.mix_documents(docs, sweeps=2).collect()}
+    monkeypatch.setattr(mixing, "TASK_CELLS", 0)
+    assert {r.doc_id: r._p for r in mixing.mix_documents(docs, sweeps=2).collect()} == want
+
+
 def test_raking_against_numpy(spark):
     rng = np.random.default_rng(7)
     rows = [(f"s{i}", f"l{j}", f"t{k}", float(rng.integers(0, 50))) for i in range(40) for j in range(6) for k in range(3) if rng.random() < 0.7]
@@ -574,16 +609,24 @@ def plain_mixing(rows):
         tokens[cell(r)] = tokens.get(cell(r), 0) + len(re.findall(jaccard_join_word, r.text or ""))
     sums = lambda w, d: {v: sum(x for c, x in w.items() if c[d] == v) for v in {c[d] for c in w}}
     parts = [{v: x**mixing.EXPONENT for v, x in sums(tokens, d).items()} for d in range(3)]
-    weight = {c: float(x) for c, x in tokens.items()}
-    for _ in range(mixing.SWEEPS):
-        for d in range(3):
-            now = sums(weight, d)
-            weight = {c: x * parts[d][c[d]] / sum(parts[d].values()) / now[c[d]] if now[c[d]] else 0.0 for c, x in weight.items()}
-    all_tokens, all_weight = sum(tokens.values()), sum(weight.values())
+    targets = [{v: x / sum(p.values()) for v, x in p.items()} for p in parts]
+    budget, fixed = mixing.FRACTION * sum(tokens.values()), set()
+    while True:
+        held = [sums({c: x if c in fixed else 0 for c, x in tokens.items()}, d) for d in range(3)]
+        weight = {c: 0.0 if c in fixed else float(x) for c, x in tokens.items()}
+        for _ in range(mixing.SWEEPS):
+            for d in range(3):
+                now = sums(weight, d)
+                weight = {c: x * max(0.0, budget * targets[d][c[d]] - held[d][c[d]]) / now[c[d]] if now[c[d]] else 0.0 for c, x in weight.items()}
+        rest, all_weight = budget - sum(tokens[c] for c in fixed), sum(weight.values())
+        share = {c: 1.0 if c in fixed or not x else rest * weight[c] / all_weight / x for c, x in tokens.items()}
+        more = {c for c, x in share.items() if x > 1 and c not in fixed}
+        if not more:
+            break
+        fixed |= more
     kept = []
     for r in rows:
-        c = cell(r)
-        p = 1.0 if not tokens[c] or not all_weight else min(1.0, mixing.FRACTION * all_tokens * weight[c] / all_weight / tokens[c])
+        p = share[cell(r)]
         key = f"{r.doc_id}|{hashlib.md5((r.text or '').encode()).hexdigest()}"
         if int(hashlib.md5(key.encode()).hexdigest()[:12], 16) / 16**12 < round(p, 9):
             kept.append(r.doc_id)
