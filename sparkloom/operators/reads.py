@@ -122,6 +122,6 @@ def declaration_buckets(g: Graph) -> DataFrame:
 
 
 def signatures(g: Graph) -> DataFrame:
-    """``name(arg, arg)`` of each call-site's arguments, in order."""
+    """``call(arg, arg)`` of each call-site's arguments, in order; :func:`views.declared_signatures` has those of symbols."""
     args = g.payload.groupBy("project_id", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("arg_name", F.lit("...")).alias("a")))), lambda x: x["a"]), ", ").alias("args"))
     return args.select("project_id", "id", F.concat(F.lit("call("), "args", F.lit(")")).alias("signature"))

@@ -17,12 +17,16 @@ from sparkloom.sources import ignore
 K = "(" + ", ".join(f"'{k}'" for k in DEPENDENCIES) + ")"
 
 
-def external_imports(g: Graph) -> DataFrame:
-    """Import metrics of the graph whose imports of absent nodes carry ids of a package."""
+def with_external_ids(g: Graph) -> Graph:
+    """The graph whose edges to absent nodes carry ids of a package."""
     known = g.nodes.select("project_id", F.col("id").alias("target_id"), F.lit(True).alias("known"))
     edges = g.edges.join(known, ["project_id", "target_id"], "left")
     away = F.when(F.col("known"), F.col("target_id")).otherwise(keys.external_symbol(F.lit("@s/away x"), F.col("target_id")))
-    return rollup.import_metrics(Graph(g.nodes, edges.withColumn("target_id", away).select(*g.edges.columns), g.tail))
+    return Graph(g.nodes, edges.withColumn("target_id", away).select(*g.edges.columns), g.tail, g.payload)
+
+
+def external_imports(g: Graph) -> DataFrame:
+    return rollup.import_metrics(with_external_ids(g))
 
 
 def symbol_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import keys
-from sparkloom.operators import delta, reads, resolve, rollup, traverse, views
+from sparkloom.operators import delta, reads, report, resolve, rollup, traverse, views
 from sparkloom.plans import testgraph
 from sparkloom.plans.binding import BINDING, IMPORTS, imports
 from sparkloom.plans.committed import COMMITTED, job_claim_commit, job_claim_sql
-from sparkloom.plans.details import DETAILS, TABLES, external_imports
+from sparkloom.plans.details import DETAILS, TABLES, external_imports, with_external_ids
 from sparkloom.plans.graph import DEPENDENCIES, Graph
 from sparkloom.plans.lists import LISTS, TAIL_SQL, cycle_rows, tail_upsert
 
@@ -21,6 +21,17 @@ K = "('imports', 'references', 'calls', 'extends', 'implements')"
 HOT = f"hot AS (SELECT e.target_id AS id FROM edge e JOIN node n ON n.project_id = e.project_id AND n.id = e.target_id AND n.kind = 'symbol' WHERE e.kind IN {K} GROUP BY 1, e.project_id ORDER BY count(*) DESC, e.project_id, 1 LIMIT 1)"
 TOP = "top AS (SELECT * FROM node s WHERE s.kind = 'symbol' AND EXISTS (SELECT 1 FROM edge e JOIN node f ON f.project_id = e.project_id AND f.id = e.source_id WHERE e.project_id = s.project_id AND e.target_id = s.id AND e.kind = 'contains' AND f.kind = 'file'))"
 NODE = "project_id, id, kind, sub_kind, name, path"
+#: Specifiers and what they name from a file in ``src/<dir>``.
+SPECIFIERS = {"../lib/./util/../index.ts": "src/lib/index.ts", "./a//b": "src/<dir>/a/b", "./": "src/<dir>", "..": "src", "../../x": "x", "../../../y/../z": "z"}
+
+
+def report_sql(imported: str, related: str) -> str:
+    """SQL of :func:`report.project_reports`, from that of the metrics of imports and relationships."""
+    tally = lambda table, value: f"coalesce((SELECT string_agg(v || '=' || n, ' ' ORDER BY v) FROM (SELECT {value} AS v, count(*) AS n FROM {table} x WHERE x.project_id = p.project_id AND {value} IS NOT NULL GROUP BY 1)), 'none')"
+    listed = lambda names: " || ' ' || ".join(f"'{n}=' || coalesce({n}, 0)" for n in names)
+    rates = " || ".join(f"'\n{n}: ' || round(coalesce({n}, 0) * 100, 1)::DECIMAL(5, 1) || '%'" for n in report.RATES)
+    text = f"'project: ' || p.project_id || '\nnodes: ' || {tally('node', 'kind')} || '\nsymbols: ' || {tally('symbol', 'sub_kind')} || '\nedges: ' || {tally('edge', 'kind')} || '\nimports: ' || {listed(report.IMPORTS)} || {rates} || '\nrelations: ' || {listed(report.RELATIONS)}".replace("\n", "' || chr(10) || '")
+    return f"WITH p AS (SELECT project_id FROM node UNION SELECT project_id FROM edge UNION SELECT project_id FROM tail), symbol AS (SELECT * FROM node WHERE kind = 'symbol'), i AS ({imported}), l AS ({related}) SELECT p.project_id, {text} AS text FROM p LEFT JOIN i ON i.project_id = p.project_id LEFT JOIN l ON l.project_id = p.project_id"
 
 
 def hot(g: Graph) -> str:
@@ -127,7 +138,9 @@ def probe(g: Graph) -> DataFrame:
 
 
 def relative(g: Graph) -> DataFrame:
-    asked = g.nodes.filter("kind = 'file'").select("project_id", F.concat(F.lit("src/"), "path").alias("importer_path"), F.lit("../lib/./util/../index.ts").alias("specifier"))
+    """A specifier of each form from every file, two of them above the root."""
+    forms = F.array(*map(F.lit, SPECIFIERS))
+    asked = g.nodes.filter("kind = 'file'").select("project_id", F.concat(F.lit("src/"), "path").alias("importer_path"), F.explode(forms).alias("specifier"))
     return resolve.relative_targets(asked)
 
 
@@ -271,7 +284,7 @@ GRAPH: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {
     "delta_classification": (lambda g: delta.classify_delta(hashes(g, False), hashes(g, True)), "SELECT project_id, path, CASE split_part(id, ':', 2)::BIGINT % 7 WHEN 1 THEN 'new' WHEN 2 THEN 'removed' WHEN 3 THEN 'changed' ELSE 'unchanged' END AS change FROM node WHERE kind = 'file'"),
     "cache_partition": (lambda g: delta.cache_partition(hashes(g, True), hashes(g, False).select(F.concat(F.lit("v1:"), "content_hash").alias("cache_key")), "v1").select("project_id", "path", "hit"), "SELECT project_id, path, split_part(id, ':', 2)::BIGINT % 7 NOT IN (1, 3) AS hit FROM node WHERE kind = 'file' AND split_part(id, ':', 2)::BIGINT % 7 <> 2"),
     "module_probe": (probe, "SELECT project_id, replace(path, '.ts', '.js') AS target, id AS module_id FROM node WHERE kind = 'file' UNION ALL SELECT project_id, replace(path, '.ts', ''), id FROM node WHERE kind = 'file' UNION ALL SELECT project_id, path || 'x', NULL FROM node WHERE kind = 'file'"),
-    "relative_resolve": (relative, "SELECT project_id, 'src/' || path AS importer_path, '../lib/./util/../index.ts' AS specifier, 'src/lib/index.ts' AS target FROM node WHERE kind = 'file'"),
+    "relative_resolve": (relative, f"SELECT project_id, 'src/' || path AS importer_path, specifier, replace(target, '<dir>', split_part(path, '/', 1)) AS target FROM node, (VALUES {', '.join(f'{pair!r}' for pair in SPECIFIERS.items())}) v(specifier, target) WHERE kind = 'file'"),
     "package_owner": (owners, "SELECT f.project_id, f.id, f.path, p.id AS package_id FROM node f LEFT JOIN node p ON p.project_id = f.project_id AND p.kind = 'package' AND lower(p.name) = split_part(f.path, '/', 1) WHERE f.kind = 'file'"),
     "certainty_combine": (certainty, f"WITH d AS (SELECT *, CASE WHEN resolution = 'deterministic' THEN 4 WHEN confidence = 'high' THEN 3 WHEN confidence = 'medium' THEN 2 ELSE 1 END AS r FROM edge WHERE kind IN {K}) SELECT a.project_id, CASE least(a.r, b.r) WHEN 4 THEN 'deterministic' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS certainty, count(*) AS n FROM d a JOIN d b ON b.project_id = a.project_id AND b.source_id = a.target_id WHERE b.sub_kind IS NULL GROUP BY 1, 2"),
     "focus_neighbourhood": (lambda g: reads.focus(g, hot(g)), f"WITH {HOT}, e AS (SELECT * FROM edge WHERE source_id = (SELECT id FROM hot) OR target_id = (SELECT id FROM hot)) SELECT project_id, source_id AS id FROM e UNION SELECT project_id, target_id FROM e"),
@@ -298,6 +311,7 @@ GRAPH |= {
 GRAPH |= {
     "cycle_page": (cycle_rows, f"{REACH}, c AS ({GRAPH['cycles'][1].removeprefix(REACH)}) SELECT * FROM c WHERE project_id = (SELECT min(project_id) FROM c) ORDER BY cycle_id LIMIT 20"),
     "tail_upsert": (tail_upsert, TAIL_SQL),
+    "project_report": (lambda g: report.project_reports(with_external_ids(g)).select("project_id", "text"), report_sql(GRAPH["import_resolution_metrics"][1], GRAPH["relationship_metrics"][1])),
 }
 
 #: name: (function of session and folder, SQL over the tables)
