@@ -523,7 +523,7 @@ def test_pii_of_one_start_by_kind(spark):
 def test_mixing(spark, docs, odd):
     cells = spark.createDataFrame([("a", "x", "t", 100.0), ("a", "y", "t", 50.0), ("b", "x", "u", 30.0), ("b", "y", "t", 20.0)], "source string, lang string, topic string, tokens double")
     share = spark.createDataFrame([("source", "a", 0.5), ("source", "b", 0.5), ("lang", "x", 0.5), ("lang", "y", 0.5), ("topic", "t", 0.75), ("topic", "u", 0.25)], "dimension string, value string, share double")
-    out = mixing.rake(mixing.with_targets(cells, share), 60).toPandas()
+    out = mixing.rake(mixing.with_targets(cells, share), 60, few=True).toPandas()
     for d in mixing.DIMENSIONS:
         assert np.allclose(out.groupby(d).weight.sum(), out.groupby(d)[f"target_{d}"].first(), atol=1e-3)
     assert mixing.mix_documents(odd).count() == len(ODD)
