@@ -5,8 +5,8 @@ Each shard consists of ``<name>.bin`` (token ids, unsigned little-endian), ``<na
 consecutive ranges of ascending document ids. The manifest, written by Spark, names the shards that were
 committed; a shard's base is the prefix sum of the ids in all shards before it.
 
-Every text is encoded whole, by the tokenizers library, whatever the vocabulary; the longest text bounds the memory of
-a task. Null and empty texts give the end id alone. Rows with a null document id come first; the manifest says how many
+Every text is encoded whole, by the tokenizers library, whatever the vocabulary (``word_ends`` prepares texts for those
+that cut words); the longest text bounds the memory of a task. Null and empty texts give the end id alone. Rows with a null document id come first; the manifest says how many
 a shard has (``n_null``), their places in the ``.doc`` file hold 0, and results have null again. Rows that share an id
 are encoded one by one, in the order of a hash of their texts. Other columns are ignored. An empty table gives no rows.
 """
@@ -19,25 +19,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import chunks, posix, scratch
+from sparkloom.llm.word_ends import WholeTexts
 
 MANIFEST = "shard int, file string, n_docs long, n_null long, n_ids long"
 
+_encoders: dict[str, WholeTexts] = {}
 
-_tokenizers: dict = {}
 
-
-def tokenizer(path: str):
-    """One tokenizer for each vocabulary in a worker; it outlives the task."""
-    from tokenizers import Tokenizer
-
-    if path not in _tokenizers:
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+def encoder(path: str) -> WholeTexts:
+    """One encoder for each vocabulary in a worker; it outlives the task."""
+    if path not in _encoders:
+        _encoders[path] = WholeTexts(path)
+    return _encoders[path]
 
 
 def id_dtype(vocabulary: str, end_id: int) -> str:
@@ -60,35 +59,35 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     end = np.asarray([end_id], dtype).tobytes()
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = tokenizer(vocabulary).encode_batch_fast
+        encode = encoder(vocabulary)
         name = f"{place}/shard-{task.partitionId():06d}-{task.taskAttemptId()}"
         os.makedirs(place, exist_ok=True)
         n_docs = n_ids = n_null = 0
         with open(name + ".bin", "wb") as ids, open(name + ".idx", "wb") as idx, open(name + ".doc", "wb") as doc:
             idx.write(np.zeros(1, "<u8").tobytes())
             for batch in batches:
-                offsets = np.empty(len(batch), "<u8")
-                texts = list(batch["text"])
+                doc_ids, missing, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
+                offsets = np.empty(len(texts), "<u8")
                 for part in chunks([len(t) for t in texts]):
-                    for i, e in enumerate(encode(texts[part], add_special_tokens=False), part.start):
-                        ids.write(np.asarray(e.ids, dtype).tobytes() + end)
-                        n_ids += len(e) + 1
+                    for i, found in enumerate(encode(texts[part]), part.start):
+                        ids.write(np.asarray(found, dtype).tobytes() + end)
+                        n_ids += len(found) + 1
                         offsets[i] = n_ids
                 idx.write(offsets.tobytes())
-                doc.write(batch["doc_id"].to_numpy("<i8").tobytes())
-                n_docs += len(batch)
-                n_null += int(batch["missing"].sum())
-        yield pd.DataFrame({"shard": [task.partitionId()], "file": [os.path.basename(name)], "n_docs": [n_docs], "n_null": [n_null], "n_ids": [n_ids]})
+                doc.write(doc_ids.to_numpy().astype("<i8").tobytes())
+                n_docs += len(texts)
+                n_null += missing.true_count
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "file": [os.path.basename(name)], "n_docs": [n_docs], "n_null": [n_null], "n_ids": [n_ids]})
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     # The hash spreads rows that share an id, and orders them; equal hashes go by the text.
     rows = rows.repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
-    rows = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("missing"), "text")
-    rows.mapInPandas(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    rows = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("missing"), F.col("text").cast("binary"))
+    rows.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     # One row a shard: the prefix sum runs over a list whose length is the number of output files.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
