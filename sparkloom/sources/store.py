@@ -93,7 +93,9 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, key: str = "project_id"):
         self.spark, self.root, self.key = spark, root.rstrip("/"), key
         self.entry = f"{key} string, snapshot string, tables array<string>"
-        spark.createDataFrame([], COMMIT).write.mode("append").json(f"{self.root}/commits")  # the folder
+        # Not by an empty write: writers of one folder share its temporary one, which the first to end deletes.
+        commits = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/commits")
+        commits.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(commits)
 
     def view(self, seq: int | None = None) -> View:
         """The latest state, or that after commit ``seq``."""

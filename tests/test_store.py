@@ -3,6 +3,7 @@
 import os
 import subprocess
 import sys
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +101,15 @@ def test_a_file_is_created_once(spark, tmp_path):
     assert not [f for f in os.listdir(tmp_path) if f.startswith(".") and not f.endswith(".crc")]
 
 
+def test_opening_leaves_what_others_write(spark, tmp_path):
+    """Writers that opened a store at the same time used to delete each other's temporary folder."""
+    os.makedirs(other := tmp_path / "commits" / "_temporary" / "0")
+    assert store.Store(spark, str(tmp_path)).view().seq == 0
+    assert other.exists() and os.listdir(tmp_path / "commits") == ["_temporary"]
+    with ThreadPoolExecutor(8) as pool:
+        assert [s.view().seq for s in pool.map(lambda _: store.Store(spark, str(tmp_path / "new")), range(8))] == [0] * 8
+
+
 WORKER = """
 import sys
 from pyspark.sql import SparkSession, functions as F
