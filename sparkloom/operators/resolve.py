@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import itertools
 import sys
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkloom.functions.keys import certainty_rank, dirname, external_id, external_symbol, normalise_path
 from sparkloom.plans.graph import cut
@@ -55,34 +57,59 @@ def with_status(re_exports: DataFrame) -> DataFrame:
     return re_exports.withColumns(given | {"status": status})
 
 
-def export_hop(requests: DataFrame, exports: DataFrame, re_exports: DataFrame) -> DataFrame:
-    """One hop for ``requests(file_id, name)``: ``outcome, symbol_id, next_file, next_name, certain, stars``.
+def hop_tables(exports: DataFrame, re_exports: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``known``: what each ``(file_id, name)`` exports by itself; ``ways``: how many stars a file has, and the first;
+    ``branches``: the stars of files with several that can provide anything, ``wide`` if for any name."""
+    hops = with_status(re_exports)
+    aim = F.struct("pos", "target_file", "package", "status").alias("aim")
+    none = F.lit(None)
+    named = hops.filter("kind = 'named'").select("file_id", F.col("exported_as").alias("name"), F.struct(aim, F.col("name").alias("inner")).alias("to"))
+    local = exports.select("file_id", F.col("exported_name").alias("name"), none.cast(named.schema["to"].dataType).alias("to"), "symbol_id")
+    known = cut(local.unionByName(named, allowMissingColumns=True).groupBy("file_id", "name").agg(F.min("symbol_id").alias("symbol_id"), F.count("to").alias("n_named"), F.min("to").alias("to")), "known")
+    stars = hops.filter("kind = 'star'").select("file_id", aim)
+    ways = cut(stars.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_stars"), F.min("aim").alias("star")), "ways")
+    inner = ways.select(F.col("file_id").alias("target_file"), F.lit(True).alias("wide"))
+    open_ended = stars.filter("aim.status IN ('internal', 'external')").join(ways.filter("n_stars > 1"), "file_id", "left_semi")
+    wide = F.coalesce(F.col("wide"), F.col("aim.status") == "external").alias("wide")
+    return known, ways, cut(open_ended.withColumn("target_file", F.col("aim.target_file")).join(inner, "target_file", "left").select("file_id", "target_file", "aim", wide), "branches")
+
+
+def export_hop(requests: DataFrame, known: DataFrame, ways: DataFrame) -> DataFrame:
+    """One hop for ``requests(file_id, name)``: ``outcome, symbol_id, next_file, next_name, certain``.
 
     A local export is proven; else one named re-export redirects, several are ambiguous; else one star redirects as
-    inferred, several are ``multi-star``; else the name is unresolved. ``re_exports(file_id, kind, exported_as, name,
-    target_file)`` holds named, star and namespace rows; the last never match. Redirects to a package end ``external``,
-    those to modules that failed end as these did; see :func:`with_status`.
+    inferred, several are ``multi-star``; else the name is unresolved. Redirects to a package end ``external``, those to
+    modules that failed end as these did; see :func:`with_status` and :func:`hop_tables`.
     """
-    hops = with_status(re_exports)
-    local = exports.groupBy("file_id", F.col("exported_name").alias("name")).agg(F.min("symbol_id").alias("symbol_id"))
-    aim = F.struct("pos", "target_file", "package", "status")
-    named = hops.filter("kind = 'named'").groupBy("file_id", F.col("exported_as").alias("name")).agg(F.count(F.lit(1)).alias("n_named"), F.min(F.struct(aim.alias("aim"), F.col("name").alias("inner"))).alias("to"))
-    star = hops.filter("kind = 'star'").groupBy("file_id").agg(F.sort_array(F.collect_list(aim)).alias("stars"))
-    q = requests.join(local, ["file_id", "name"], "left").join(named, ["file_id", "name"], "left").join(star, "file_id", "left")
-    by_name, one_star = F.col("n_named") == 1, F.size("stars") == 1
-    aim = F.when(by_name, F.col("to.aim")).when(one_star, F.element_at("stars", 1))
+    q = requests.join(known, ["file_id", "name"], "left").join(ways, "file_id", "left")
+    by_name, one_star = F.col("n_named") == 1, F.col("n_stars") == 1
+    aim = F.when(by_name, F.col("to.aim")).when(one_star, F.col("star"))
     inner = F.when(by_name, F.col("to.inner")).otherwise(F.col("name"))
     redirect = F.when(aim["status"] == "internal", "redirect").otherwise(aim["status"])
-    outcome = F.when(F.col("symbol_id").isNotNull(), "bound").when(by_name, redirect).when(F.col("n_named") > 1, "ambiguous").when(one_star, redirect).when(F.size("stars") > 1, "multi-star").otherwise("unresolved")
+    outcome = F.when(F.col("symbol_id").isNotNull(), "bound").when(by_name, redirect).when(F.col("n_named") > 1, "ambiguous").when(one_star, redirect).when(F.col("n_stars") > 1, "multi-star").otherwise("unresolved")
     away = (outcome == "external") & F.col("symbol_id").isNull()
-    made = {"outcome": outcome, "next_file": aim["target_file"], "next_name": inner, "certain": F.coalesce(by_name, F.lit(False)) | F.col("symbol_id").isNotNull(), "symbol_id": F.when(away, external_symbol(aim["package"], inner)).otherwise(F.col("symbol_id")), "stars": F.when(outcome == "multi-star", F.col("stars"))}
-    return q.withColumns(made).drop("n_named", "to")
+    made = {"outcome": outcome, "next_file": aim["target_file"], "next_name": inner, "certain": F.coalesce(by_name, F.lit(False)) | F.col("symbol_id").isNotNull(), "symbol_id": F.when(away, external_symbol(aim["package"], inner)).otherwise(F.col("symbol_id"))}
+    return q.withColumns(made).drop("n_named", "to", "n_stars", "star")
+
+
+def live_stars(hops: DataFrame, known: DataFrame, branches: DataFrame) -> DataFrame:
+    """The stars that can provide the name of each multi-star ``hops(request_id, file_id, name, det)``, as ``star``.
+
+    A file that has no star and nothing by that name is a dead end whenever it is entered, so it is never a row: names
+    meet what files export, not all files of a barrel.
+    """
+    many = hops.filter("outcome = 'multi-star'").select("request_id", "file_id", "name", "det")
+    here = branches.join(many.select("file_id").distinct(), "file_id", "left_semi")
+    any_name = many.join(here.filter("wide").select("file_id", F.col("aim").alias("star")), "file_id")
+    held = known.join(many.select("name").distinct(), "name", "left_semi").select(F.col("file_id").alias("target_file"), "name")
+    by_name = many.join(here.filter("NOT wide").join(held, "target_file").select("file_id", "name", F.col("aim").alias("star")), ["file_id", "name"])
+    return any_name.unionByName(by_name)
 
 
 def probe_stars(rows: list[dict]) -> tuple[str, str | None, bool]:
     """Outcome, symbol and proof of a request from the hops that it can reach; the first row is its start.
 
-    Stars are tried in order, depth first. A branch that is ambiguous or unresolved inside provides nothing, and a
+    ``stars`` of a row are the live ones, in order; see :func:`live_stars`. Stars are tried in order, depth first. A branch that is ambiguous or unresolved inside provides nothing, and a
     ``(file, name)`` that was entered before is a dead end wherever it comes up again. One distinct provider binds with
     the proof of its own branch, the last one's of equal providers.
     """
@@ -94,7 +121,7 @@ def probe_stars(rows: list[dict]) -> tuple[str, str | None, bool]:
             hop = hops[file_id, name]
             proven = proven and (hop["certain"] or hop["outcome"] == "multi-star")
             if hop["outcome"] == "multi-star":
-                return probe(hop["stars"], name, proven)
+                return probe(hop["stars"] or [], name, proven)
             if hop["outcome"] != "redirect":
                 return hop["outcome"], hop["symbol_id"], proven
             file_id, name = hop["next_file"], hop["next_name"]
@@ -128,31 +155,34 @@ def export_chain(requests: DataFrame, exports: DataFrame, re_exports: DataFrame)
     ``external`` outcome carries the external symbol and is proven, whatever led there.
     """
     key = ["request_id", "file_id", "name"]
+    known, ways, branches = hop_tables(exports, re_exports)
     at = requests.select(*key, F.lit(True).alias("det"), F.lit(0).alias("round"))
-    seen, hops = cut(at.select(*key), "seen"), None
+    seen, hops, stars = cut(at.select(*key), "seen"), None, None
     for n in itertools.count(1):
-        hop = cut(export_hop(at, exports, re_exports), "hop")
-        hops = hop if hops is None else hops.unionByName(hop)
-        det = F.col("det") & (F.col("certain") | (F.col("outcome") == "multi-star"))
-        one = hop.filter("outcome = 'redirect'").select("request_id", F.col("next_file").alias("file_id"), F.col("next_name").alias("name"), det.alias("det"))
-        many = hop.filter("outcome = 'multi-star'").select("request_id", F.explode("stars").alias("star"), "name", "det").filter("star.status = 'internal'").select("request_id", F.col("star.target_file").alias("file_id"), "name", "det")
+        hop = cut(export_hop(at, known, ways), "hop")
+        live = cut(live_stars(hop, known, branches), "stars")
+        hops, stars = (hop, live) if hops is None else (hops.unionByName(hop), stars.unionByName(live))
+        one = hop.filter("outcome = 'redirect'").select("request_id", F.col("next_file").alias("file_id"), F.col("next_name").alias("name"), (F.col("det") & F.col("certain")).alias("det"))
+        many = live.filter("star.status = 'internal'").select("request_id", F.col("star.target_file").alias("file_id"), "name", "det")
         at = cut(one.unionByName(many).dropDuplicates(key).join(seen, key, "left_anti").withColumn("round", F.lit(n)), "at")
         if at.isEmpty():
             break
         seen = seen.unionByName(at.select(*key))
         if n % 16 == 0:  # keeps the plans of long chains short
-            seen, hops = cut(seen, "seen"), cut(hops, "hops")
-    branched = hops.filter("outcome = 'multi-star'").select("request_id").distinct()
+            seen, hops, stars = cut(seen, "seen"), cut(hops, "hops"), cut(stars, "stars")
+    branched = stars.select("request_id").distinct()
     ends = hops.join(branched, "request_id", "left_anti").filter("outcome IN ('bound', 'external', 'ambiguous')").select("request_id", "outcome", "symbol_id", (F.col("det") & F.col("certain")).alias("det"))
 
-    def judge(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["round"])
-        outcome, symbol, det = probe_stars(rows)
-        return pa.table({"request_id": pa.array([rows[0]["request_id"]], table.schema.field("request_id").type), "outcome": [outcome], "symbol_id": pa.array([symbol], pa.string()), "det": [det]})
+    def judge(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for table in tables for i in range(0, table.num_rows, 256) for row in table.slice(i, 256).to_pylist())
+        judged = ((k, *probe_stars(list(own))) for k, own in itertools.groupby(rows, key=lambda r: r["request_id"]))
+        while some := list(itertools.islice(judged, 4_096)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], ["request_id", "outcome", "symbol_id", "det"])
 
-    kind = requests.schema["request_id"].dataType.simpleString()
-    searched = hops.join(branched, "request_id", "left_semi").select(*key, "round", "outcome", "symbol_id", "certain", "next_file", "next_name", "stars")
-    ends = ends.unionByName(searched.groupBy("request_id").applyInArrow(judge, f"request_id {kind}, outcome string, symbol_id string, det boolean"))
+    kind = requests.schema["request_id"].dataType
+    types = [to_arrow_type(kind), pa.string(), pa.string(), pa.bool_()]
+    searched = hops.join(branched, "request_id", "left_semi").join(stars.groupBy(*key).agg(F.sort_array(F.collect_list("star")).alias("stars")), key, "left").select(*key, "round", "outcome", "symbol_id", "certain", "next_file", "next_name", "stars")
+    ends = ends.unionByName(searched.repartition("request_id").sortWithinPartitions("request_id", "round").mapInArrow(judge, f"request_id {kind.simpleString()}, outcome string, symbol_id string, det boolean"))
     out = requests.select("request_id").join(ends, "request_id", "left")
     outcome, found = F.coalesce("outcome", F.lit("unresolved")), F.col("outcome").isin("bound", "external")
     resolution = F.when(F.col("outcome") == "external", "deterministic").when(found, F.when(F.col("det"), "deterministic").otherwise("inferred"))

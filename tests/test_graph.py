@@ -1,5 +1,7 @@
 """Graph operators on literal fixtures, and every query against its SQL."""
 
+from collections import Counter
+
 import pytest
 from compare import connect, differences
 from pyspark.sql import functions as F
@@ -119,6 +121,29 @@ def test_stars_are_probed_as_a_tree(spark):
     assert out == want
 
 
+def rows_of(monkeypatch):
+    """Rows that export chains write, by the name of the write."""
+    rows, real = Counter(), resolve.cut
+
+    def counted(df, name):
+        out = real(df, name)
+        rows[name] += out.count()
+        return out
+
+    monkeypatch.setattr(resolve, "cut", counted)
+    return rows
+
+
+def test_names_at_a_barrel_reach_only_files_that_export_them(spark, monkeypatch):
+    files = [f"f{i}" for i in range(200)]
+    exports = spark.createDataFrame([(f, f"n{i}", f"s{i}") for i, f in enumerate(files)] + [("f0", "n1", "t")], "file_id string, exported_name string, symbol_id string")
+    asked = spark.createDataFrame([(f"n{i}", "barrel", f"n{i}") for i in range(201)], "request_id string, file_id string, name string")
+    rows = rows_of(monkeypatch)
+    out = {r.request_id: (r.outcome, r.symbol_id, r.resolution) for r in resolve.export_chain(asked, exports, spark.createDataFrame(star("barrel", *files), HOPS)).collect()}
+    assert out == {f"n{i}": ("bound", f"s{i}", "deterministic") for i in range(200)} | {"n1": ("ambiguous", None, None), "n200": ("unresolved", None, None)}
+    assert rows["hop"] == 201 + 201  # 201 starts, and 201 exports; each name at each file would be 40,200
+
+
 def test_export_chain_of_forty_barrels(spark):
     exports = spark.createDataFrame([("b40", "x", "sx")], "file_id string, exported_name string, symbol_id string")
     re = spark.createDataFrame([(f"b{i}", "named", "x", "x", f"b{i + 1}") for i in range(40)], "file_id string, kind string, exported_as string, name string, target_file string")
