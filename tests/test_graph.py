@@ -144,6 +144,17 @@ def test_names_at_a_barrel_reach_only_files_that_export_them(spark, monkeypatch)
     assert rows["hop"] == 201 + 201  # 201 starts, and 201 exports; each name at each file would be 40,200
 
 
+def test_names_at_a_top_reach_its_barrels_and_their_providers(spark, monkeypatch):
+    files = {f"b{i}": [f"b{i}f{k}" for k in range(30)] for i in range(6)}
+    exports = spark.createDataFrame([(f, f"n{b[1:]}-{k}", "s" + f) for b, own in files.items() for k, f in enumerate(own)], "file_id string, exported_name string, symbol_id string")
+    stars = [*star("top", *files, "npm out"), *(x for b, own in files.items() for x in star(b, *own, *(["npm out"] if b == "b0" else [])))]
+    asked = [f"n{i}-{k}" for i in (1, 2) for k in range(31)]
+    rows = rows_of(monkeypatch)
+    got = resolve.export_chain(spark.createDataFrame([(n, "top", n) for n in asked], "request_id string, file_id string, name string"), exports, spark.createDataFrame(stars, HOPS))
+    assert {r.request_id: r.outcome for r in got.collect()} == {n: "external" if n.endswith("-30") else "ambiguous" for n in asked}
+    assert rows["hop"] == 62 * 7 + 60  # starts and barrels, then one file of each name but two
+
+
 def test_export_chain_of_forty_barrels(spark):
     exports = spark.createDataFrame([("b40", "x", "sx")], "file_id string, exported_name string, symbol_id string")
     re = spark.createDataFrame([(f"b{i}", "named", "x", "x", f"b{i + 1}") for i in range(40)], "file_id string, kind string, exported_as string, name string, target_file string")
