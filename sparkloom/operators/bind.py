@@ -57,7 +57,7 @@ def bind_imports(statements: DataFrame, bindings: DataFrame, exports: DataFrame,
     Of a file's equal local names that of the last statement holds. Repeated edges and gaps count once.
     """
     inside = statements.filter("status = 'internal'")
-    names = inside.select("project_id", "statement_id", "file_id", "specifier", "module_id").join(bindings, ["project_id", "statement_id"])
+    names = cut(inside.select("project_id", "statement_id", "file_id", "specifier", "module_id").join(bindings, ["project_id", "statement_id"]), "names")
     wanted = names.filter("kind <> 'namespace' AND NOT type_only")
     found = cut(wanted.join(chains(wanted, exports, re_exports), ["project_id", "module_id", "name"]), "imports")
     bound = found.filter("outcome = 'bound'")

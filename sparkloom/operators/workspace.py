@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.keys import external_symbol, key_of, normalise_path, package_name, specifier_kind
-from sparkloom.operators.bind import bind_calls, bind_imports, chains, confidence
+from sparkloom.operators.bind import Bound, bind_calls, bind_imports, chains, confidence
 from sparkloom.operators.resolve import candidates, package_owner, probe_modules, relative_targets
 from sparkloom.plans.graph import NODE_KINDS, Graph
 from sparkloom.sources.tree import imports_of
@@ -167,12 +167,13 @@ def edge_key() -> Column:
     return key_of(*(F.col(c) for c in ("source_id", "kind", "target_id", "sub_kind", "resolution")))
 
 
-def resolve_project(g: Graph, statements: DataFrame, bindings: DataFrame, exports: DataFrame, re_exports: DataFrame, symbols: DataFrame | None = None) -> Graph:
+def resolve_project(g: Graph, statements: DataFrame, bindings: DataFrame, exports: DataFrame, re_exports: DataFrame, symbols: DataFrame | None = None, bound: Bound | None = None) -> Graph:
     """The parsed graph with all imports and call-sites bound, workspace externals superseded, and the gaps as tail.
 
-    ``symbols`` come from :func:`workspace_symbols`. Rows that are equal in every column count once.
+    ``symbols`` come from :func:`workspace_symbols`, ``bound`` from :func:`bind_imports` of the same tables, if it ran
+    already. Rows that are equal in every column count once.
     """
-    bound = bind_imports(statements, bindings, exports, re_exports)
+    bound = bound or bind_imports(statements, bindings, exports, re_exports)
     edges, gaps = bind_calls(g, bound, exports, re_exports)
     made = bound.edges.unionByName(edges).withColumn("provenance_pass", F.lit("resolve")).withColumnRenamed("rule", "provenance_rule")
     every = g.edges.drop("edge_key").unionByName(made, allowMissingColumns=True)

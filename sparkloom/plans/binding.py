@@ -57,7 +57,8 @@ def calls(g: Graph) -> tuple[DataFrame, DataFrame]:
 def resolved(g: Graph) -> DataFrame:
     """All edges that the resolver adds to the parsed graph."""
     asked = imports(g)
-    whole = workspace.resolve_project(unbound(g, bind.bind_imports(*asked)), *asked)
+    bound = bind.bind_imports(*asked)
+    whole = workspace.resolve_project(unbound(g, bound), *asked, bound=bound)
     return whole.edges.filter("provenance_rule LIKE 'resolve/%' OR provenance_rule LIKE 'react/%'").select("project_id", "source_id", "target_id", "kind", "sub_kind", F.col("provenance_rule").alias("rule"), "resolution", "confidence")
 
 

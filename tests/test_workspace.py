@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from test_graph import got, graph
 
 from sparkloom.functions import keys
-from sparkloom.operators import workspace
+from sparkloom.operators import bind, workspace
+from sparkloom.plans import binding, testgraph
 from sparkloom.plans.graph import Graph
 
 
@@ -91,6 +92,14 @@ def test_a_project_resolves_its_workspace(spark):
     assert [(r.code, r.specifier) for r in done.tail.collect()] == [("unresolved-module", "./no")]
 
 
+def test_a_project_binds_its_imports_once(spark, monkeypatch):
+    runs, real = [], bind.bind_imports
+    for module in (bind, workspace):
+        monkeypatch.setattr(module, "bind_imports", lambda *asked: runs.append(1) or real(*asked))
+    assert set(binding.resolved(testgraph.load(spark, "/root/testdata/sf0.001")).columns) == {*bind.EDGE}
+    assert len(runs) == 1
+
+
 def test_package_nodes(spark):
     g = graph(spark, [], [])
     files = files_of(spark, "packages/a/x.ts", "packages/a/in/y.ts", "packages/ab/z.ts").withColumn("kind", F.lit("file"))
