@@ -187,6 +187,36 @@ def test_bindings_of_imports_and_calls(spark):
     assert {tuple(r) for r in gaps.select("code", "specifier", "target_file_id", "name").collect()} == {("unresolved-member", "G.run", "m", "run"), ("unresolved-member", "NS.none", "n", "none"), ("unbound-callee", "h.go", None, "go"), ("unbound-callee", "ext.x", None, "x")}
 
 
+@pytest.fixture(scope="module")
+def by_barrel(spark):
+    """What a file binds by way of a barrel of 150 files, each with a name of its own, and the rows of hops it took."""
+    files, at_b = [f"f{i}" for i in range(150)], "project_id string, file_id string, "
+    exports = spark.createDataFrame([("p", f, f"n{i}", f"s{i}") for i, f in enumerate(files)] + [("p", "f0", "n1", "t")], at_b + "exported_name string, symbol_id string")
+    re = spark.createDataFrame([("p", *x[:6]) for x in star("b", *files)], "project_id string, file_id string, kind string, exported_as string, name string, target_file string, package string")
+    statements = spark.createDataFrame([("p", "s1", "a", "./b", "internal", "b"), ("p", "s2", "a", "./b", "internal", "b")], "project_id string, statement_id string, file_id string, specifier string, status string, module_id string")
+    names = [("p", "s1", n, n, "named", False) for n in [*(f"n{i}" for i in range(40)), "lost"]] + [("p", "s2", "*", "NS", "namespace", False)]
+    bindings = spark.createDataFrame(names, "project_id string, statement_id string, name string, local_name string, kind string, type_only boolean")
+    nodes = [("a", "file", "a", None, None), ("top", "symbol", "a", None, None), *((f"s{i}", "symbol", f"f{i}", None, None) for i in range(150)), *((f"c{i}", "callSite", "a", "top", c) for i, c in enumerate(("NS.n5", "NS.n1", "NS.lost", "n3", "n4.run")))]
+    g = Graph(
+        spark.createDataFrame([("p", i, k, None, i, f, e, c) for i, k, f, e, c in nodes], "project_id string, id string, kind string, sub_kind string, name string, file_id string, enclosing_symbol_id string, callee string"),
+        graph(spark, [], ["a -contains-> top"]).edges,
+        graph(spark, [], []).tail,
+        spark.createDataFrame([], "project_id string, id string, pos int, arg_name string, pass_kind string"),
+    )
+    with pytest.MonkeyPatch.context() as patch:
+        rows = rows_of(patch)
+        bound = bind.bind_imports(statements, bindings, exports, re)
+        first = rows["hop"]
+        edges, gaps = bind.bind_calls(g, bound, exports, re)
+    return bound, edges, gaps, first, rows["hop"] - first
+
+
+def test_call_site_gaps_by_barrel(by_barrel):
+    _, _, gaps, _, calls = by_barrel
+    assert got(gaps, "code", "specifier", "target_file_id", "name") == [("unresolved-member", "NS.lost", "b", "lost"), ("unresolved-member", "NS.n1", "b", "n1"), ("unresolved-member", "n4.run", "f4", "run")]
+    assert calls == 3 + 3  # members asked, and exports of these names; not 150 files each
+
+
 def test_delta(spark):
     h = lambda *r: spark.createDataFrame([("p", *x) for x in r], "project_id string, path string, content_hash string")
     assert delta.unchanged(h(("a", "1")), h(("a", "1")))
