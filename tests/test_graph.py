@@ -217,6 +217,12 @@ def test_call_site_gaps_by_barrel(by_barrel):
     assert calls == 3 + 3  # members asked, and exports of these names; not 150 files each
 
 
+def test_import_binding_by_barrel(by_barrel):
+    bound, _, _, imports, _ = by_barrel
+    assert got(bound.edges, "source_id", "target_id", "rule", "resolution") == sorted([*(("a", f"s{i}", "resolve/import", "deterministic") for i in range(40) if i != 1), ("a", "b", "resolve/import-module", "deterministic")])
+    assert imports == 41 + 41
+
+
 def test_delta(spark):
     h = lambda *r: spark.createDataFrame([("p", *x) for x in r], "project_id string, path string, content_hash string")
     assert delta.unchanged(h(("a", "1")), h(("a", "1")))
