@@ -223,6 +223,12 @@ def test_import_binding_by_barrel(by_barrel):
     assert imports == 41 + 41
 
 
+def test_call_site_binding_by_barrel(by_barrel):
+    _, edges, _, _, calls = by_barrel
+    assert got(edges, "source_id", "target_id", "rule") == [("c0", "s5", "react/calls-namespace-member"), ("c3", "s3", "react/calls-import"), ("c4", "s4", "react/calls-member-root")]
+    assert calls == 3 + 3
+
+
 def test_delta(spark):
     h = lambda *r: spark.createDataFrame([("p", *x) for x in r], "project_id string, path string, content_hash string")
     assert delta.unchanged(h(("a", "1")), h(("a", "1")))
