@@ -229,6 +229,12 @@ def test_call_site_binding_by_barrel(by_barrel):
     assert calls == 3 + 3
 
 
+def test_import_gaps_by_barrel(by_barrel):
+    bound, _, _, imports, _ = by_barrel
+    assert got(bound.gaps, "code", "specifier", "target_file_id", "name") == [("ambiguous-export", "./b", "b", "n1"), ("unresolved-export", "./b", "b", "lost")]
+    assert imports == 41 + 41
+
+
 def test_delta(spark):
     h = lambda *r: spark.createDataFrame([("p", *x) for x in r], "project_id string, path string, content_hash string")
     assert delta.unchanged(h(("a", "1")), h(("a", "1")))
